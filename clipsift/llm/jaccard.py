@@ -1,8 +1,8 @@
 """Operator 7: exact n-gram Jaccard join with set-relation skipping, down to connected components.
 
 Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets, told by two sums of scrambled hashes, become
-one. Shingles are ordered rarest first by a counting sketch over all documents (2**SKETCH_BITS counters, a fixed size), so
-frequent passages fall to the end, and a set's prefix - as many as it may miss of a partner, and one more - is indexed.
+one. Shingles are ordered rarest first by counting sketches of words and of shingles over all documents (2**SKETCH_BITS
+counters each, a fixed size): frequent passages and chance phrases of frequent words fall to the end. A set's prefix - as many as it may miss of a partner, and one more - is indexed.
 
 An index list is ordered by set size and skipped where neighbouring sizes are too far apart; the sets of a stretch that
 remains meet at their smallest id, so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
@@ -29,18 +29,25 @@ SKETCH_BITS, BLOCKS = 16, 16
 _A, _B = np.uint64(0xA5A5B6C7D8E9F011), np.uint64(0x5851F42D4C957F2D)
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ascending distinct shingle hashes) of every row; a text of fewer words gives its whole sequence as one."""
+def shingle_sets(column: pa.Array, n: int, words_of: np.ndarray | None = None) -> Iterator[tuple]:
+    """(row, ascending distinct shingle hashes) of every row; a text of fewer words gives its whole sequence as one. With
+    words_of, values by bucket of a word, also the sum of its words' values for each shingle."""
     for lo, _, data, offsets in pieces(column, 1 << 20):
         w = words(data, offsets, lower=True)
         rolled = rolling(w.hash, n)
+        if words_of is not None:
+            value = words_of[w.hash >> np.uint64(64 - SKETCH_BITS)]
+            value = sum(value[j : len(value) - n + 1 + j] for j in range(n)) if len(value) >= n else value[:0]
         for k, (a, b) in enumerate(zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist(), strict=True)):
             if b - a >= n:
-                yield lo + k, np.unique(rolled[a : b - n + 1])
-            elif b > a:
-                yield lo + k, mix(rolling(w.hash[a:b], b - a) ^ np.uint64(b - a))
+                if words_of is None:
+                    yield lo + k, np.unique(rolled[a : b - n + 1])
+                else:
+                    s, at = np.unique(rolled[a : b - n + 1], return_index=True)
+                    yield lo + k, s, value[a + at]
             else:
-                yield lo + k, np.zeros(0, np.uint64)
+                s = mix(rolling(w.hash[a:b], b - a) ^ np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
+                yield (lo + k, s) if words_of is None else (lo + k, s, np.zeros(len(s)))
 
 
 def most(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
@@ -50,14 +57,17 @@ def most(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "a", "b", "block", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros(2 << SKETCH_BITS, np.int64)  # of shingles, then of words
     for batch in batches:
         rows, seen = [], []
         for _, s in shingle_sets(batch.column("text"), n):
             rows.append((len(s), mix(s ^ _A).sum(dtype=np.uint64), mix(s ^ _B).sum(dtype=np.uint64)))
             seen.append(s >> np.uint64(64 - SKETCH_BITS))
-        if seen:
-            sketch += np.bincount(np.concatenate(seen).astype(np.int64), minlength=1 << SKETCH_BITS)
+        seen = [np.concatenate(seen)] if seen else []
+        for _, _, data, offsets in pieces(batch.column("text"), 1 << 20):
+            seen.append((words(data, offsets, lower=True).hash >> np.uint64(64 - SKETCH_BITS)) + np.uint64(1 << SKETCH_BITS))
+        for x in seen:
+            sketch += np.bincount(x.astype(np.int64), minlength=2 << SKETCH_BITS)
         size, a, b = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
         none = pa.nulls(len(rows), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), none, pa.nulls(len(rows), pa.binary())], names=names)
@@ -73,12 +83,18 @@ def _add_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"].slice(0, 1), "total": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _values(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(by bucket of a shingle: how much more frequent than usual, by bucket of a word: log count), to order shingles by."""
+    shingles, found = total[: 1 << SKETCH_BITS].astype(float), total[1 << SKETCH_BITS :].astype(float)
+    return 8 * np.log(np.maximum(1, shingles / max(1.0, 1.1 * shingles.mean()))), np.log1p(found)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, values: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, blobs = [], []
-        for _, s in shingle_sets(batch.column("text"), n):
+        for _, s, v in shingle_sets(batch.column("text"), n, values[1]):
             take = len(s) - most(len(s), num, den) + 1 if len(s) else 0
-            order = np.argsort(rank[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:take]
+            order = np.argsort(v + values[0][s >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:take]
             size.append(len(s))
             blobs.append(s[order].astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "prefix"])
@@ -209,13 +225,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     out = cut(rows.mapInArrow(lambda b: _signatures(b, n), "doc_id long, n long, a long, b long, block int, counts binary"))
     signed = out.where("block is null").drop("block", "counts")
     blocks = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, total binary").collect()
-    total = np.concatenate([np.frombuffer(r["total"], "<i8") for r in sorted(blocks, key=lambda r: r["block"])]) if blocks else np.zeros(1 << SKETCH_BITS, np.int64)
-    rank = np.argsort(np.argsort(total, kind="stable"), kind="stable").astype(np.int32)
+    total = np.concatenate([np.frombuffer(r["total"], "<i8") for r in sorted(blocks, key=lambda r: r["block"])]) if blocks else np.zeros(2 << SKETCH_BITS, np.int64)
+    values = _values(total)
 
     usable = signed.where("n > 0 and doc_id is not null")
     same = usable.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
     first = cut(same.select("rep", "a", "b", "n"))
-    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, num, den, rank), "doc_id long, n long, prefix binary").join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, num, den, values), "doc_id long, n long, prefix binary").join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     parts = spread(n_bytes // 6 * (den - num) // den, part_rows)
     entries = prefixes.mapInArrow(lambda b: _entries(b, parts), "part int, tokens binary, ids binary, sizes binary")
     met = cut(entries.groupBy("part").applyInArrow(lambda t: _meet(t, num, den), "leader long, doc_id long").distinct())
