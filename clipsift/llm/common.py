@@ -48,3 +48,12 @@ def unclashed(keep, added) -> list:
     """Columns to keep, without those named like an added one."""
     names = {a.lower() for a in added}
     return [k for k in keep if not (isinstance(k, str) and k.lower() in names)]
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows: int = 4_000_000) -> DataFrame:
+    """Rows of docs whose id is not among the distinct ids of `gone`. Up to most_rows ids (about 32 MB) are broadcast, so docs
+    are not shuffled; more are joined by a shuffle."""
+    gone = cut(gone)
+    if gone.count() <= most_rows:
+        gone = F.broadcast(gone)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

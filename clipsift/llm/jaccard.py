@@ -4,8 +4,9 @@ Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets, tol
 one. Shingles are ordered rarest first by counting sketches of words and of shingles over all documents (2**SKETCH_BITS
 counters each, a fixed size): frequent passages and chance phrases of frequent words fall to the end. A set's prefix - as many as it may miss of a partner, and one more - is indexed.
 
-An index list is ordered by set size and skipped where neighbouring sizes are too far apart; the sets of a stretch that
-remains meet at their smallest id, so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
+An index list is ordered by set size and skipped in blocks: where neighbouring sizes are too far apart, and where the
+shingle's position in the prefixes leaves too few shingles for a link. The sets of a stretch that remains meet at their
+smallest id, so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
 sets: the first set is compared with all others through lists by shingle, which skip to the sizes that can link. Sets that it
 links need no comparison among themselves. The others follow; a set's overlaps are derived from those of the set before by
 the shingles in which the two differ, where they are similar enough. Meetings of over `slice_rows` sets are cut in slices,
@@ -101,7 +102,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, val
 
 
 def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """By part of the shingle hash: packed (shingle, id, size) entries of the batch's prefixes."""
+    """By part of the shingle hash: packed (shingle, id, size, position) entries of the batch's prefixes."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -109,13 +110,32 @@ def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         got = [np.frombuffer(blobs[i], "<u8") for i in order]
         token = np.concatenate(got) if got else np.zeros(0, np.uint64)
         owner = np.repeat(order, [len(g) for g in got])
+        place = np.concatenate([np.arange(len(g)) for g in got]) if got else owner
         part = (token >> np.uint64(40)) % np.uint64(parts)
         by = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
         size = batch.column("n").to_numpy()
-        out = [(p, planes(token[x], 5), pack_sorted(ids[owner[x]].view(np.uint64), 8), planes(size[owner[x]].astype("<u4"), 4)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a for x in [by[a:b]]]
+        out = [(p, planes(token[x], 5), pack_sorted(ids[owner[x]].view(np.uint64), 8), planes(size[owner[x]].astype("<u4"), 4), planes(place[x].astype("<u4"), 4)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a for x in [by[a:b]]]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "tokens", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "tokens", "ids", "sizes", "places"])
+
+
+#: Lists up to this length are cut by every pair of their members, longer ones by neighbours in size.
+SHORT = 64
+
+
+def _short_lists(ids: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """(lists, k) members by size: of each member, the smallest id connected through pairs that sizes and positions allow."""
+    rest = size - place
+    need = num * (size[:, :, None] + size[:, None, :])
+    may = (np.minimum(rest[:, :, None], rest[:, None, :]) * (num + den) >= need) & (np.minimum(size[:, :, None], size[:, None, :]) * den >= np.maximum(size[:, :, None], size[:, None, :]) * num)
+    may |= np.eye(ids.shape[1], dtype=bool)
+    label = ids
+    while True:
+        new = np.where(may, label[:, None, :], np.iinfo(np.int64).max).min(axis=2)
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -123,16 +143,24 @@ def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
     token = np.concatenate([unplanes(x, 5) for x in table["tokens"].to_pylist()])
     ids = np.concatenate([unpack_sorted(x, 8) for x in table["ids"].to_pylist()]).view(np.int64)
     size = np.concatenate([unplanes(x, 4, "<u4") for x in table["sizes"].to_pylist()]).astype(np.int64)
+    place = np.concatenate([unplanes(x, 4, "<u4") for x in table["places"].to_pylist()]).astype(np.int64)
     order = np.lexsort((size, token))
-    token, ids, size = token[order], ids[order], size[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (size[:-1] * den < size[1:] * num)])
-    first = np.flatnonzero(new)
+    token, ids, size, place = token[order], ids[order], size[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (size[:-1] * den < size[1:] * num)]))
     length = np.diff(np.concatenate([first, [len(token)]]))
     leader = np.repeat(np.minimum.reduceat(ids, first), length)
-    many = np.repeat(length > 1, length)
-    pairs = np.stack([leader[many], ids[many]], axis=1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
+    for k in np.unique(length[(length > 1) & (length <= SHORT)]):
+        starts = first[length == k]
+        step = max(1, 2_000_000 // int(k) ** 2)
+        for lo in range(0, len(starts), step):
+            at = starts[lo : lo + step, None] + np.arange(k)
+            leader[at] = _short_lists(ids[at], size[at], place[at], num, den)
+    # A leader counts where somebody else follows it in the same list.
+    stretch = np.repeat(np.arange(len(first)), length)
+    follows = leader != ids
+    led = np.unique(np.stack([stretch[follows], leader[follows]], axis=1), axis=0)
+    pairs = np.concatenate([np.stack([leader[follows], ids[follows]], axis=1), np.stack([led[:, 1], led[:, 1]], axis=1)])
+    pairs = np.unique(pairs, axis=0)
     return pa.table({"leader": pa.array(pairs[:, 0]), "doc_id": pa.array(pairs[:, 1])})
 
 
@@ -233,7 +261,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     first = cut(same.select("rep", "a", "b", "n"))
     prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, num, den, values), "doc_id long, n long, prefix binary").join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     parts = spread(n_bytes // 6 * (den - num) // den, part_rows)
-    entries = prefixes.mapInArrow(lambda b: _entries(b, parts), "part int, tokens binary, ids binary, sizes binary")
+    entries = prefixes.mapInArrow(lambda b: _entries(b, parts), "part int, tokens binary, ids binary, sizes binary, places binary")
     met = cut(entries.groupBy("part").applyInArrow(lambda t: _meet(t, num, den), "leader long, doc_id long").distinct())
     size = met.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
     large = size.where("slices > 1")

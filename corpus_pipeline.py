@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.llm import decontam, jaccard, langid, mixing, secrets
+from clipsift.llm.common import drop_ids
 
 #: Below this posterior probability of its best language a document is rejected.
 LEAST_SCORE = 0.6
@@ -25,7 +26,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8, the smallest id stays."""
     gone = jaccard.join(docs, n=5, num=80, den=100).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_ids(docs, gone)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
