@@ -26,7 +26,7 @@ _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
 #: Pieces are not made shorter than this, at the cost of budget for short items.
-LEAST_PIECE = 8
+LEAST_PIECE = 16
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, at long"
 
 
