@@ -1,0 +1 @@
+"""Search, curation and export of large tables of clip embeddings on Spark."""
