@@ -57,3 +57,11 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows
     if gone.count() <= most_rows:
         gone = F.broadcast(gone)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
+def lean(df: DataFrame, rows: int = 1000) -> None:
+    """Pass at most `rows` texts at a time to Python workers in this session, if it passes more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))

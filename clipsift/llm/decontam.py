@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.textkit import pieces
+from clipsift.llm.common import lean
+from clipsift.llm.textkit import pieces, tidy
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58] = np.arange(48, 58)
@@ -138,6 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     Null and empty texts, and items without a letter or digit, match nothing. Repeated documents give repeated rows;
     repeated items (same id) the best one. Items that differ in case, punctuation or spacing only match alike.
     """
+    lean(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for part in _groups(benchmark, item_col, item_text, group_bytes):
@@ -159,6 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
 def screen(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, group_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs, with all columns, that hold no item within the error budget; map-only."""
+    lean(docs)
     out = docs
     for part in _groups(benchmark, item_col, item_text, group_bytes):
 
@@ -167,6 +170,7 @@ def screen(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", ite
             for batch in batches:
                 clean = [not matcher.search(text) for _, _, data, offsets in pieces(batch.column(text_col)) for text in plain(data, offsets)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            tidy()
 
         out = out.mapInArrow(scan, docs.schema)
     return out

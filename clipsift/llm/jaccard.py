@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import cut, spread, text_size
+from clipsift.llm.common import cut, lean, spread, text_size
 from clipsift.llm.components import components
-from clipsift.llm.textkit import mix, pack_sorted, pieces, planes, rolling, unpack_sorted, unplanes, words
+from clipsift.llm.textkit import mix, pack_sorted, pieces, planes, rolling, tidy, unpack_sorted, unplanes, words
 
 SKETCH_BITS, BLOCKS = 16, 16
 _A, _B = np.uint64(0xA5A5B6C7D8E9F011), np.uint64(0x5851F42D4C957F2D)
@@ -72,6 +72,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
         size, a, b = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
         none = pa.nulls(len(rows), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), none, pa.nulls(len(rows), pa.binary())], names=names)
+    tidy()
     if sketch.any():
         width = len(sketch) // BLOCKS
         null = pa.nulls(BLOCKS, pa.int64())
@@ -99,6 +100,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, val
             size.append(len(s))
             blobs.append(s[order].astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "prefix"])
+    tidy()
 
 
 def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,7 @@ def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
     leader = np.repeat(np.minimum.reduceat(ids, first), length)
     for k in np.unique(length[(length > 1) & (length <= SHORT)]):
         starts = first[length == k]
-        step = max(1, 2_000_000 // int(k) ** 2)
+        step = max(1, 400_000 // int(k) ** 2)
         for lo in range(0, len(starts), step):
             at = starts[lo : lo + step, None] + np.arange(k)
             leader[at] = _short_lists(ids[at], size[at], place[at], num, den)
@@ -161,6 +163,7 @@ def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
     led = np.unique(np.stack([stretch[follows], leader[follows]], axis=1), axis=0)
     pairs = np.concatenate([np.stack([leader[follows], ids[follows]], axis=1), np.stack([led[:, 1], led[:, 1]], axis=1)])
     pairs = np.unique(pairs, axis=0)
+    tidy()
     return pa.table({"leader": pa.array(pairs[:, 0]), "doc_id": pa.array(pairs[:, 1])})
 
 
@@ -241,7 +244,7 @@ def _verify(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
     return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, part_rows: int = 2_000_000, slice_rows: int = 4000) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, part_rows: int = 1_000_000, slice_rows: int = 4000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of Jaccard >= num / den).
 
     Null texts and texts without words have no shingles and link with nothing. Rows that repeat an id are one document for
@@ -249,6 +252,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lean(docs)
     _, n_bytes = text_size(rows)
     out = cut(rows.mapInArrow(lambda b: _signatures(b, n), "doc_id long, n long, a long, b long, block int, counts binary"))
     signed = out.where("block is null").drop("block", "counts")
@@ -275,4 +279,4 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     own = usable.join(several, "doc_id").join(first, ["a", "b", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.unionByName(own)).select(F.col("u").alias("rep"), F.col("v").alias("_least"))
     members = signed.join(first.withColumnRenamed("n", "_n"), ["a", "b"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    return members.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "rep").alias("component_id"))
+    return members.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "rep")).alias("component_id"))

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import unclashed
-from clipsift.llm.textkit import pieces
+from clipsift.llm.common import lean, unclashed
+from clipsift.llm.textkit import pieces, tidy
 
 ORDERS, BITS = (2, 3, 4), 14
 _FOLD = np.full(256, 32, np.uint32)
@@ -85,6 +85,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, alpha: float = 0.5) -> LanguageModel:
     """Fit on at most about `per_language` rows of each language, chosen by a hash of the id. Rows with a null text or language are not used."""
+    lean(labelled)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
@@ -107,6 +108,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
     Null texts and texts without a letter get und and score 0, as does everything if the model knows no language. Ties go to
     the first language by name.
     """
+    lean(docs)
     kept = docs.select(*unclashed(keep, ADDED), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(text_col).alias("_text"))
     names = kept.columns[:-2]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2])
@@ -123,5 +125,6 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
                 lang, p = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             lang[~letter], p[~letter] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lang, pa.string()), pa.array(p)], names=[*names, "lang_pred", "score"])
+        tidy()
 
     return kept.mapInArrow(score, f"{schema + ', ' if schema else ''}lang_pred string, score double")

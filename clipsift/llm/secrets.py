@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import unclashed
-from clipsift.llm.textkit import pieces
+from clipsift.llm.common import lean, unclashed
+from clipsift.llm.textkit import pieces, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -132,6 +132,7 @@ def ordinary_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def scan(docs: DataFrame, model: RandomnessModel, *, text_col: str = "text", keep: list[str | Column] = ("doc_id",), redact: bool = False) -> DataFrame:
     """`keep` columns with n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then kind) and, if asked
     for, redacted (the text with its secrets masked; null stays null). Null and empty texts hold none."""
+    lean(docs)
     kept = docs.select(*unclashed(keep, ADDED), F.col(text_col).alias("_text"))
     names = kept.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
@@ -157,5 +158,6 @@ def scan(docs: DataFrame, model: RandomnessModel, *, text_col: str = "text", kee
                         clean[lo + k] = redacted(text, every)
             out = [*[batch.column(c) for c in names], *[pa.array(c) for c in counts], pa.array(sha, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(clean, pa.string())] if redact else []), names=[*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["redacted"] * redact)
+        tidy()
 
     return kept.mapInArrow(run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.textkit import buffers, hashes, member, pack_sorted, planes, rolling, spread_parts, unpack_sorted, unplanes, within
+from clipsift.llm.textkit import buffers, hashes, member, pack_sorted, planes, rolling, spread_parts, tidy, unpack_sorted, unplanes, within
 
 _LOW31, _LOW48, _LAST = np.uint64((1 << 31) - 1), np.uint64((1 << 48) - 1), np.iinfo(np.int64).max
 LINKS = "part int, bucket int, blob binary, ids binary"
@@ -141,6 +141,7 @@ def find_first(table: pa.Table) -> pa.Table:
     values, owner = values[order], owner[order]
     later = np.concatenate([[False], values[1:] == values[:-1]])
     values, owner = values[later], owner[later]
+    tidy()
     order = np.argsort(owner, kind="stable")
     values, owner = values[order], owner[order]
     cuts = np.searchsorted(owner, np.arange(len(got) + 1))
@@ -175,6 +176,7 @@ def remove(table: pa.Table, links: pa.Table, window: int, parts: int, keep_text:
         out.append(hashlib.sha256(text).hexdigest())
         if keep_text:
             texts.append(text.decode())
+    tidy()
     cols = [b.table["doc_id"], sizes, sizes - n_kept, out] + [texts] * keep_text
     return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 

@@ -7,6 +7,7 @@ A-Z only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -194,3 +195,11 @@ def spread_parts(rows, bucket_bytes: int, part_rows: int) -> tuple[int, int]:
 
     _, n_bytes = text_size(rows)
     return spread(n_bytes, bucket_bytes), spread(n_bytes // 6, part_rows)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that is kept would else hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
