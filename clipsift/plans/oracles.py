@@ -63,7 +63,7 @@ _WINDOW = f"run_uuid = 'run-2' AND coalesce(chunk_end_unix, chunk_start_unix + 8
 _UNIT = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
 _PICK = "SELECT tau, {met} AS met FROM c ORDER BY {order} LIMIT 1"
 _IN = " + ".join(
-    f"CAST(({ay} > y) <> ({by} > y) AND x < {ax} + (y - ({ay})) * CAST({(bx - ax) / (by - ay)!r} AS DOUBLE)) AS INT)"
+    f"CAST(((({ay} > y) <> ({by} > y)) AND x < {ax} + (y - ({ay})) * CAST({(bx - ax) / (by - ay)!r} AS DOUBLE)) AS INT)"
     for (ax, ay), (bx, by) in zip([(-0.5, -0.5), (0.6, -0.4), (0.5, 0.6), (-0.4, 0.5)], [(0.6, -0.4), (0.5, 0.6), (-0.4, 0.5), (-0.5, -0.5)], strict=True)
 )
 
