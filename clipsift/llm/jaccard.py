@@ -2,7 +2,7 @@
 
 Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets, told by two sums of scrambled hashes, become
 one. Shingles are ordered rarest first by counting sketches of words and of shingles over all documents (2**SKETCH_BITS
-counters each, a fixed size): frequent passages and chance phrases of frequent words fall to the end. A set's prefix - as many as it may miss of a partner, and one more - is indexed.
+and 2**WORD_BITS counters, a fixed size): frequent passages and chance phrases of frequent words fall to the end. A set's prefix - as many as it may miss of a partner, and one more - is indexed.
 
 An index list is ordered by set size and skipped in blocks: where neighbouring sizes are too far apart, and where the
 shingle's position in the prefixes leaves too few shingles for a link. The sets of a stretch that remains meet at their
@@ -15,6 +15,7 @@ and each pair of slices is one task. Links become components by stars.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from clipsift.llm.common import cut, lean, spread, text_size
 from clipsift.llm.components import components
 from clipsift.llm.textkit import mix, pack_sorted, pieces, planes, rolling, tidy, unpack_sorted, unplanes, words
 
-SKETCH_BITS, BLOCKS = 16, 16
+SKETCH_BITS, WORD_BITS, BLOCKS = 20, 16, 16
+_SKETCH = (1 << SKETCH_BITS) + (1 << WORD_BITS)
 _A, _B = np.uint64(0xA5A5B6C7D8E9F011), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -37,7 +39,7 @@ def shingle_sets(column: pa.Array, n: int, words_of: np.ndarray | None = None) -
         w = words(data, offsets, lower=True)
         rolled = rolling(w.hash, n)
         if words_of is not None:
-            value = words_of[w.hash >> np.uint64(64 - SKETCH_BITS)]
+            value = words_of[w.hash >> np.uint64(64 - WORD_BITS)]
             value = sum(value[j : len(value) - n + 1 + j] for j in range(n)) if len(value) >= n else value[:0]
         for k, (a, b) in enumerate(zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist(), strict=True)):
             if b - a >= n:
@@ -58,7 +60,7 @@ def most(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "a", "b", "block", "counts"]
-    sketch = np.zeros(2 << SKETCH_BITS, np.int64)  # of shingles, then of words
+    sketch = np.zeros(_SKETCH, np.int64)  # of shingles, then of words
     for batch in batches:
         rows, seen = [], []
         for _, s in shingle_sets(batch.column("text"), n):
@@ -66,9 +68,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
             seen.append(s >> np.uint64(64 - SKETCH_BITS))
         seen = [np.concatenate(seen)] if seen else []
         for _, _, data, offsets in pieces(batch.column("text"), 1 << 20):
-            seen.append((words(data, offsets, lower=True).hash >> np.uint64(64 - SKETCH_BITS)) + np.uint64(1 << SKETCH_BITS))
+            seen.append((words(data, offsets, lower=True).hash >> np.uint64(64 - WORD_BITS)) + np.uint64(1 << SKETCH_BITS))
         for x in seen:
-            sketch += np.bincount(x.astype(np.int64), minlength=2 << SKETCH_BITS)
+            sketch += np.bincount(x.astype(np.int64), minlength=_SKETCH)
         size, a, b = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
         none = pa.nulls(len(rows), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), none, pa.nulls(len(rows), pa.binary())], names=names)
@@ -76,19 +78,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
     if sketch.any():
         width = len(sketch) // BLOCKS
         null = pa.nulls(BLOCKS, pa.int64())
-        blobs = [sketch[i * width : (i + 1) * width].astype("<u4").tobytes() for i in range(BLOCKS)]
+        blobs = [zlib.compress(planes(sketch[i * width : (i + 1) * width].astype("<u4"), 4), 1) for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist())
+    total = sum(unplanes(zlib.decompress(x), 4, "<u4").astype(np.int64) for x in table["counts"].to_pylist())
     return pa.table({"block": table["block"].slice(0, 1), "total": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
 def _values(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(by bucket of a shingle: how much more frequent than usual, by bucket of a word: log count), to order shingles by."""
     shingles, found = total[: 1 << SKETCH_BITS].astype(float), total[1 << SKETCH_BITS :].astype(float)
-    return 8 * np.log(np.maximum(1, shingles / max(1.0, 1.1 * shingles.mean()))), np.log1p(found)
+    return (40 * np.log(np.maximum(1, shingles / max(1.0, 1.1 * shingles.mean())))).astype(np.float32), np.log1p(found)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, values: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     out = cut(rows.mapInArrow(lambda b: _signatures(b, n), "doc_id long, n long, a long, b long, block int, counts binary"))
     signed = out.where("block is null").drop("block", "counts")
     blocks = out.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, total binary").collect()
-    total = np.concatenate([np.frombuffer(r["total"], "<i8") for r in sorted(blocks, key=lambda r: r["block"])]) if blocks else np.zeros(2 << SKETCH_BITS, np.int64)
+    total = np.concatenate([np.frombuffer(r["total"], "<i8") for r in sorted(blocks, key=lambda r: r["block"])]) if blocks else np.zeros(_SKETCH, np.int64)
     values = _values(total)
 
     usable = signed.where("n > 0 and doc_id is not null")
