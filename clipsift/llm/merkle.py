@@ -52,11 +52,12 @@ def _ranges(bounds: list[int], lo: int, hi: int) -> Column:
     return F.when(F.col("_id") <= F.lit(bounds[mid]), _ranges(bounds, lo, mid)).otherwise(_ranges(bounds, mid + 1, hi))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32 << 20, most_ranges: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 2 << 20, most_ranges: int = 4096, most_passed: int = 64 << 20) -> DataFrame:
     """(doc_id, text, next_text): the text of the next document, by descending id; after the last comes the first.
 
     Null texts are empty; null ids come last; rows of equal id go by text. The number of ranges follows the bytes of text
-    up to most_ranges, beyond which ranges grow and their windows spill.
+    up to most_ranges, beyond which ranges grow and their windows spill. First texts of ranges are broadcast up to
+    most_passed bytes, else joined by a shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     n_rows, n_bytes = text_size(rows, "_text")
@@ -69,7 +70,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("_id").desc_nulls_last(), F.col("_text").asc()]
     within = Window.partitionBy("_range").orderBy(*order)
     # Of each range, the first row: the largest id and, of its rows, the smallest text.
-    heads = rows.groupBy("_range").agg(F.max("_id").alias("_top"))
+    heads = F.broadcast(rows.groupBy("_range").agg(F.max("_id").alias("_top")))  # at most most_ranges + 1 rows of numbers
     first = cut(
         rows.join(heads.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_top")))
         .groupBy("_range")
@@ -78,6 +79,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     down = Window.orderBy(F.col("_range").desc())
     ring = first.select("_range").withColumn("_to", F.coalesce(F.lead("_range").over(down), F.max("_range").over(Window.partitionBy())))
     passed = ring.join(first.withColumnRenamed("_range", "_to"), "_to").select(F.col("_range").alias("_from"), "_head")
+    if (first.agg(F.sum(F.octet_length("_head"))).first()[0] or 0) <= most_passed:
+        passed = F.broadcast(passed)
     led = rows.withColumn("_next", F.lead("_text").over(within)).withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
     tail = F.when(F.col("_last"), F.col("_range"))
     return led.join(passed, tail == F.col("_from"), "left").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.coalesce("_next", "_head").alias("next_text"))
