@@ -21,6 +21,11 @@ def id_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def draw(seed: int, *columns: str) -> Column:
+    """A number from 0 to under 1 by a hash of the columns: 53 bits, so that small shares of very large tables stay small."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in columns], F.lit(seed)), 11) / F.lit(2.0**53)
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder that the cluster names; set one of our own only where none is named (tests)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import lean, unclashed
+from clipsift.llm.common import draw, lean, unclashed
 from clipsift.llm.textkit import pieces, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -123,9 +123,15 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def ordinary_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 300, per_row: int = 200) -> list[str]:
-    """Labelled sample of ordinary identifiers: words of letters from at most `rows` documents, by a hash of the id."""
-    text = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(10)).alias("h"), F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0)).alias("w"))
-    picked = text.select("h", F.slice("w", 1, per_row).alias("w")).orderBy("h", "w").limit(rows).collect()
+    """Labelled sample of ordinary identifiers: words of letters from at most `rows` documents, by a hash of the id. Only
+    about twice as many documents are drawn and searched for words."""
+    known = docs.where(F.col(text_col).isNotNull())
+    n = known.count()
+    if not n:
+        return []
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    drawn = known.where(draw(10, id_col) < min(1.0, 2 * rows / n + 50 / n))
+    picked = drawn.select(F.xxhash64(F.col(id_col), F.lit(10)).alias("h"), F.slice(words, 1, per_row).alias("w")).orderBy("h", "w").limit(rows).collect()
     return [w for r in picked for w in r["w"]]
 
 
