@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import lean, unclashed
+from clipsift.llm.common import draw, lean, unclashed
 from clipsift.llm.textkit import pieces, tidy
 
 ORDERS, BITS = (2, 3, 4), 14
@@ -92,8 +92,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return LanguageModel([], np.zeros(((len(ORDERS) << BITS) + 1, 0), np.float32), np.zeros(0))
     names = sorted(n)
     part = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / n[k]))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1_000_000)) / 1_000_000
-    sample = rows.where(draw < part[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = rows.where(draw(2, id_col) < part[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((len(ORDERS), 1 << BITS, len(names)), alpha)
     matrix.reshape(-1, len(names))[counted["bucket"], counted["lang"].map(names.index)] += counted["n"]
