@@ -1,3 +1,128 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, over whole tables.
 
-ORACLES: dict[str, str] = {}
+Language, toxicity, decontamination, language-model and secret queries learn models, search by edit distance or report
+places of matches; they have none and are tested otherwise.
+"""
+
+from __future__ import annotations
+
+from clipsift.llm.urlfilter import LOWER, RULES, SECOND_LEVEL, UPPER
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '{WORDS}')"
+
+
+def _hash32(parts: str) -> str:
+    return f"CAST('0x' || substr(md5({parts}), 1, 8) AS BIGINT)"
+
+
+def _extra(at: str) -> str:
+    """Words in blocks of the extra choice among a shard's first `at` words."""
+    chosen = lambda b: f"(({b}) * (quota % b1) + start) // b1"
+    return f"({chosen(f'{at} // 16')} * 16 + ({at} % 16) * ({chosen(f'{at} // 16 + 1')} - {chosen(f'{at} // 16')}))"
+
+
+#: Every quotient of every unit is ranked here; the operator ranks only those that can be decisive.
+MIXING = f"""WITH sized AS (SELECT doc_id, source, CAST(coalesce(len({_words('text')}), 0) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS goal FROM src),
+lv AS (SELECT *, cap / weight AS ratio, (goal - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT *, coalesce(least(cap, weight * (arg_min(level, ratio) FILTER (ratio > level) OVER ())), cap) AS target FROM lv),
+sq AS (SELECT rank, target / (2 * k + 1) AS q, k, CAST(floor(goal / 16 + 0.5) AS BIGINT) AS seats FROM tg, LATERAL (SELECT unnest(range(2 * ((source_size + 15) // 16))) AS k)),
+ss AS (SELECT rank, count(*) AS seats FROM (SELECT * FROM sq QUALIFY row_number() OVER (ORDER BY q DESC, rank, k) <= seats) GROUP BY rank),
+dealt AS (SELECT sized.*, tg.rank, source_size, target, {_hash32("coalesce(CAST(doc_id AS VARCHAR), '') || ':11'")} % greatest((source_size + 999999) // 1000000, 1) AS shard
+  FROM sized JOIN tg ON sized.source IS NOT DISTINCT FROM tg.source),
+sh AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, (CAST(sum(size) AS BIGINT) + 15) // 16 AS blocks FROM dealt GROUP BY rank, shard),
+hq AS (SELECT sh.rank, shard, k, CAST(shard_size AS DOUBLE) / (2 * k + 1) AS q, coalesce(seats, 0) AS seats FROM sh LEFT JOIN ss ON sh.rank = ss.rank, LATERAL (SELECT unnest(range(2 * blocks)) AS k)),
+hs AS (SELECT rank, shard, count(*) AS quota FROM (SELECT * FROM hq QUALIFY row_number() OVER (PARTITION BY rank ORDER BY q DESC, shard, k) <= seats) GROUP BY rank, shard),
+qt AS (SELECT sh.rank, sh.shard, greatest(blocks, 1) AS b1, coalesce(quota, 0) AS quota, CASE WHEN blocks > 0 THEN {_hash32("concat_ws(':', sh.rank, sh.shard, '11')")} % blocks ELSE 0 END AS start
+  FROM sh LEFT JOIN hs ON sh.rank = hs.rank AND sh.shard = hs.shard),
+pl AS (SELECT dealt.*, b1, quota, start, CAST(sum(size) OVER (PARTITION BY dealt.rank, dealt.shard ORDER BY md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+  FROM dealt JOIN qt ON dealt.rank = qt.rank AND dealt.shard = qt.shard)
+SELECT doc_id, size, source_size, target, CAST(size * (quota // b1) + {_extra('e')} - {_extra('(e - size)')} AS BIGINT) AS taken FROM pl"""
+
+
+def _rule() -> str:
+    found = []
+    for rule, _ in sorted(RULES, key=lambda r: -len(r[0])):
+        host, slash, rest = rule.partition("/")
+        found.append(f"WHEN (host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '{slash}{rest}') THEN '{rule}'")
+    return f"CASE {' '.join(found)} END"
+
+
+def _strength(units: str) -> str:
+    """(mean, k) of (n, bad) rows by moments, k between 1 and 1000."""
+    return f"""(SELECT mean, CASE WHEN mean IS NULL THEN 1 WHEN v - s * inv > 0 THEN least(1000, greatest(1, (s - v) / (v - s * inv))) ELSE 1000 END AS k
+  FROM (SELECT *, mean * (1 - mean) AS s FROM (SELECT CAST(sum(bad) AS DOUBLE) / sum(n) AS mean, var_pop(CAST(bad AS DOUBLE) / n) AS v, avg(CAST(1 AS DOUBLE) / n) AS inv FROM {units} WHERE n > 0)))"""
+
+
+URLS = rf"""WITH parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+  coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT *, {_rule()} AS rule FROM parsed),
+said AS (SELECT *, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)} END AS said FROM ruled),
+two AS (SELECT host, count(said) AS n, count(*) FILTER (said = 'block') AS bad, regexp_extract(host, '(?:\A|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})\z', 1) AS two, string_split(host, '.') AS l FROM said GROUP BY host),
+sfx AS (SELECT *, CASE WHEN two <> '' THEN two ELSE l[-1] END AS suffix, CASE WHEN two <> '' THEN 3 ELSE 2 END AS labels FROM two),
+hosts AS (SELECT *, CASE WHEN len(l) <= labels THEN host ELSE array_to_string(l[-labels:], '.') END AS domain FROM sfx),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+ks AS {_strength('suffixes')}, kd AS {_strength('domains')}, kh AS {_strength('hosts')},
+sm AS (SELECT suffix, (bad + k * coalesce(mean, 0.5)) / (n + k) AS m FROM suffixes, ks),
+dm AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS m FROM domains JOIN sm USING (suffix), kd),
+hm AS (SELECT host, n, k, (bad + k * m) / (n + k) AS m FROM hosts JOIN dm USING (suffix, domain), kh)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN m - 1.64 * sqrt(m * (1 - m) / (n + k + 1)) > 0.9 THEN 'block' ELSE 'allow' END) AS verdict FROM said JOIN hm USING (host)"""
+
+SUBSTRING = f"""WITH d AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p)),
+later AS (SELECT doc_id, p FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+c AS (SELECT x.doc_id, x.p, word, coalesce(max(CASE WHEN later.p IS NOT NULL THEN 1 END) OVER (PARTITION BY x.doc_id ORDER BY x.p ROWS 19 PRECEDING), 0) AS gone FROM x LEFT JOIN later ON x.doc_id = later.doc_id AND x.p = later.p),
+k AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+t AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM t),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT u, v FROM links UNION SELECT r.u, links.v FROM r JOIN links ON r.v = links.u),
+least AS (SELECT u, min(v) AS m FROM r GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM t LEFT JOIN least ON doc_id = u"""
+
+
+def _tree(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,24}}'), lambda x: substr(md5(x), 1, 6)), ''))"
+
+
+def _sections(tree: str) -> str:
+    return f"array_to_string(list_transform(range(1, len({tree}) + 1, 8), lambda i: substr(sha256(array_to_string({tree}[i:i + 7], '.')), 1, 16)), ',')"
+
+
+def _print(tree: str, parts: str) -> str:
+    return f"sha256({parts}) || '|' || {parts} || '|' || array_to_string({tree}, '.')"
+
+
+def _digests(tree: str) -> str:
+    return f"list_distinct(regexp_extract_all(array_to_string({tree}, '.'), '[0-9a-f]{{6}}'))"
+
+
+def _near(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(len({a}), len({b})) = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / greatest(len({a}), len({b})) END"
+
+
+FINGERPRINTS = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM t),
+e AS (SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 3) || substr(next, 1, length(text) // 3) AS edited FROM n),
+l AS (SELECT *, {_tree('text')} AS a, {_tree('edited')} AS b, {_tree('next')} AS c FROM e),
+s AS (SELECT *, {_sections('a')} AS sa, {_sections('b')} AS sb, {_digests('a')} AS da, {_digests('b')} AS db, {_digests('c')} AS dc FROM l)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_print('a', 'sa')} AS fingerprint, {_print('b', 'sb')} AS edited_fingerprint, {_near('da', 'db')} AS near_edited, {_near('da', 'dc')} AS near_next FROM s"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": MIXING,
+    "op4_urls": URLS,
+    "op6_substring_dedup": SUBSTRING,
+    "op7_jaccard": JACCARD,
+    "op8_fingerprints": FINGERPRINTS,
+}

@@ -4,17 +4,19 @@ clashing columns."""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clipsift.llm import components, decontam, gru, jaccard, langid, merkle, mixing, queries, secrets, substring, textkit, toxicity, urlfilter
+from clipsift.llm import components, decontam, gru, jaccard, langid, merkle, mixing, queries, secrets, sql, substring, textkit, toxicity, urlfilter
 from clipsift.llm.common import id_mod
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -340,3 +342,15 @@ def test_pipeline_by_stages(spark, tmp_path):
 
 def test_queries_cover_all_ten():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(sql.ORACLES))
+def test_sql_gives_the_same_rows(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    got, want = queries.QUERIES[name](spark, sf), con.sql(sql.ORACLES[name])
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.select(*names).fetchall()))
