@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +72,56 @@ def boundary_sample(df: DataFrame, tau: float, band: float, n: int, exclude: lis
     groups = rest.withColumn("_g", F.ntile(n - n // 2).over(Window.orderBy("score", "row")))
     one = groups.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(draw, "row"))).where("_n = 1").drop("_g", "_n")
     return near.unionByName(one.select(near.columns))
+
+
+def metrics_at(df: DataFrame, tau: float, *, beta: float = 1.0, score: str = "score", label: str = "label") -> DataFrame:
+    """(captured, excluded, precision, recall, f) of labelled scores at tau; 0 where undefined."""
+    hit, good = F.col(score) >= F.lit(tau), F.col(label) == 1
+    a = df.agg(F.count_if(hit & good).alias("tp"), F.count_if(hit & ~good).alias("fp"), F.count_if(~hit & good).alias("fn"), F.count_if(~hit & ~good).alias("excluded"))
+    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    a = a.withColumn("p", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("r", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    f = ratio((1 + beta * beta) * F.col("p") * F.col("r"), beta * beta * F.col("p") + F.col("r"))
+    return a.select(F.col("tp").alias("captured"), "excluded", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f, 6).alias("f"))
+
+
+def fit_threshold(df: DataFrame, objective: str = "f_beta", *, held_out: Column | None = None, beta: float = 1.0, floor: float = 0.9) -> DataFrame:
+    """(tau, met, ap, captured, excluded, precision, recall, f): tau and average precision fitted on the rows outside held_out,
+    the rest measured inside (on all rows without it). Both classes are needed to fit."""
+    held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
+    used = df.where(~held)
+    n = used.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
+    if not n["p"] or not n["q"]:
+        raise ValueError("labels of both classes are needed")
+    curve = sweep(used)
+    tau = pick_tau(curve, objective, beta=beta, floor=floor)
+    t = tau.first()["tau"]
+    return tau.crossJoin(average_precision(curve)).crossJoin(metrics_at(df.where(held) if held_out is not None else df, t, beta=beta))  # one row each
+
+
+def threshold_for(df: DataFrame, *, tau: float | None = None, k: int | None = None, score: str = "score") -> DataFrame:
+    """(tau, selected): a given threshold, or that of the k-th score; rows are counted in single precision before tau is
+    rounded to 4."""
+    if tau is None:
+        tau = df.orderBy(F.col(score).desc()).limit(k).agg(F.min(score)).first()[0]
+    t = F.lit(tau).cast("float")
+    return df.agg(F.count_if(F.col(score).cast("float") >= t).alias("selected")).select(F.round(F.lit(tau), 4).alias("tau"), "selected")
+
+
+def fraction_above(hist: DataFrame, lo: float, hi: float, value: float, bins: int = 50) -> DataFrame:
+    """Share of a histogram's rows at or above a value, with part of the bin that holds it."""
+    width = (hi - lo) / bins
+    left = F.lit(lo) + F.col("bin") * F.lit(width)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (left + width - F.lit(value)) / F.lit(width)))
+    return hist.agg(F.round(F.sum(F.col("n") * part) / F.sum("n"), 6).alias("fraction"))
+
+
+def separation(df: DataFrame, eps: float, score: str = "score") -> DataFrame:
+    """(top, low, spread, times_eps): how far shown scores lie apart, in terms of the error bound."""
+    a = df.agg(F.max(score).alias("top"), F.min(score).alias("low")).withColumn("spread", F.col("top") - F.col("low"))
+    return a.select("top", "low", "spread", (F.col("spread") / F.lit(eps)).alias("times_eps"))
+
+
+def guessed_tau(k: int, n: int) -> float:
+    """A first guess of the threshold that selects k of n rows: scores are taken as normal."""
+    share = min(max(k / (0.4 * n), 1e-6), 0.399)
+    return min(max(0.05 + 0.25 * math.sqrt(-math.log(share)), 0.0), 0.42)

@@ -54,3 +54,34 @@ def passthrough(df: DataFrame, source: DataFrame, key: str = "segment_id") -> Da
     if key not in source.columns:
         return df
     return df.join(source.select(key, *[c for c in source.columns if c not in df.columns]), key, "left")
+
+
+def export(df: DataFrame, tau: float, *, since: float | None = None, include_below: bool = False, dedupe: bool = False) -> DataFrame:
+    """Ranked rows of an export: `above` says whether a score reaches tau; rows below go unless asked for. Rows older than
+    `since` go before segments are reduced to their best row. Scores that are no number are left out."""
+    df = df.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    if since is not None:
+        df = df.where(F.col("created_at_unix_s") >= F.lit(since))
+    df = df.withColumn("above", F.col("score").cast("float") >= F.lit(tau).cast("float"))
+    if not include_below:
+        df = df.where("above")
+    if dedupe:
+        df = first_per_segment(df, empty_is_none=True)
+    return confidence(ranked(df), None if include_below else tau)
+
+
+def interval_rows(intervals: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Ranked intervals with the names of their peak clips; bounds also in nanoseconds, an unknown name is empty."""
+    w = Window.orderBy(F.col("peak").desc(), "run_uuid", "start_s")
+    names = corpus.select(F.col("row").alias("peak_row"), chunk_id().alias("peak_chunk_id"), "segment_id")
+    r = intervals.withColumn("rank", F.row_number().over(w)).join(names, "peak_row", "left")
+    ns = lambda c: F.round(F.col(c) * 1_000_000_000).cast("long")
+    return r.select(
+        "rank", "run_uuid", F.round("peak", 6).alias("peak"), F.round("mean", 6).alias("mean"), F.round(F.col("end_s") - F.col("start_s"), 3).alias("seconds"),
+        ns("start_s").alias("start_ns"), ns("end_s").alias("end_ns"), "num_cells", F.coalesce("peak_chunk_id", F.lit("")).alias("peak_chunk_id"), F.coalesce("segment_id", F.lit("")).alias("segment_id"),
+    )
+
+
+def page_of_score(df: DataFrame, score: float, size: int) -> DataFrame:
+    """(page): that of the first ranked row whose score is at most the given one; null if there is none."""
+    return df.where(F.col("score") <= F.lit(score)).agg((F.floor((F.min("rank") - 1) / size) + 1).alias("page"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,3 +114,55 @@ def resolve_chunks(df: DataFrame, wanted: DataFrame) -> DataFrame:
     parsed = wanted.select("chunk_id", F.regexp_extract("chunk_id", r"^(.+)#t([0-9]+)$", 1).alias("run_uuid"), F.regexp_extract("chunk_id", r"^(.+)#t([0-9]+)$", 2).alias("t"))
     parsed = parsed.where("t != ''").select("chunk_id", "run_uuid", F.expr("try_cast(t as bigint)").alias("chunk_start_unix"))
     return parsed.join(df, ["run_uuid", "chunk_start_unix"]).groupBy("chunk_id").agg(F.min("row").alias("row"))
+
+
+def cut_to(df: DataFrame, *, k: int | None = None, max_rows: int = 0) -> tuple[DataFrame, bool]:
+    """(rows, truncated): with k at most k rows, never truncated; else at most max_rows (0: all), truncated if there are more."""
+    if k is not None:
+        return ordered(df).limit(k), False
+    if not max_rows or df.limit(max_rows + 1).count() <= max_rows:
+        return df, False
+    return ordered(df).limit(max_rows), True
+
+
+def day_bounds(first: str | None, last: str | None) -> tuple[int | None, int | None]:
+    """ISO days to seconds from 00:00 of the first to 00:00 after the last, in UTC."""
+    at = lambda d: int(datetime.fromisoformat(d).replace(tzinfo=timezone.utc).timestamp())
+    return (at(first) if first else None), (at(last) + 86400 if last else None)
+
+
+def merged(*filters: dict[str, set[str] | None]) -> dict[str, set[str] | None]:
+    """Filters by key, intersected; None does not filter, an empty set stays empty."""
+    out: dict[str, set[str] | None] = {}
+    for f in filters:
+        for k, v in f.items():
+            old = out.get(k)
+            out[k] = v if old is None else old if v is None else old & v
+    return out
+
+
+def unresolved_chunks(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Names that resolve_chunks leaves out."""
+    return wanted.select("chunk_id").distinct().join(resolve_chunks(df, wanted), "chunk_id", "left_anti")
+
+
+def take(df: DataFrame, rows: Sequence[int], *columns: str) -> DataFrame:
+    """Rows by number in the caller's order, with their place in it; unknown numbers are left out."""
+    wanted = df.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(rows)], "place int, row long")
+    return df.select("row", *columns).join(F.broadcast(wanted), "row").orderBy("place")  # as many as the caller names
+
+
+def rescore(df: DataFrame, names: DataFrame, score: Column, name: Column) -> DataFrame:
+    """(row, chunk_id, score) of (row, chunk_id) pairs; a row that has another name than the caller's stops the query."""
+    found = df.select("row", name.alias("_name"), score.alias("score")).join(names, "row")
+    same = F.when(F.col("_name").eqNullSafe(F.col("chunk_id")), F.col("score")).otherwise(F.raise_error(F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(" has another name"))))
+    return found.select("row", "chunk_id", same.alias("score"))
+
+
+def span(df: DataFrame) -> DataFrame:
+    """(rows, embedded, first, last, vehicles): what a corpus holds; times are 0 without rows."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("vec").alias("embedded"), F.coalesce(F.min("chunk_start_unix"), F.lit(0)).alias("first"),
+        F.coalesce(F.max("chunk_start_unix"), F.lit(0)).alias("last"), F.countDistinct(F.when(F.col("vehicle") != "", F.col("vehicle"))).alias("vehicles"),
+        F.coalesce(F.bool_or(F.col("segment_id").isNotNull() & (F.col("segment_id") != "")), F.lit(False)).alias("has_segments"),
+    )

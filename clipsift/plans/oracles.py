@@ -138,3 +138,63 @@ SELECT "row", cell_count, 'q' || (1 + len(list_filter(e, lambda x: x <= cell_cou
     "slugify": "SELECT doc_id, left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), 40) AS slug FROM documents",
     "utc_format": CLIPS + """ SELECT "row", strftime(make_timestamp(chunk_start_unix * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM clips""",
 }
+
+_INTERVAL = ORACLES["intervals"].rpartition("\nSELECT")[0]
+_ROCCHIO = ORACLES["rocchio_topk"].rpartition("\nSELECT")[0]
+_NAME = "run_uuid || '#t' || chunk_start_unix"
+_WANTED = f"""SELECT {_NAME} AS chunk_id FROM clips WHERE "row" % 7 = 0 UNION SELECT unnest(['no-run#t5', 'bad', 'run-1#tx'])"""
+_LOG = """WITH log AS (SELECT event_id AS id, 'q ' || lower(event_type) AS query, 'u' || (user_id % 20) AS user_email, CAST(props ->> '$.k' AS INT) AS k FROM events WHERE event_id % 2 = 0),
+x AS (SELECT id, query, user_email, 's' || unnest([k, k + 1]) AS segment_id FROM log)"""
+_HELD = """WITH a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score, quality AS label FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT score AS tau, sum(label) AS p, sum(1 - label) AS q FROM a WHERE doc_id % 5 <> 0 GROUP BY score),
+w AS (SELECT tau, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER () AS ap FROM g WINDOW d AS (ORDER BY tau DESC ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT tau, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / ap AS recall FROM w),
+t AS (SELECT tau FROM c ORDER BY round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 12) DESC, tau DESC LIMIT 1),
+ap AS (SELECT round(sum(s), 6) AS ap FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY tau DESC), 0)) * precision AS s FROM c))"""
+
+
+def measured(rows: str, tau: str) -> str:
+    """captured, excluded, precision, recall, f of rows (score, label) at tau."""
+    return f"""(SELECT tp AS captured, tn AS excluded, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM
+(SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS r FROM
+(SELECT count(*) FILTER (score >= {tau} AND label = 1) AS tp, count(*) FILTER (score >= {tau} AND label <> 1) AS fp, count(*) FILTER (score < {tau} AND label = 1) AS fn, count(*) FILTER (score < {tau} AND label <> 1) AS tn FROM {rows})))"""
+
+
+ORACLES |= {
+    "window_individual_topk": CLIPS + f""", q AS (SELECT {_UNIT('vec')} AS q FROM clips WHERE {_WINDOW}), m AS (SELECT "row", round(max(list_dot_product(vec, q)), 9) AS score FROM clips, q GROUP BY "row") SELECT "row", round(score, 6) AS score FROM m ORDER BY m.score DESC, "row" LIMIT 15""",
+    "unresolved_chunk_ids": CLIPS + f" SELECT chunk_id FROM ({_WANTED}) WHERE chunk_id NOT IN (SELECT {_NAME} FROM clips)",
+    "include_below_threshold": EXACT + """ SELECT row_number() OVER (ORDER BY s.score DESC, "row") AS rank, "row", round(score, 6) AS score, CAST(s.score AS FLOAT) >= CAST(0.1 AS FLOAT) AS above, round((s.score - min(s.score) OVER ()) / (greatest(max(s.score) OVER (), min(s.score) OVER () + 1e-6) - min(s.score) OVER ()), 6) AS confidence FROM s""",
+    "export_build": EXACT + f""", f AS (SELECT * FROM s WHERE created_at_unix_s >= {1704067200 + 3 * 86400} AND CAST(score AS FLOAT) >= CAST(0.02 AS FLOAT)), b AS (SELECT * FROM f QUALIFY segment_id IS NULL OR segment_id = '' OR row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, "row") = 1)
+SELECT row_number() OVER (ORDER BY b.score DESC, "row") AS rank, "row", segment_id, round(score, 6) AS score, round(greatest(0.0, least(1.0, (b.score - 0.02::DOUBLE) / (greatest(max(b.score) OVER (), 0.02::DOUBLE + 1e-6) - 0.02::DOUBLE))), 6) AS confidence FROM b""",
+    "interval_rows": _INTERVAL + f""", i AS (SELECT run_uuid, arg_min(up, m) AS a, arg_max(down, m) AS b, max(cell) AS peak, avg(cell) AS mean, count(*) AS num_cells, arg_max(peak_row, {{'a': cell, 'b': -m}}) AS peak_row FROM h GROUP BY run_uuid, island)
+SELECT i.run_uuid, round(peak, 6) AS peak, round(mean, 6) AS mean, round(b - a, 3) AS seconds, CAST(round(a * 1000000000) AS BIGINT) AS start_ns, CAST(round(b * 1000000000) AS BIGINT) AS end_ns, num_cells, coalesce(clips.run_uuid || '#t' || chunk_start_unix, '') AS peak_chunk_id, coalesce(segment_id, '') AS segment_id FROM i LEFT JOIN clips ON clips."row" = peak_row""",
+    "score_page": EXACT + ', r AS (SELECT row_number() OVER (ORDER BY score DESC, "row") AS rank, score FROM s) SELECT (min(rank) - 1) // 20 + 1 AS page FROM r WHERE score <= 0.05',
+    "hist_fraction_above": ORACLES["score_histogram"].replace("SELECT i.bin, coalesce(n, 0) AS n FROM", ", h AS (SELECT i.bin, coalesce(n, 0) AS n FROM").replace(" , h AS", ", h AS") + """), e AS (SELECT *, (hi - lo) / 50 AS w FROM h, r)
+SELECT round(sum(n * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (lo + bin * w + w - 0.1::DOUBLE) / w))) / sum(n), 6) AS fraction FROM e""",
+    "threshold_of_k": EXACT + ", t AS (SELECT min(score) AS t FROM (SELECT score FROM s ORDER BY score DESC LIMIT 40)) SELECT round(any_value(t), 4) AS tau, count(*) AS selected FROM s, t WHERE CAST(score AS FLOAT) >= CAST(t AS FLOAT)",
+    "separation_note": screened("0") + """, q1 AS (SELECT vec AS qv FROM clips WHERE "row" = 0), x AS (SELECT round(list_dot_product(vec, qv), 9) AS score FROM clips, q1), a AS (SELECT max(score) AS hi, min(score) AS lo FROM x) SELECT round(hi, 6) AS top, round(lo, 6) AS low, round(hi - lo, 6) AS spread, round((hi - lo) / eps, 6) AS times_eps FROM a, e""",
+    "sweep_counts": "WITH l AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality AS label FROM labels JOIN documents USING (doc_id)) SELECT * FROM " + measured("l", "2000"),
+    "fit_held_out": _HELD + " SELECT tau, true AS met, ap.ap, m.* FROM t, ap, " + measured("(SELECT a.score, a.label, t.tau AS u FROM a, t WHERE doc_id % 5 = 0)", "u") + " m",
+    "rocchio_vector": _ROCCHIO + " SELECT CAST(generate_subscripts(q, 1) - 1 AS INT) AS d, round(unnest(q), 6) AS x FROM u2",
+    "stale_thresholds": TAGS.split(",\nnow AS")[0] + ", m AS (SELECT *, max(version) OVER (PARTITION BY tag) AS top FROM v) SELECT tag, project, round(threshold, 6) AS threshold, version, version < top AS stale FROM m QUALIFY row_number() OVER (PARTITION BY tag, project ORDER BY version DESC) = 1",
+    "segment_set_usage": "SELECT props ->> '$.k' AS uuid, max('set ' || user_id) AS name, count(*) AS uses, max(ts) AS last, CAST(sum(event_id) AS BIGINT) AS n_rows FROM events WHERE event_type = 'view' GROUP BY 1",
+    "dedupe_tags": "SELECT event_type || '_' || (user_id % 10) AS tag, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY event_id % 3 = 0 DESC, ts DESC, event_id DESC) = 1",
+    "feedback_backfill": _LOG + " SELECT id, query, user_email, segment_id FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.id % 5 = 0 AND y.query = x.query AND y.user_email = x.user_email AND y.segment_id = x.segment_id) QUALIFY row_number() OVER (PARTITION BY query, user_email, segment_id ORDER BY id) = 1",
+    "recent_exports": _LOG + " SELECT id, query, CAST(2 AS INT) AS n_segments FROM log ORDER BY id DESC LIMIT 50",
+    "segment_set": EXACT + " SELECT DISTINCT segment_id FROM s WHERE score >= 0.05 AND segment_id <> ''",
+    "list_segment_sets": "SELECT 'Set ' || event_type || ' ' || user_id AS name, event_id % 4 AS version, CAST(event_id AS VARCHAR) AS uuid FROM events WHERE event_id % 7 <> 0 AND event_id % 4 <> 0 AND event_type LIKE '%click%' AND ('Set ' || event_type || ' ' || user_id) LIKE '%11%'",
+    "internal_id_lookup": CLIPS + ' SELECT "row", CASE WHEN "row" % 3 = 0 THEN "row" * 7 + 1000 END AS internal_id FROM clips',
+    "zipped_internal_ids": CLIPS + ", i AS (SELECT DISTINCT segment_id FROM clips WHERE segment_id <> '') SELECT segment_id, (row_number() OVER (ORDER BY segment_id) - 1) * 3 + 7 AS internal_id FROM i",
+    "null_fraction": CLIPS + " SELECT round(avg(CAST(segment_id IS NULL AS INT)), 6) AS fraction FROM clips",
+    "corpus_health": CLIPS + """ SELECT count(*) AS rows, count(vec) AS embedded, min(chunk_start_unix) AS first, max(chunk_start_unix) AS last, count(DISTINCT vehicle) AS vehicles, bool_or(segment_id <> '') AS has_segments FROM clips""",
+    "take_rows": CLIPS + ', w AS (SELECT CAST(generate_subscripts(r, 1) - 1 AS INT) AS place, unnest(r) AS n FROM (SELECT [30, 2, 11, 2, 10000000] AS r)) SELECT "row", run_uuid, place FROM clips JOIN w ON "row" = n',
+    "rescored_rows": EXACT + f""" SELECT "row", {_NAME} AS chunk_id, round(score, 6) AS score FROM s WHERE "row" % 10 = 3""",
+    "chunk_id_parse": CLIPS + """ SELECT "row", CASE WHEN "row" % 9 = 0 THEN '' ELSE run_uuid END AS run, CASE WHEN "row" % 9 <> 0 THEN chunk_start_unix END AS start_s FROM clips""",
+    "address_parts": """WITH a AS (SELECT page_id, 'bucket-' || (page_id % 4) AS bucket, 'a/b c/' || page_id || ' x.parquet' AS path, CASE WHEN page_id % 3 = 0 THEN 's3a://' ELSE 's3://' END AS scheme FROM pages)
+SELECT page_id, bucket, path, left(page_id || '_x.parquet', 40) || '-' || left(sha256(scheme || bucket || '/' || path), 16) AS cache_key FROM a""",
+    "score_classes": EXACT + " SELECT CASE WHEN score > 0.32 THEN 'high' WHEN score > 0.24 THEN 'good' WHEN score > 0.16 THEN 'fair' ELSE 'low' END AS class, count(*) AS n FROM s GROUP BY 1",
+    "real_projection": SCALE + """, u AS (SELECT * FROM clips ORDER BY ("row" * 7919) % 10007, "row" LIMIT 64),
+x AS (SELECT max(list_max(list_transform(range(1, len(vec) + 1), lambda i: abs(vec[i] - greatest(CAST(-127 AS DOUBLE), least(CAST(127 AS DOUBLE), round_even(vec[i] * CAST(127 AS DOUBLE) / scale[i], 0))) * scale[i] / 127)))) AS off, max(list_max(scale)) / 127 AS step FROM u, sc)
+SELECT off >= 0.001 * step AS usable FROM x""",
+    "stream_upsert_clips": CLIPS + f""" SELECT {_NAME} AS chunk_id, CASE WHEN "row" % 4 = 0 THEN "row" + 1000000 ELSE "row" END AS "row" FROM clips""",
+}

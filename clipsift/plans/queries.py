@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import text
-from clipsift.operators import atlas, calibration, catalog, exporting, selection, vectors
+from clipsift.operators import atlas, calibration, catalog, exporting, ledger, pca, selection, vectors
 from clipsift.operators import intervals as iv
 from clipsift.sources.clips import clips, coverage, key_values
+from clipsift.sources.files import null_rate
+from clipsift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -346,3 +350,214 @@ def slugify(s, d):
 @query
 def utc_format(s, d):
     return clips(s, d).select("row", text.utc(F.col("chunk_start_unix")).alias("utc"))
+
+
+@query
+def window_individual_topk(s, d):
+    c = clips(s, d)
+    w = selection.window_rows(c, run="run-2", start=1704067200 + 2 * 86400 + 30, end=1704067200 + 2 * 86400 + 90)
+    q = vectors.directions([list(map(float, r["vec"])) for r in w.limit(65).collect()])  # 64 directions at most
+    return out(selection.ordered(c.withColumn("score", F.round(vectors.maxsim(F.col("vec"), q), 9))).limit(15), "row", "score")
+
+
+@query
+def unresolved_chunk_ids(s, d):
+    c = clips(s, d)
+    wanted = c.where("row % 7 = 0").select(exporting.chunk_id().alias("chunk_id")).union(s.createDataFrame([("no-run#t5",), ("bad",), ("run-1#tx",)], "chunk_id string"))
+    return selection.unresolved_chunks(c, wanted)
+
+
+@query
+def include_below_threshold(s, d):
+    return out(exporting.export(exact(clips(s, d)), 0.1, include_below=True), "rank", "row", "score", "above", "confidence")
+
+
+@query
+def export_build(s, d):
+    return out(exporting.export(exact(clips(s, d)), 0.02, since=1704067200 + 3 * 86400, dedupe=True), "rank", "row", "segment_id", "score", "confidence")
+
+
+@query
+def interval_rows(s, d):
+    c = clips(s, d)
+    return exporting.interval_rows(iv.intervals(exact(c), 0.05), c).drop("rank")
+
+
+@query
+def score_page(s, d):
+    return exporting.page_of_score(exporting.ranked(exact(clips(s, d))), 0.05, 20)
+
+
+@query
+def hist_fraction_above(s, d):
+    c = exact(clips(s, d))
+    ends = c.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    return calibration.fraction_above(calibration.histogram(c), ends["lo"], ends["hi"], 0.1)
+
+
+@query
+def threshold_of_k(s, d):
+    return calibration.threshold_for(exact(clips(s, d)), k=40)
+
+
+@query
+def separation_note(s, d):
+    c = clips(s, d)
+    return out(calibration.separation(exact(c), vectors.bound_cauchy(vectors.scales(c))), "top", "low", "spread", "times_eps")
+
+
+@query
+def sweep_counts(s, d):
+    return calibration.metrics_at(labelled(s, d), 2000.0)
+
+
+@query
+def fit_held_out(s, d):
+    docs, labels = read(s, d, "documents"), read(s, d, "labels")
+    rows = labels.join(docs.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("label"))
+    return calibration.fit_threshold(rows, held_out=F.col("doc_id") % 5 == 0)
+
+
+@query
+def rocchio_vector(s, d):
+    c = clips(s, d)
+    q = vectors.rocchio([vector(c, r) for r in (0, 5, 9)], [vector(c, r) for r in (2, 4)], vector(c, 1))
+    return s.createDataFrame([(i, round(x, 6)) for i, x in enumerate(q)], "d int, x double")
+
+
+@query
+def stale_thresholds(s, d):
+    return out(ledger.thresholds_by_project(catalog.tag_versions(read(s, d, "events"))), "tag", "project", "threshold", "version", "stale")
+
+
+@query
+def segment_set_usage(s, d):
+    e = read(s, d, "events").where("event_type = 'view'")
+    uses = e.select(F.get_json_object("props", "$.k").alias("uuid"), F.concat(F.lit("set "), F.col("user_id").cast("string")).alias("name"), "ts", F.col("event_id").alias("n_rows"))
+    return ledger.set_usage(uses)
+
+
+@query
+def dedupe_tags(s, d):
+    e = read(s, d, "events")
+    return ledger.one_per_tag(e.select(F.concat_ws("_", "event_type", (F.col("user_id") % 10).cast("string")).alias("tag"), (F.col("event_id") % 3 == 0).alias("has_vector"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))).select("tag", "id")
+
+
+def export_log(s: SparkSession, d: str) -> DataFrame:
+    """Export log over `events`: two segments each, as JSON."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    seg = lambda x: F.concat(F.lit("s"), x.cast("string"))
+    return read(s, d, "events").where("event_id % 2 = 0").select(
+        F.col("event_id").alias("id"), text.query_key(F.concat(F.lit("  Q "), F.col("event_type"), F.lit("  "))).alias("query"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("user_email"),
+        F.to_json(F.array(seg(k), seg(k + 1))).alias("segment_ids"),
+    )
+
+
+@query
+def feedback_backfill(s, d):
+    log = export_log(s, d).withColumn("segments", F.from_json("segment_ids", "array<string>"))
+    known = log.where("id % 5 = 0").select("query", "user_email", F.explode("segments").alias("segment_id"))
+    return catalog.feedback_backfill(log, known).select("id", "query", "user_email", "segment_id")
+
+
+@query
+def recent_exports(s, d):
+    return export_log(s, d).select("id", "query", F.json_array_length("segment_ids").alias("n_segments")).orderBy(F.col("id").desc()).limit(50)
+
+
+@query
+def segment_set(s, d):
+    return ledger.register_set(exact(clips(s, d)).where("score >= 0.05"))
+
+
+@query
+def list_segment_sets(s, d):
+    e = read(s, d, "events")
+    sets = e.select(F.concat_ws(" ", F.lit("Set"), "event_type", F.col("user_id").cast("string")).alias("name"), F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("string")).alias("uuid"), (F.col("event_id") % 4).alias("version"))
+    return ledger.find_sets(sets, "click 11").select("name", "version", "uuid")
+
+
+@query
+def internal_id_lookup(s, d):
+    c = clips(s, d)
+    return ledger.internal_ids(c, c.where("row % 3 = 0").select("row", (F.col("row") * 7 + 1000).alias("internal_id"))).select("row", "internal_id")
+
+
+@query
+def zipped_internal_ids(s, d):
+    c = ledger.register_set(clips(s, d))
+    n = c.count()
+    return ledger.zipped_ids(c, s.range(n).select((F.col("id") * 3 + 7).alias("internal_id")))
+
+
+@query
+def null_fraction(s, d):
+    return s.createDataFrame([(round(null_rate(clips(s, d), "segment_id"), 6),)], "fraction double")
+
+
+@query
+def corpus_health(s, d):
+    return selection.span(clips(s, d))
+
+
+@query
+def take_rows(s, d):
+    return selection.take(clips(s, d), [30, 2, 11, 2, 10_000_000], "run_uuid")
+
+
+@query
+def rescored_rows(s, d):
+    c = clips(s, d)
+    names = c.where("row % 10 = 3").select("row", exporting.chunk_id().alias("chunk_id"))
+    return out(selection.rescore(c, names, F.round(vectors.dot(F.col("vec"), vectors.literal(vector(c, 0))), 9), exporting.chunk_id()), "row", "chunk_id", "score")
+
+
+@query
+def chunk_id_parse(s, d):
+    name = F.when(F.col("row") % 9 == 0, F.lit("broken#t")).otherwise(exporting.chunk_id())
+    return clips(s, d).select("row", text.chunk_run(name).alias("run"), text.chunk_start(name).alias("start_s"))
+
+
+@query
+def address_parts(s, d):
+    a = F.concat(F.when(F.col("page_id") % 3 == 0, "s3a://bucket-").otherwise("s3://bucket-"), (F.col("page_id") % 4).cast("string"), F.lit("/a/b c/"), F.col("page_id").cast("string"), F.lit(" x.parquet"))
+    return read(s, d, "pages").select("page_id", text.bucket_of(a).alias("bucket"), text.path_of(a).alias("path"), text.uri_key(a).alias("cache_key"))
+
+
+@query
+def score_classes(s, d):
+    c = exact(clips(s, d))
+    return c.groupBy(text.score_class(F.col("score")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def pca_explained_variance(s, d):
+    """No SQL: eigenvectors. Tested against numpy."""
+    b = pca.fit(clips(s, d), 16)
+    return s.createDataFrame([(i, round(float(x), 6), b.effective_rank()) for i, x in enumerate(b.ratio)], "axis int, ratio double, effective_rank int")
+
+
+@query
+def pca_projection(s, d):
+    """No SQL: eigenvectors. The first eight places of each clip along the axes, tested against numpy."""
+    c = clips(s, d)
+    p = pca.project(c, pca.fit(c, 8))
+    return p.select("row", F.transform("projected", lambda x: F.round(x, 5)).alias("projected"))
+
+
+@query
+def real_projection(s, d):
+    c = clips(s, d)
+    scale = vectors.scales(c)
+    sample = atlas.uniform_sample(c, 64).withColumn("i8", vectors.quantise(F.col("vec"), scale))
+    return s.createDataFrame([(pca.real_projection(sample, scale),)], "usable boolean")
+
+
+@query
+def stream_upsert_clips(s, d):
+    """Clips written as a folder of events, some twice, and upserted by a stream; its final state."""
+    base = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='clipsift-stream-')}/stream-{uuid.uuid4().hex}"
+    c = clips(s, d).select(exporting.chunk_id().alias("chunk_id"), "row", F.timestamp_seconds("chunk_start_unix").alias("event_time"))
+    c.unionByName(c.where("row % 4 = 0").withColumn("event_time", F.col("event_time") + F.expr("interval 10 minutes")).withColumn("row", F.col("row") + 1_000_000)).write.parquet(f"{base}/in")
+    ingest.upsert(ingest.read_clips(s, f"{base}/in", "chunk_id string, row long, event_time timestamp"), f"{base}/log", f"{base}/state").awaitTermination()
+    return ingest.current(s, f"{base}/log").select("chunk_id", "row")

@@ -24,7 +24,7 @@ def rows(table):
     return sorted(tuple("%.9g" % v if isinstance(v, float) else str(v) for v in r) for r in table)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracle(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
