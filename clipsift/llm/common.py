@@ -28,8 +28,8 @@ def draw(seed: int, *columns: str) -> Column:
 
 def shared_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder that the cluster names; set one of our own only where none is named (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clipsift-checkpoint-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipsift-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
