@@ -9,8 +9,9 @@ shingle's position in the prefixes leaves too few shingles for a link. The sets
 smallest id, so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
 sets: the first set is compared with all others through lists by shingle, which skip to the sizes that can link. Sets that it
 links need no comparison among themselves. The others follow; a set's overlaps are derived from those of the set before by
-the shingles in which the two differ, where they are similar enough. Meetings of over `slice_rows` sets are cut in slices,
-and each pair of slices is one task. Links become components by stars.
+the shingles in which the two differ, where they are similar enough. Meetings of over `slice_rows` sets are compared with
+their leader in slices; only sets that do not link with it are compared with all slices, a pair of slices in a task. Links
+become components by stars.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from clipsift.llm.common import cut, lean, spread, text_size
 from clipsift.llm.components import components
-from clipsift.llm.textkit import mix, pack_sorted, pieces, planes, rolling, tidy, unpack_sorted, unplanes, words
+from clipsift.llm.textkit import member, mix, pack_sorted, pieces, planes, rolling, tidy, unpack_sorted, unplanes, words
 
 SKETCH_BITS, WORD_BITS, BLOCKS = 20, 16, 16
 _SKETCH = (1 << SKETCH_BITS) + (1 << WORD_BITS)
@@ -246,6 +247,54 @@ def _verify(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
     return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
 
+def _near_leader(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
+    """Of one slice, with its leader's texts as heads: (leader, doc_id, near), whether each row links with its leader."""
+    sets = [np.zeros(0, np.uint64)] * table.num_rows
+    for i, s in shingle_sets(table["text"].combine_chunks(), n):
+        sets[i] = s
+    head = table["head"].to_pylist()
+    leaders = [s for s, h in zip(sets, head, strict=True) if h]
+
+    def links(s: np.ndarray) -> bool:
+        for other in leaders:
+            k = int(member(s, other).sum())
+            if k * den >= (len(s) + len(other) - k) * num:
+                return True
+        return False
+
+    rows = [i for i, h in enumerate(head) if not h]
+    near = [links(sets[i]) for i in rows]
+    tidy()
+    return pa.table({"leader": table["leader"].take(rows), "doc_id": table["doc_id"].take(rows), "near": pa.array(near, pa.bool_())})
+
+
+def _tiles(rows: DataFrame, met: DataFrame, n: int, num: int, den: int, slice_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """((leader, tile_a, tile_b, doc_id) to compare, links found on the way).
+
+    A meeting of up to slice_rows sets is one tile. Of a larger one every set is first compared with its leader's, a slice at a
+    time; sets that link are of one component and need no comparison among themselves. What is left is cut in slices, and
+    each is compared with every slice: a group of copies costs one pass.
+    """
+    zero = F.lit(0).alias
+    large = cut(met.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices")).where("slices > 1"))
+    if large.isEmpty():
+        return met.select("leader", zero("tile_a"), zero("tile_b"), "doc_id"), None
+    place = F.xxhash64("doc_id", F.lit(7))
+    big = met.join(large, "leader").select("leader", "doc_id", F.pmod(place, F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("head"))
+    heads = large.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("head"))
+    told = rows.join(big.unionByName(heads), "doc_id").groupBy("leader", "slice").applyInArrow(lambda t: _near_leader(t, n, num, den), "leader long, doc_id long, near boolean")
+    # Rows that repeat an id are one document: it is linked by any of them, and settled if all are.
+    told = cut(told.groupBy("leader", "doc_id").agg(F.min("near").alias("settled"), F.max("near").alias("near")))
+    n_slices = told.groupBy("leader").agg(F.ceil(F.count_if(~F.col("settled")) / slice_rows).cast("int").alias("open"), F.ceil(F.count_if("settled") / slice_rows).cast("int").alias("closed"))
+    near = told.where(F.col("near") & (F.col("doc_id") != F.col("leader"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+    told = told.join(n_slices.where("open > 0"), "leader")
+    mine = F.when(F.col("settled"), F.col("open") + F.pmod(place, F.greatest("closed", F.lit(1)))).otherwise(F.pmod(place, F.greatest("open", F.lit(1)))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1))
+    cut_up = told.withColumn("_m", mine).withColumn("_o", other).select("leader", F.least("_m", "_o").alias("tile_a"), F.greatest("_m", "_o").alias("tile_b"), "doc_id")
+    small = met.join(large.select("leader"), "leader", "left_anti").select("leader", zero("tile_a"), zero("tile_b"), "doc_id")
+    return small.unionByName(cut_up), near
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, part_rows: int = 1_000_000, slice_rows: int = 4000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of Jaccard >= num / den).
 
@@ -269,16 +318,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     parts = spread(n_bytes // 6 * (den - num) // den, part_rows)
     entries = prefixes.mapInArrow(lambda b: _entries(b, parts), "part int, tokens binary, ids binary, sizes binary, places binary")
     met = cut(entries.groupBy("part").applyInArrow(lambda t: _meet(t, num, den), "leader long, doc_id long").distinct())
-    size = met.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
-    large = size.where("slices > 1")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("slices")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    tiled = met.join(large, "leader", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("_m", mine).withColumn("_o", other)
-    tiled = tiled.select("leader", F.least("_m", "_o").alias("tile_a"), F.greatest("_m", "_o").alias("tile_b"), "doc_id")
+    tiled, near = _tiles(rows, met, n, num, den, slice_rows)
     texts = rows.join(tiled, "doc_id")
     links = texts.groupBy("leader", "tile_a", "tile_b").applyInArrow(lambda t: _verify(t, n, num, den), "u long, v long")
     several = usable.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("doc_id")
     own = usable.join(several, "doc_id").join(first, ["a", "b", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    links = links if near is None else links.unionByName(near)
     found = components(links.unionByName(own)).select(F.col("u").alias("rep"), F.col("v").alias("_least"))
     members = signed.join(first.withColumnRenamed("n", "_n"), ["a", "b"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     return members.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "rep")).alias("component_id"))

@@ -222,6 +222,15 @@ def test_jaccard(spark, docs, texts, n, num):
     for slice_rows in (4000, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, n=n, num=num, slice_rows=slice_rows).collect()}
         assert got == {i: (len(sets[i]), root(i)) for i in sets}
+    # Large meetings where some sets link with the leader by way of others only, and an id repeats.
+    rng = random.Random(num)
+    chain, rows = [f"c{k}" for k in range(120)], []
+    for i in range(30):
+        rows.append((100 + i, " ".join(chain)))
+        chain[4 * i : 4 * i + 4] = [f"d{i}x{k}" for k in range(4)]
+    rows += [(500 + i, rows[rng.randrange(30)][1]) for i in range(20)] + [(600, rows[0][1]), (600, "other words " * 9)]
+    far = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(far, n=n, num=num, slice_rows=3).collect())) == sorted(map(tuple, jaccard.join(far, n=n, num=num).collect()))
     assert jaccard.join(empty(spark)).count() == 0
     odd = spark.createDataFrame([(3, "a b c d"), (2, "a b c d"), (None, "a b c d"), (4, "x y z w"), (3, "x y z w")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join(odd).collect()) == [(0, 0), (2, 2), (3, 2), (3, 2), (4, 2)]
