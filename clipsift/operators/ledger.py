@@ -192,3 +192,17 @@ def zipped_ids(ids: DataFrame, bits: DataFrame) -> DataFrame:
         raise ValueError(f"{a} ids and {b} numbers")
     n = lambda df, c: df.select(c, F.row_number().over(Window.orderBy(c)).alias("_n"))
     return n(ids, "segment_id").join(n(bits, "internal_id"), "_n").select("segment_id", "internal_id")
+
+
+def tag_record(versions: DataFrame) -> DataFrame:
+    """(tag, versions, n): the versions of each tag, the newest first, as text."""
+    newest = F.sort_array(F.collect_list("version"), asc=False)
+    return versions.groupBy("tag").agg(F.array_join(newest.cast("array<string>"), ",").alias("versions"), F.count(F.lit(1)).alias("n"))
+
+
+def backfill(log: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag, threshold, uri, status) of logged exports (id, tag, has_vector, threshold, uri) whose tag is named, has a vector and
+    is not known yet; of one tag the first. A threshold of 0 or less is none; one with a file is ready."""
+    fresh = log.where("tag is not null and tag != '' and has_vector").join(tags.select("tag").distinct(), "tag", "left_anti")
+    first = latest(fresh, ["tag"], [F.col("id").asc()])
+    return first.select("tag", F.when(F.col("threshold") > 0, F.col("threshold")).alias("threshold"), "uri", F.when(F.col("uri") != "", "ready").alias("status"))

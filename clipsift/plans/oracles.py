@@ -198,3 +198,15 @@ x AS (SELECT max(list_max(list_transform(range(1, len(vec) + 1), lambda i: abs(v
 SELECT off >= 0.001 * step AS usable FROM x""",
     "stream_upsert_clips": CLIPS + f""" SELECT {_NAME} AS chunk_id, CASE WHEN "row" % 4 = 0 THEN "row" + 1000000 ELSE "row" END AS "row" FROM clips""",
 }
+
+_REFINED = _ROCCHIO.replace('"row" IN (0, 5, 9)', '"row" % 40 = 0').replace('"row" IN (2, 4)', '"row" % 40 = 20')
+ORACLES |= {
+    "refine_feedback": _REFINED + """, s AS (SELECT "row", round(list_dot_product(vec, q), 9) AS score FROM clips, u2), l AS (SELECT score, CAST("row" % 40 = 0 AS INT) AS label FROM s WHERE "row" % 20 = 0),
+g AS (SELECT score AS tau, sum(label) AS p, sum(1 - label) AS q FROM l GROUP BY score), w AS (SELECT tau, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER () AS ap FROM g WINDOW d AS (ORDER BY tau DESC ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT tau, CAST(tp AS DOUBLE) / (tp + fp) AS p, CAST(tp AS DOUBLE) / ap AS r FROM w), best AS (SELECT round(tau, 4) AS tau FROM c ORDER BY round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 12) DESC, c.tau DESC LIMIT 1)
+SELECT any_value(tau) AS tau, true AS fitted, count(*) FILTER (score >= tau) AS selected, (SELECT count(*) FROM l) AS marked, CAST(1 AS BIGINT) AS unresolved FROM s, best""",
+    "calibrate_filtered": STATS + ", f AS (SELECT count(*) FILTER (score >= 0.05) AS selected, count(*) AS candidates FROM s WHERE vehicle IN ('v0', 'v2')) SELECT st2.*, f.*, CAST(0.05 AS DOUBLE) AS tau FROM st2, f",
+    "tag_record": TAGS + " SELECT tag, string_agg(version, ',' ORDER BY version DESC) AS versions, count(*) AS n FROM v GROUP BY tag",
+    "export_backfill": """WITH log AS (SELECT event_id AS id, CASE WHEN event_id % 6 <> 0 THEN 'u' || user_id END AS tag, event_id % 4 <> 0 AS has_vector, CAST(event_id % 10 - 2 AS DOUBLE) / 10 AS threshold, CASE WHEN event_id % 3 = 0 THEN 'x/' || event_id ELSE '' END AS uri FROM events)
+SELECT tag, round(CASE WHEN threshold > 0 THEN threshold END, 6) AS threshold, uri, CASE WHEN uri <> '' THEN 'ready' END AS status FROM log WHERE tag IS NOT NULL AND has_vector AND tag NOT IN (SELECT tag FROM log WHERE id % 500 = 0 AND tag IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY id) = 1""",
+}

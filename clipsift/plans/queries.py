@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import text
-from clipsift.operators import atlas, calibration, catalog, exporting, ledger, pca, selection, vectors
+from clipsift.operators import atlas, calibration, catalog, exporting, feedback, ledger, pca, selection, vectors
 from clipsift.operators import intervals as iv
 from clipsift.sources.clips import clips, coverage, key_values
 from clipsift.sources.files import null_rate
@@ -561,3 +561,28 @@ def stream_upsert_clips(s, d):
     c.unionByName(c.where("row % 4 = 0").withColumn("event_time", F.col("event_time") + F.expr("interval 10 minutes")).withColumn("row", F.col("row") + 1_000_000)).write.parquet(f"{base}/in")
     ingest.upsert(ingest.read_clips(s, f"{base}/in", "chunk_id string, row long, event_time timestamp"), f"{base}/log", f"{base}/state").awaitTermination()
     return ingest.current(s, f"{base}/log").select("chunk_id", "row")
+
+
+@query
+def refine_feedback(s, d):
+    c = clips(s, d)
+    marks = c.where("row % 20 = 0").select("row", F.when(F.col("row") % 40 == 0, 1).otherwise(0).alias("label")).union(s.createDataFrame([(10_000_000, 1)], "row long, label int"))
+    return feedback.refine(c, marks, vector(c, 1))[1]
+
+
+@query
+def calibrate_filtered(s, d):
+    c = exact(clips(s, d))
+    return feedback.calibrate(c, selection.filtered(c, vehicles=["v0", "v2"]), tau=0.05)
+
+
+@query
+def tag_record(s, d):
+    return ledger.tag_record(catalog.tag_versions(read(s, d, "events")))
+
+
+@query
+def export_backfill(s, d):
+    e = read(s, d, "events")
+    log = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tag"), (F.col("event_id") % 4 != 0).alias("has_vector"), ((F.col("event_id") % 10 - 2) / 10).alias("threshold"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x/"), F.col("event_id").cast("string"))).otherwise("").alias("uri"))
+    return out(ledger.backfill(log, log.where("id % 500 = 0")), "tag", "threshold", "uri", "status")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipsift.functions import text
-from clipsift.operators import calibration, ledger, pca, selection, vectors
+from clipsift.operators import calibration, feedback, ledger, pca, selection, vectors
 from clipsift.plans import queries
 from clipsift.sinks import files as sinks
 from clipsift.sources import files
@@ -187,3 +187,11 @@ def test_rescore_stops_at_another_name(spark):
 def test_fit_needs_both_classes(spark):
     with pytest.raises(ValueError, match="both classes"):
         calibration.fit_threshold(spark.createDataFrame([(0.5, 1)], "score double, label int"))
+
+
+def test_refine_without_bad_marks(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "row long, vec array<float>")
+    (r,) = feedback.refine(df, spark.createDataFrame([(1, 1), (9, 0)], "row long, label int"))[1].collect()
+    assert (r.fitted, r.marked, r.unresolved) == (False, 1, 1)
+    with pytest.raises(ValueError, match="good marks"):
+        feedback.refine(df, spark.createDataFrame([(1, 0)], "row long, label int"))
