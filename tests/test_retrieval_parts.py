@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipsift.functions import text
-from clipsift.operators import calibration, feedback, ledger, pca, selection, vectors
+from clipsift.operators import calibration, encoding, feedback, ledger, pca, selection, vectors
 from clipsift.plans import queries
 from clipsift.sinks import files as sinks
 from clipsift.sources import files
@@ -195,3 +195,16 @@ def test_refine_without_bad_marks(spark):
     assert (r.fitted, r.marked, r.unresolved) == (False, 1, 1)
     with pytest.raises(ValueError, match="good marks"):
         feedback.refine(df, spark.createDataFrame([(1, 0)], "row long, label int"))
+
+
+def test_encoding(spark):
+    df = spark.createDataFrame([(1, "The cat"), (2, "cat the"), (3, None), (4, "dog")], "row long, text string")
+    v = {r.row: np.array(r.vec) for r in encoding.encoded(df, encoding.hashed_words(32)).collect()}
+    assert np.allclose(v[1], v[2])
+    assert np.isclose(v[4] @ v[4], 1)
+    assert not v[3].any()
+    p = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "row long, projected array<double>")
+    assert [tuple(r) for r in encoding.placed(p).collect()] == [(1, [1.0, 2.0])]
+    assert encoding.placed(p, lambda m: m[:, 1:] * 2).first().position == [4.0, 6.0]
+    assert encoding.frames(1) == [0] * 8
+    assert encoding.frames(8) == list(range(8))
