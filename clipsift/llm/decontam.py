@@ -1,9 +1,12 @@
 """Operator 5: benchmark decontamination by pigeonhole edit matching.
 
 Texts are compared in a plain form: A-Z lower-cased, every run of other bytes than letters and digits one blank. An item of
-m bytes has an error budget of e = `rate` * m edits and is split into e + 1 pieces, so any copy within the budget holds
-some piece unchanged. An Aho-Corasick automaton of all pieces finds them in whole documents; where a piece hits, the
-stretch that could hold the item is verified with Myers' bit-parallel edit distance. The scan is map-only.
+m bytes has an error budget of e = `rate` * m edits, rounded down, and is split into e + 1 pieces, however short, so any copy
+within the budget holds some piece unchanged. More than that: going around the pieces in a ring, some unchanged piece is
+followed by runs of any i pieces with at most i edits in all (e edits over e + 1 pieces; the cycle lemma). An Aho-Corasick
+automaton of all pieces finds them in whole documents; where a piece hits, the pieces after it are tried for this, first the
+next one by comparing its halves, then the next `RUN`, and only then the stretch that could hold the item is verified with
+Myers' bit-parallel edit distance. Neither test loses a copy within the budget. The scan is map-only.
 
 The benchmark travels with the tasks in groups of at most `group_bytes` of items; a larger benchmark takes more scans.
 """
@@ -26,8 +29,8 @@ _PLAIN[48:58] = np.arange(48, 58)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
-#: Pieces are not made shorter than this, at the cost of budget for short items.
-LEAST_PIECE = 16
+#: After a piece that hits, so many of the next are tried before the whole item.
+RUN = 4
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, at long"
 
 
@@ -50,7 +53,7 @@ def plain_one(text: str) -> str:
 
 def budget(m: int, rate: float) -> int:
     """Edits allowed for an item of m bytes."""
-    return max(0, min(int(rate * m), m // LEAST_PIECE - 1))
+    return max(0, min(int(rate * m), m - 1))
 
 
 def split(item: str, parts: int) -> list[tuple[int, str]]:
@@ -92,15 +95,35 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = [(i, t, budget(len(t), rate), masks(t)) for i, t in items if t]
-        found: dict[str, list[tuple[int, int]]] = {}
+        # Of each piece: its item, its start there, the halves of the next piece round the ring, and whether it is the last.
+        found: dict[str, list[tuple[int, int, str, str, bool]]] = {}
+        self.runs: dict[tuple[int, int], tuple[int, str, dict[str, int]]] = {}
         for k, (_, t, e, _) in enumerate(self.items):
-            for start, piece in split(t, e + 1):
-                found.setdefault(piece, []).append((k, start))
+            parts = split(t, e + 1)
+            for j, (start, piece) in enumerate(parts):
+                after = parts[(j + 1) % len(parts)][1]
+                found.setdefault(piece, []).append((k, start, after[: len(after) // 2], after[len(after) // 2 :], j == e))
+                run = [p for _, p in parts[j + 1 : j + 1 + RUN]]
+                self.runs[k, start] = (len(run), "".join(run), masks("".join(run)))
         self.tree = ahocorasick.Automaton()
         for piece, places in found.items():
             self.tree.add_word(piece, (len(piece), places))
         self.tree.make_automaton()
 
+    def follows(self, text: str, k: int, start: int, at: int, end: int, last: bool) -> bool:
+        """Whether the pieces after one that hits text[at:end] can be a copy's: i of them with at most i edits."""
+        e = self.items[k][2]
+        if last:
+            if not e:
+                return True
+            # Round the ring: the first pieces, up to e edits off their places.
+            t = self.items[k][1]
+            run = [p for _, p in split(t, e + 1)[: min(RUN, e)]]
+            n, head = len(run), "".join(run)
+            return myers(head, masks(head), text[max(0, at - start - e) : max(0, at - start + e + len(head) + n)])[0] <= n
+        n, run, where = self.runs[k, start]
+        return myers(run, where, text[end : end + len(run) + n])[0] <= n
+
     def search(self, text: str) -> dict[int, tuple[int, int]]:
         """item -> (distance, start of the stretch searched), at its least distance within the budget."""
         out: dict[int, tuple[int, int]] = {}
@@ -108,17 +131,26 @@ class Matcher:
             return out
         tried: dict[int, set[int]] = {}
         for end, (length, places) in self.tree.iter(text):
-            for k, start in places:
+            end += 1
+            for k, start, left, right, last in places:
+                if last:
+                    e, first = self.items[k][2], end - length - start
+                    near = text[max(0, first - e) : max(0, first + e + len(left) + len(right) + 1)]
+                    if left not in near and right not in near:
+                        continue
+                # At most one edit in the next piece: one of its halves is as it was, the right one off by one place at most.
+                elif not text.startswith(left, end) and right not in text[end + len(left) - 1 : end + len(left) + len(right) + 1]:
+                    continue
                 item, t, e, where = self.items[k]
                 if out.get(item, (1, 0))[0] == 0:
                     continue
-                at = end + 1 - length - start
+                at = end - length - start
                 slot = at // (e + 1)
-                if slot in tried.setdefault(k, set()):
+                if slot in tried.setdefault(k, set()) or not self.follows(text, k, start, end - length, end, last):
                     continue
                 tried[k].add(slot)
                 lo = max(0, slot * (e + 1) - e)
-                distance, _ = myers(t, where, text[lo : slot * (e + 1) + len(t) + 2 * e + 1])
+                distance, _ = myers(t, where, text[lo : max(0, slot * (e + 1) + len(t) + 2 * e + 1)])
                 if distance <= e and distance < out.get(item, (e + 1, 0))[0]:
                     out[item] = (distance, lo)
         return out

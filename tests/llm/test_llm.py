@@ -181,6 +181,38 @@ def test_decontamination(spark):
     assert decontam.matches(d.limit(0), b).count() == 0
 
 
+def test_decontamination_allows_the_whole_rate(spark):
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(34))[:233]
+    w = item.split()
+    w[4], w[15], w[26] = "klmnop", "mnopkl", "opklmn"
+    short = "abc defg hij bcd efgh"
+    d = spark.createDataFrame([(1, "x y " + " ".join(w) + " z"), (2, "klm abc defg hxj bcd efgh nop")], "doc_id long, text string")
+    b = spark.createDataFrame([(8, short), (9, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.distance for r in decontam.matches(d, b).collect()} == {(1, 9): 18, (2, 8): 1}
+    assert decontam.screen(d, b).count() == 0
+
+
+def test_matcher_finds_all_within_the_budget():
+    rng = random.Random(5)
+    near = 0
+    for k in range(1500):
+        rate = rng.choice([0.1, 0.2, 0.3])
+        letters = "abcd"[: rng.randint(2, 4)]
+        item = "".join(rng.choices(letters, k=rng.randint(1, 60)))
+        t, e = list(item), decontam.budget(len(item), rate)
+        assert e == int(rate * len(item))
+        for _ in range(rng.randint(0, e + 1)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randint(0, 1)] = rng.choices("abcdz", k=rng.randint(0, 1))
+        text = "".join([*rng.choices("abcdyz", k=rng.randint(0, 30)), *t, *rng.choices("abcdyz", k=rng.randint(0, 30))])
+        best = decontam.myers(item, decontam.masks(item), text)[0]
+        got = {i: d for i, (d, _) in decontam.Matcher([(k, item)], rate).search(text).items()}
+        assert got == ({k: best} if best <= e else {})
+        near += 0 < best <= e
+    assert near > 300
+
+
 def test_substring(spark, docs, texts):
     want, seen = {}, set()
     for i in sorted(texts):
