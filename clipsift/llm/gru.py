@@ -1,9 +1,11 @@
 """Operator 9: language-model scoring by a gated recurrent network with a class-factored softmax.
 
-Word counts of all training documents give the base model, the network's shortlist (the `SLOTS` - 2 most frequent words) and
-the share of each other word. The network is trained in numpy by truncated backpropagation on at most about
-`sample_docs` training documents. A word's class is its rank divided by `CLASS`; the output factors into class and word
-within class; a word outside the shortlist has the chance of the unknown slot times its add-one share among such words.
+Word counts of all training documents give the base model, the network's shortlist of most frequent words, which grows with
+the square root of the vocabulary, and the share of each other word. The network is trained in numpy by truncated
+backpropagation on all training documents: it is begun on a sample of about `sample_docs`, from there shards of about
+`shard_bytes` of text each take it through all of their training documents, and the shards' parameters are averaged by
+their tokens. A word's class is its rank divided by the size of a class; the output factors into class and word within
+class; a word outside the shortlist has the chance of the unknown slot times its add-one share among such words.
 
 Documents are dealt to buckets of about `bucket_bytes` of text. Each sends its distinct words by hash to parts, which
 add the counts up and send totals back, so the vocabulary is never in one place. A bucket then runs its documents
@@ -13,6 +15,7 @@ side by side in lanes; the state is carried through a document, however long, an
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import cut, draw
+from clipsift.llm.common import cut, draw, spread, text_size
 from clipsift.llm.textkit import hashes, pack_sorted, planes, spread_parts, tidy, unpack_sorted, unplanes
 
+#: The least slots of a network, and the words of a class then.
 SLOTS, CLASS, HIDDEN, EMBED = 1024, 32, 24, 16
+#: Parameters sent in a row when they are averaged.
+BLOCK = 1 << 14
 END, UNKNOWN = 0, 1
 _END_HASH = np.uint64(0xE4D0F0D0E4D0F0D1)
 _BITS = np.uint64(48)
@@ -32,6 +38,11 @@ _KEY = np.uint64((1 << 48) - 1)
 COUNTS = "bucket int, part int, words binary, counts binary, n long, v long"
 
 
+def slots_for(v: int, most: int) -> int:
+    """Slots for a vocabulary of v words: a power of 2, at least 16 times its root, within SLOTS and most."""
+    return min(most, max(SLOTS, 1 << (math.isqrt(256 * max(v, 1)) - 1).bit_length()))
+
+
 def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of each row, A-Z folded, each row closed by an end; first token of each row and the end)."""
     h, ptr = hashes(column, lower=True)
@@ -68,9 +79,10 @@ def send_words(table: pa.Table, parts: int) -> pa.Table:
     return _table([(bucket, p, pack_sorted(words[a:b] & _KEY, 6), planes(counts[a:b], 5), None, None) for p, a, b in _cuts(words)])
 
 
-def add_words(table: pa.Table) -> pa.Table:
-    """Of one part: to each bucket the totals of its words, in their order; and with no bucket the part's most frequent words,
-    their counts, all occurrences (n) and distinct words (v)."""
+def add_words(table: pa.Table, parts: int, most_slots: int) -> pa.Table:
+    """Of one part: to each bucket the totals of its words, in their order; and with no bucket the part's most frequent words
+    (four times its share of a shortlist and more: parts are dealt by hash), their counts, all occurrences (n) and distinct
+    words (v)."""
     part, buckets = table["part"][0].as_py(), table["bucket"].to_pylist()
     got = [unpack_sorted(x, 6) for x in table["words"].to_pylist()]
     counts = np.concatenate([unplanes(x, 5) for x in table["counts"].to_pylist()]).astype(np.int64)
@@ -80,7 +92,7 @@ def add_words(table: pa.Table) -> pa.Table:
     out = [(buckets[i], part, None, planes(total[at[a:b]], 5), None, None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
     tidy()
     known = np.flatnonzero(total)
-    top = known[np.lexsort((words[known], -total[known]))][:SLOTS]
+    top = known[np.lexsort((words[known], -total[known]))][: SLOTS + 4 * slots_for(2 * parts * len(known), most_slots) // parts]
     return _table([*out, (None, part, words[top].astype("<u8").tobytes(), total[top].astype("<i8").tobytes(), int(total.sum()), len(known))])
 
 
@@ -98,9 +110,11 @@ class Network:
     p: dict[str, np.ndarray]
 
     @classmethod
-    def start(cls, seed: int = 9) -> Network:
+    def start(cls, seed: int = 9, slots: int = SLOTS) -> Network:
+        """A class has about the root of the slots, CLASS of SLOTS."""
         rng = np.random.default_rng(seed)
-        shape = {"emb": (SLOTS, EMBED), "wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, SLOTS // CLASS), "bc": (SLOTS // CLASS,), "wo": (SLOTS // CLASS, HIDDEN, CLASS), "bo": (SLOTS // CLASS, CLASS)}
+        size = CLASS << ((slots // SLOTS).bit_length() // 2)
+        shape = {"emb": (slots, EMBED), "wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, slots // size), "bc": (slots // size,), "wo": (slots // size, HIDDEN, size), "bo": (slots // size, size)}
         return cls({k: (np.zeros(s) if k[0] == "b" else rng.normal(0, 1 / np.sqrt(s[-2]), s)).astype(np.float32) for k, s in shape.items()})
 
     def inputs(self) -> np.ndarray:
@@ -117,8 +131,9 @@ class Network:
 
     def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of slots y after states h; with grads, adds the output gradients and returns that of h."""
-        c = y // CLASS
         p = self.p
+        classes, _, size = p["wo"].shape
+        c = y // size
         logits = h @ p["wc"] + p["bc"]
         logits -= logits.max(axis=1, keepdims=True)
         e = np.exp(logits)
@@ -133,7 +148,7 @@ class Network:
             grads["bc"] += d.sum(0)
             dh = d @ p["wc"].T
         order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(SLOTS // CLASS + 1))
+        cuts = np.searchsorted(c[order], np.arange(classes + 1))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a == b:
                 continue
@@ -143,7 +158,7 @@ class Network:
             logits -= logits.max(axis=1, keepdims=True)
             e = np.exp(logits)
             s = e.sum(axis=1, keepdims=True)
-            w, rows = y[at] % CLASS, np.arange(b - a)
+            w, rows = y[at] % size, np.arange(b - a)
             out[at] += logits[rows, w] - np.log(s[:, 0])
             if grads is not None:
                 d = e / s
@@ -181,8 +196,9 @@ class Network:
             out[places] = self.losses(np.concatenate(states), ids[places])[0]
         return np.add.reduceat(out, ptr[:-1]) if len(ptr) > 1 else np.zeros(0)
 
-    def fit(self, ids: np.ndarray, ptr: np.ndarray, *, epochs: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.01, seed: int = 3) -> Network:
-        """Adam over windows of `window` steps; the state is carried from window to window, gradients are not."""
+    def fit(self, ids: np.ndarray, ptr: np.ndarray, *, epochs: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.01, fade: float = 1.0, seed: int = 3) -> Network:
+        """Adam over windows of `window` steps; the state is carried from window to window, gradients are not. The rate goes
+        from `rate` to `fade` times it over an epoch."""
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         count = 0
@@ -198,17 +214,18 @@ class Network:
             for t0 in range(0, length, window):
                 steps, grads = [], {k: np.zeros_like(v) for k, v in self.p.items()}
                 xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
-                table = self.inputs()
-                for row in xs:
+                used, at = np.unique(xs, return_inverse=True)
+                at = at.reshape(xs.shape)
+                table = self.p["emb"][used] @ self.p["wx"] + self.p["b"]
+                for row, slot in zip(xs, at, strict=True):
                     h = np.where((row == END)[:, None], 0, h).astype(np.float32)
-                    h2, z, r, n, un = self.step(table[row], h)
+                    h2, z, r, n, un = self.step(table[slot], h)
                     steps.append((h, z, r, n, un))
                     h = h2
-                states = np.concatenate([*[s[0] for s in steps[1:]], h])
                 states = np.concatenate([st for st in (n_ + z_ * (h_ - n_) for h_, z_, r_, n_, u_ in steps)])
                 _, dh_all = self.losses(states, ys.ravel(), grads)
                 dh_all = dh_all.reshape(len(xs), lanes, HIDDEN)
-                dh, g_in = np.zeros((lanes, HIDDEN), np.float32), np.zeros_like(table)
+                dh, every = np.zeros((lanes, HIDDEN), np.float32), np.empty((*xs.shape, 3 * HIDDEN), np.float32)
                 for t in reversed(range(len(xs))):
                     h0, z, r, n, un = steps[t]
                     dh = dh + dh_all[t]
@@ -217,20 +234,64 @@ class Network:
                     inner = gates.copy()
                     inner[:, 2 * HIDDEN :] *= r
                     grads["u"] += h0.T @ inner
-                    np.add.at(g_in, xs[t], gates)
+                    every[t] = gates
                     dh = (dh * z + inner @ self.p["u"].T) * (xs[t] != END)[:, None]
-                grads["emb"] += g_in @ self.p["wx"].T
-                grads["wx"] += self.p["emb"].T @ g_in
+                by_slot = np.argsort(at, axis=None, kind="stable")
+                g_in = np.add.reduceat(every.reshape(-1, 3 * HIDDEN)[by_slot], np.searchsorted(at.ravel()[by_slot], np.arange(len(used))))
+                grads["emb"][used] = g_in @ self.p["wx"].T
+                grads["wx"] += self.p["emb"][used].T @ g_in
                 grads["b"] += g_in.sum(0)
                 count += 1
+                now = rate * (1 - (1 - fade) * t0 / length)
                 for k, v in self.p.items():
-                    g = np.clip(grads[k] / lanes, -1, 1)
+                    g = grads[k]
+                    g /= lanes
+                    np.clip(g, -1, 1, out=g)
                     m1, m2 = moments[k]
-                    m1 += 0.1 * (g - m1)
-                    m2 += 0.01 * (g * g - m2)
-                    v -= (rate * (m1 / (1 - 0.9**count)) / (np.sqrt(m2 / (1 - 0.99**count)) + 1e-6)).astype(np.float32)
+                    m1 *= 0.9
+                    m1 += 0.1 * g
+                    m2 *= 0.99
+                    g *= g
+                    g *= 0.01
+                    m2 += g
+                    np.divide(m2, 1 - 0.99**count, out=g)
+                    np.sqrt(g, out=g)
+                    g += 1e-6
+                    np.divide(m1, g, out=g)
+                    g *= now / (1 - 0.9**count)
+                    v -= g
         return self
 
+    def flat(self) -> np.ndarray:
+        """All parameters in a row."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def filled(self, flat: np.ndarray) -> Network:
+        """A network of this shape with other parameters."""
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        return Network({k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(self.p.items(), np.split(flat, cuts), strict=True)})
+
+
+def learn(table: pa.Table, network: Network) -> pa.Table:
+    """Of one shard: the network after all its documents, in blocks of parameters, and its tokens as their weight."""
+    rows = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in table.to_pylist())
+    ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in rows]
+    n = sum(len(x) for x in ids)
+    net = network.filled(network.flat())
+    net.fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]), epochs=1, lanes=min(256, max(32, n // 4096)), rate=0.005, fade=0.1)
+    flat, shard = net.flat(), table["shard"][0].as_py()
+    tidy()
+    blocks = [flat[a : a + BLOCK].astype("<f4").tobytes() for a in range(0, len(flat), BLOCK)]
+    return pa.table([pa.array(range(len(blocks)), pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "shard", "n", "value"])
+
+
+def mean_block(table: pa.Table) -> pa.Table:
+    """Of one block: its mean over the shards, weighted by tokens."""
+    total, weight = 0.0, 0
+    for _, n, x in sorted(zip(*(table[c].to_pylist() for c in ("shard", "n", "value")), strict=True)):
+        total, weight = total + n * np.frombuffer(x, "<f4").astype(np.float64), weight + n
+    return pa.table([table["block"][:1], pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], names=["block", "value"])
+
 
 def dealt(size: np.ndarray, lanes: int) -> tuple[list[list[int]], np.ndarray]:
     """Documents of each lane, longest first to the shortest lane; the lanes' lengths."""
@@ -291,13 +352,13 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float
 def _slots(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, ptr = tokens(batch.column("text"))
-        ids = scorer.ids(keyed(h, scorer.parts)).astype("<u2")
+        ids = scorer.ids(keyed(h, scorer.parts)).astype("<u4")
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, bucket_bytes: int = 8 << 20, part_rows: int = 2_000_000) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), learning from the
-    documents where `train` holds.
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, bucket_bytes: int = 8 << 20, part_rows: int = 2_000_000, shard_bytes: int = 24 << 20, most_slots: int = 1 << 18) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), learning from all
+    documents where `train` holds. A network of most_slots slots has 43 MB of parameters.
 
     Null texts are empty and hold the end token only. Without training documents all tokens are unknown and the network
     is untrained. Rows that repeat an id are scored each. Empty tables give no rows; other columns are ignored.
@@ -305,24 +366,33 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     buckets, parts = spread_parts(rows, bucket_bytes, part_rows)
     dealt_rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text", "train")
-    sums = cut(dealt_rows.groupBy("bucket").applyInArrow(lambda t: send_words(t, parts), COUNTS).groupBy("part").applyInArrow(add_words, COUNTS))
+    sums = cut(dealt_rows.groupBy("bucket").applyInArrow(lambda t: send_words(t, parts), COUNTS).groupBy("part").applyInArrow(lambda t: add_words(t, parts, most_slots), COUNTS))
     top = sums.where("bucket is null")
     seen = top.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    best = top.mapInArrow(_top_rows, "key long, c long").orderBy(F.col("c").desc(), "key").limit(SLOTS - 2).collect()
+    n, v = seen["n"] or 0, seen["v"] or 0
+    n_slots = slots_for(v, most_slots)
+    best = top.mapInArrow(_top_rows, "key long, c long").orderBy(F.col("c").desc(), "key").limit(n_slots - 2).collect()
     end = int(keyed(np.array([_END_HASH]), parts)[0])
     listed = [(int(np.int64(r["key"]).view(np.uint64)), r["c"]) for r in best]
     listed = [x for x in listed if x[0] != end]
     keys = np.array([end, *[k for k, _ in listed]], np.uint64)
     order = np.argsort(keys)
     slots = np.array([END, *range(2, len(listed) + 2)])[order]
-    n, v = seen["n"] or 0, seen["v"] or 0
     ends = sum(r["c"] for r in best) - sum(c for _, c in listed)
-    scorer = Scorer(keys[order], slots, n, v, n - sum(c for _, c in listed) - ends, v - len(listed) - (ends > 0), parts, Network.start())
-    n_train = rows.where("train").count()
-    chosen = rows.where("train").where(draw(4, "doc_id") < min(1.0, sample_docs / max(1, n_train)))
-    sample = sorted((r["doc_id"] or -1, r["ids"]) for r in chosen.mapInArrow(lambda b: _slots(b, scorer), "doc_id long, ids binary").collect())
+    scorer = Scorer(keys[order], slots, n, v, n - sum(c for _, c in listed) - ends, v - len(listed) - (ends > 0), parts, Network.start(slots=n_slots))
+    known = rows.where("train")
+    n_train, n_bytes = text_size(known)
+    coded = lambda x: x.mapInArrow(lambda b: _slots(b, scorer), "doc_id long, ids binary")
+    chosen = known.where(draw(4, "doc_id") < min(1.0, sample_docs / max(1, n_train)))
+    sample = sorted((r["doc_id"] or -1, r["ids"]) for r in coded(chosen).collect())
+    network = scorer.network
     if sample:
-        ids = [np.frombuffer(x, "<u2").astype(np.int64) for _, x in sample]
-        scorer.network.fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]))
+        ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in sample]
+        network = network.filled(network.flat()).fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]))
+    if n_train:
+        shard = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(spread(n_bytes, shard_bytes))).cast("int").alias("shard")
+        learnt = coded(known).select("*", shard).groupBy("shard").applyInArrow(lambda t: learn(t, network), "block int, shard int, n long, value binary")
+        blocks = sorted(learnt.groupBy("block").applyInArrow(mean_block, "block int, value binary").collect())
+        scorer.network = network.filled(np.concatenate([np.frombuffer(r["value"], "<f4") for r in blocks]))
     back = sums.where("bucket is not null").select("bucket", "part", "counts")
     return dealt_rows.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda a, b: scorer.score(a, b), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
