@@ -2,7 +2,9 @@
 
 Patterns give the base spans: assignments to secret-like names, access keys and long hexadecimal runs. Two first-order
 Markov models of characters, one of random strings and one of ordinary identifiers, are trained from labelled samples and
-compared by log-likelihood ratio; a run of key characters that holds a letter and a digit and reads as random adds a span.
+compared by log-likelihood ratio; a run of `LEAST_RUN` or more key characters that reads as random adds a span, and so does,
+in a run that does not, each part of as many characters between / - _ = that does. Not scored are shorter ones, those
+without a letter (ordinary numbers, such as card numbers, are no identifiers), and joined ones without a digit.
 
 The scan is map-only and sees whole texts. A vectorised test over the bytes finds the few documents with a long run, an
 equals sign or a colon; only those are searched by expressions. Places count code points.
@@ -28,9 +30,10 @@ from clipsift.llm.textkit import pieces, tidy
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
-LEAST_VALUE, LEAST_ACCESS, LEAST_RUN = 8, 16, 20
+LEAST_VALUE, LEAST_ACCESS, LEAST_RUN = 8, 16, 16
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+PART = re.compile(rf"[A-Za-z0-9+]{{{LEAST_RUN},}}")
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[[ord(c) for c in ALPHABET]] = True
 _INDEX = {c: i for i, c in enumerate(ALPHABET)}
@@ -86,12 +89,18 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def model_spans(text: str, model: RandomnessModel, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """Runs that read as random and touch no base span."""
+    """Runs that read as random, or else their parts that do, where they touch no base span."""
+
+    def secret(a: int, b: int) -> bool:
+        s = text[a:b]
+        if not re.search("[A-Za-z]", s) or not (re.search("[0-9]", s) or s.isalpha()):
+            return False
+        return not any(x < b and a < y for x, y, _, _ in base) and model.mean(s) > model.threshold
+
     out = []
     for m in RUN.finditer(text):
-        s = m.group()
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(a < m.end() and m.start() < b for a, b, _, _ in base) and model.mean(s) > model.threshold:
-            out.append((m.start(), m.end(), "markov", m.start()))
+        places = [m.span()] if secret(*m.span()) else [p.span() for p in PART.finditer(text, *m.span()) if p.span() != m.span() and secret(*p.span())]
+        out += [(a, b, "markov", a) for a, b in places]
     return out
 
 

@@ -371,6 +371,18 @@ def test_secrets(spark):
     assert got[7].spans == "assign:0:18"
 
 
+def test_secrets_from_16_characters_and_in_parts():
+    model = secrets.train(["ordinary", "identifier", "words", "plain", "here_and_there"] * 50)
+    spans = lambda t: secrets.written(secrets.model_spans(t, model, secrets.base_spans(t)))
+    assert spans("k: q9Zt7LmX2vB8nR4w") == "markov:3:19"
+    assert spans("k: q9Zt7LmX2vB8nR4") == ""
+    assert spans("qJZtKLmXWvBPnRQwYx") == "markov:0:18"
+    assert spans("n 9807915762804490") == ""
+    path = "ordinary/identifier/words/plain/here_and_there/" * 40
+    model = secrets.train(["ordinary/identifier/words/plain/here_and_there/ordinary"] * 50)
+    assert spans(f"{path}q9Zt7LmX2vB8nR4wY6 {path}") == f"markov:{len(path)}:{len(path) + 18}"
+
+
 def test_pipeline_by_stages(spark, tmp_path):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(500)]
