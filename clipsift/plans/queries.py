@@ -492,7 +492,7 @@ def zipped_internal_ids(s, d):
 
 @query
 def null_fraction(s, d):
-    return s.createDataFrame([(round(null_rate(clips(s, d), "segment_id"), 6),)], "fraction double")
+    return s.createDataFrame([(round(null_rate(clips(s, d), "segment_id", rows=None), 6),)], "fraction double")
 
 
 @query

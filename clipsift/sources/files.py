@@ -96,9 +96,11 @@ def latest_version(spark: SparkSession, path: str, name: str = "version") -> int
     return max((int(v) for k, _, v in found if k == name and v.isdigit()), default=None)
 
 
-def null_rate(df: DataFrame, column: str, rows: int = 200_000) -> float | None:
-    """Share of nulls over at most `rows` rows, a quick look; None if there is no such column."""
-    return df.select(column).limit(rows).agg(F.avg(F.col(column).isNull().cast("double"))).first()[0] if column in df.columns else None
+def null_rate(df: DataFrame, column: str, rows: int | None = 200_000) -> float | None:
+    """Share of nulls over at most `rows` rows, a quick look, or over all if that is None; None if there is no such column."""
+    if rows is not None:
+        df = df.limit(rows)
+    return df.agg(F.avg(F.col(column).isNull().cast("double"))).first()[0] if column in df.columns else None
 
 
 def validate(df: DataFrame, kinds: dict[str, str]) -> None:

@@ -208,3 +208,9 @@ def test_encoding(spark):
     assert encoding.placed(p, lambda m: m[:, 1:] * 2).first().position == [4.0, 6.0]
     assert encoding.frames(1) == [0] * 8
     assert encoding.frames(8) == list(range(8))
+
+
+def test_null_fraction_takes_all_rows(spark, monkeypatch):
+    df = spark.range(300_000).selectExpr("if(id >= 200000, null, 'a') as segment_id")
+    monkeypatch.setattr(queries, "clips", lambda s, d: df)
+    assert queries.QUERIES["null_fraction"](spark, "").first()["fraction"] == 0.333333
