@@ -169,32 +169,74 @@ class Network:
         return out, dh
 
     def score(self, ids: np.ndarray, ptr: np.ndarray, lanes: int = 256, window: int = 64) -> np.ndarray:
-        """Natural log probability of each document of slots ids[ptr[i]:ptr[i + 1]], the state starting anew in each."""
-        lane, size = dealt(np.diff(ptr), lanes)
-        order = np.argsort(-size, kind="stable")
-        size, starts = size[order], np.zeros((int(size.max(initial=0)) + 1, len(order)), bool)
-        grid = np.full((len(starts), len(order)), -1, np.int64)
-        for j, k in enumerate(order):
-            at = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in lane[k]]) if lane[k] else np.zeros(0, np.int64)
-            grid[: len(at), j] = at
-            starts[np.cumsum([0, *[ptr[i + 1] - ptr[i] for i in lane[k]]])[:-1], j] = True
-        table, out = self.inputs(), np.zeros(len(ids), np.float64)
-        h = np.zeros((len(order), HIDDEN), np.float32)
-        last = np.full(len(order), END, np.int64)
-        for t0 in range(0, int(size.max(initial=0)), window):
+        """Natural log probability of each document of slots ids[ptr[i]:ptr[i + 1]], the state starting anew in each. Documents
+        of a lane are laid out one after another, so that a window of steps is a slice of every lane; memory is that of the
+        tokens, however long a document."""
+        docs = len(ptr) - 1
+        if not docs:
+            return np.zeros(0)
+        lane, size = dealt(np.diff(ptr), min(lanes, docs))
+        lane = [lane[k] for k in np.argsort(-size, kind="stable")]
+        size = -np.sort(-size)
+        order = np.array([i for of in lane for i in of])
+        length = np.diff(ptr)[order]
+        first = np.cumsum([0, *length])  # of each document, in the order of the lanes
+        laid = np.concatenate([ids[ptr[i] : ptr[i + 1]] for i in order])
+        begin = np.cumsum([0, *size])[:-1]  # of each lane
+        starts = np.zeros(len(laid) + 1, bool)
+        starts[first] = True
+        table, out = self.inputs(), np.zeros(len(laid), np.float64)
+        h = np.zeros((len(lane), HIDDEN), np.float32)
+        for t0 in range(0, int(size[0]), window):
             states, places = [], []
             for t in range(t0, min(t0 + window, int(size[0]))):
                 n = int(np.searchsorted(-size, -t, side="left"))
-                new = starts[t, :n]
+                at = begin[:n] + t
+                new = starts[at]
                 h[:n][new] = 0
-                h[:n] = self.step(table[np.where(new, END, last[:n])], h[:n])[0]
-                at = grid[t, :n]
+                h[:n] = self.step(table[np.where(new, END, laid[at - 1])], h[:n])[0]
                 states.append(h[:n].copy())
                 places.append(at)
-                last[:n] = ids[at]
-            places = np.concatenate(places)
-            out[places] = self.losses(np.concatenate(states), ids[places])[0]
-        return np.add.reduceat(out, ptr[:-1]) if len(ptr) > 1 else np.zeros(0)
+            at = np.concatenate(places)
+            out[at] = self.losses(np.concatenate(states), laid[at])[0]
+        scores = np.empty(docs)
+        scores[order] = np.add.reduceat(out, first[:-1])
+        return scores
+
+    def backward(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradients of the summed loss of a window of slots xs, each predicting ys, by truncated backpropagation; the last
+        state). The state starts from h, and anew after an end."""
+        kind = h.dtype
+        lanes = len(h)
+        steps, grads = [], {k: np.zeros_like(v) for k, v in self.p.items()}
+        used, at = np.unique(xs, return_inverse=True)
+        at = at.reshape(xs.shape)
+        table = self.p["emb"][used] @ self.p["wx"] + self.p["b"]
+        for row, slot in zip(xs, at, strict=True):
+            h = np.where((row == END)[:, None], 0, h).astype(kind)
+            h2, z, r, n, un = self.step(table[slot], h)
+            steps.append((h, z, r, n, un))
+            h = h2
+        states = np.concatenate([n_ + z_ * (h_ - n_) for h_, z_, r_, n_, u_ in steps])
+        _, dh_all = self.losses(states, ys.ravel(), grads)
+        dh_all = dh_all.reshape(len(xs), lanes, HIDDEN)
+        dh, every = np.zeros((lanes, HIDDEN), kind), np.empty((*xs.shape, 3 * HIDDEN), kind)
+        for t in reversed(range(len(xs))):
+            h0, z, r, n, un = steps[t]
+            dh = dh + dh_all[t]
+            dn = dh * (1 - z) * (1 - n * n)
+            gates = np.concatenate([dh * (h0 - n) * z * (1 - z), dn * un * r * (1 - r), dn], axis=1)
+            inner = gates.copy()
+            inner[:, 2 * HIDDEN :] *= r
+            grads["u"] += h0.T @ inner
+            every[t] = gates
+            dh = (dh * z + inner @ self.p["u"].T) * (xs[t] != END)[:, None]
+        by_slot = np.argsort(at, axis=None, kind="stable")
+        g_in = np.add.reduceat(every.reshape(-1, 3 * HIDDEN)[by_slot], np.searchsorted(at.ravel()[by_slot], np.arange(len(used))))
+        grads["emb"][used] = g_in @ self.p["wx"].T
+        grads["wx"] += self.p["emb"][used].T @ g_in
+        grads["b"] += g_in.sum(0)
+        return grads, h
 
     def fit(self, ids: np.ndarray, ptr: np.ndarray, *, epochs: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.01, fade: float = 1.0, seed: int = 3) -> Network:
         """Adam over windows of `window` steps; the state is carried from window to window, gradients are not. The rate goes
@@ -212,35 +254,7 @@ class Network:
             x = np.vstack([np.full((1, lanes), END), y[:-1]])
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t0 in range(0, length, window):
-                steps, grads = [], {k: np.zeros_like(v) for k, v in self.p.items()}
-                xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
-                used, at = np.unique(xs, return_inverse=True)
-                at = at.reshape(xs.shape)
-                table = self.p["emb"][used] @ self.p["wx"] + self.p["b"]
-                for row, slot in zip(xs, at, strict=True):
-                    h = np.where((row == END)[:, None], 0, h).astype(np.float32)
-                    h2, z, r, n, un = self.step(table[slot], h)
-                    steps.append((h, z, r, n, un))
-                    h = h2
-                states = np.concatenate([st for st in (n_ + z_ * (h_ - n_) for h_, z_, r_, n_, u_ in steps)])
-                _, dh_all = self.losses(states, ys.ravel(), grads)
-                dh_all = dh_all.reshape(len(xs), lanes, HIDDEN)
-                dh, every = np.zeros((lanes, HIDDEN), np.float32), np.empty((*xs.shape, 3 * HIDDEN), np.float32)
-                for t in reversed(range(len(xs))):
-                    h0, z, r, n, un = steps[t]
-                    dh = dh + dh_all[t]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    gates = np.concatenate([dh * (h0 - n) * z * (1 - z), dn * un * r * (1 - r), dn], axis=1)
-                    inner = gates.copy()
-                    inner[:, 2 * HIDDEN :] *= r
-                    grads["u"] += h0.T @ inner
-                    every[t] = gates
-                    dh = (dh * z + inner @ self.p["u"].T) * (xs[t] != END)[:, None]
-                by_slot = np.argsort(at, axis=None, kind="stable")
-                g_in = np.add.reduceat(every.reshape(-1, 3 * HIDDEN)[by_slot], np.searchsorted(at.ravel()[by_slot], np.arange(len(used))))
-                grads["emb"][used] = g_in @ self.p["wx"].T
-                grads["wx"] += self.p["emb"][used].T @ g_in
-                grads["b"] += g_in.sum(0)
+                grads, h = self.backward(x[t0 : t0 + window], y[t0 : t0 + window], h)
                 count += 1
                 now = rate * (1 - (1 - fade) * t0 / length)
                 for k, v in self.p.items():
@@ -360,8 +374,9 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), learning from all
     documents where `train` holds. A network of most_slots slots has 43 MB of parameters.
 
-    Null texts are empty and hold the end token only. Without training documents all tokens are unknown and the network
-    is untrained. Rows that repeat an id are scored each. Empty tables give no rows; other columns are ignored.
+    Null texts are empty and hold the end token only. A text of any length is scored whole, its state carried throughout.
+    Without training documents all tokens are unknown and the network is untrained. Rows that repeat an id are scored each;
+    ids are whole numbers or null. Empty tables give no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     buckets, parts = spread_parts(rows, bucket_bytes, part_rows)
