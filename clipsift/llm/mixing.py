@@ -49,24 +49,39 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
 
 
 def sainte_lague(units: DataFrame, group: Sequence[str], votes: str, seats: str, cap: str, key: Sequence[str], out: str) -> DataFrame:
-    """Add `out`: of the group's `seats`, those of each unit by highest quotients votes / (2 k + 1), at most `cap` each.
+    """Add `out`: of the group's `seats`, those of each unit by highest quotients votes / (2 k + 1), at most `cap` each; what a
+    cap keeps from a unit goes to the others, until every unit with votes is at its cap.
 
-    At the divisor votes-per-seat rounding gives all but m / 2 seats of m units; the true divisor is near enough that a
-    unit's seats differ by at most 1.5 m times its share of the votes, plus 2. Only quotients in that span are made rows
-    and ranked (under 10 m in all); those before it are won anyway. Ties go to the lower key.
+    Shares at which all seats are dealt, none above its cap, follow by water filling in the order of cap / votes. Rounding
+    them misses the seats by at most half a seat a unit, and all units move the same way from there to the true quotas: so
+    those of m units differ by at most 1.5 m times the unit's part of the votes below their caps, 1.5 m in all, plus 2. Only
+    quotients in that span are made rows and ranked; those before it are won anyway. Ties go to the lower key.
     """
     whole = Window.partitionBy(*group)
-    total, m = F.sum(votes).over(whole), F.count(F.lit(1)).over(whole)
+    by_ratio = Window.partitionBy(*group).orderBy("_ratio", *key)
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    m, zero = F.count(F.lit(1)).over(whole), F.lit(0.0)
+    voted = units.withColumn("_v", F.greatest(F.coalesce(F.col(votes).cast("double"), zero), zero))
+    voted = voted.withColumn("_c", F.when(F.col("_v") > 0, F.col(cap).cast("double")).otherwise(zero))
+    voted = voted.withColumn("_ratio", F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).otherwise(F.lit(float("inf"))))
+    # The level of seats a vote if this unit is the first that no cap holds.
+    left = F.col(seats) - F.coalesce(F.sum("_c").over(before), zero)
+    below = F.sum("_v").over(whole) - F.coalesce(F.sum("_v").over(before), zero)
+    voted = voted.withColumn("_level", F.when((F.col("_v") > 0) & (below > 0), left / below)).withColumn("_below", below)
+    free = F.col("_ratio") > F.col("_level")
+    voted = voted.withColumn("_first", F.min(F.when(free, F.struct("_ratio", "_level", "_below"))).over(whole))
+    share = F.when(F.col("_first").isNotNull(), F.least(F.col("_c"), F.col("_v") * F.greatest(F.col("_first._level"), zero)))
+    span = F.least(F.lit(1.5) * m * F.col("_v") / F.col("_first._below"), F.lit(1.5) * m)
     spanned = (
-        units.withColumn("_v", F.col(votes).cast("double"))
-        .withColumn("_all", total.cast("double"))
-        .withColumn("_span", F.when(F.col("_all") > 0, F.ceil(F.lit(1.5) * m * F.col("_v") / F.col("_all")) + 2).otherwise(F.lit(0)).cast("long"))
-        .withColumn("_sure", F.when(F.col("_all") > 0, F.floor(F.col("_v") * F.col(seats) / F.col("_all") + 0.5)).otherwise(F.lit(0)).cast("long"))
-        .withColumn("_sure", F.least(F.greatest(F.col("_sure") - F.col("_span"), F.lit(0).cast("long")), F.col(cap)))
-        .withColumn("_last", F.least(F.col("_sure") + 2 * F.col("_span"), F.col(cap) - 1))
+        voted.withColumn("_share", F.coalesce(share, F.col("_c")))
+        .withColumn("_span", F.when(F.col("_first").isNotNull(), F.ceil(span) + 2).otherwise(F.lit(0)).cast("long"))
+        .withColumn("_sure", F.greatest(F.floor(F.col("_share") + 0.5).cast("long") - F.col("_span"), F.lit(0).cast("long")))
+        # Beyond its cap by the span: a unit that keeps all its seats.
+        .withColumn("_sure", F.when(F.col("_v") * F.col("_first._level") - F.col("_span") >= F.col("_c"), F.col("_c").cast("long")).otherwise(F.least(F.col("_sure"), F.col("_c").cast("long"))))
+        .withColumn("_last", F.least(F.col("_sure") + 2 * F.col("_span"), F.col("_c").cast("long") - 1))
         .withColumn("_need", F.col(seats) - F.sum("_sure").over(whole))
     )
-    asked = spanned.withColumn("_k", F.explode_outer(F.when((F.col("_last") >= F.col("_sure")) & (F.col("_all") > 0), F.sequence("_sure", "_last"))))
+    asked = spanned.withColumn("_k", F.explode_outer(F.when((F.col("_last") >= F.col("_sure")) & (F.col("_v") > 0), F.sequence("_sure", "_last"))))
     order = Window.partitionBy(*group).orderBy(F.col("_q").desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in key], "_k")
     won = asked.withColumn("_q", F.col("_v") / (2 * F.col("_k") + 1)).withColumn("_won", F.row_number().over(order) <= F.col("_need"))
     keep = [c for c in units.columns]
@@ -90,9 +105,12 @@ def mix(
     counted), shard, quota (blocks of its shard).
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own, after the others. Rows
-    that repeat an id are dealt as documents of their own; rows equal in id and size are interchangeable. An empty table
-    gives no rows. `most` must be a whole number for a document never to exceed it. Other columns are ignored.
+    that repeat an id are dealt as documents of their own; rows equal in id and size are interchangeable. Texts of any
+    length count whole. An empty table gives no rows. `most` is a whole number, as documents are repeated by whole blocks;
+    others are refused. Other columns, whatever their names, are ignored.
     """
+    if most != int(most) or most < 1:
+        raise ValueError("most is not a whole number")
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
     block = F.lit(block_words).cast("long")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
