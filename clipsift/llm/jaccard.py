@@ -4,13 +4,14 @@ Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets, tol
 one. Shingles are ordered rarest first by counting sketches of words and of shingles over all documents (2**SKETCH_BITS
 and 2**WORD_BITS counters, a fixed size): frequent passages and chance phrases of frequent words fall to the end. A set's prefix - as many as it may miss of a partner, and one more - is indexed.
 
-An index list is ordered by set size and skipped in blocks: where neighbouring sizes are too far apart, and where the
-shingle's position in the prefixes leaves too few shingles for a link. The sets of a stretch that remains meet at their
-smallest id, so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
+An index list is ordered by set size and skipped in blocks by position: what a set has left from the shingle on bounds the
+sizes that it can link with (its reach). Sets that reach nothing in the list leave it, and it is cut wherever no set before
+reaches the next size; short stretches are cut by every pair. The sets of a stretch that remains meet at their smallest id,
+so a list of k gives k rows, not k**2. Where sets meet, links are verified over whole
 sets: the first set is compared with all others through lists by shingle, which skip to the sizes that can link. Sets that it
 links need no comparison among themselves. The others follow; a set's overlaps are derived from those of the set before by
-the shingles in which the two differ, where they are similar enough. Meetings of over `slice_rows` sets are compared with
-their leader in slices; only sets that do not link with it are compared with all slices, a pair of slices in a task. Links
+the shingles in which the two differ, where they are similar enough. Meetings of over `slice_rows` sets or `slice_shingles`
+shingles are compared with their leader in slices; only sets that do not link with it are compared with all slices, a pair of slices in a task. Links
 become components by stars.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import cut, lean, spread, text_size
+from clipsift.llm.common import cut, spread, text_size
 from clipsift.llm.components import components
 from clipsift.llm.textkit import member, mix, pack_sorted, pieces, planes, rolling, tidy, unpack_sorted, unplanes, words
 
@@ -125,10 +126,27 @@ def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "tokens", "ids", "sizes", "places"])
 
 
-#: Lists up to this length are cut by every pair of their members, longer ones by neighbours in size.
+#: Stretches up to this length, after cuts by position, are cut further by every pair of their members.
 SHORT = 64
 
 
+def reach(size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Largest size that a set can link with when both have the shingle, no other before it, and it is at this place in the
+    set's order: the overlap, at most size - place, must be num / (num + den) of both sizes."""
+    return (size - place) * (num + den) // num - size
+
+
+def stretches(token: np.ndarray, size: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """First entries of the stretches of lists (token, then size ascending): a new one where no set before in the list
+    reaches the next size."""
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    top = int(max(far.max(initial=0), size.max(initial=0))) + 1
+    number = np.cumsum(new) - 1
+    so_far = np.maximum.accumulate(np.maximum(far, 0) + number * top) - number * top
+    new[1:] |= size[1:] > so_far[:-1]
+    return np.flatnonzero(new)
+
+
 def _short_lists(ids: np.ndarray, size: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
     """(lists, k) members by size: of each member, the smallest id connected through pairs that sizes and positions allow."""
     rest = size - place
@@ -144,14 +162,21 @@ def _short_lists(ids: np.ndarray, size: np.ndarray, place: np.ndarray, num: int,
 
 
 def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Of one part: (leader, doc_id) where ids of a stretch of an index list meet at their smallest, itself included."""
+    """Of one part: (leader, doc_id, n) where ids of a stretch of an index list meet at their smallest, itself included."""
     token = np.concatenate([unplanes(x, 5) for x in table["tokens"].to_pylist()])
     ids = np.concatenate([unpack_sorted(x, 8) for x in table["ids"].to_pylist()]).view(np.int64)
     size = np.concatenate([unplanes(x, 4, "<u4") for x in table["sizes"].to_pylist()]).astype(np.int64)
     place = np.concatenate([unplanes(x, 4, "<u4") for x in table["places"].to_pylist()]).astype(np.int64)
     order = np.lexsort((size, token))
     token, ids, size, place = token[order], ids[order], size[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (size[:-1] * den < size[1:] * num)]))
+    far = reach(size, place, num, den)
+    least = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    least = np.repeat(size[least], np.diff(np.concatenate([least, [len(token)]])))
+    able = far >= least  # the others reach nothing in their list
+    token, ids, size, place, far = token[able], ids[able], size[able], place[able], far[able]
+    if not len(token):
+        return pa.table({"leader": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    first = stretches(token, size, far)
     length = np.diff(np.concatenate([first, [len(token)]]))
     leader = np.repeat(np.minimum.reduceat(ids, first), length)
     for k in np.unique(length[(length > 1) & (length <= SHORT)]):
@@ -161,13 +186,14 @@ def _meet(table: pa.Table, num: int, den: int) -> pa.Table:
             at = starts[lo : lo + step, None] + np.arange(k)
             leader[at] = _short_lists(ids[at], size[at], place[at], num, den)
     # A leader counts where somebody else follows it in the same list.
-    stretch = np.repeat(np.arange(len(first)), length)
     follows = leader != ids
-    led = np.unique(np.stack([stretch[follows], leader[follows]], axis=1), axis=0)
-    pairs = np.concatenate([np.stack([leader[follows], ids[follows]], axis=1), np.stack([led[:, 1], led[:, 1]], axis=1)])
+    led = np.unique(leader[follows])
+    by_id = np.argsort(ids, kind="stable")
+    led_size = size[by_id[np.searchsorted(ids, led, sorter=by_id)]]
+    pairs = np.concatenate([np.stack([leader[follows], ids[follows], size[follows]], axis=1), np.stack([led, led, led_size], axis=1)])
     pairs = np.unique(pairs, axis=0)
     tidy()
-    return pa.table({"leader": pa.array(pairs[:, 0]), "doc_id": pa.array(pairs[:, 1])})
+    return pa.table({"leader": pa.array(pairs[:, 0]), "doc_id": pa.array(pairs[:, 1]), "n": pa.array(pairs[:, 2])})
 
 
 class Meeting:
@@ -196,17 +222,16 @@ class Meeting:
             i = self.up[i]
         return i
 
-    def counts(self, shingles: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """How many of the shingles each member has; lists are skipped outside members lo .. hi - 1."""
+    def counts(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each member has."""
         a, b = self.at[shingles], self.at[shingles + 1]
         n = b - a
         flat = self.lists[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        return np.bincount(flat[(flat >= lo) & (flat < hi)], minlength=len(self.sets))
+        return np.bincount(flat, minlength=len(self.sets))
 
     def connect(self) -> list[tuple[int, int]]:
         """(id, smallest id connected) for every member that has a smaller one."""
         n = len(self.sets)
-        derive = n > 50
         before, overlap = None, None
         start = min(range(n), key=lambda i: self.ids[i])
         done = np.zeros(n, bool)
@@ -217,12 +242,12 @@ class Meeting:
             mine = self.sets[x]
             lo = int(np.searchsorted(self.size, most(len(mine), self.num, self.den)))
             hi = int(np.searchsorted(self.size, len(mine) * self.den // self.num, side="right"))
-            gone = np.setdiff1d(before, mine, assume_unique=True) if derive and before is not None else None
+            gone = np.setdiff1d(before, mine, assume_unique=True) if before is not None else None
             if gone is not None and 4 * len(gone) < len(mine):
                 come = np.setdiff1d(mine, before, assume_unique=True)
-                overlap = overlap - self.counts(gone, 0, n) + self.counts(come, 0, n)
+                overlap = overlap - self.counts(gone) + self.counts(come)
             else:
-                overlap = self.counts(mine, *((0, n) if derive else (lo, hi)))
+                overlap = self.counts(mine)
             before = mine
             self._link(x, overlap, lo, hi)
         least: dict[int, int] = {}
@@ -268,15 +293,16 @@ def _near_leader(table: pa.Table, n: int, num: int, den: int) -> pa.Table:
     return pa.table({"leader": table["leader"].take(rows), "doc_id": table["doc_id"].take(rows), "near": pa.array(near, pa.bool_())})
 
 
-def _tiles(rows: DataFrame, met: DataFrame, n: int, num: int, den: int, slice_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def _tiles(rows: DataFrame, met: DataFrame, n: int, num: int, den: int, slice_rows: int, slice_shingles: int) -> tuple[DataFrame, DataFrame | None]:
     """((leader, tile_a, tile_b, doc_id) to compare, links found on the way).
 
-    A meeting of up to slice_rows sets is one tile. Of a larger one every set is first compared with its leader's, a slice at a
+    A meeting of up to slice_rows sets and slice_shingles shingles is one tile. Of a larger one every set is first compared with its leader's, a slice at a
     time; sets that link are of one component and need no comparison among themselves. What is left is cut in slices, and
     each is compared with every slice: a group of copies costs one pass.
     """
     zero = F.lit(0).alias
-    large = cut(met.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices")).where("slices > 1"))
+    slices = lambda rows, shingles: F.ceil(F.greatest(rows / slice_rows, F.coalesce(shingles, F.lit(0)) / slice_shingles)).cast("int")
+    large = cut(met.groupBy("leader").agg(slices(F.count(F.lit(1)), F.sum("n")).alias("slices")).where("slices > 1"))
     if large.isEmpty():
         return met.select("leader", zero("tile_a"), zero("tile_b"), "doc_id"), None
     place = F.xxhash64("doc_id", F.lit(7))
@@ -284,8 +310,10 @@ def _tiles(rows: DataFrame, met: DataFrame, n: int, num: int, den: int, slice_ro
     heads = large.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("head"))
     told = rows.join(big.unionByName(heads), "doc_id").groupBy("leader", "slice").applyInArrow(lambda t: _near_leader(t, n, num, den), "leader long, doc_id long, near boolean")
     # Rows that repeat an id are one document: it is linked by any of them, and settled if all are.
-    told = cut(told.groupBy("leader", "doc_id").agg(F.min("near").alias("settled"), F.max("near").alias("near")))
-    n_slices = told.groupBy("leader").agg(F.ceil(F.count_if(~F.col("settled")) / slice_rows).cast("int").alias("open"), F.ceil(F.count_if("settled") / slice_rows).cast("int").alias("closed"))
+    told = told.groupBy("leader", "doc_id").agg(F.min("near").alias("settled"), F.max("near").alias("near"))
+    told = cut(told.join(met.select("leader", "doc_id", "n"), ["leader", "doc_id"]))
+    is_open, is_closed = F.when(~F.col("settled"), F.col("n")), F.when(F.col("settled"), F.col("n"))
+    n_slices = told.groupBy("leader").agg(slices(F.count(is_open), F.sum(is_open)).alias("open"), slices(F.count(is_closed), F.sum(is_closed)).alias("closed"))
     near = told.where(F.col("near") & (F.col("doc_id") != F.col("leader"))).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
     told = told.join(n_slices.where("open > 0"), "leader")
     mine = F.when(F.col("settled"), F.col("open") + F.pmod(place, F.greatest("closed", F.lit(1)))).otherwise(F.pmod(place, F.greatest("open", F.lit(1)))).cast("int")
@@ -295,15 +323,14 @@ def _tiles(rows: DataFrame, met: DataFrame, n: int, num: int, den: int, slice_ro
     return small.unionByName(cut_up), near
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, part_rows: int = 1_000_000, slice_rows: int = 4000) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, part_rows: int = 1_000_000, slice_rows: int = 4000, slice_shingles: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of Jaccard >= num / den).
 
     Null texts and texts without words have no shingles and link with nothing. Rows that repeat an id are one document for
-    its links and stay apart as rows. Rows with a null id link with nothing and have a null component. Empty tables give no
-    rows; other columns are ignored.
+    its links and stay apart as rows. Rows with a null id link with nothing and have a null component. Texts of any length
+    count whole. Empty tables give no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lean(docs)
     _, n_bytes = text_size(rows)
     out = cut(rows.mapInArrow(lambda b: _signatures(b, n), "doc_id long, n long, a long, b long, block int, counts binary"))
     signed = out.where("block is null").drop("block", "counts")
@@ -317,8 +344,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, num, den, values), "doc_id long, n long, prefix binary").join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     parts = spread(n_bytes // 6 * (den - num) // den, part_rows)
     entries = prefixes.mapInArrow(lambda b: _entries(b, parts), "part int, tokens binary, ids binary, sizes binary, places binary")
-    met = cut(entries.groupBy("part").applyInArrow(lambda t: _meet(t, num, den), "leader long, doc_id long").distinct())
-    tiled, near = _tiles(rows, met, n, num, den, slice_rows)
+    met = entries.groupBy("part").applyInArrow(lambda t: _meet(t, num, den), "leader long, doc_id long, n long")
+    met = cut(met.groupBy("leader", "doc_id").agg(F.max("n").alias("n")))
+    tiled, near = _tiles(rows, met, n, num, den, slice_rows, slice_shingles)
     texts = rows.join(tiled, "doc_id")
     links = texts.groupBy("leader", "tile_a", "tile_b").applyInArrow(lambda t: _verify(t, n, num, den), "u long, v long")
     several = usable.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("doc_id")
