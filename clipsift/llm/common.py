@@ -23,13 +23,24 @@ def id_mod(column: str, n: int) -> Column:
 
 def draw(seed: int, *columns: str) -> Column:
     """A number from 0 to under 1 by a hash of the columns: 53 bits, so that small shares of very large tables stay small."""
-    return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in columns], F.lit(seed)), 11) / F.lit(2.0**53)
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(quoted(c)) for c in columns], F.lit(seed)), 11) / F.lit(2.0**53)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Without one, a temporary folder serves a
+    local master (tests), and a cluster is refused: its executors would not find what others wrote."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share, for {purpose}")
+    return tempfile.mkdtemp(prefix="clipsift-")
 
 
 def shared_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder that the cluster names; set one of our own only where none is named (tests)."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipsift-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,18 +66,23 @@ def unclashed(keep, added) -> list:
     return [k for k in keep if not (isinstance(k, str) and k.lower() in names)]
 
 
+def free_name(wanted: str, taken) -> str:
+    """`wanted`, with underscores before it until no column has that name in any case."""
+    names = {str(t).lower() for t in taken}
+    while wanted.lower() in names:
+        wanted = "_" + wanted
+    return wanted
+
+
+def quoted(name: str) -> str:
+    """A column name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows: int = 4_000_000) -> DataFrame:
     """Rows of docs whose id is not among the distinct ids of `gone`. Up to most_rows ids (about 32 MB) are broadcast, so docs
     are not shuffled; more are joined by a shuffle."""
     gone = cut(gone)
     if gone.count() <= most_rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
-
-
-def lean(df: DataFrame, rows: int = 1000) -> None:
-    """Pass at most `rows` texts at a time to Python workers in this session, if it passes more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(name, str(rows))
+    return docs.join(gone, id_col, "left_anti").select(*map(quoted, docs.columns))

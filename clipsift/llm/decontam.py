@@ -8,6 +8,8 @@ automaton of all pieces finds them in whole documents; where a piece hits, the p
 next one by comparing its halves, then the next `RUN`, and only then the stretch that could hold the item is verified with
 Myers' bit-parallel edit distance. Neither test loses a copy within the budget. The scan is map-only.
 
+An item too short for a single edit (under 1 / `rate` bytes) counts only where it stands as whole words, unchanged.
+
 The benchmark travels with the tasks in groups of at most `group_bytes` of items; a larger benchmark takes more scans.
 """
 
@@ -21,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import lean
 from clipsift.llm.textkit import pieces, tidy
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -91,9 +92,11 @@ def myers(pattern: str, where: dict[str, int], text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Items of (id, plain text), their pieces in one automaton, and the search of a text."""
+    """Items of (id, plain text), their pieces in one automaton, and the search of a text. With `whole_words`, items without an
+    error budget are found only where they stand between blanks or ends."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, whole_words: bool = False) -> None:
+        self.whole_words = whole_words
         self.items = [(i, t, budget(len(t), rate), masks(t)) for i, t in items if t]
         # Of each piece: its item, its start there, the halves of the next piece round the ring, and whether it is the last.
         found: dict[str, list[tuple[int, int, str, str, bool]]] = {}
@@ -124,8 +127,8 @@ class Matcher:
         n, run, where = self.runs[k, start]
         return myers(run, where, text[end : end + len(run) + n])[0] <= n
 
-    def search(self, text: str) -> dict[int, tuple[int, int]]:
-        """item -> (distance, start of the stretch searched), at its least distance within the budget."""
+    def search(self, text: str) -> dict[int | None, tuple[int, int]]:
+        """item id -> (distance, start of the stretch searched), at its least distance within the budget."""
         out: dict[int, tuple[int, int]] = {}
         if not self.items:
             return out
@@ -133,6 +136,11 @@ class Matcher:
         for end, (length, places) in self.tree.iter(text):
             end += 1
             for k, start, left, right, last in places:
+                if self.whole_words and not self.items[k][2]:
+                    if text[end - length - 1 : end - length] in ("", " ") and text[end : end + 1] in ("", " "):
+                        out.setdefault(self.items[k][0], (0, end - length))
+                        out[self.items[k][0]] = min(out[self.items[k][0]], (0, end - length))
+                    continue
                 if last:
                     e, first = self.items[k][2], end - length - start
                     near = text[max(0, first - e) : max(0, first + e + len(left) + len(right) + 1)]
@@ -156,12 +164,13 @@ class Matcher:
         return out
 
 
-def _groups(benchmark: DataFrame, item_col: str, item_text: str, group_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _groups(benchmark: DataFrame, item_col: str, item_text: str, group_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items as (id, plain text), a bounded group at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     groups = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
     for g in range(groups):
-        yield sorted((r["item_id"], plain_one(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect())
+        found = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
+        yield sorted(((r["item_id"], plain_one(r["text"])) for r in found), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, group_bytes: int = 4 << 20) -> DataFrame:
@@ -169,16 +178,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     (1 - distance / length), at (start of the stretch in the plain text).
 
     Null and empty texts, and items without a letter or digit, match nothing. Repeated documents give repeated rows;
-    repeated items (same id) the best one. Items that differ in case, punctuation or spacing only match alike.
+    repeated items (same id, a null one too) the best one. Items that differ in case, punctuation or spacing only match
+    alike. Texts of any length are searched whole. Empty tables give no rows; other columns, whatever their names, are ignored.
     """
-    lean(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for part in _groups(benchmark, item_col, item_text, group_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(part, rate)
-            size = {i: len(t) for i, t, _, _ in matcher.items}
+            matcher = Matcher(part, rate, whole_words=True)
+            size: dict[int | None, int] = {}
+            for i, t, _, _ in matcher.items:
+                size[i] = max(len(t), size.get(i, 0))
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for lo, _, data, offsets in pieces(batch.column("text")):
@@ -191,16 +202,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     return out
 
 
-def screen(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, group_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of docs, with all columns, that hold no item within the error budget; map-only."""
-    lean(docs)
+def screen(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, group_bytes: int = 4 << 20, least: int = 16) -> DataFrame:
+    """The rows of docs, with all columns, that hold no item within the error budget; map-only.
+
+    Items of under `least` bytes in plain form, such as a one-word answer, remove nothing: ordinary prose holds them too
+    (`matches` reports them). Items count whatever their id. Null and empty texts stay, as do repeated rows; columns may
+    have any names.
+    """
     out = docs
+    at = docs.columns.index(text_col)
     for part in _groups(benchmark, item_col, item_text, group_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(part, rate)
+            matcher = Matcher([i for i in part if len(i[1]) >= least], rate, whole_words=True)
             for batch in batches:
-                clean = [not matcher.search(text) for _, _, data, offsets in pieces(batch.column(text_col)) for text in plain(data, offsets)]
+                clean = [not matcher.search(text) for _, _, data, offsets in pieces(batch.column(at)) for text in plain(data, offsets)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
             tidy()
 
