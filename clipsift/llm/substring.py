@@ -1,8 +1,9 @@
 """Operator 6: exact substring dedup by fixed-block anchors.
 
 A window of `window` words that occurs twice holds, in either place, an aligned block of half as many words. Blocks at
-multiples of that length are the index; every rolling window of block length probes it; hits are anchors. Around anchors
-the full windows are hashed, the first occurrence of each (smallest id, then smallest start) is found, and the words
+multiples of that length are the index; every rolling window of block length probes it; hits are anchors. Hits are
+extended over whole windows: around anchors the full windows are told apart by two independent hashes, 112 bits in all
+between buckets and 128 within one, the first occurrence of each (smallest id, then smallest start) is found, and the words
 covered by later ones - maximal repeats, as neighbouring windows merge - are removed.
 
 Documents are dealt to buckets of about `bucket_bytes` of text by a hash of the id, and hashes to parts of about
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.textkit import buffers, hashes, member, pack_sorted, planes, rolling, spread_parts, tidy, unpack_sorted, unplanes, within
+from clipsift.llm.textkit import buffers, hashes, member, mix, pack_sorted, planes, rolling, spread_parts, tidy, unpack_sorted, unplanes, within
 
 _LOW31, _LOW48, _LAST = np.uint64((1 << 31) - 1), np.uint64((1 << 48) - 1), np.iinfo(np.int64).max
-LINKS = "part int, bucket int, blob binary, ids binary"
+_OTHER = np.uint64(0x2545F4914F6CDD1D)
+LINKS = "part int, bucket int, blob binary, ids binary, checks binary"
 
 
 class Bucket:
@@ -44,12 +46,27 @@ class Bucket:
         h = h[at]
         return at, ((h >> np.uint64(40)) % self.parts) << np.uint64(31) | (h & _LOW31), (at - start[at]) % self.block == 0
 
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Keys of the full windows at positions."""
-        h = rolling(self.hash, self.window)[at]
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the full windows at positions."""
+        return rolling(self.hash, self.window)[at], rolling(mix(self.hash ^ _OTHER), self.window)[at]
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """48 bits of window hashes with their part above."""
         return ((h >> np.uint64(48)) % self.parts) << np.uint64(48) | (h & _LOW48)
 
 
+def repeated(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Whether an earlier position has the same pair of hashes."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, h))
+        same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:]] = same & (check[order][1:] == check[order][:-1])
+    return out
+
+
 def _by_part(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     """(part, slice) of ascending keys with the part above `bits`."""
     part = keys >> np.uint64(bits)
@@ -57,9 +74,10 @@ def _by_part(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     return [(int(part[a]), slice(a, b)) for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]]), strict=True)] if len(part) else []
 
 
-def _links(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "bucket", "blob", "ids"])
+def _links(rows: list[tuple[int, int, bytes, bytes | None, bytes | None]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "bucket", "blob", "ids", "checks"])
 
 
 def send_blocks(table: pa.Table, window: int, parts: int) -> pa.Table:
@@ -75,7 +93,7 @@ def send_blocks(table: pa.Table, window: int, parts: int) -> pa.Table:
     keys = keys[first]
     values = (keys & _LOW31) << np.uint64(1) | indexed.astype(np.uint64)
     bucket = table["bucket"][0].as_py()
-    return _links([(p, bucket, pack_sorted(values[s]), None) for p, s in _by_part(keys, 31)])
+    return _links([(p, bucket, pack_sorted(values[s]), None, None) for p, s in _by_part(keys, 31)])
 
 
 def probe_blocks(table: pa.Table) -> pa.Table:
@@ -93,13 +111,12 @@ def probe_blocks(table: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     v, owner = v[order], owner[order]
     cuts = np.searchsorted(owner, np.arange(len(got) + 1))
-    return _links([(part, buckets[i], pack_sorted(v[a:b]), None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+    return _links([(part, buckets[i], pack_sorted(v[a:b]), None, None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
 
-def _keys(links: pa.Table, bits: int) -> np.ndarray:
-    """Ascending keys from what parts sent to one bucket."""
-    width = 4 if bits == 31 else 6
-    got = [unpack_sorted(x, width).astype(np.uint64) | np.uint64(p) << np.uint64(bits) for p, x in zip(links["part"].to_pylist(), links["blob"].to_pylist(), strict=True)]
+def _keys(links: pa.Table) -> np.ndarray:
+    """Ascending block keys from what parts sent to one bucket."""
+    got = [unpack_sorted(x).astype(np.uint64) | np.uint64(p) << np.uint64(31) for p, x in zip(links["part"].to_pylist(), links["blob"].to_pylist(), strict=True)]
     return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
 
 
@@ -117,18 +134,18 @@ def send_windows(table: pa.Table, links: pa.Table, window: int, parts: int) -> p
     same[order[1:]] |= equal
     same[order[:-1]] |= equal
     anchor = np.zeros(len(b.hash) + 1, np.int64)
-    anchor[1:][at[same | member(keys, _keys(links, 31))]] = 1
+    anchor[1:][at[same | member(keys, _keys(links))]] = 1
     anchor = np.cumsum(anchor)
     start = np.flatnonzero(b.long)
     start = start[anchor[start + window - b.block + 1] > anchor[start]]
-    _, index = np.unique(b.windows(start), return_index=True)
-    start = start[np.sort(index)]
-    keys = b.windows(start)
+    h, check = b.windows(start)
+    first = ~repeated(h, check)
+    start, check, keys = start[first], check[first], b.keys(h[first])
     order = np.argsort(keys >> np.uint64(48), kind="stable")  # by part, else in order of place
-    keys, start = keys[order], start[order]
+    keys, start, check = keys[order], start[order], check[order]
     ids = b.table["doc_id"].fill_null(_LAST).to_numpy()[np.searchsorted(b.ptr, start, side="right") - 1].astype("<i8")
     bucket = table["bucket"][0].as_py()
-    return _links([(p, bucket, planes(keys[s], 6), ids[s].tobytes()) for p, s in _by_part(keys, 48)])
+    return _links([(p, bucket, planes(keys[s], 6), ids[s].tobytes(), planes(check[s], 6)) for p, s in _by_part(keys, 48)])
 
 
 def find_first(table: pa.Table) -> pa.Table:
@@ -136,16 +153,39 @@ def find_first(table: pa.Table) -> pa.Table:
     part, buckets = table["part"][0].as_py(), table["bucket"].to_pylist()
     got = [unplanes(x, 6) for x in table["blob"].to_pylist()]
     values, owner = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
+    check = np.concatenate([unplanes(x, 6) for x in table["checks"].to_pylist()])
     ids = np.concatenate([np.frombuffer(x, "<i8") for x in table["ids"].to_pylist()])
-    order = np.lexsort((ids, values))
-    values, owner = values[order], owner[order]
-    later = np.concatenate([[False], values[1:] == values[:-1]])
-    values, owner = values[later], owner[later]
+    order = np.lexsort((ids, check, values))
+    values, owner, check = values[order], owner[order], check[order]
+    later = np.concatenate([[False], (values[1:] == values[:-1]) & (check[1:] == check[:-1])])
+    values, owner, check = values[later], owner[later], check[later]
     tidy()
     order = np.argsort(owner, kind="stable")
-    values, owner = values[order], owner[order]
+    values, owner, check = values[order], owner[order], check[order]
     cuts = np.searchsorted(owner, np.arange(len(got) + 1))
-    return _links([(part, buckets[i], pack_sorted(values[a:b], 6), None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+    return _links([(part, buckets[i], planes(values[a:b], 6), None, planes(check[a:b], 6)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+
+def _known(links: pa.Table, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which windows, as (key, check), parts have sent back to a bucket."""
+    if not links.num_rows:
+        return np.zeros(len(keys), bool)
+    sent = np.concatenate([unplanes(x, 6) | np.uint64(p) << np.uint64(48) for p, x in zip(links["part"].to_pylist(), links["blob"].to_pylist(), strict=True)])
+    marks = np.concatenate([unplanes(x, 6) for x in links["checks"].to_pylist()])
+    out = member(keys, np.sort(sent))
+    near = np.flatnonzero(out)
+    pair = np.dtype([("k", "<u8"), ("c", "<u8")])
+    have, want = np.empty(len(near), pair), np.empty(len(sent), pair)
+    have["k"], have["c"], want["k"], want["c"] = keys[near], check[near] & _LOW48, sent, marks
+    # Both sides in one order: equal pairs lie together, one that was sent first.
+    both = np.concatenate([want, have])
+    order = np.lexsort((np.arange(len(both)), both["c"], both["k"]))
+    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+    begins = order[np.flatnonzero(new)][np.cumsum(new) - 1] < len(want)
+    found = np.empty(len(both), bool)
+    found[order] = begins
+    out[near] = found[len(want) :]
+    return out
 
 
 def remove(table: pa.Table, links: pa.Table, window: int, parts: int, keep_text: bool) -> pa.Table:
@@ -156,11 +196,8 @@ def remove(table: pa.Table, links: pa.Table, window: int, parts: int, keep_text:
         return pa.table([pa.array([], t) for t in kinds], names=names)
     b = Bucket(table, window, parts)
     start = np.flatnonzero(b.long)
-    keys = b.windows(start)
-    order = np.argsort(keys, kind="stable")
-    later = np.zeros(len(keys), bool)
-    later[order[1:]] = keys[order][1:] == keys[order][:-1]
-    later |= member(keys, _keys(links, 48))
+    h, check = b.windows(start)
+    later = repeated(h, check) | _known(links, b.keys(h), check)
     cover = np.zeros(len(b.hash) + 1, np.int32)
     np.add.at(cover, start[later], 1)
     np.add.at(cover, start[later] + window, -1)
@@ -185,8 +222,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (its text without the repeats).
 
     Null and empty texts have no words. Texts under `window` words keep all. A null id comes after all others; of rows that
-    repeat an id the later by text counts as the later. `window` must be even. Empty tables give no rows; other columns are
-    ignored.
+    repeat an id the later by text counts as the later. Texts of any length count whole. `window` must be even. Empty tables
+    give no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets, parts = spread_parts(rows, bucket_bytes, part_rows)
