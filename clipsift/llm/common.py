@@ -60,18 +60,16 @@ def spread(n_bytes: int, per: int) -> int:
     return max(1, -(-n_bytes // per))
 
 
-def unclashed(keep, added) -> list:
-    """Columns to keep, without those named like an added one."""
+def carried(docs: DataFrame, keep, added, *more: Column) -> tuple[DataFrame, list]:
+    """(columns `keep` and then `more`, named by place so that no name clashes; fields of the former). Columns to keep that
+    are named like an added one, in any case, are left out."""
     names = {a.lower() for a in added}
-    return [k for k in keep if not (isinstance(k, str) and k.lower() in names)]
-
-
-def free_name(wanted: str, taken) -> str:
-    """`wanted`, with underscores before it until no column has that name in any case."""
-    names = {str(t).lower() for t in taken}
-    while wanted.lower() in names:
-        wanted = "_" + wanted
-    return wanted
+    both = docs.select(*keep, *more)
+    fields = both.schema.fields[: len(both.columns) - len(more)]
+    placed = both.toDF(*[f"_{i}" for i in range(len(both.columns))])
+    at = [i for i, f in enumerate(fields) if f.name.lower() not in names]
+    out = placed.select(*[f"_{i}" for i in [*at, *range(len(fields), len(both.columns))]])
+    return out, [fields[i] for i in at]
 
 
 def quoted(name: str) -> str:

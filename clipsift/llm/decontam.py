@@ -220,5 +220,5 @@ def screen(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", ite
                 yield batch.filter(pa.array(clean, pa.bool_()))
             tidy()
 
-        out = out.mapInArrow(scan, docs.schema)
+        out = out.toDF(*[f"_{i}" for i in range(len(docs.columns))]).mapInArrow(scan, docs.schema)
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from clipsift.llm.common import draw, quoted, unclashed
+from clipsift.llm.common import carried, draw, quoted
 from clipsift.llm.textkit import pieces, tidy
 
 ORDERS, BITS = (2, 3, 4), 14
@@ -139,11 +139,9 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
     the first language by name. Repeated rows are judged each, empty tables give no rows, texts of any length count whole.
     Columns to keep may have any names, those of helpers too; the ones named like an added column are left out.
     """
-    plain = unclashed(keep, ADDED)
-    kept = docs.select(*plain, F.coalesce(F.col(quoted(text_col)).rlike(r"\p{L}"), F.lit(False)), F.col(quoted(text_col)))
-    k = len(kept.columns) - 2
-    names = [f"_{i}" for i in range(k + 2)]
-    schema = StructType([*kept.schema.fields[:k], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept, fields = carried(docs, keep, ADDED, F.coalesce(F.col(quoted(text_col)).rlike(r"\p{L}"), F.lit(False)), F.col(quoted(text_col)))
+    k = len(fields)
+    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,4 +157,4 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(lang, pa.string()), pa.array(p)], names=[f.name for f in schema])
         tidy()
 
-    return kept.toDF(*names).mapInArrow(score, schema)
+    return kept.mapInArrow(score, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from clipsift.llm.common import draw, quoted, unclashed
+from clipsift.llm.common import carried, draw, quoted
 from clipsift.llm.textkit import pieces, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -192,10 +192,10 @@ def scan(docs: DataFrame, model: RandomnessModel, *, text_col: str = "text", kee
     no rows. Columns to keep may have any names, those of helpers too; the ones named like an added column are left out, so
     pack them in a struct to carry all.
     """
-    kept = docs.select(*unclashed(keep, ADDED), F.col(quoted(text_col)))
-    m = len(kept.columns) - 1
+    kept, fields = carried(docs, keep, ADDED, F.col(quoted(text_col)))
+    m = len(fields)
     added = [*[StructField(f"n_{k}", LongType()) for k in KINDS[:3]], StructField("base_sha256", StringType()), StructField("spans", StringType())]
-    schema = StructType([*kept.schema.fields[:m], *added, *[StructField("redacted", StringType())] * redact])
+    schema = StructType([*fields, *added, *[StructField("redacted", StringType())] * redact])
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +220,4 @@ def scan(docs: DataFrame, model: RandomnessModel, *, text_col: str = "text", kee
             yield pa.RecordBatch.from_arrays(out + ([pa.array(clean, pa.string())] if redact else []), names=[f.name for f in schema])
         tidy()
 
-    return kept.toDF(*[f"_{i}" for i in range(m + 1)]).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
