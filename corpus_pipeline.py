@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.llm import decontam, jaccard, langid, mixing, secrets
-from clipsift.llm.common import drop_ids
+from clipsift.llm.common import drop_ids, quoted, shared_folder
 
 #: Below this posterior probability of its best language a document is rejected.
 LEAST_SCORE = 0.6
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows as (_doc, _text): all columns in a struct, so that none clashes with those an operator adds."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc"), F.col("text").alias("_text"))
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those of no clear language, go."""
     model = langid.train(docs)
-    kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_lid_text"))
-    judged = langid.predict(kept, model, text_col="_lid_text", keep=["_doc"])
+    judged = langid.predict(packed(docs), model, text_col="_text", keep=["_doc"])
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_doc.*")
 
 
@@ -36,9 +39,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows."""
-    found = secrets.scan(docs, secrets.train(secrets.ordinary_sample(docs)), keep=docs.columns, redact=True)
+    found = secrets.scan(packed(docs), secrets.train(secrets.ordinary_sample(docs)), text_col="_text", keep=["_doc"], redact=True)
     changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return found.select(*[changed[c].alias(c) if c in changed else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +60,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; what is between them is kept in the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipsift-pipeline-")
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over documents; what is between them is kept in the shared checkpoint folder, each until the next is
+    written. The last, which the result reads, stays."""
+    base = f"{shared_folder(spark, 'the stages of the pipeline')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
