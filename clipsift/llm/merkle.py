@@ -1,9 +1,10 @@
 """Operator 8: document fingerprints from a Merkle tree over paragraphs and sections.
 
 A text's paragraphs are its lines; a paragraph's leaves are its pieces of `PIECE` code points, so that an edit inside a
-long paragraph still shows where it is. `SECTION` paragraphs in a row make a section. Leaf digests are hashed to section
-digests and these to the root. The fingerprint is root|sections|leaves, with paragraphs of leaves apart by dots: equal
-roots mean equal texts, differing sections and leaves locate edits, and the share of common leaves is the likeness.
+long paragraph still shows where it is. Leaf digests of 64 bits are hashed to the digest of their paragraph, those of
+`SECTION` paragraphs in a row to that of a section, and sections to the root (`tree`): roots test equality, and `differences`
+follows the branches that differ down to the edited pieces. A `fingerprint` is a tree in short writing, from the first
+digits of each leaf; the share of common leaves is the likeness.
 
 DataFrame functions only. Neighbours in order of id come from windows over ranges of ids cut at percentiles, so no task
 sees more than a range; only the first row of each range is passed to the range before.
@@ -11,31 +12,78 @@ sees more than a range; only the first row of each range is passed to the range
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsift.llm.common import cut, spread, text_size
+from clipsift.llm.common import cut, quoted, spread, text_size
 
-PIECE, SECTION = 24, 8
+#: Code points of a piece, paragraphs of a section, hex digits of a leaf digest.
+PIECE, SECTION, LEAF = 24, 8, 16
 
 
 def leaves(text: Column) -> Column:
-    """Array by paragraph of the 24-bit digests of its pieces, in hex, one after another."""
+    """Array by paragraph of the arrays of the 64-bit digests of its pieces, in hex."""
     pieces = lambda p: F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
-    return F.transform(F.split(text, "\n"), lambda p: F.array_join(F.transform(pieces(p), lambda x: F.substring(F.md5(x), 1, 6)), ""))
+    return F.transform(F.split(text, "\n"), lambda p: F.transform(pieces(p), lambda x: F.substring(F.md5(x), 1, LEAF)))
+
+
+def _sha(parts: Column, between: str) -> Column:
+    return F.sha2(F.array_join(parts, between).cast("binary"), 256)
+
+
+def _by_section(nodes: Column, digest: Callable[[Column], Column]) -> Column:
+    """Of every SECTION nodes in a row, their digest."""
+    return F.transform(F.sequence(F.lit(1), F.size(nodes), F.lit(SECTION)), lambda i: digest(F.slice(nodes, i, F.lit(SECTION))))
+
+
+def tree(leaf: Column) -> Column:
+    """Struct of root, sections, paragraphs and leaves: every node is hashed from the whole digests of its children."""
+    paragraphs = F.transform(leaf, lambda p: _sha(p, ""))
+    sections = _by_section(paragraphs, lambda x: _sha(x, ""))
+    return F.struct(_sha(sections, "").alias("root"), sections.alias("sections"), paragraphs.alias("paragraphs"), leaf.alias("leaves"))
+
+
+def differences(a: Column, b: Column) -> Column:
+    """Where two trees differ: (section, paragraph, piece) from 0, of either text. Only branches whose digests differ are
+    followed, so equal roots give an empty array at once."""
+
+    def unlike(x: Column, y: Column, lo: Column, hi: Column) -> Column:
+        """Positions from lo to hi at which two arrays differ; one that ends earlier differs."""
+        differ = lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))
+        return F.when(hi >= lo, F.filter(F.sequence(lo, hi), differ)).otherwise(F.array().cast("array<int>"))
 
+    last = lambda x, y: F.greatest(F.size(x), F.size(y)) - 1
+    none = F.array().cast("array<struct<section:int,paragraph:int,piece:int>>")
+    sections = unlike(a["sections"], b["sections"], F.lit(0), last(a["sections"], b["sections"]))
+    end = last(a["paragraphs"], b["paragraphs"])
+    paragraphs = F.flatten(F.transform(sections, lambda s: unlike(a["paragraphs"], b["paragraphs"], s * SECTION, F.least(s * SECTION + SECTION - 1, end))))
 
-def fingerprint(tree: Column) -> Column:
-    """root|sections|leaves of an array from leaves()."""
-    starts = F.sequence(F.lit(1), F.size(tree), F.lit(SECTION))
-    sections = F.transform(starts, lambda i: F.substring(F.sha2(F.array_join(F.slice(tree, i, F.lit(SECTION)), ".").cast("binary"), 256), 1, 16))
-    parts = F.array_join(sections, ",")
-    return F.concat(F.sha2(parts.cast("binary"), 256), F.lit("|"), parts, F.lit("|"), F.array_join(tree, "."))
+    def pieces(p: Column) -> Column:
+        x, y = (F.coalesce(F.get(t["leaves"], p), F.array().cast("array<string>")) for t in (a, b))
+        found = unlike(x, y, F.lit(0), last(x, y))
+        # A paragraph without pieces that only one text has.
+        found = F.when(F.size(found) == 0, F.array(F.lit(0))).otherwise(found)
+        return F.transform(found, lambda i: F.struct((p / SECTION).cast("int").alias("section"), p.cast("int").alias("paragraph"), i.cast("int").alias("piece")))
 
+    return F.when(a["root"] == b["root"], none).otherwise(F.flatten(F.transform(paragraphs, pieces)))
 
-def digests(print_: Column) -> Column:
-    """The distinct leaf digests of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(print_, "|", -1), F.lit("[0-9a-f]{6}"), F.lit(0)))
+
+def shortened(leaf: Column, digits: int) -> Column:
+    """The first digits of every leaf digest."""
+    return leaf if digits >= LEAF else F.transform(leaf, lambda p: F.transform(p, lambda x: F.substring(x, 1, digits)))
+
+
+def joined(leaf: Column) -> Column:
+    """The leaf digests of each paragraph one after another."""
+    return F.transform(leaf, lambda p: F.array_join(p, ""))
+
+
+def fingerprint(paragraphs: Column) -> Column:
+    """root|sections|leaves in writing, of joined() leaves and from their digits; paragraphs are apart by dots."""
+    parts = F.array_join(_by_section(paragraphs, lambda x: F.substring(_sha(x, "."), 1, 16)), ",")
+    return F.concat(F.sha2(parts.cast("binary"), 256), F.lit("|"), parts, F.lit("|"), F.array_join(paragraphs, "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,8 +100,9 @@ def _ranges(bounds: list[int], lo: int, hi: int) -> Column:
     return F.when(F.col("_id") <= F.lit(bounds[mid]), _ranges(bounds, lo, mid)).otherwise(_ranges(bounds, mid + 1, hi))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 2 << 20, most_ranges: int = 4096, most_passed: int = 64 << 20) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document, by descending id; after the last comes the first.
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 2 << 20, most_ranges: int = 4096, most_passed: int = 64 << 20, hashed: bool = False) -> DataFrame:
+    """(doc_id, text, next_text): the text of the next document, by descending id; after the last comes the first. With
+    `hashed` also leaf and next_leaf, their leaf digests: every text is hashed once, in its range, and passed on with it.
 
     Null texts are empty; null ids come last; rows of equal id go by text. The number of ranges follows the bytes of text
     up to most_ranges, beyond which ranges grow and their windows spill. First texts of ranges are broadcast up to
@@ -81,35 +130,63 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     passed = ring.join(first.withColumnRenamed("_range", "_to"), "_to").select(F.col("_range").alias("_from"), "_head")
     if (first.agg(F.sum(F.octet_length("_head"))).first()[0] or 0) <= most_passed:
         passed = F.broadcast(passed)
-    led = rows.withColumn("_next", F.lead("_text").over(within)).withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
+    led = rows.repartition("_range")  # the shuffle of the windows: what is added from here on is not sent
+    if hashed:
+        led = led.withColumn("_leaf", leaves(F.col("_text"))).withColumn("_next_leaf", F.lead("_leaf").over(within))
+    led = led.withColumn("_next", F.lead("_text").over(within)).withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
     tail = F.when(F.col("_last"), F.col("_range"))
-    return led.join(passed, tail == F.col("_from"), "left").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.coalesce("_next", "_head").alias("next_text"))
+    out = led.join(passed, tail == F.col("_from"), "left")
+    more = [F.col("_leaf").alias("leaf"), F.coalesce("_next_leaf", leaves(F.col("_head"))).alias("next_leaf")] if hashed else []
+    return out.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.coalesce("_next", "_head").alias("next_text"), *more)
+
+
+def with_edited_leaves(rows: DataFrame) -> DataFrame:
+    """Add edited_leaf, the leaves of `edited`, which begins with `head`, as the text of `leaf` does: whole pieces within the
+    head are taken over, and only the rest is hashed, once."""
+    open_ = F.length(F.substring_index("head", "\n", -1))  # of the paragraph that the head ends in
+    paragraph = F.length("head") - F.length(F.replace(F.col("head"), F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("_open", open_).withColumn("_paragraph", paragraph).withColumn("_whole", F.floor(F.col("_open") / PIECE).cast("int"))
+    begin = F.length("head") - F.col("_open") + F.col("_whole") * PIECE + 1
+    rows = rows.withColumn("_rest", leaves(F.substring(F.col("edited"), begin, F.length("edited"))))
+    seam = F.concat(F.slice(F.get("leaf", F.col("_paragraph")), F.lit(1), F.col("_whole")), F.get("_rest", F.lit(0)))
+    whole = F.concat(F.slice("leaf", F.lit(1), F.col("_paragraph")), F.array(seam), F.slice("_rest", F.lit(2), F.size("_rest")))
+    return rows.withColumn("edited_leaf", whole).drop("_open", "_paragraph", "_whole", "_rest")
+
+
+def trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_chars, tree) of every document; map-only. Null texts are empty; empty tables give no rows."""
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), leaves(text).alias("leaf"))
+    return rows.select("doc_id", "n_chars", tree(F.col("leaf")).alias("tree"))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next; and root, edited_root, next_root.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    document's. Null texts are empty and print alike. A single row is its own next document; empty tables give no rows;
-    other columns are ignored.
+    document's. Equal texts have equal fingerprints and roots, and equal roots mean equal texts: they are hashed from leaf
+    digests of 64 bits. Fingerprints show, and likeness compares, the first `digits` of 16 only: with 6, two different
+    pieces look alike once in 16 million. Null texts are empty and print alike; texts of any length count whole. Rows that
+    repeat an id go by text. A single row is its own next document; empty tables give no rows; other columns, whatever
+    their names, are ignored.
     """
-    rows = with_next(docs, id_col=id_col, text_col=text_col)
+    rows = with_next(docs, id_col=id_col, text_col=text_col, hashed=True)
     n = F.length("text")
     swapped = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - swapped), F.substring(F.col("next_text"), F.lit(1), swapped))
-    rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    prints = rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(leaves(F.col("text"))).alias("fingerprint"),
-        fingerprint(leaves(F.col("edited"))).alias("edited_fingerprint"),
-        digests(fingerprint(leaves(F.col("next_text")))).alias("_next"),
+    rows = rows.withColumn("head", F.substring(F.col("text"), F.lit(1), n - swapped)).withColumn("n_chars", n.cast("long"))
+    rows = rows.withColumn("edited", F.concat("head", F.substring(F.col("next_text"), F.lit(1), swapped)))
+    rows = with_edited_leaves(rows)
+    short = lambda c: shortened(F.col(c), digits)
+    root = lambda c: tree(F.col(c))["root"]
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        short("leaf").alias("_own"), short("edited_leaf").alias("_edited"), short("next_leaf").alias("_next"),
+        root("leaf").alias("root"), root("edited_leaf").alias("edited_root"), root("next_leaf").alias("next_root"),
     )
-    own = digests(F.col("fingerprint"))
+    prints = rows.select("*", *[f(F.col(f"_{c}")).alias(f"_{c}_{k}") for c in ("own", "edited", "next") for k, f in (("set", lambda x: F.array_distinct(F.flatten(x))), ("joined", joined))])
     return prints.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(own, digests(F.col("edited_fingerprint"))).alias("near_edited"),
-        likeness(own, F.col("_next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own_joined")).alias("fingerprint"), fingerprint(F.col("_edited_joined")).alias("edited_fingerprint"),
+        likeness(F.col("_own_set"), F.col("_edited_set")).alias("near_edited"), likeness(F.col("_own_set"), F.col("_next_set")).alias("near_next"),
+        "root", "edited_root", "next_root",
     )

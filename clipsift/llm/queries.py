@@ -48,7 +48,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+    return merkle.fingerprints(table(spark, sf_dir, "documents")).drop("root", "edited_root", "next_root")
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
