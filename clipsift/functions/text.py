@@ -29,7 +29,14 @@ def items_of(c: Column) -> Column:
 
 
 def utc(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO text in UTC, whatever the session's time zone."""
+    part = lambda per, of: F.lpad(F.pmod(F.floor(seconds / per), F.lit(of)).cast("string"), 2, "0")
+    return F.concat(utc_day(seconds), F.lit("T"), F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60)), F.lit("Z"))
+
+
+def utc_day(seconds: Column) -> Column:
+    """ISO day in UTC, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
 
 
 def valid_tag(c: Column) -> Column:

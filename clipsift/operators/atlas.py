@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipsift.functions.text import utc_day
+from clipsift.operators.encoding import Reducer, placed
+from clipsift.operators.exporting import chunk_id
+from clipsift.operators.pca import fit, project
 from clipsift.operators.vectors import dot, literal, norm
 
 
@@ -71,3 +75,15 @@ def lasso(points: DataFrame, polygon: Sequence[tuple[float, float]], limit: int
     cx, cy = sum(p[0] for p in polygon) / len(polygon), sum(p[1] for p in polygon) / len(polygon)
     d = (F.col("x") - F.lit(cx)) * (F.col("x") - F.lit(cx)) + (F.col("y") - F.lit(cy)) * (F.col("y") - F.lit(cy))
     return in_polygon(points, polygon).withColumn("d2", F.round(d, 9)).orderBy("d2", "row").limit(min(limit, 96))
+
+
+def point_detail(points: DataFrame, row: int, prefix: str) -> DataFrame:
+    """Name, day, place and media address of one point; no row for an unknown one."""
+    day = utc_day(F.col("chunk_start_unix"))
+    uri = F.concat(F.lit(prefix), F.lit("dt="), day, F.lit("/"), F.col("run_uuid"), F.lit("_t"), F.col("chunk_start_unix").cast("string"), F.lit(".mp4"))
+    return points.where(F.col("row") == row).select("row", chunk_id().alias("chunk_id"), "run_uuid", day.alias("dt"), "chunk_start_unix", uri.alias("source_media_uri"), "x", "y")
+
+
+def reduced(df: DataFrame, reducer: Reducer | None = None) -> DataFrame:
+    """(row, position): vectors in two dimensions by a fitted reducer, by default along their two strongest axes."""
+    return placed(df, reducer, vec="vec") if reducer else project(df, fit(df, 2)).withColumnRenamed("projected", "position")

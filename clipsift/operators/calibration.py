@@ -125,3 +125,38 @@ def guessed_tau(k: int, n: int) -> float:
     """A first guess of the threshold that selects k of n rows: scores are taken as normal."""
     share = min(max(k / (0.4 * n), 1e-6), 0.399)
     return min(max(0.05 + 0.25 * math.sqrt(-math.log(share)), 0.0), 0.42)
+
+
+def histogram_summary(df: DataFrame, tau: float | None = None, score: str = "score") -> DataFrame:
+    """(total, min, max, mean, above_tau) of finite scores, rounded to 4; no row if there are none."""
+    s = F.col(score).cast("double")
+    ok = df.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))).select(s.alias("s"))
+    above = F.count_if(F.col("s") >= F.lit(tau)) if tau is not None else F.lit(None).cast("long")
+    a = ok.agg(F.count("s").alias("total"), *[F.round(f("s"), 4).alias(n) for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))], above.alias("above_tau"))
+    return a.where("total > 0")
+
+
+def curve_points(curve: DataFrame, most: int = 200) -> DataFrame:
+    """At most `most` points of a curve, evenly spread from its first to its last by descending tau, both ends included. Places
+    come from sorted partitions, not from one task."""
+    placed = curve.orderBy(F.col("tau").desc()).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.schema.fields)
+    placed = placed.toDF(f"_at long, {fields}")
+    n = curve.count()
+    if n > most:
+        at = sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
+        placed = placed.join(F.broadcast(curve.sparkSession.createDataFrame([(i,) for i in at], "_at long")), "_at")  # `most` rows
+    return placed.drop("_at")
+
+
+def topped_up_sample(df: DataFrame, tau: float, band: float, n: int, exclude: list[int], *, seed: int = 0) -> DataFrame:
+    """n rows to label, or all there are, highest scores first: up to half by a seeded hash from the band around tau, and as many
+    groups of scores as are then missing give one each, so that a thin band does not shorten the sample."""
+    free = df.where(~F.col("row").isin(exclude)) if exclude else df
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string")))
+    near = free.where(F.abs(F.col("score") - tau) <= band).withColumn("_o", draw).orderBy("_o", "row").limit(n // 2).drop("_o")
+    got = near.count()
+    rest = free.join(near.select("row"), "row", "left_anti")
+    groups = rest.withColumn("_g", F.ntile(max(1, n - got)).over(Window.orderBy(F.col("score").desc(), "row")))
+    one = groups.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(draw, "row"))).where("_n = 1").drop("_g", "_n")
+    return near.unionByName(one.select(near.columns)).orderBy(F.col("score").desc(), "row").limit(n)

@@ -18,15 +18,21 @@ def tag_versions(events: DataFrame) -> DataFrame:
     return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tag"), v.cast("long").alias("version"), (F.col("value") / 1000).alias("threshold"), F.col("event_type").alias("project"), F.col("ts").alias("created_at"), "event_id")
 
 
-def list_tags(versions: DataFrame, *, project: str | None = None, text: str | None = None, number: int = 1, size: int = 50) -> DataFrame:
-    """A page of latest versions, newest first."""
+def list_tags(versions: DataFrame, *, project: str | None = None, text: str | None = None, creator: str | None = None, number: int = 1, size: int = 50) -> DataFrame:
+    """A page of latest versions, newest first. Text is looked for in the name and, if there is one, the description; the
+    creator is that of the latest version."""
     if not 1 <= size <= 500:
         raise ValueError("size is 1 to 500")
     now = latest(versions, ["tag"], ["version"])
     if project is not None:
         now = now.where(F.col("project") == project)
     if text is not None:
-        now = now.where(F.lower("tag").contains(text.lower()))
+        found = F.lower("tag").contains(text.lower())
+        if "description" in now.columns:
+            found = found | F.coalesce(F.lower("description").contains(text.lower()), F.lit(False))
+        now = now.where(found)
+    if creator is not None:
+        now = now.where(F.col("created_by") == creator)
     return now.orderBy(F.col("created_at").desc(), "tag").offset((number - 1) * size).limit(size)
 
 
@@ -60,3 +66,15 @@ def feedback_backfill(log: DataFrame, ledger: DataFrame) -> DataFrame:
     rows = log.select("id", "query", "user_email", F.explode("segments").alias("segment_id"))
     fresh = rows.join(ledger.select("query", "segment_id", "user_email").distinct(), ["query", "segment_id", "user_email"], "left_anti")
     return latest(fresh, ["query", "segment_id", "user_email"], [F.col("id").asc()])
+
+
+def record(versions: DataFrame, exports: DataFrame) -> DataFrame:
+    """(tag, versions, exports): of each tag its version numbers and the ids of its exports, newest first."""
+    newest = lambda by, what: F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.col(what).alias("what"))))), lambda x: x["what"])
+    made = exports.groupBy("tag").agg(newest("finished_at", "export_id").alias("exports"))
+    return versions.groupBy("tag").agg(newest("version", "version").alias("versions")).join(made, "tag", "left")
+
+
+def version_marks(given: DataFrame, *, order: list[str]) -> tuple[DataFrame, int]:
+    """(the last mark of each tag, version and chunk; how many were given)."""
+    return latest(given, ["tag", "version", "chunk"], order).select("tag", "version", "chunk", "mark"), given.count()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipsift.functions.text import utc_day
+
 
 def chunk_id() -> Column:
     return F.concat("run_uuid", F.lit("#t"), F.col("chunk_start_unix").cast("string"))
@@ -18,9 +20,35 @@ def first_per_segment(df: DataFrame, *, empty_is_none: bool = False, score: str
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def ranked(df: DataFrame, score: str = "score") -> DataFrame:
-    """Rank from 1 by score, then row; for result sets, as it orders all rows at once."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), "row")))
+def ranked(df: DataFrame, score: str = "score", *, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Rank from 1 by score, then row; null scores last. Rows are cut by score into ranges of about rows_per_range at
+    percentiles, ranked within each, and moved on by the rows of the ranges before, so that no task orders all of them."""
+    n = df.count()
+    parts = -(-n // rows_per_range)
+    order = [F.col(score).desc_nulls_last(), F.col("row").asc()]
+    if parts <= 1:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    found = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
+    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found), reverse=True)])
+    # The range of a score: how many bounds it does not reach; equal scores share one, and row orders them there.
+    at = F.when(F.col(score).isNull(), F.lit(len(found) + 1)).otherwise(F.size(F.filter(bounds, lambda b: F.col(score) < b)))
+    cut = df.withColumn("_range", at)
+    sizes = sorted((r["_range"], r["n"]) for r in cut.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
+    before, total = [], 0
+    for k, m in sizes:
+        before.append((k, total))
+        total += m
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _before long"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return cut.withColumn("rank", within).join(offsets, "_range").withColumn("rank", (F.col("rank") + F.col("_before")).cast("int" if n < 2**31 else "long")).drop("_range", "_before").select(*df.columns, "rank")
+
+
+def page_of(df: DataFrame, number: int, size: int, depth: int = 5000, score: str = "score") -> DataFrame:
+    """Page `number` of rows by score: only the rows up to its end, at most `depth`, are ordered as a whole."""
+    if number * size > depth:
+        raise ValueError("page out of range")
+    best = df.orderBy(F.col(score).desc_nulls_last(), "row").limit(max(0, number * size))
+    return page(best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), "row"))), number, size, depth)
 
 
 def page(df: DataFrame, number: int, size: int, depth: int = 5000) -> DataFrame:
@@ -32,7 +60,7 @@ def page(df: DataFrame, number: int, size: int, depth: int = 5000) -> DataFrame:
 
 def export_columns(df: DataFrame, tag: str, prefix: str) -> DataFrame:
     """The clip export table; an unknown end is -1, times are in nanoseconds."""
-    day = F.date_format(F.timestamp_seconds("chunk_start_unix"), "yyyy-MM-dd")
+    day = utc_day(F.col("chunk_start_unix"))
     uri = F.concat(F.lit(prefix), F.lit("dt="), day, F.lit("/"), F.col("run_uuid"), F.lit("_t"), F.col("chunk_start_unix").cast("string"), F.lit(".mp4"))
     ns = F.lit(1_000_000_000)
     return df.select(
@@ -56,9 +84,14 @@ def passthrough(df: DataFrame, source: DataFrame, key: str = "segment_id") -> Da
     return df.join(source.select(key, *[c for c in source.columns if c not in df.columns]), key, "left")
 
 
-def export(df: DataFrame, tau: float, *, since: float | None = None, include_below: bool = False, dedupe: bool = False) -> DataFrame:
+#: Rows of an export at most; the best ones stay.
+MOST_EXPORTED = 2_000_000
+
+
+def export(df: DataFrame, tau: float, *, since: float | None = None, include_below: bool = False, dedupe: bool = False, most: int = MOST_EXPORTED) -> DataFrame:
     """Ranked rows of an export: `above` says whether a score reaches tau; rows below go unless asked for. Rows older than
-    `since` go before segments are reduced to their best row. Scores that are no number are left out."""
+    `since` go before segments are reduced to their best row. Scores that are no number are left out; of more than `most`
+    rows the best are exported."""
     df = df.where(F.col("score").isNotNull() & ~F.isnan("score"))
     if since is not None:
         df = df.where(F.col("created_at_unix_s") >= F.lit(since))
@@ -67,7 +100,8 @@ def export(df: DataFrame, tau: float, *, since: float | None = None, include_bel
         df = df.where("above")
     if dedupe:
         df = first_per_segment(df, empty_is_none=True)
-    return confidence(ranked(df), None if include_below else tau)
+    best = df.orderBy(F.col("score").desc(), "row").limit(most)
+    return confidence(ranked(best), None if include_below else tau)
 
 
 def interval_rows(intervals: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -85,3 +119,15 @@ def interval_rows(intervals: DataFrame, corpus: DataFrame) -> DataFrame:
 def page_of_score(df: DataFrame, score: float, size: int) -> DataFrame:
     """(page): that of the first ranked row whose score is at most the given one; null if there is none."""
     return df.where(F.col("score") <= F.lit(score)).agg((F.floor((F.min("rank") - 1) / size) + 1).alias("page"))
+
+
+def interval_export(intervals: DataFrame, corpus: DataFrame, tag: str, prefix: str) -> DataFrame:
+    """The interval export table: ranked intervals with the names, day and media of their peak clips."""
+    r = interval_rows(intervals, corpus).withColumnRenamed("peak", "peak_score").withColumnRenamed("mean", "mean_score")
+    start = F.regexp_extract("peak_chunk_id", r"#t([0-9]+)$", 1).try_cast("long")
+    uri = F.concat(F.lit(prefix), F.lit("dt="), utc_day(start), F.lit("/"), F.col("run_uuid"), F.lit("_t"), start.cast("string"), F.lit(".mp4"))
+    return r.select(
+        "rank", "peak_score", "mean_score", "run_uuid", F.col("start_ns").alias("start_timestamp_ns"), F.col("end_ns").alias("end_timestamp_ns"),
+        F.col("seconds").alias("duration_s"), F.col("num_cells").alias("num_chunks"), "segment_id", F.col("peak_chunk_id").alias("chunk_id"),
+        F.coalesce(uri, F.lit("")).alias("source_media_uri"), F.lit(tag).alias("tag"),
+    )

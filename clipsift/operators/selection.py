@@ -24,12 +24,12 @@ class Screen:
         return bound_cauchy(self.scale)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Add score, from the quantised vectors."""
+        """Add score, from the quantised vectors; a null vector counts as zeros."""
         i8 = quantise(F.col("vec"), self.scale)
-        return df.withColumn("score", F.round(maxsim(i8, [weights(q, self.scale) for q in self.queries]), 9))
+        return df.withColumn("score", F.coalesce(F.round(maxsim(i8, [weights(q, self.scale) for q in self.queries]), 9), F.lit(0.0)))
 
     def exact(self) -> Column:
-        return F.round(F.array_max(F.array(*[dot(F.col("vec"), literal(q)) for q in self.queries])), 9)
+        return F.coalesce(F.round(F.array_max(F.array(*[dot(F.col("vec"), literal(q)) for q in self.queries])), 9), F.lit(0.0))
 
 
 def classify(score: Column, tau: float, eps: float) -> Column:
@@ -50,23 +50,23 @@ def select(corpus: DataFrame, screen: Screen, *, k: int | None = None, tau: floa
     """Rows by top k or by threshold, with score, class and exact (null where not needed).
 
     k: candidates are all rows within twice the bound of the k-th screened score; with refine they are ordered by exact
-    scores. tau: rows surely above, and those of the band whose exact score reaches tau; scores stay screened.
+    scores. tau: rows surely above, and those of the band whose exact score reaches tau, by score; scores stay screened.
     """
     if (k is None) == (tau is None):
         raise ValueError("exactly one of k and tau")
     scored = screen.apply(corpus)
+    if k is not None and not refine:
+        return ordered(scored.withColumn("class", F.lit("above")).withColumn("exact", F.lit(None).cast("double"))).limit(k)
     if k is not None:
         cut = kth_score(scored, k)
         if cut is None:
             return scored.withColumn("class", F.lit("above")).withColumn("exact", F.col("score"))
-        if not refine:
-            return ordered(scored.where(F.col("score") >= cut).withColumn("class", F.lit("above")).withColumn("exact", F.lit(None).cast("double"))).limit(k)
         window = scored.withColumn("class", classify(F.col("score"), cut, 2 * screen.eps)).where("class != 'below'")
         return ordered(window.withColumn("exact", screen.exact()), "exact").limit(k)
     kept = scored.withColumn("class", classify(F.col("score"), tau, screen.eps)).where("class != 'below'")
     exact = F.when(F.col("class") == "band", screen.exact())
     kept = kept.withColumn("exact", exact if refine else F.lit(None).cast("double"))
-    return kept.where((F.col("class") == "above") | (F.coalesce("exact", "score") >= tau))
+    return ordered(kept.where((F.col("class") == "above") | (F.coalesce("exact", "score") >= tau)))
 
 
 def filtered(

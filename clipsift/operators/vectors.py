@@ -42,9 +42,17 @@ def directions(vectors: Sequence[Sequence[float]], most: int = 64) -> list[list[
 
 
 def scales(df: DataFrame, vec: str = "vec") -> list[float]:
-    """Largest absolute value of each dimension; dim numbers reach the driver."""
-    rows = df.select(F.posexplode(vec).alias("d", "x")).groupBy("d").agg(F.max(F.abs(F.col("x").cast("double"))).alias("m")).orderBy("d").collect()
-    return [r["m"] for r in rows]
+    """Largest absolute value of each dimension: a row of maxima per Arrow batch, and only these are exploded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(0).drop_null()
+            if len(col):
+                m = np.abs(col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array([m.max(axis=0).tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    found = df.select(vec).mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("d", "x")).groupBy("d").agg(F.max("x").alias("m")).orderBy("d").collect()
+    return [r["m"] for r in found]
 
 
 def quantise(vec: Column, scale: Sequence[float]) -> Column:

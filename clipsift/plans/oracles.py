@@ -133,7 +133,6 @@ n AS (SELECT "row", count(*) OVER (PARTITION BY cx, cy) AS cell_count FROM g), e
 SELECT "row", cell_count, 'q' || (1 + len(list_filter(e, lambda x: x <= cell_count))) AS bucket FROM n, e""",
     "category_coloring": CLIPS + """, c AS (SELECT "row", coalesce(segment_id, '(none)') AS c FROM clips), t AS (SELECT c, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, c LIMIT 5) SELECT "row", coalesce(t.c, 'other') AS label FROM c LEFT JOIN t ON c.c = t.c""",
     "coverage_report": CLIPS + " SELECT count(segment_id) AS n, count(*) AS total, round(100.0::DOUBLE * count(segment_id) / count(*), 4) AS pct FROM clips",
-    "bitmap_membership": CLIPS + ' SELECT CAST(CASE WHEN "row" > 0 THEN 1 + ("row" - 1) // 32768 ELSE "row" // 32768 END AS BIGINT) AS bucket, count(*) AS n FROM clips WHERE "row" % 3 = 0 GROUP BY 1',
     "vehicle_from_segment": "SELECT event_id, 'truck' || user_id AS vehicle FROM events",
     "slugify": "SELECT doc_id, left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), 40) AS slug FROM documents",
     "utc_format": CLIPS + """ SELECT "row", strftime(make_timestamp(chunk_start_unix * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM clips""",
@@ -143,7 +142,7 @@ _INTERVAL = ORACLES["intervals"].rpartition("\nSELECT")[0]
 _ROCCHIO = ORACLES["rocchio_topk"].rpartition("\nSELECT")[0]
 _NAME = "run_uuid || '#t' || chunk_start_unix"
 _WANTED = f"""SELECT {_NAME} AS chunk_id FROM clips WHERE "row" % 7 = 0 UNION SELECT unnest(['no-run#t5', 'bad', 'run-1#tx'])"""
-_LOG = """WITH log AS (SELECT event_id AS id, 'q ' || lower(event_type) AS query, 'u' || (user_id % 20) AS user_email, CAST(props ->> '$.k' AS INT) AS k FROM events WHERE event_id % 2 = 0),
+_LOG = """WITH log AS (SELECT event_id AS id, 'q ' || lower(event_type) AS query, 'u' || (user_id % 20) AS user_email, CAST(props ->> '$.k' AS INT) AS k FROM events),
 x AS (SELECT id, query, user_email, 's' || unnest([k, k + 1]) AS segment_id FROM log)"""
 _HELD = """WITH a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score, quality AS label FROM labels JOIN documents USING (doc_id)),
 g AS (SELECT score AS tau, sum(label) AS p, sum(1 - label) AS q FROM a WHERE doc_id % 5 <> 0 GROUP BY score),
@@ -179,8 +178,6 @@ SELECT round(sum(n * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (lo + bin * w + w
     "stale_thresholds": TAGS.split(",\nnow AS")[0] + ", m AS (SELECT *, max(version) OVER (PARTITION BY tag) AS top FROM v) SELECT tag, project, round(threshold, 6) AS threshold, version, version < top AS stale FROM m QUALIFY row_number() OVER (PARTITION BY tag, project ORDER BY version DESC) = 1",
     "segment_set_usage": "SELECT props ->> '$.k' AS uuid, max('set ' || user_id) AS name, count(*) AS uses, max(ts) AS last, CAST(sum(event_id) AS BIGINT) AS n_rows FROM events WHERE event_type = 'view' GROUP BY 1",
     "dedupe_tags": "SELECT event_type || '_' || (user_id % 10) AS tag, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY event_id % 3 = 0 DESC, ts DESC, event_id DESC) = 1",
-    "feedback_backfill": _LOG + " SELECT id, query, user_email, segment_id FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.id % 5 = 0 AND y.query = x.query AND y.user_email = x.user_email AND y.segment_id = x.segment_id) QUALIFY row_number() OVER (PARTITION BY query, user_email, segment_id ORDER BY id) = 1",
-    "recent_exports": _LOG + " SELECT id, query, CAST(2 AS INT) AS n_segments FROM log ORDER BY id DESC LIMIT 50",
     "segment_set": EXACT + " SELECT DISTINCT segment_id FROM s WHERE score >= 0.05 AND segment_id <> ''",
     "list_segment_sets": "SELECT 'Set ' || event_type || ' ' || user_id AS name, event_id % 4 AS version, CAST(event_id AS VARCHAR) AS uuid FROM events WHERE event_id % 7 <> 0 AND event_id % 4 <> 0 AND event_type LIKE '%click%' AND ('Set ' || event_type || ' ' || user_id) LIKE '%11%'",
     "internal_id_lookup": CLIPS + ' SELECT "row", CASE WHEN "row" % 3 = 0 THEN "row" * 7 + 1000 END AS internal_id FROM clips',
@@ -210,3 +207,44 @@ SELECT any_value(tau) AS tau, true AS fitted, count(*) FILTER (score >= tau) AS
     "export_backfill": """WITH log AS (SELECT event_id AS id, CASE WHEN event_id % 6 <> 0 THEN 'u' || user_id END AS tag, event_id % 4 <> 0 AS has_vector, CAST(event_id % 10 - 2 AS DOUBLE) / 10 AS threshold, CASE WHEN event_id % 3 = 0 THEN 'x/' || event_id ELSE '' END AS uri FROM events)
 SELECT tag, round(CASE WHEN threshold > 0 THEN threshold END, 6) AS threshold, uri, CASE WHEN uri <> '' THEN 'ready' END AS status FROM log WHERE tag IS NOT NULL AND has_vector AND tag NOT IN (SELECT tag FROM log WHERE id % 500 = 0 AND tag IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY id) = 1""",
 }
+
+_URI = "'clips/dt=' || strftime(make_timestamp(t * 1000000), '%Y-%m-%d') || '/' || run_uuid || '_t' || t || '.mp4'"
+_TAU = screened("0").replace("FROM i8, q GROUP BY", "FROM i8, q WHERE vehicle IN ('v0', 'v2') GROUP BY")
+ORACLES |= {
+    "bitmap_members": CLIPS + """ SELECT "row", coalesce(segment_id <> '', false) AS member FROM clips""",
+    "export_marks": _LOG + """, top AS (SELECT max(id) // 5 AS top FROM log)
+SELECT id, query, user_email, segment_id FROM x WHERE NOT EXISTS (SELECT 1 FROM x y, top WHERE y.id <= top AND y.query = x.query AND y.user_email = x.user_email AND y.segment_id = x.segment_id) QUALIFY row_number() OVER (PARTITION BY query, user_email, segment_id ORDER BY id) = 1""",
+    "newest_exports": _LOG + " SELECT id, query, CAST(2 AS INT) AS n_segments FROM log ORDER BY id DESC LIMIT 50",
+    "stored_screen_topk": screened("0") + ' SELECT "row", run_uuid, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, "row" LIMIT 25',
+    "candidate_counts": _TAU + " SELECT 'k' AS mode, count(*) AS n FROM scored UNION ALL SELECT 'tau', count(*) FILTER (score >= 0.1 - eps) FROM scored, e",
+    "cut_selection": screened("0") + """, a AS (SELECT "row", score, count(*) OVER () > 30 AS truncated FROM scored WHERE score >= 0.05) SELECT "row", round(score, 6) AS score, truncated FROM a ORDER BY a.score DESC, "row" LIMIT 30""",
+    "refine_falls_back": screened("0") + ' SELECT "row", round(score, 6) AS score FROM scored ORDER BY scored.score DESC, "row" LIMIT 20',
+    "alignment_check": CLIPS + " SELECT least(32, count(*)) AS checked, CAST(1 AS BIGINT) AS mismatches FROM clips",
+    "tags_by_creator": TAGS.replace("event_type AS project, ts AS created_at", "event_type AS project, ts AS created_at, 'c' || (event_id % 7) AS created_by, 'About ' || event_type AS description") + " SELECT tag, version, created_by, description FROM now WHERE (lower(tag) LIKE '%click%' OR lower(description) LIKE '%click%') AND created_by = 'c3' ORDER BY created_at DESC, tag LIMIT 50",
+    "tag_exports": TAGS + """, x AS (SELECT 'u' || user_id AS tag, string_agg(event_id, ',' ORDER BY event_id DESC) AS exports FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+n AS (SELECT tag, string_agg(version, ',' ORDER BY version DESC) AS versions FROM v GROUP BY tag) SELECT n.tag, versions, exports FROM n LEFT JOIN x ON n.tag = x.tag""",
+    "version_marks": """WITH g AS (SELECT 'u' || user_id AS tag, event_id % 3 AS version, props ->> '$.k' AS chunk, CASE WHEN event_type = 'error' THEN 'down' ELSE 'up' END AS mark, ts, event_id, count(*) OVER () AS processed FROM events)
+SELECT tag, version, chunk, mark, processed FROM g QUALIFY row_number() OVER (PARTITION BY tag, version, chunk ORDER BY ts DESC, event_id DESC) = 1""",
+    "refresh_decisions": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'skip: loading' WHEN event_id % 11 = 0 THEN 'skip: none resident' WHEN event_id % 4 <> 0 AND event_id % 6 <> 0 AND event_id % 7 = event_id % 3 THEN 'skip: unchanged' ELSE 'reload' END AS decision FROM events""",
+    "project_lists": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'view' WHEN event_type IN ('view', 'purchase') THEN event_type || ',click' ELSE 'click' END AS projects FROM events""",
+    "since_corpus_version": CLIPS + ' SELECT "row", created_at_unix_s FROM clips WHERE created_at_unix_s >= 1704067200 + 3 * 86400',
+    "segment_set_rows": CLIPS + """ SELECT "row", segment_id FROM clips WHERE segment_id IN (SELECT segment_id FROM clips WHERE vehicle = 'v1' AND segment_id <> '')""",
+    "vector_text": CLIPS + """ SELECT "row", '[' || array_to_string(list_transform(vec, lambda x: CAST(round(x, 3) + 0.0::DOUBLE AS VARCHAR)), ',') || ']' AS json FROM clips""",
+    "comma_segments": "SELECT event_id, unnest([event_type, 's ' || user_id, 'x y']) AS segment FROM events",
+    "comma_members": "SELECT event_id FROM events WHERE user_id = 1 OR event_type = 'view'",
+    "checkpoint_names": "SELECT event_id, 'step_' || event_id AS checkpoint FROM events",
+    "dictionary_decode": CLIPS + """ SELECT "row", CASE WHEN segment_id IS NOT NULL THEN dense_rank() OVER (ORDER BY segment_id NULLS LAST) - 1 END AS code, segment_id AS value FROM clips""",
+    "first_occurrences": "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type IS NOT NULL GROUP BY user_id",
+    "point_detail": POINTS + f""" SELECT "row", run_uuid || '#t' || t AS chunk_id, run_uuid, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS dt, t AS chunk_start_unix, {_URI} AS source_media_uri, round(x, 6) AS x, round(y, 6) AS y FROM pts JOIN (SELECT "row", run_uuid, chunk_start_unix AS t FROM clips) USING ("row") WHERE "row" = 11""",
+    "interval_export": f"""SELECT peak AS peak_score, mean AS mean_score, run_uuid, start_ns AS start_timestamp_ns, end_ns AS end_timestamp_ns, seconds AS duration_s, num_cells AS num_chunks, segment_id, peak_chunk_id AS chunk_id, {_URI} AS source_media_uri, 'tag_a' AS tag
+FROM (SELECT *, CAST(regexp_extract(peak_chunk_id, '#t([0-9]+)$', 1) AS BIGINT) AS t FROM ({ORACLES["interval_rows"]}))""",
+    "histogram_summary": EXACT + " SELECT count(*) AS total, round(min(score), 4) AS min, round(max(score), 4) AS max, round(avg(score), 4) AS mean, count(*) FILTER (score >= 0.1) AS above_tau FROM s",
+    "unique_users": "SELECT count(*) AS visits, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'view'",
+    "curve_points": LABELLED + """, o AS (SELECT *, row_number() OVER (ORDER BY tau DESC) - 1 AS i, count(*) OVER () AS n FROM c)
+SELECT round(tau, 6) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall FROM o WHERE n <= 50 OR i IN (SELECT CAST(round_even(CAST(k AS DOUBLE) * (n - 1) / 49, 0) AS BIGINT) FROM (SELECT unnest(range(50)) AS k), (SELECT count(*) AS n FROM c))""",
+    "topped_up_sample": EXACT + """, f AS (SELECT "row", score, md5('0:' || "row") AS o FROM s WHERE "row" NOT IN (0, 1, 2)), near AS (SELECT * FROM f WHERE abs(score - 0.1) <= 0.00001 ORDER BY o, "row" LIMIT 6),
+left_ AS (SELECT * FROM f WHERE "row" NOT IN (SELECT "row" FROM near)), m AS (SELECT 12 - count(*) AS m FROM near), p AS (SELECT l.*, row_number() OVER (ORDER BY score DESC, "row") - 1 AS i, count(*) OVER () AS n, m FROM left_ l, m),
+g AS (SELECT *, CASE WHEN i < (n % m) * (n // m + 1) THEN i // (n // m + 1) ELSE (i - n % m) // (n // m) END AS g FROM p), one AS (SELECT "row", score FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY o, "row") = 1)
+SELECT "row", round(score, 6) AS score FROM (SELECT "row", score FROM near UNION ALL SELECT * FROM one)""",
+    "packed_points": CLIPS + " SELECT count(vec) AS n, 8 * count(vec) AS xy_bytes, count(vec) AS code_bytes FROM clips",
+}

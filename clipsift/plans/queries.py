@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.functions import text
-from clipsift.operators import atlas, calibration, catalog, exporting, feedback, ledger, pca, selection, vectors
+from clipsift.functions import encode, text
+from clipsift.operators import atlas, calibration, catalog, exporting, feedback, ledger, pca, projects, screening, selection, vectors
 from clipsift.operators import intervals as iv
+from clipsift.session import shared_folder
 from clipsift.sources.clips import clips, coverage, key_values
+from clipsift.sources import remote
 from clipsift.sources.files import null_rate
 from clipsift.streaming import ingest
 
@@ -174,7 +175,7 @@ def since_version(s, d):
 
 @query
 def result_page(s, d):
-    return out(exporting.page(exporting.ranked(exact(clips(s, d))), 3, 20), "rank", "row", "score")
+    return out(exporting.page_of(exact(clips(s, d)), 3, 20), "rank", "row", "score")
 
 
 @query
@@ -329,10 +330,14 @@ def coverage_report(s, d):
 
 
 @query
-def bitmap_membership(s, d):
-    """Ids as bitmaps, and the number of rows they hold."""
-    b = clips(s, d).where("row % 3 = 0").groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("row"))).alias("n"))
-    return b
+def bitmap_members(s, d):
+    """Rows of clips with a segment as bitmaps, and of every clip whether its bit is set."""
+    c = clips(s, d)
+    bucket, bit = F.bitmap_bucket_number("row"), F.bitmap_bit_position("row")
+    maps = c.where("segment_id is not null and segment_id != ''").groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)) == 1
+    return c.select("row", bucket.alias("bucket"), bit.alias("bit")).join(maps, "bucket", "left").select("row", F.coalesce(held, F.lit(False)).alias("member"))
 
 
 @query
@@ -447,21 +452,23 @@ def export_log(s: SparkSession, d: str) -> DataFrame:
     """Export log over `events`: two segments each, as JSON."""
     k = F.get_json_object("props", "$.k").cast("int")
     seg = lambda x: F.concat(F.lit("s"), x.cast("string"))
-    return read(s, d, "events").where("event_id % 2 = 0").select(
+    return read(s, d, "events").select(
         F.col("event_id").alias("id"), text.query_key(F.concat(F.lit("  Q "), F.col("event_type"), F.lit("  "))).alias("query"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("user_email"),
         F.to_json(F.array(seg(k), seg(k + 1))).alias("segment_ids"),
     )
 
 
 @query
-def feedback_backfill(s, d):
+def export_marks(s, d):
+    """Marks that exports imply and the ledger, which knows those of older ones, lacks."""
     log = export_log(s, d).withColumn("segments", F.from_json("segment_ids", "array<string>"))
-    known = log.where("id % 5 = 0").select("query", "user_email", F.explode("segments").alias("segment_id"))
+    newest = log.agg(F.max("id")).first()[0]
+    known = log.where(F.col("id") <= newest // 5).select("query", "user_email", F.explode("segments").alias("segment_id"))
     return catalog.feedback_backfill(log, known).select("id", "query", "user_email", "segment_id")
 
 
 @query
-def recent_exports(s, d):
+def newest_exports(s, d):
     return export_log(s, d).select("id", "query", F.json_array_length("segment_ids").alias("n_segments")).orderBy(F.col("id").desc()).limit(50)
 
 
@@ -556,7 +563,7 @@ def real_projection(s, d):
 @query
 def stream_upsert_clips(s, d):
     """Clips written as a folder of events, some twice, and upserted by a stream; its final state."""
-    base = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='clipsift-stream-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(s, 'streams')}/stream-{uuid.uuid4().hex}"
     c = clips(s, d).select(exporting.chunk_id().alias("chunk_id"), "row", F.timestamp_seconds("chunk_start_unix").alias("event_time"))
     c.unionByName(c.where("row % 4 = 0").withColumn("event_time", F.col("event_time") + F.expr("interval 10 minutes")).withColumn("row", F.col("row") + 1_000_000)).write.parquet(f"{base}/in")
     ingest.upsert(ingest.read_clips(s, f"{base}/in", "chunk_id string, row long, event_time timestamp"), f"{base}/log", f"{base}/state").awaitTermination()
@@ -586,3 +593,179 @@ def export_backfill(s, d):
     e = read(s, d, "events")
     log = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tag"), (F.col("event_id") % 4 != 0).alias("has_vector"), ((F.col("event_id") % 10 - 2) / 10).alias("threshold"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x/"), F.col("event_id").cast("string"))).otherwise("").alias("uri"))
     return out(ledger.backfill(log, log.where("id % 500 = 0")), "tag", "threshold", "uri", "status")
+
+
+def stored_screen(s: SparkSession, d: str) -> tuple[DataFrame, selection.Screen]:
+    """The int8 corpus and a screen of it."""
+    c = clips(s, d)
+    sc = screen_of(c)
+    return screening.store(c, sc.scale), sc
+
+
+@query
+def stored_screen_topk(s, d):
+    stored, sc = stored_screen(s, d)
+    return out(selection.ordered(screening.screened(stored, sc)).limit(25), "row", "run_uuid", "score")
+
+
+@query
+def candidate_counts(s, d):
+    c = selection.filtered(clips(s, d), vehicles=["v0", "v2"])
+    sc = screen_of(clips(s, d))
+    scored = sc.apply(c)
+    return s.createDataFrame([("k", screening.candidates(scored, sc)), ("tau", screening.candidates(scored, sc, tau=0.1))], "mode string, n long")
+
+
+@query
+def cut_selection(s, d):
+    c = clips(s, d)
+    got = screening.selection(c, screen_of(c), tau=0.05, max_rows=30, refine="never")
+    return out(got.rows.withColumn("truncated", F.lit(got.truncated)), "row", "score", "truncated")
+
+
+@query
+def refine_falls_back(s, d):
+    c = clips(s, d)
+    return out(screening.selection(c, screen_of(c), k=20, refine="auto", usable=False).rows, "row", "score")
+
+
+@query
+def alignment_check(s, d):
+    named = clips(s, d).select("row", exporting.chunk_id().alias("chunk_id"))
+    return screening.spot_check(named, named.withColumn("chunk_id", F.when(F.col("row") == 0, F.lit("moved")).otherwise(F.col("chunk_id"))))
+
+
+def described_tags(s: SparkSession, d: str) -> DataFrame:
+    v = catalog.tag_versions(read(s, d, "events"))
+    return v.withColumn("created_by", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string"))).withColumn("description", F.concat(F.lit("About "), F.col("project")))
+
+
+@query
+def tags_by_creator(s, d):
+    return catalog.list_tags(described_tags(s, d), text="CLICK", creator="c3", number=1, size=50).select("tag", "version", "created_by", "description")
+
+
+@query
+def tag_exports(s, d):
+    e = read(s, d, "events")
+    exports = e.where("event_type = 'purchase'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tag"), F.col("event_id").alias("export_id"), F.col("event_id").alias("finished_at"))
+    r = catalog.record(catalog.tag_versions(e), exports)
+    return r.select("tag", F.array_join(F.col("versions").cast("array<string>"), ",").alias("versions"), F.array_join(F.col("exports").cast("array<string>"), ",").alias("exports"))
+
+
+@query
+def version_marks(s, d):
+    e = read(s, d, "events")
+    given = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tag"), (F.col("event_id") % 3).alias("version"), F.get_json_object("props", "$.k").alias("chunk"), F.when(F.col("event_type") == "error", "down").otherwise("up").alias("mark"), "ts", "event_id")
+    marks, n = catalog.version_marks(given, order=["ts", "event_id"])
+    return marks.withColumn("processed", F.lit(n).cast("long"))
+
+
+@query
+def refresh_decisions(s, d):
+    k = F.col("event_id")
+    status = F.when(k % 5 == 0, "loading").otherwise("ready")
+    held, latest = F.when(k % 4 != 0, k % 7), F.when(k % 6 != 0, k % 3)
+    return read(s, d, "events").select("event_id", projects.refresh_decision(status, held, latest, k % 11 != 0).alias("decision"))
+
+
+@query
+def project_lists(s, d):
+    names = F.concat_ws(" , ", "event_type", F.lit("Click"), F.lit(""), F.lit("other"), F.lit("CLICK"))
+    return read(s, d, "events").select("event_id", F.array_join(projects.enabled(F.when(F.col("event_type") != "error", names), ("click", "view", "purchase"), "view"), ",").alias("projects"))
+
+
+@query
+def since_corpus_version(s, d):
+    c = clips(s, d)
+    versions = s.createDataFrame([(1, 1704067200.0), (2, 1704067200.0 + 3 * 86400), (3, 1704067200.0 + 6 * 86400)], "version int, committed_at double")
+    return remote.since_version(c, versions, 2).select("row", "created_at_unix_s")
+
+
+@query
+def segment_set_rows(s, d):
+    c = clips(s, d)
+    ids = c.where("vehicle = 'v1' and segment_id != ''").select("segment_id")
+    return remote.set_filter(c, ids).select("row", "segment_id")
+
+
+@query
+def vector_text(s, d):
+    return clips(s, d).select("row", encode.vector_json(F.col("vec"), 3).alias("json"))
+
+
+@query
+def comma_segments(s, d):
+    given = F.concat_ws(",", F.col("event_type"), F.concat(F.lit(" s "), F.col("user_id").cast("string")), F.lit(" "), F.lit("x y"))
+    return read(s, d, "events").select("event_id", F.explode(encode.comma_items(given)).alias("segment"))
+
+
+@query
+def comma_members(s, d):
+    joined = F.concat(F.lit(","), "event_type", F.lit(",u"), F.col("user_id").cast("string"), F.lit(","))
+    return read(s, d, "events").where(encode.in_commas(joined, F.lit("u1")) | encode.in_commas(joined, F.lit("view"))).select("event_id")
+
+
+@query
+def checkpoint_names(s, d):
+    uri = F.concat(F.lit("s3://models/run-"), (F.col("event_id") % 9).cast("string"), F.lit("/step_"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "/").otherwise(""))
+    return read(s, d, "events").select("event_id", encode.checkpoint_name(uri).alias("checkpoint"))
+
+
+@query
+def dictionary_decode(s, d):
+    """Codes of the segments, joined back to their values."""
+    c = clips(s, d)
+    values = encode.dictionary(c, "segment_id")
+    coded = c.join(values, c["segment_id"] == values["value"], "left").select("row", "code")
+    return coded.join(values, "code", "left").select("row", "code", "value")
+
+
+@query
+def first_occurrences(s, d):
+    return encode.first_occurrences(read(s, d, "events").where("event_type is not null"), "user_id", "event_id")
+
+
+@query
+def point_detail(s, d):
+    return out(atlas.point_detail(atlas.scaled_points(clips(s, d)), 11, "clips/"), "row", "chunk_id", "run_uuid", "dt", "chunk_start_unix", "source_media_uri", "x", "y")
+
+
+@query
+def interval_export(s, d):
+    c = clips(s, d)
+    return exporting.interval_export(iv.intervals(exact(c), 0.05), c, "tag_a", "clips/").drop("rank")
+
+
+@query
+def histogram_summary(s, d):
+    return calibration.histogram_summary(exact(clips(s, d)), 0.1)
+
+
+@query
+def unique_users(s, d):
+    e = read(s, d, "events").where("event_type = 'view'")
+    return e.agg(F.count(F.lit(1)).alias("visits"), F.countDistinct("user_id").alias("users"))
+
+
+@query
+def curve_points(s, d):
+    return out(calibration.curve_points(calibration.sweep(labelled(s, d)), 50), "tau", "precision", "recall")
+
+
+@query
+def topped_up_sample(s, d):
+    return out(calibration.topped_up_sample(exact(clips(s, d)), 0.1, 0.00001, 12, [0, 1, 2]), "row", "score")
+
+
+@query
+def packed_points(s, d):
+    """Sizes of the packed form; that it unpacks to the same points is tested."""
+    p = encode.packed_points(atlas.scaled_points(clips(s, d)).withColumn("code", F.lit(3)), "code")
+    return p.agg(F.sum("n").alias("n"), F.sum(F.octet_length("xy")).alias("xy_bytes"), F.sum(F.octet_length("code")).alias("code_bytes"))
+
+
+@query
+def reduced_points(s, d):
+    """No SQL: eigenvectors. Tested against numpy."""
+    return atlas.reduced(clips(s, d)).select("row", F.transform("position", lambda x: F.round(x, 5)).alias("position"))

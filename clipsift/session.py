@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,14 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one with a local master (tests)
+    only, as executors of a cluster would not find what others wrote there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share, for {purpose}")
+    return tempfile.mkdtemp(prefix="clipsift-")

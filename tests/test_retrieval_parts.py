@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipsift.functions import text
-from clipsift.operators import calibration, encoding, feedback, ledger, pca, selection, vectors
+from clipsift.functions import encode, text
+from clipsift.operators import atlas, calibration, encoding, exporting, feedback, ledger, pca, projects, screening, selection, vectors
 from clipsift.plans import queries
 from clipsift.sinks import files as sinks
-from clipsift.sources import files
+from clipsift.session import shared_folder
+from clipsift.sources import files, remote
 from clipsift.sources.clips import clips
 
 DATA = "/root/testdata/sf0.001"
@@ -214,3 +215,141 @@ def test_null_fraction_takes_all_rows(spark, monkeypatch):
     df = spark.range(300_000).selectExpr("if(id >= 200000, null, 'a') as segment_id")
     monkeypatch.setattr(queries, "clips", lambda s, d: df)
     assert queries.QUERIES["null_fraction"](spark, "").first()["fraction"] == 0.333333
+
+
+def test_stored_screen_reads_nulls_as_zeros_and_equals_the_screen(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 9 == 0 else [float(x) for x in rng.normal(0, 1, 8)]) for i in range(60)]
+    c = spark.createDataFrame(rows, "row long, vec array<double>")
+    screen = selection.Screen([[1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6], vectors.scales(c))
+    stored = screening.same_rows(screening.store(c, screen.scale), 60)
+    got = {r.row: r.score for r in screening.screened(stored, screen).collect()}
+    want = {r.row: r.score for r in screen.apply(c).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert got[0] == want[0] == 0.0
+    with pytest.raises(ValueError):
+        screening.same_rows(stored, 61)
+
+
+def test_choice_of_refinement(spark):
+    c = spark.createDataFrame([(i, [float(i % 7), float(i % 5) / 3]) for i in range(50)], "row long, vec array<double>")
+    screen = selection.Screen([[1.0, 0.0]], vectors.scales(c))
+    with pytest.raises(ValueError):
+        screening.selection(c, screen, k=3, refine="always", usable=False)
+    with pytest.raises(ValueError):
+        screening.selection(c, screen, k=3, refine="sometimes")
+    auto = screening.selection(c, screen, k=3, usable=False)
+    assert not auto.refined
+    assert auto.candidates == 50
+    assert [r.row for r in auto.rows.collect()] == [6, 13, 20]
+    kept = screening.selection(c, screen, tau=2.5, max_rows=4)
+    assert kept.truncated
+    assert [r.row for r in kept.rows.collect()] == [6, 13, 20, 27]
+    assert not screening.selection(c, screen, k=3, max_rows=1).truncated
+
+
+def test_spot_check_finds_moved_rows(spark):
+    c = spark.createDataFrame([(i, f"r#t{i}") for i in range(500)], "row long, chunk_id string")
+    assert tuple(screening.spot_check(c, c).first()) == (32, 0)
+    moved = c.withColumn("row", c["row"] + 1)
+    assert tuple(screening.spot_check(c, moved).first()) == (32, 32)
+    assert tuple(screening.spot_check(c, c.limit(0)).first()) == (0, 0)
+
+
+def test_arrays_points_and_json(spark):
+    m = np.random.default_rng(6).normal(0, 1, (3, 4)).astype(np.float32)
+    assert (encode.text_array(encode.array_text(m)) == m).all()
+    d = spark.createDataFrame([(2, 0.5, -0.25, 7), (1, 1.0, 2.0, 9)], "row long, x double, y double, code int")
+    blobs = sorted(encode.packed_points(d, "code").collect())
+    xy = np.frombuffer(b"".join(r.xy for r in blobs), "<f4")
+    assert xy.tolist() == [1.0, 2.0, 0.5, -0.25]
+    assert b"".join(r.code for r in blobs) == bytes([9, 7])
+    v = spark.createDataFrame([([0.12345, -0.0],)], "v array<double>")
+    assert v.select(encode.vector_json(F.col("v"), 2)).first()[0] == "[0.12,0.0]"
+    nested = spark.createDataFrame([([[1.0], [2.0]],)], "v array<array<double>>")
+    assert nested.select(encode.vector_json(F.col("v"))).first()[0] == "[[1.0],[2.0]]"
+
+
+def test_remote_sets_and_versions(spark, tmp_path):
+    held = [["a", "", "b"], ["b", "c"], []]
+
+    def fetch(uuid, cursor, size):
+        k = int(cursor or 0)
+        return held[k], str(k + 1) if k + 1 < len(held) else None
+
+    ids = remote.remote_set(spark, fetch, "u", f"{tmp_path}/set")
+    assert sorted(r.segment_id for r in ids.collect()) == ["a", "b", "c"]
+    d = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "row long, segment_id string")
+    assert [r.row for r in remote.set_filter(d, ids).collect()] == [1]
+    with pytest.raises(remote.NotReady):
+        remote.set_filter(d, None, "loading")
+    for bad in (ids.limit(0), None):
+        with pytest.raises(ValueError):
+            remote.set_filter(d, bad)
+    versions = spark.createDataFrame([(1, 5.0)], "version int, committed_at double")
+    with pytest.raises(ValueError):
+        remote.since_version(d.withColumn("created_at_unix_s", F.lit(6.0)), versions, 2)
+
+
+def test_projects():
+    known = {n: projects.Project(n, n.upper(), f"x/{n}") for n in ("a", "b")}
+    r = projects.Registry(known, "a")
+    assert r.enabled(" B ,nope,b,a") == ["b", "a"]
+    assert r.enabled("") == ["a"]
+    assert r.get(None, "b").name == "b"
+    assert r.get("A", overrides={"a_corpus": "y", "a_label": " "}).corpus == "y"
+    with pytest.raises(KeyError):
+        r.get("c")
+
+
+def test_reduced_points_are_the_two_strongest_axes(spark):
+    m = np.random.default_rng(7).normal(0, 1, (40, 5)) * [5, 3, 1, 1, 1]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row long, vec array<double>")
+    got = np.array([r.position for r in sorted(atlas.reduced(d).collect())])
+    u, s, _ = np.linalg.svd(m - m.mean(axis=0))
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]))
+    halves = atlas.reduced(d, lambda x: x[:, 3:5])
+    assert np.allclose([r.position for r in sorted(halves.collect())], m[:, 3:5])
+
+
+def test_utc_text_ignores_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert spark.range(1).select(text.utc(F.lit(1704153599))).first()[0] == "2024-01-01T23:59:59Z"
+        assert spark.range(1).select(text.utc(F.lit(-1))).first()[0] == "1969-12-31T23:59:59Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_lists_and_tags(spark):
+    d = spark.createDataFrame([("a, b;c ,,d",)], "x string")
+    assert d.select(text.items_of(F.col("x"))).first()[0] == ["a", "b;c", "d"]
+    names = spark.createDataFrame([("ok_1",), ("No",), (" x ",), ("",)], "x string")
+    assert [r[0] for r in names.select(text.valid_tag(F.col("x"))).collect()] == [True, False, True, False]
+
+
+@pytest.mark.parametrize("per_range", [7, 1000])
+def test_ranks_by_ranges_equal_one_order(spark, per_range):
+    rng = np.random.default_rng(8)
+    scores = [None, *rng.integers(0, 30, 200).tolist(), *rng.normal(0, 9, 100).tolist(), *[5] * 100]
+    d = spark.createDataFrame([(i, None if x is None else float(x)) for i, x in enumerate(scores)], "row long, score double")
+    got = {r.row: r["rank"] for r in exporting.ranked(d, rows_per_range=per_range).collect()}
+    order = sorted(range(len(scores)), key=lambda i: (scores[i] is None, -(scores[i] or 0), i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
+    assert exporting.ranked(d.limit(0)).count() == 0
+    page = exporting.page_of(d, 3, 20).collect()
+    assert [(r["rank"], r.row) for r in page] == [(k + 1, order[k]) for k in range(40, 60)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Fake, "streams")
