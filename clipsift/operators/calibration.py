@@ -33,19 +33,34 @@ def histogram(df: DataFrame, bins: int = 50, score: str = "score") -> DataFrame:
     return df.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def sweep(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(tau, tp, fp, precision, recall, fpr) at each distinct score, from the highest. Scores are grouped before they are ordered."""
-    by = df.groupBy(F.col(score).alias("tau")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    down, whole = Window.orderBy(F.col("tau").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    by = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("_p", F.sum("p").over(whole)).withColumn("_q", F.sum("q").over(whole))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(1.0)
-    return by.select("tau", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("_p")).alias("recall"), ratio(F.col("fp"), F.col("_q")).alias("fpr"))
+def sweep(df: DataFrame, score: str = "score", label: str = "label", *, rows_per_range: int = 1_000_000) -> DataFrame:
+    """(tau, tp, fp, precision, recall, fpr, gain) at each distinct score, from the highest; gain is the step of recall there.
+    Scores are grouped, cut at percentiles into ranges of about rows_per_range, added up within each and moved on by the sums of
+    the ranges before, so that no task orders all of them. Null scores come last; null labels count as neither."""
+    by = df.groupBy(F.col(score).alias("tau")).agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - F.col(label).cast("long")), F.lit(0)).alias("q"))
+    parts = -(-df.count() // rows_per_range)
+    found = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000)).first()[0] or [] if parts > 1 else []
+    bounds = sorted(set(found), reverse=True)
+    reached = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: F.col("tau") < x)) if bounds else F.lit(0)
+    by = by.withColumn("_range", F.when(F.col("tau").isNull(), F.lit(len(bounds))).otherwise(reached))
+    sums = sorted(tuple(r) for r in by.groupBy("_range").agg(F.sum("p"), F.sum("q")).collect())  # one row a range
+    before, p, q = [], 0, 0
+    for k, more_p, more_q in sums:
+        before.append((k, p, q))
+        p, q = p + more_p, q + more_q
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _p long, _q long"))
+    down = Window.partitionBy("_range").orderBy(F.col("tau").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.join(offsets, "_range").withColumn("tp", F.sum("p").over(down) + F.col("_p")).withColumn("fp", F.sum("q").over(down) + F.col("_q"))
+    ratio = lambda a, b, none=1.0: F.when(b > 0, a / b).otherwise(none)
+    return by.select(
+        "tau", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.lit(p)).alias("recall"),
+        ratio(F.col("fp"), F.lit(q)).alias("fpr"), ratio(F.col("p"), F.lit(p), 0.0).alias("gain"),
+    )
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    """Sum of recall steps times precision."""
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.col("tau").desc())), F.lit(0.0))
-    return curve.select((step * F.col("precision")).alias("a")).agg(F.round(F.sum("a"), 6).alias("ap"))
+    """Sum of recall steps times precision, of a sweep's rows in any order."""
+    return curve.agg(F.round(F.sum(F.col("gain") * F.col("precision")), 6).alias("ap"))
 
 
 def pick_tau(curve: DataFrame, objective: str = "f_beta", *, beta: float = 1.0, floor: float = 0.9) -> DataFrame:

@@ -343,6 +343,25 @@ def test_ranks_by_ranges_equal_one_order(spark, per_range):
     assert [(r["rank"], r.row) for r in page] == [(k + 1, order[k]) for k in range(40, 60)]
 
 
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_sweep_by_ranges(spark, per_range):
+    rng = np.random.default_rng(5)
+    rows = [(float(x) if x else None, int(y) if y < 2 else None) for x, y in zip(rng.integers(0, 40, 300), rng.integers(0, 3, 300), strict=True)]
+    d = spark.createDataFrame(rows, "score double, label int")
+    curve = calibration.sweep(d, rows_per_range=per_range)
+    pos, neg = (sum(y == k for _, y in rows) for k in (1, 0))
+    want, ap, last = {}, 0.0, 0.0
+    for tau in [*sorted({x for x, _ in rows if x}, reverse=True), None]:
+        tp, fp = (sum(y == k for x, y in rows if tau is None or (x or -1) >= tau) for k in (1, 0))
+        want[tau] = (tp, fp, tp / (tp + fp) if tp + fp else 1.0, tp / pos, fp / neg)
+        ap, last = ap + (tp / pos - last) * want[tau][2], tp / pos
+    got = {r.tau: (r.tp, r.fp, r.precision, r.recall, r.fpr) for r in curve.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[t], want[t]) for t in want)
+    assert abs(calibration.average_precision(curve).first().ap - ap) < 2e-6
+    assert calibration.sweep(d.limit(0)).count() == 0 and calibration.average_precision(calibration.sweep(d.limit(0))).first().ap is None
+    assert calibration.average_precision(calibration.sweep(d.where("label = 0"))).first().ap == 0.0
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Fake:
         class conf:  # noqa: N801
