@@ -219,17 +219,16 @@ class Network:
         table, out = self.inputs(), np.zeros(len(laid), np.float64)
         h = np.zeros((len(lane), HIDDEN), np.float32)
         for t0 in range(0, int(size[0]), window):
-            states, places = [], []
-            for t in range(t0, min(t0 + window, int(size[0]))):
-                n = int(np.searchsorted(-size, -t, side="left"))
-                at = begin[:n] + t
-                new = starts[at]
-                h[:n][new] = 0
-                h[:n] = self.step(table[np.where(new, END, laid[at - 1])], h[:n])[0]
-                states.append(h[:n].copy())
-                places.append(at)
-            at = np.concatenate(places)
-            out[at] = self.losses(np.concatenate(states), laid[at])[0]
+            steps = np.arange(t0, min(t0 + window, int(size[0])))
+            busy = np.searchsorted(-size, -steps, side="left")  # lanes that reach each step
+            at = np.concatenate([begin[:n] + t for t, n in zip(steps.tolist(), busy.tolist(), strict=True)])
+            new = starts[at]
+            x, go_on = table[np.where(new, END, laid[at - 1])], ~new[:, None]
+            states, a = np.empty((len(at), HIDDEN), np.float32), 0
+            for n in busy.tolist():
+                h = states[a : a + n] = self.step(x[a : a + n], h[:n] * go_on[a : a + n])[0]
+                a += n
+            out[at] = self.losses(states, laid[at])[0]
         scores = np.empty(docs)
         scores[order] = np.add.reduceat(out, first[:-1])
         return scores
