@@ -25,6 +25,17 @@ def uniform_sample(df: DataFrame, n: int) -> DataFrame:
     return df.where("vec is not null").withColumn("_o", (F.col("row") * 7919) % 10007).orderBy("_o", "row").limit(n).drop("_o")
 
 
+def seeded_sample(df: DataFrame, n: int, seed: int, cap: int | None = None) -> DataFrame:
+    """Up to n rows by a hash of seed and row, in order of row: twice as many are drawn, those without a vector go, and of each
+    run (null runs are one) the first `cap` by the hash stay."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row").cast("string")).cast("binary"))
+    drawn = df.withColumn("_o", order).orderBy("_o", "row").limit(2 * n).where("vec is not null")
+    if cap is not None:
+        w = Window.partitionBy(F.coalesce("run_uuid", F.lit(""))).orderBy("_o", "row")
+        drawn = drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+    return drawn.orderBy("_o", "row").limit(n).orderBy("row").drop("_o")
+
+
 def scaled_points(df: DataFrame) -> DataFrame:
     """x, y: the first two vector dimensions, centred and scaled by the largest absolute value to [-1, 1]."""
     xy = df.where("vec is not null").withColumn("x", F.col("vec")[0].cast("double")).withColumn("y", F.col("vec")[1].cast("double"))

@@ -7,6 +7,7 @@ Query-side arithmetic (weights, bounds) is done once on the driver; rows are sco
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,12 +81,15 @@ def maxsim(vec: Column, queries: Sequence[Sequence[float]]) -> Column:
     return F.array_max(F.array(*[dot(vec, literal(q)) for q in queries]))
 
 
-def arrow_scores(df: DataFrame, queries: Sequence[Sequence[float]], *, row: str = "row", vec: str = "vec") -> DataFrame:
-    """(row, score): largest dot product with the directions, a matrix product per Arrow batch. Null vectors score 0."""
+def arrow_scores(df: DataFrame, queries: Sequence[Sequence[float]], *, row: str = "row", vec: str = "vec", until: float | None = None) -> DataFrame:
+    """(row, score): largest dot product with the directions, a matrix product per Arrow batch. Null vectors score 0. After the
+    Unix time `until` no batch is begun and the job fails with a TimeoutError."""
     q = np.asarray(queries, np.float64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if until is not None and time.time() > until:
+                raise TimeoutError("exact scores were not done by their deadline")
             col = b.column(vec)
             score = np.zeros(b.num_rows)
             if len(col) > col.null_count:

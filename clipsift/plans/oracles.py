@@ -125,6 +125,8 @@ SELECT "row", round(score, 6) AS score FROM near UNION ALL SELECT "row", round(s
     "visits_per_user": "SELECT user_id, count(*) AS visits, max(event_id) AS last_event FROM events WHERE event_type = 'view' GROUP BY 1",
     "cap_per_run": CLIPS + ' SELECT "row", run_uuid FROM clips QUALIFY row_number() OVER (PARTITION BY run_uuid ORDER BY "row") <= 20',
     "uniform_sample": CLIPS + ' SELECT "row" FROM clips ORDER BY ("row" * 7919) % 10007, "row" LIMIT 100',
+    "seeded_sample": CLIPS + """, o AS (SELECT "row", run_uuid, vec, md5('7:' || "row") AS h FROM clips), t AS (SELECT * FROM o ORDER BY h, "row" LIMIT 200),
+c AS (SELECT "row", h FROM t WHERE vec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY coalesce(run_uuid, '') ORDER BY h, "row") <= 12) SELECT "row" FROM c ORDER BY h, "row" LIMIT 100""",
     "knn_cosine": CLIPS + ', q AS (SELECT vec AS q FROM clips WHERE "row" = 11), n AS (SELECT "row", round(list_dot_product(vec, q) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(q, q))), 6) AS similarity FROM clips, q WHERE "row" <> 11) SELECT * FROM n ORDER BY similarity DESC, "row" LIMIT 24',
     "minmax_box": POINTS + ' SELECT "row", round(x, 6) AS x, round(y, 6) AS y FROM pts',
     "lasso_polygon": POINTS + f', i AS (SELECT *, round((x - 0.05::DOUBLE) * (x - 0.05::DOUBLE) + (y - 0.05::DOUBLE) * (y - 0.05::DOUBLE), 9) AS d2 FROM pts WHERE ({_IN}) % 2 = 1) SELECT "row", round(d2, 6) AS d2 FROM i ORDER BY i.d2, "row" LIMIT 48',

@@ -298,6 +298,11 @@ def uniform_sample(s, d):
     return atlas.uniform_sample(clips(s, d), 100).select("row")
 
 
+@query
+def seeded_sample(s, d):
+    return atlas.seeded_sample(clips(s, d), 100, seed=7, cap=12).select("row")
+
+
 @query
 def knn_cosine(s, d):
     c = clips(s, d)

@@ -1,5 +1,7 @@
 """Axes against numpy, ledgers by their transitions, files by round trips, and scalar functions by hand."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -372,3 +374,23 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Fake, "streams")
+
+
+def test_seeded_samples(spark):
+    rows = [(i, "a" if i % 3 else None, None if i % 5 == 0 else [1.0]) for i in range(200)]
+    d = spark.createDataFrame(rows, "row long, run_uuid string, vec array<float>")
+    one = [r.row for r in atlas.seeded_sample(d, 40, seed=1).collect()]
+    assert len(one) == 40 and one == sorted(one) and not [i for i in one if i % 5 == 0]
+    assert one == [r.row for r in atlas.seeded_sample(d.repartition(7), 40, seed=1).collect()]
+    assert one != [r.row for r in atlas.seeded_sample(d, 40, seed=2).collect()]
+    capped = [r.run_uuid for r in atlas.seeded_sample(d, 40, seed=1, cap=6).collect()]
+    assert capped.count("a") == 6 and capped.count(None) == 6
+    assert atlas.seeded_sample(d.limit(0), 40, seed=1, cap=6).count() == 0
+
+
+def test_exact_scores_keep_their_deadline(spark):
+    d = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "row long, vec array<float>")
+    got = {r.row: r.score for r in vectors.arrow_scores(d, [[1.0, 1.0]], until=time.time() + 600).collect()}
+    assert got == {1: 3.0, 2: 0.0}
+    with pytest.raises(Exception, match="deadline"):
+        vectors.arrow_scores(d, [[1.0, 1.0]], until=time.time() - 1).collect()
