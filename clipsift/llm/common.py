@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of other bytes than space, tab, LF, VT, FF and CR.
@@ -84,3 +84,28 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows
     if gone.count() <= most_rows:
         gone = F.broadcast(gone)
     return docs.join(gone, id_col, "left_anti").select(*map(quoted, docs.columns))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str = "pos", part_rows: int = 200_000) -> DataFrame:
+    """rows with their place, from 0, in the order of their group (null is a group). Ties are settled as Spark happens to sort them,
+    once: the sorted rows are checkpointed.
+
+    Rows are sorted by ranges of (group, order), so a group of any size is shared among tasks. A place is that within the
+    range plus the rows of the group in ranges before; only groups that cross ranges have such, at most one a range, so these
+    offsets are broadcast. Columns that begin with _run are used here.
+    """
+    keys = [F.col(group).asc_nulls_first(), *order]
+    parts = spread(rows.count(), part_rows)
+    ranges = cut(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"_run": F.spark_partition_id(), "_run_at": F.monotonically_increasing_id()}))
+    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy(group, "_run").agg(F.count(F.lit(1)).alias("_run_n"))
+    offsets = sizes.select(F.col(group).alias("_run_group"), F.col("_run").alias("_run_no"), F.sum("_run_n").over(before).alias("_run_before")).where("_run_before > 0")
+    within = F.col("_run_at") - F.min("_run_at").over(Window.partitionBy(group, "_run"))
+    placed = ranges.withColumn(name, within).join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("_run_group")) & (F.col("_run") == F.col("_run_no")), "left")
+    return placed.withColumn(name, F.col(name) + F.coalesce("_run_before", F.lit(0))).select(*rows.columns, name)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables.
 
-Language, toxicity, decontamination, language-model and secret queries learn models, search by edit distance or report
-places of matches; they have none and are tested otherwise.
+Language, toxicity, decontamination, language-model, secret and alignment queries learn models, search by edit distance, report
+places of matches or run tokenizers; they have none and are tested otherwise.
 """
 
 from __future__ import annotations
@@ -119,10 +119,63 @@ l AS (SELECT *, {_tree('text')} AS a, {_tree('edited')} AS b, {_tree('next')} AS
 s AS (SELECT *, {_sections('a')} AS sa, {_sections('b')} AS sb, {_digests('a')} AS da, {_digests('b')} AS db, {_digests('c')} AS dc FROM l)
 SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_print('a', 'sa')} AS fingerprint, {_print('b', 'sb')} AS edited_fingerprint, {_near('da', 'db')} AS near_edited, {_near('da', 'dc')} AS near_next FROM s"""
 
+_ESCAPES = lambda t: f"(len(regexp_extract_all({t}, '[\\\\]|</turn>')) + coalesce(list_sum(list_transform(regexp_extract_all({t}, '###+'), lambda x: length(x) - 2)), 0))"
+
+CHAT = f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+m AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM c),
+k AS (SELECT *, md5(length(r) || ':' || r || t) AS k FROM m),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS LAST, r, k)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS LAST, r, k) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(r) + {_ESCAPES('r')} + len(regexp_extract_all(r, ':')) + 2 + length(t) + {_ESCAPES('t')} + 8) AS formatted_chars FROM k GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _crc32(digits: str) -> str:
+    """Unsigned crc32 of ASCII characters, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0::UBIGINT for z in range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({digits}, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: {bits}))"
+
+
+def _levels(name: str, begin: str) -> str:
+    """All levels above (tree, pos, d): every three nodes become one until one is left; `n` nodes are on a level."""
+    return f"""{name} AS (SELECT 0 AS level, tree, pos, d, count(*) OVER (PARTITION BY tree) AS n FROM {begin}
+  UNION ALL SELECT level + 1, tree, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY level, tree, pos // 3)"""
+
+
+def _steps(name: str, nodes: str, begin: str, first: int) -> str:
+    """Of every (tree, pos), by level from `first` on: the siblings of its ancestor, those before and those after it."""
+    at = "b.pos // CAST(pow(3, s.level) AS BIGINT)"
+    side = lambda way: f"coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos {way} {at}), '')"
+    return f"{name} AS (SELECT b.tree, b.pos, s.level + {first} AS level, {side('<')} AS l, {side('>')} AS r FROM {begin} b JOIN {nodes} s ON s.tree = b.tree AND s.n > 1 AND s.pos // 3 = {at} // 3 GROUP BY b.tree, b.pos, s.level)"
+
+
+MANIFEST = f"""WITH RECURSIVE docs AS (SELECT doc_id, source, {_leaf('text')} AS d, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS claim FROM documents),
+base AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM docs),
+{_levels('nodes', 'base')},
+subroots AS (SELECT 0 AS tree, tree AS pos, d FROM nodes WHERE n = 1),
+{_levels('upper', 'subroots')},
+{_steps('low', 'nodes', 'base', 0)},
+{_steps('high', 'upper', 'subroots', 1000)},
+steps AS (SELECT * FROM low UNION ALL SELECT base.tree, base.pos, level, l, r FROM base JOIN high ON high.pos = base.tree),
+proofs AS (SELECT tree, pos, list({{'l': l, 'r': r}} ORDER BY level) AS path FROM steps GROUP BY tree, pos),
+folded AS (SELECT doc_id, base.d AS leaf, s.d AS subroot, (SELECT d FROM upper WHERE n = 1) AS root, coalesce(path, []) AS path, claim FROM base JOIN subroots s ON s.pos = base.tree LEFT JOIN proofs p ON p.tree = base.tree AND p.pos = base.pos),
+done AS (SELECT *, list_reduce(list_prepend({{'l': claim, 'r': ''}}, path), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root FROM folded)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING,
     "op4_urls": URLS,
     "op6_substring_dedup": SUBSTRING,
     "op7_jaccard": JACCARD,
     "op8_fingerprints": FINGERPRINTS,
+    "op12_chat": CHAT,
+    "op13_manifest": MANIFEST,
 }
