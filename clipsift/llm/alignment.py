@@ -39,7 +39,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Before such blanks a text may be cut: not next to other white space, nor after or before the mark U+2581 (E2 96 81).
 CUT = re.compile(rb"(?<=[^\x09-\x0d\x20\x81]) (?=[\x21-\x7e\xc3-\xe0\xe4-\xf4])")
 #: So many segments are encoded at once.
-AT_ONCE = 20_000
+AT_ONCE = 5_000
 MARK = "▁"
 SLICES = "slice long, row array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, n_overlaps array<long>, groups_sha256 array<string>, n_pairs long, pairs binary, link binary"
 LINKS = "part int, slice long, pairs binary, counts binary"
@@ -327,7 +327,7 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpack(pairs).astype(np.int64)), pa.array(unpack(counts).astype(np.int64))], names=["id", "top"])
 
 
-def align(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE, links: str = "end", slice_bytes: int = 16 << 20, part_pairs: int = 2_000_000) -> DataFrame:
+def align(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE, links: str = "end", slice_bytes: int = 8 << 20, part_pairs: int = 2_000_000) -> DataFrame:
     """One row a document: doc_id, n_a, n_b (tokens), n_groups, n_links, n_best, count_sum, groups_sha256, n_overlaps.
 
     `links` chooses what is linked: A and B tokens that "end" together, that "overlap", or all pairs of a "group". A pair's
