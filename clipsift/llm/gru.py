@@ -429,7 +429,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     buckets, parts = spread_parts(rows, bucket_bytes, part_rows)
-    dealt_rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text", "train")
+    dealt_rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text", "train")
     sums = cut(dealt_rows.groupBy("bucket").applyInArrow(lambda t: send_words(t, parts), COUNTS).groupBy("part").applyInArrow(lambda t: add_words(t, parts, most_slots), COUNTS))
     top = sums.where("bucket is null")
     seen = top.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

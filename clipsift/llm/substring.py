@@ -2,11 +2,11 @@
 
 A window of `window` words that occurs twice holds, in either place, an aligned block of half as many words. Blocks at
 multiples of that length are the index; every rolling window of block length probes it; hits are anchors. Hits are
-extended over whole windows: around anchors the full windows are told apart by two independent hashes, 112 bits in all
-between buckets and 128 within one, the first occurrence of each (smallest id, then smallest start) is found, and the words
+extended over whole windows: around anchors the full windows are told apart by two hashes, made of two independent hashes of
+each word, 112 bits in all between buckets and 128 within one, the first occurrence of each (smallest id, then smallest start) is found, and the words
 covered by later ones - maximal repeats, as neighbouring windows merge - are removed.
 
-Documents are dealt to buckets of about `bucket_bytes` of text by a hash of the id, and hashes to parts of about
+Documents are dealt to buckets of about `bucket_bytes` of text by a hash of id and text, and hashes to parts of about
 `part_rows` by their value, so no window or passage, however frequent, fills a task: within a bucket a hash is sent once.
 Buckets and parts exchange packed sorted hashes. Three steps read the buckets; Spark reuses the one shuffle of the texts.
 """
@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm.textkit import buffers, hashes, member, mix, pack_sorted, planes, rolling, spread_parts, tidy, unpack_sorted, unplanes, within
+from clipsift.llm.textkit import both_hashes, buffers, member, pack_sorted, planes, rolling, spread_parts, tidy, unpack_sorted, unplanes, within
 
 _LOW31, _LOW48, _LAST = np.uint64((1 << 31) - 1), np.uint64((1 << 48) - 1), np.iinfo(np.int64).max
-_OTHER = np.uint64(0x2545F4914F6CDD1D)
 LINKS = "part int, bucket int, blob binary, ids binary, checks binary"
 
 
@@ -33,7 +32,7 @@ class Bucket:
 
     def __init__(self, table: pa.Table, window: int, parts: int) -> None:
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.hash, self.ptr = hashes(self.table["text"])
+        self.hash, self.other, self.ptr = both_hashes(self.table["text"])
         self.window, self.block, self.parts = window, window // 2, np.uint64(parts)
         self.long = within(self.ptr, window, max(0, len(self.hash) - window + 1))
 
@@ -47,8 +46,8 @@ class Bucket:
         return at, ((h >> np.uint64(40)) % self.parts) << np.uint64(31) | (h & _LOW31), (at - start[at]) % self.block == 0
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the full windows at positions."""
-        return rolling(self.hash, self.window)[at], rolling(mix(self.hash ^ _OTHER), self.window)[at]
+        """Two hashes of the full windows at positions, of independent hashes of their words."""
+        return rolling(self.hash, self.window)[at], rolling(self.other, self.window)[at]
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """48 bits of window hashes with their part above."""
@@ -150,6 +149,7 @@ def send_windows(table: pa.Table, links: pa.Table, window: int, parts: int) -> p
 
 def find_first(table: pa.Table) -> pa.Table:
     """Of one part: to each bucket, the windows whose first place is in another bucket."""
+    table = table.sort_by("bucket")
     part, buckets = table["part"][0].as_py(), table["bucket"].to_pylist()
     got = [unplanes(x, 6) for x in table["blob"].to_pylist()]
     values, owner = np.concatenate(got), np.repeat(np.arange(len(got)), [len(g) for g in got])
@@ -222,12 +222,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept (its text without the repeats).
 
     Null and empty texts have no words. Texts under `window` words keep all. A null id comes after all others; of rows that
-    repeat an id the later by text counts as the later. Texts of any length count whole. `window` must be even. Empty tables
+    repeat an id, or have none, some one counts as first: they go by bucket, then by text. Texts of any length count whole. `window` must be even. Empty tables
     give no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets, parts = spread_parts(rows, bucket_bytes, part_rows)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
     by_bucket = lambda: dealt.groupBy("bucket")
     probes = by_bucket().applyInArrow(lambda t: send_blocks(t, window, parts), LINKS)
     hits = probes.groupBy("part").applyInArrow(probe_blocks, LINKS)

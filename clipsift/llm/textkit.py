@@ -13,28 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-_rng = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE_LOWER = _VALUE.copy()
-_VALUE_LOWER[65:91] = _VALUE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 3
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of each of the two word hashes, where it starts. Words over LONG bytes are hashed one by one.
+_SEEDS, LONG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,9 +31,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int = 1) -> list[np.ndarray]:
+    """n (1 or 2) independent 64-bit hashes of the words data[start:end]. Eight bytes at a time go through a scrambling that
+    depends on all before, so no pattern within words makes two alike; nor do their lengths, which come first."""
+    size = end - start
+    out = [mix(size.astype(np.uint64) ^ np.uint64(s)) for s in _SEEDS[:n]]
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k] if k else at
+        if not len(at):
+            break
+        lane = lanes[start[at] + k] & _MASK[np.minimum(size[at] - k, 8)]
+        for h in out:
+            h[at] = mix(h[at] ^ lane)
+    for i in np.flatnonzero(size > LONG).tolist():
+        whole = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
+        for k, h in enumerate(out):
+            h[i] ^= np.uint64(whole >> 64 * k & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 @dataclass
 class Words:
-    """Words of consecutive documents: hash, byte range in `data`, and ptr: first word of each document (and the end)."""
+    """Words of consecutive documents: hash (and a second, independent one, if asked for), byte range in `data`, and ptr: first
+    word of each document (and the end)."""
 
     hash: np.ndarray
     start: np.ndarray
@@ -54,6 +63,7 @@ class Words:
     ptr: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    other: np.ndarray | None = None
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +92,12 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, both: bool = False) -> Words:
     """Cut and hash the words of documents that lie one after another in `data`."""
     n = len(data)
     if n == 0:
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64), data, offsets)
+        z, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Words(none, z, z, np.zeros(len(offsets), np.int64), data, offsets, none if both else None)
     space = _SPACE[data]
     inside = ~space
     first, last = inside.copy(), inside.copy()
@@ -97,32 +107,27 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     first[edge] = inside[edge]
     last[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_VALUE_LOWER if lower else _VALUE)[data] * power, out=total[1:])
-    return Words(mix((total[end] - total[start]) * inverse[start]), start, end, np.searchsorted(start, offsets), data, offsets)
+    found = word_hashes(_LOWER[data] if lower else data, start, end, 1 + both)
+    return Words(found[0], start, end, np.searchsorted(start, offsets), data, offsets, found[1] if both else None)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive entries of h (positions 0 .. len(h) - k), by doubling."""
+    """Hash of every k consecutive entries of h (positions 0 .. len(h) - k), by doubling; two neighbours are scrambled into one."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    out, have, base = None, 0, 0xD6E8FEB86659FD93
-    power, width, block = base, 1, h
-    rest = k
+    join = lambda x, y: mix(x * np.uint64(0xD6E8FEB86659FD93) + y)
+    out, have, width, block, rest = None, 0, 1, h, k
     while rest:
         if rest & 1:
             if out is None:
                 out, have = block, width
             else:
                 m = len(block) - have
-                out = out[:m] + np.uint64(pow(base, have, 1 << 64)) * block[have : have + m] if m > 0 else out[:0]
+                out = join(out[:m], block[have : have + m]) if m > 0 else out[:0]
                 have += width
         rest >>= 1
         if rest:
-            block = block[:-width] + np.uint64(power) * block[width:]
-            power = power * power % (1 << 64)
+            block = join(block[:-width], block[width:])
             width *= 2
     return mix(out[: len(h) - k + 1])
 
@@ -167,12 +172,19 @@ def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def hashes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all rows, first word of each row and the end), a piece at a time."""
-    parts, sizes = [], [np.zeros(1, np.int64)]
+    found, _, ptr = both_hashes(column, lower, False)
+    return found, ptr
+
+
+def both_hashes(column: pa.Array | pa.ChunkedArray, lower: bool = False, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all rows, their second hashes, first word of each row and the end), a piece at a time."""
+    parts, others, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for _, _, data, offsets in pieces(column, 1 << 20):
-        w = words(data, offsets, lower)
+        w = words(data, offsets, lower, both)
         parts.append(w.hash)
+        others += [w.other] if both else []
         sizes.append(np.diff(w.ptr))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(sizes))
+    return np.concatenate(parts), np.concatenate(others), np.cumsum(np.concatenate(sizes))
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
