@@ -127,9 +127,10 @@ class Matcher:
         n, run, where = self.runs[k, start]
         return myers(run, where, text[end : end + len(run) + n])[0] <= n
 
-    def search(self, text: str) -> dict[int | None, tuple[int, int]]:
-        """item id -> (distance, start of the stretch searched), at its least distance within the budget."""
-        out: dict[int, tuple[int, int]] = {}
+    def search(self, text: str) -> dict[int | None, tuple[int, int, int]]:
+        """item id -> (distance, - bytes of the item's text that matched, start of the stretch searched) at its least distance
+        within the budget; of texts of one id as near, the longest."""
+        out: dict[int | None, tuple[int, int, int]] = {}
         if not self.items:
             return out
         tried: dict[int, set[int]] = {}
@@ -138,8 +139,8 @@ class Matcher:
             for k, start, left, right, last in places:
                 if self.whole_words and not self.items[k][2]:
                     if text[end - length - 1 : end - length] in ("", " ") and text[end : end + 1] in ("", " "):
-                        out.setdefault(self.items[k][0], (0, end - length))
-                        out[self.items[k][0]] = min(out[self.items[k][0]], (0, end - length))
+                        found = (0, -length, end - length)
+                        out[self.items[k][0]] = min(out.get(self.items[k][0], found), found)
                     continue
                 if last:
                     e, first = self.items[k][2], end - length - start
@@ -150,7 +151,7 @@ class Matcher:
                 elif not text.startswith(left, end) and right not in text[end + len(left) - 1 : end + len(left) + len(right) + 1]:
                     continue
                 item, t, e, where = self.items[k]
-                if out.get(item, (1, 0))[0] == 0:
+                if out.get(item, (1,)) <= (0, -len(t)):
                     continue
                 at = end - length - start
                 slot = at // (e + 1)
@@ -159,26 +160,26 @@ class Matcher:
                 tried[k].add(slot)
                 lo = max(0, slot * (e + 1) - e)
                 distance, _ = myers(t, where, text[lo : max(0, slot * (e + 1) + len(t) + 2 * e + 1)])
-                if distance <= e and distance < out.get(item, (e + 1, 0))[0]:
-                    out[item] = (distance, lo)
+                if distance <= e:
+                    out[item] = min(out.get(item, (e + 1,)), (distance, -len(t), lo))
         return out
 
 
 def _groups(benchmark: DataFrame, item_col: str, item_text: str, group_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    """Items as (id, plain text), a bounded group at a time."""
+    """Items as (id, plain text), a group of about group_bytes at a time; all texts of an id are in one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     groups = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
     for g in range(groups):
-        found = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
+        found = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
         yield sorted(((r["item_id"], plain_one(r["text"])) for r in found), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.1, group_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document and item that it holds within the error budget: doc_id, item_id, distance, similarity
-    (1 - distance / length), at (start of the stretch in the plain text).
+    (1 - distance / length of the item's text that matched), at (start of the stretch in the plain text).
 
     Null and empty texts, and items without a letter or digit, match nothing. Repeated documents give repeated rows;
-    repeated items (same id, a null one too) the best one. Items that differ in case, punctuation or spacing only match
+    repeated items (same id, a null one too) the one with the nearest text, of several as near the longest. Items that differ in case, punctuation or spacing only match
     alike. Texts of any length are searched whole. Empty tables give no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -187,13 +188,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
         def scan(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(part, rate, whole_words=True)
-            size: dict[int | None, int] = {}
-            for i, t, _, _ in matcher.items:
-                size[i] = max(len(t), size.get(i, 0))
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for lo, _, data, offsets in pieces(batch.column("text")):
-                    hits = [(ids[lo + k], item, d, 1 - d / size[item], at) for k, text in enumerate(plain(data, offsets)) for item, (d, at) in matcher.search(text).items()]
+                    hits = [(ids[lo + k], item, d, 1 + d / m, at) for k, text in enumerate(plain(data, offsets)) for item, (d, m, at) in matcher.search(text).items()]
                     if hits:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "similarity", "at"])
 
