@@ -3,8 +3,9 @@
 A text's paragraphs are its lines; a paragraph's leaves are its pieces of `PIECE` code points, so that an edit inside a
 long paragraph still shows where it is. Leaf digests of 64 bits are hashed to the digest of their paragraph, those of
 `SECTION` paragraphs in a row to that of a section, and sections to the root (`tree`): roots test equality, and `differences`
-follows the branches that differ down to the edited pieces. A `fingerprint` is a tree in short writing, from the first
-digits of each leaf; the share of common leaves is the likeness.
+follows the branches that differ down to the edited pieces, place by place, and `edit` aligns the paragraphs' digests from both
+ends, so that lines put in or taken out do not shift the rest. A `fingerprint` is a tree in short writing, from the digits of
+each leaf; the share of common leaves is the likeness.
 
 DataFrame functions only. Neighbours in order of id come from windows over ranges of ids cut at percentiles, so no task
 sees more than a range; only the first row of each range is passed to the range before.
@@ -70,6 +71,19 @@ def differences(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], none).otherwise(F.flatten(F.transform(paragraphs, pieces)))
 
 
+def edit(a: Column, b: Column) -> Column:
+    """Where b was edited from a, of two arrays of paragraph digests: struct of first (paragraphs in common at the beginning), end_a
+    and end_b (where the paragraphs in common at the end begin, in a and b), n_new and n_gone (distinct paragraphs in between
+    that only b, or only a, has). Equal arrays have first = end_a = end_b. In time of the paragraphs."""
+    n = F.least(F.size(a), F.size(b))
+    same = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), F.lit(True)), F.lit(0)) - 1, n).cast("int")
+    first = F.least(same(a, b), n)
+    last = F.least(same(F.reverse(a), F.reverse(b)), n - first)
+    inner = lambda x: F.slice(x, first + 1, F.size(x) - last - first)
+    count = lambda x, y: F.size(F.array_except(inner(x), inner(y)))
+    return F.struct(first.cast("long").alias("first"), (F.size(a) - last).cast("long").alias("end_a"), (F.size(b) - last).cast("long").alias("end_b"), count(b, a).cast("long").alias("n_new"), count(a, b).cast("long").alias("n_gone"))
+
+
 def shortened(leaf: Column, digits: int) -> Column:
     """The first digits of every leaf digest."""
     return leaf if digits >= LEAF else F.transform(leaf, lambda p: F.transform(p, lambda x: F.substring(x, 1, digits)))
@@ -160,14 +174,15 @@ def trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("doc_id", "n_chars", tree(F.col("leaf")).alias("tree"))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digits: int = LEAF) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness: doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next; and root, edited_root, next_root.
+    fingerprint, edited_fingerprint, near_edited, near_next; root, edited_root, next_root; and where the edit is: edit_first,
+    edit_end (paragraphs of the text from 0, end exclusive), n_new, n_gone (see `edit`).
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's. Equal texts have equal fingerprints and roots, and equal roots mean equal texts: they are hashed from leaf
-    digests of 64 bits. Fingerprints show, and likeness compares, the first `digits` of 16 only: with 6, two different
-    pieces look alike once in 16 million. Null texts are empty and print alike; texts of any length count whole. Rows that
+    digests of 64 bits. Fingerprints show, and likeness compares, the first `digits` of 16: with all, as here unless asked
+    otherwise, equal fingerprints too mean equal texts. Null texts are empty and print alike; texts of any length count whole. Rows that
     repeat an id go by text. A single row is its own next document; empty tables give no rows; other columns, whatever
     their names, are ignored.
     """
@@ -184,9 +199,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         short("leaf").alias("_own"), short("edited_leaf").alias("_edited"), short("next_leaf").alias("_next"),
         root("leaf").alias("root"), root("edited_leaf").alias("edited_root"), root("next_leaf").alias("next_root"),
     )
+    # Paragraphs by their joined leaf digests, which are as good as digests of these.
     prints = rows.select("*", *[f(F.col(f"_{c}")).alias(f"_{c}_{k}") for c in ("own", "edited", "next") for k, f in (("set", lambda x: F.array_distinct(F.flatten(x))), ("joined", joined))])
+    prints = prints.withColumn("_edit", edit(F.col("_own_joined"), F.col("_edited_joined")))
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own_joined")).alias("fingerprint"), fingerprint(F.col("_edited_joined")).alias("edited_fingerprint"),
         likeness(F.col("_own_set"), F.col("_edited_set")).alias("near_edited"), likeness(F.col("_own_set"), F.col("_next_set")).alias("near_next"),
-        "root", "edited_root", "next_root",
+        "root", "edited_root", "next_root", F.col("_edit.first").alias("edit_first"), F.col("_edit.end_a").alias("edit_end"), F.col("_edit.n_new").alias("n_new"), F.col("_edit.n_gone").alias("n_gone"),
     )

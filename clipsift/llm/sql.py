@@ -93,7 +93,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 
 
 def _tree(text: str) -> str:
-    return f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,24}}'), lambda x: substr(md5(x), 1, 6)), ''))"
+    return f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,24}}'), lambda x: substr(md5(x), 1, 16)), ''))"
 
 
 def _sections(tree: str) -> str:
@@ -105,19 +105,27 @@ def _print(tree: str, parts: str) -> str:
 
 
 def _digests(tree: str) -> str:
-    return f"list_distinct(regexp_extract_all(array_to_string({tree}, '.'), '[0-9a-f]{{6}}'))"
+    return f"list_distinct(regexp_extract_all(array_to_string({tree}, '.'), '[0-9a-f]{{16}}'))"
 
 
 def _near(a: str, b: str) -> str:
     return f"CASE WHEN greatest(len({a}), len({b})) = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / greatest(len({a}), len({b})) END"
 
 
+def _same(a: str, b: str) -> str:
+    """Entries in common at the beginning of two lists."""
+    return f"coalesce(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] <> {b}[i]), true) - 1, least(len({a}), len({b})))"
+
+
 FINGERPRINTS = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM t),
 e AS (SELECT *, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 3) || substr(next, 1, length(text) // 3) AS edited FROM n),
 l AS (SELECT *, {_tree('text')} AS a, {_tree('edited')} AS b, {_tree('next')} AS c FROM e),
-s AS (SELECT *, {_sections('a')} AS sa, {_sections('b')} AS sb, {_digests('a')} AS da, {_digests('b')} AS db, {_digests('c')} AS dc FROM l)
-SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_print('a', 'sa')} AS fingerprint, {_print('b', 'sb')} AS edited_fingerprint, {_near('da', 'db')} AS near_edited, {_near('da', 'dc')} AS near_next FROM s"""
+s AS (SELECT *, {_sections('a')} AS sa, {_sections('b')} AS sb, {_digests('a')} AS da, {_digests('b')} AS db, {_digests('c')} AS dc, {_same('a', 'b')} AS f, {_same('list_reverse(a)', 'list_reverse(b)')} AS z FROM l),
+m AS (SELECT *, least(z, least(len(a), len(b)) - f) AS z1 FROM s),
+i AS (SELECT *, list_distinct(a[f + 1:len(a) - z1]) AS ia, list_distinct(b[f + 1:len(b) - z1]) AS ib FROM m)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_print('a', 'sa')} AS fingerprint, {_print('b', 'sb')} AS edited_fingerprint, {_near('da', 'db')} AS near_edited, {_near('da', 'dc')} AS near_next,
+  CAST(f AS BIGINT) AS edit_first, CAST(len(a) - z1 AS BIGINT) AS edit_end, CAST(len(ib) - len(list_intersect(ia, ib)) AS BIGINT) AS n_new, CAST(len(ia) - len(list_intersect(ia, ib)) AS BIGINT) AS n_gone FROM i"""
 
 _ESCAPES = lambda t: f"(len(regexp_extract_all({t}, '[\\\\]|</turn>')) + coalesce(list_sum(list_transform(regexp_extract_all({t}, '###+'), lambda x: length(x) - 2)), 0))"
 
