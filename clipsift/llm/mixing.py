@@ -100,9 +100,10 @@ def mix(
     block_words: int = 16,
     shard_words: int = 1_000_000,
     seed: int = 11,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target (its source's), taken (words that the mix takes, repeats
-    counted), shard, quota (blocks of its shard).
+    counted), shard, quota (blocks of its shard), and as `row` the column row_col, if named, to know the document by.
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own, after the others. Rows
     that repeat an id are dealt as documents of their own; rows equal in id and size are interchangeable. Texts of any
@@ -111,7 +112,7 @@ def mix(
     """
     if most != int(most) or most < 1:
         raise ValueError("most is not a whole number")
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else [])))
     block = F.lit(block_words).cast("long")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = (
@@ -142,4 +143,4 @@ def mix(
         return chosen(whole) * block + (at % block) * (chosen(whole + 1) - chosen(whole))
 
     taken = F.col("size") * F.floor(F.col("quota") / blocks).cast("long") + extra(F.col("_end")) - extra(F.col("_end") - F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target"), taken.alias("taken"), "shard", "quota")
+    return placed.select("doc_id", "source", "size", "source_size", F.col("target"), taken.alias("taken"), "shard", "quota", *(["row"] if row_col else []))
