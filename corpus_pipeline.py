@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.llm import decontam, jaccard, langid, mixing, secrets
-from clipsift.llm.common import drop_ids, quoted, shared_folder
+from clipsift.llm.common import cut, drop_ids, quoted, remove_folder, shared_folder
 
 #: Below this posterior probability of its best language a document is rejected.
 LEAST_SCORE = 0.6
@@ -44,9 +44,19 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.select(*[changed[c].alias(c) if c in changed else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
+#: What the last stage adds to the columns of documents.
+MIXED = ("size", "source_size", "target", "taken")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents of which it takes nothing go."""
-    return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+    """Documents of which the mix takes something, with all their columns and how many words it takes; the others go. Columns
+    named like those of the mix give way to these. Rows are known by a number given to the written rows, as ids may repeat."""
+    rows = cut(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc")).withColumn("_row", F.monotonically_increasing_id()))
+    of = lambda c: F.col("_doc").getField(c)
+    mixed = mixing.mix(rows.select(of("doc_id").alias("doc_id"), of("source").alias("source"), of("text").alias("text"), "_row"), row_col="_row")
+    taken = mixed.where("taken > 0").select(F.col("row").alias("_row"), F.struct(*MIXED).alias("_mix"))
+    kept = [of(c).alias(c) for c in docs.columns if c.lower() not in MIXED]
+    return rows.join(taken, "_row").select(*kept, "_mix.*")
 
 
 STAGES = [
@@ -60,20 +70,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; what is between them is kept in the shared checkpoint folder, each until the next is
-    written. The last, which the result reads, stays."""
-    base = f"{shared_folder(spark, 'the stages of the pipeline')}/pipeline-{uuid.uuid4().hex}"
+def _stages(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    """The last stage's result; what is between stages is kept under `base` until the next is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
         if before:
-            _remove(spark, before)
+            remove_folder(spark, before)
         before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents: the corpus with masked texts, all its columns and what the mix takes. The result reads
+    checkpoints only, so nothing stays in the shared folder but these, which go with it."""
+    base = f"{shared_folder(spark, 'the stages of the pipeline')}/pipeline-{uuid.uuid4().hex}"
+    out = _stages(spark, sf_dir, base)
+    remove_folder(spark, base)
+    return out
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The corpus as Parquet in a new folder."""
+    run(spark, sf_dir).write.parquet(path)
