@@ -7,12 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipsift.operators import order
+from clipsift.operators.exporting import in_groups, ranked
+
 
 def score_stats(df: DataFrame, score: str = "score") -> DataFrame:
-    """mean, population std, quantiles, max and top gap over finite scores, rounded to 6; zeros when there are none."""
+    """mean, population std, quantiles, max and top gap over finite scores, rounded to 6; zeros when there are none. Quantiles
+    are exact: one buffer where Spark knows the rows to be few, else by brackets."""
     s = F.col(score).cast("double")
     ok = df.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))).select(s.alias("s"))
-    a = ok.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.percentile("s", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99, 0.999)])).alias("p"), F.max("s").alias("max"), F.count("s").alias("n"))
+    shares = (0.5, 0.9, 0.99, 0.999)
+    few = order.surely_small(ok)
+    p = F.percentile("s", F.array(*[F.lit(x) for x in shares])) if few else F.first(F.array(*[F.lit(x).cast("double") for x in order.quantiles(ok, "s", shares)]))
+    a = ok.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), p.alias("p"), F.max("s").alias("max"), F.count("s").alias("n"))
     gap = F.when(F.col("std") > 1e-9, (F.col("p")[3] - F.col("mean")) / F.col("std"))
     r = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
     return a.select(r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), *[r(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p90", "p99", "p999"))], r(F.col("max")).alias("max"), r(gap).alias("top_gap"), "n")
@@ -38,8 +45,13 @@ def sweep(df: DataFrame, score: str = "score", label: str = "label", *, rows_per
     Scores are grouped, cut at percentiles into ranges of about rows_per_range, added up within each and moved on by the sums of
     the ranges before, so that no task orders all of them. Null scores come last; null labels count as neither."""
     by = df.groupBy(F.col(score).alias("tau")).agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - F.col(label).cast("long")), F.lit(0)).alias("q"))
-    parts = -(-df.count() // rows_per_range)
-    found = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000)).first()[0] or [] if parts > 1 else []
+    down = lambda *by: Window.partitionBy(*by).orderBy(F.col("tau").desc_nulls_last())
+    parts = 1 if rows_per_range >= order.FEW and order.surely_small(df) else -(-df.count() // rows_per_range)
+    if parts <= 1:
+        to_here, whole = down().rowsBetween(Window.unboundedPreceding, 0), down().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        by = by.withColumns({"tp": F.sum("p").over(to_here), "fp": F.sum("q").over(to_here), "_all_p": F.sum("p").over(whole), "_all_q": F.sum("q").over(whole)})
+        return _curve(by, F.col("_all_p"), F.col("_all_q"))
+    found = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
     bounds = sorted(set(found), reverse=True)
     reached = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: F.col("tau") < x)) if bounds else F.lit(0)
     by = by.withColumn("_range", F.when(F.col("tau").isNull(), F.lit(len(bounds))).otherwise(reached))
@@ -49,12 +61,17 @@ def sweep(df: DataFrame, score: str = "score", label: str = "label", *, rows_per
         before.append((k, p, q))
         p, q = p + more_p, q + more_q
     offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _p long, _q long"))
-    down = Window.partitionBy("_range").orderBy(F.col("tau").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.join(offsets, "_range").withColumn("tp", F.sum("p").over(down) + F.col("_p")).withColumn("fp", F.sum("q").over(down) + F.col("_q"))
+    here = down("_range").rowsBetween(Window.unboundedPreceding, 0)
+    by = by.join(offsets, "_range").withColumn("tp", F.sum("p").over(here) + F.col("_p")).withColumn("fp", F.sum("q").over(here) + F.col("_q"))
+    return _curve(by, F.lit(p), F.lit(q))
+
+
+def _curve(by: DataFrame, p: Column, q: Column) -> DataFrame:
+    """Ratios at each tau, of p positives and q negatives in all."""
     ratio = lambda a, b, none=1.0: F.when(b > 0, a / b).otherwise(none)
     return by.select(
-        "tau", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.lit(p)).alias("recall"),
-        ratio(F.col("fp"), F.lit(q)).alias("fpr"), ratio(F.col("p"), F.lit(p), 0.0).alias("gain"),
+        "tau", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), p).alias("recall"),
+        ratio(F.col("fp"), q).alias("fpr"), ratio(F.col("p"), p, 0.0).alias("gain"),
     )
 
 
@@ -84,7 +101,7 @@ def boundary_sample(df: DataFrame, tau: float, band: float, n: int, exclude: lis
     draw = (F.col("row") * 7919) % 10007
     near = free.where(F.abs(F.col("score") - tau) <= band).withColumn("_o", draw).orderBy("_o", "row").limit(n // 2).drop("_o")
     rest = free.join(near.select("row"), "row", "left_anti")
-    groups = rest.withColumn("_g", F.ntile(n - n // 2).over(Window.orderBy("score", "row")))
+    groups = in_groups(rest.withColumn("_low", -F.col("score")), n - n // 2, "_low").drop("_low")
     one = groups.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(draw, "row"))).where("_n = 1").drop("_g", "_n")
     return near.unionByName(one.select(near.columns))
 
@@ -117,7 +134,7 @@ def threshold_for(df: DataFrame, *, tau: float | None = None, k: int | None = No
     """(tau, selected): a given threshold, or that of the k-th score; rows are counted in single precision before tau is
     rounded to 4."""
     if tau is None:
-        tau = df.orderBy(F.col(score).desc()).limit(k).agg(F.min(score)).first()[0]
+        tau = order.kth(df, score, k)
     t = F.lit(tau).cast("float")
     return df.agg(F.count_if(F.col(score).cast("float") >= t).alias("selected")).select(F.round(F.lit(tau), 4).alias("tau"), "selected")
 
@@ -152,11 +169,8 @@ def histogram_summary(df: DataFrame, tau: float | None = None, score: str = "sco
 
 
 def curve_points(curve: DataFrame, most: int = 200) -> DataFrame:
-    """At most `most` points of a curve, evenly spread from its first to its last by descending tau, both ends included. Places
-    come from sorted partitions, not from one task."""
-    placed = curve.orderBy(F.col("tau").desc()).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in curve.schema.fields)
-    placed = placed.toDF(f"_at long, {fields}")
+    """At most `most` points of a curve, evenly spread from its first to its last by descending tau, both ends included."""
+    placed = ranked(curve, "tau", ties=()).withColumn("_at", F.col("rank") - 1).drop("rank")
     n = curve.count()
     if n > most:
         at = sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
@@ -172,6 +186,6 @@ def topped_up_sample(df: DataFrame, tau: float, band: float, n: int, exclude: li
     near = free.where(F.abs(F.col("score") - tau) <= band).withColumn("_o", draw).orderBy("_o", "row").limit(n // 2).drop("_o")
     got = near.count()
     rest = free.join(near.select("row"), "row", "left_anti")
-    groups = rest.withColumn("_g", F.ntile(max(1, n - got)).over(Window.orderBy(F.col("score").desc(), "row")))
+    groups = in_groups(rest, max(1, n - got), "score")
     one = groups.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(draw, "row"))).where("_n = 1").drop("_g", "_n")
     return near.unionByName(one.select(near.columns)).orderBy(F.col("score").desc(), "row").limit(n)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions.text import utc_day
+from clipsift.operators import order
 
 
 def chunk_id() -> Column:
@@ -20,17 +23,20 @@ def first_per_segment(df: DataFrame, *, empty_is_none: bool = False, score: str
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def ranked(df: DataFrame, score: str = "score", *, rows_per_range: int = 1_000_000) -> DataFrame:
-    """Rank from 1 by score, then row; null scores last. Rows are cut by score into ranges of about rows_per_range at
-    percentiles, ranked within each, and moved on by the rows of the ranges before, so that no task orders all of them."""
-    n = df.count()
-    parts = -(-n // rows_per_range)
-    order = [F.col(score).desc_nulls_last(), F.col("row").asc()]
+def ranked(df: DataFrame, score: str = "score", *, ties: Sequence[str] = ("row",), rows_per_range: int = 1_000_000) -> DataFrame:
+    """Rank from 1 by score, then `ties`; null scores last. Rows are cut by score into ranges of about rows_per_range at
+    percentiles, ranked within each, and moved on by the rows of the ranges before, so that no task orders all of them. Where
+    Spark knows the rows to be few, or they are counted to be, one range does."""
+    down = [F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
+    one = lambda: df.withColumn("rank", F.row_number().over(Window.orderBy(*down)).cast("long"))
+    if rows_per_range >= order.FEW and order.surely_small(df):
+        return one()
+    parts = -(-df.count() // rows_per_range)
     if parts <= 1:
-        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        return one()
     found = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
     bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found), reverse=True)])
-    # The range of a score: how many bounds it does not reach; equal scores share one, and row orders them there.
+    # The range of a score: how many bounds it does not reach; equal scores share one, and ties order them there.
     at = F.when(F.col(score).isNull(), F.lit(len(found) + 1)).otherwise(F.size(F.filter(bounds, lambda b: F.col(score) < b)))
     cut = df.withColumn("_range", at)
     sizes = sorted((r["_range"], r["n"]) for r in cut.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
@@ -39,8 +45,19 @@ def ranked(df: DataFrame, score: str = "score", *, rows_per_range: int = 1_000_0
         before.append((k, total))
         total += m
     offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _before long"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return cut.withColumn("rank", within).join(offsets, "_range").withColumn("rank", (F.col("rank") + F.col("_before")).cast("int" if n < 2**31 else "long")).drop("_range", "_before").select(*df.columns, "rank")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*down))
+    return cut.withColumn("rank", within).join(offsets, "_range").withColumn("rank", (F.col("rank") + F.col("_before")).cast("long")).drop("_range", "_before").select(*df.columns, "rank")
+
+
+def in_groups(df: DataFrame, groups: int, score: str, *, ties: Sequence[str] = ("row",), rows_per_range: int = 1_000_000) -> DataFrame:
+    """The group (`_g`, from 1) of each row among `groups` of nearly equal size, the first ones by score from the highest, as ntile
+    deals them: by rank, so that no task orders all rows."""
+    n = df.count()
+    size, more = divmod(n, groups)
+    at = F.col("_rank0")
+    small = F.lit(more) if size == 0 else F.lit(more) + F.floor((at - more * (size + 1)) / max(size, 1))
+    rows = ranked(df, score, ties=ties, rows_per_range=rows_per_range).withColumn("_rank0", F.col("rank") - 1).drop("rank")
+    return rows.withColumn("_g", (F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(small) + 1).cast("long")).drop("_rank0")
 
 
 def page_of(df: DataFrame, number: int, size: int, depth: int = 5000, score: str = "score") -> DataFrame:
@@ -70,11 +87,12 @@ def export_columns(df: DataFrame, tag: str, prefix: str) -> DataFrame:
 
 
 def confidence(df: DataFrame, tau: float | None, score: str = "score") -> DataFrame:
-    """0 at tau (or the least score), 1 at the best."""
-    w = Window.partitionBy()
-    lo = F.lit(tau) if tau is not None else F.min(score).over(w)
-    hi = F.greatest(F.max(score).over(w), lo + 1e-6)
-    return df.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(score) - lo) / (hi - lo))))
+    """0 at tau (or the least score), 1 at the best. Both ends are aggregated, and come to the rows as one."""
+    ends = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    lo = F.lit(tau) if tau is not None else F.col("_lo")
+    hi = F.greatest(F.col("_hi"), lo + 1e-6)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(score) - lo) / (hi - lo)))
+    return df.crossJoin(F.broadcast(ends)).withColumn("confidence", share).drop("_lo", "_hi")  # one row
 
 
 def passthrough(df: DataFrame, source: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -100,15 +118,14 @@ def export(df: DataFrame, tau: float, *, since: float | None = None, include_bel
         df = df.where("above")
     if dedupe:
         df = first_per_segment(df, empty_is_none=True)
-    best = df.orderBy(F.col("score").desc(), "row").limit(most)
+    best = order.top(df, most)
     return confidence(ranked(best), None if include_below else tau)
 
 
 def interval_rows(intervals: DataFrame, corpus: DataFrame) -> DataFrame:
     """Ranked intervals with the names of their peak clips; bounds also in nanoseconds, an unknown name is empty."""
-    w = Window.orderBy(F.col("peak").desc(), "run_uuid", "start_s")
     names = corpus.select(F.col("row").alias("peak_row"), chunk_id().alias("peak_chunk_id"), "segment_id")
-    r = intervals.withColumn("rank", F.row_number().over(w)).join(names, "peak_row", "left")
+    r = ranked(intervals, "peak", ties=("run_uuid", "start_s")).join(names, "peak_row", "left")
     ns = lambda c: F.round(F.col(c) * 1_000_000_000).cast("long")
     return r.select(
         "rank", "run_uuid", F.round("peak", 6).alias("peak"), F.round("mean", 6).alias("mean"), F.round(F.col("end_s") - F.col("start_s"), 3).alias("seconds"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from clipsift.operators.exporting import ranked
 from clipsift.operators.selection import Screen, classify, cut_to, ordered, select
 from clipsift.operators.vectors import weights
 
@@ -43,6 +44,25 @@ def store(df: DataFrame, scale: Sequence[float], *, vec: str = "vec") -> DataFra
     return df.select(*[f.name for f in kept], vec).mapInArrow(run, schema)
 
 
+def codes(column: pa.Array, width: int) -> np.ndarray:
+    """Stored codes as rows of int8, without a copy unless some are null, which count as zeros."""
+    if column.null_count:
+        column = column.fill_null(bytes(width))
+    if not len(column):
+        return np.zeros((0, width), np.int8)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    return np.frombuffer(data, np.int8)[at[column.offset] : at[column.offset + len(column)]].reshape(len(column), width)
+
+
+def products(column: pa.Array, w: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Largest product of each row's codes with the columns of w, rounded to 9; so many rows are widened at a time."""
+    m, out = codes(column, len(w)), np.empty(len(column))
+    for a in range(0, len(m), rows):
+        out[a : a + rows] = (m[a : a + rows].astype(np.float64) @ w).max(axis=1)
+    return np.round(out, 9)
+
+
 def screened(stored: DataFrame, screen: Screen) -> DataFrame:
     """A stored corpus with score: the largest product with the screen's directions, a matrix product per Arrow batch. Only
     the bytes are read, never exact vectors."""
@@ -52,9 +72,7 @@ def screened(stored: DataFrame, screen: Screen) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.frombuffer(b"".join(b.column(len(kept)).to_pylist()), np.int8).reshape(b.num_rows, -1)
-            score = np.round((m.astype(np.float64) @ w).max(axis=1), 9) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(score)], names=[*[f.name for f in kept], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(products(b.column(len(kept)), w))], names=[*[f.name for f in kept], "score"])
 
     return stored.select(*[f.name for f in kept], "i8").mapInArrow(run, schema)
 
@@ -96,8 +114,7 @@ def spot_check(df: DataFrame, names: DataFrame, *, most: int = 32) -> DataFrame:
     n = names.count()
     take = sorted({round(i * (n - 1) / max(1, min(most, n) - 1)) for i in range(min(most, n))})
     at = names.sparkSession.createDataFrame([(i,) for i in take], "at long")
-    # Places of the names by row, from sorted partitions, without one task for all.
-    placed = names.orderBy("row").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["row"], x[0]["chunk_id"])).toDF("at long, row long, chunk_id string")
+    placed = ranked(names.withColumn("_down", -F.col("row")), "_down").select((F.col("rank") - 1).alias("at"), "row", "chunk_id")
     probe = placed.join(F.broadcast(at), "at")  # `most` rows
     found = probe.join(df.select("row", F.col("chunk_id").alias("now")), "row", "left")
     return found.agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("now").eqNullSafe(F.col("chunk_id"))).alias("mismatches"))

@@ -27,13 +27,14 @@ e AS (SELECT sqrt(list_sum(list_transform(scale, lambda x: x * x))) / 254 AS eps
 EXACT = CLIPS + """,
 q0 AS (SELECT vec AS q FROM clips WHERE "row" = 0),
 s AS (SELECT clips.*, round(list_dot_product(vec, q), 9) AS score FROM clips, q0)"""
-CELLS = EXACT + """,
+_CELLS = """,
 g AS (SELECT run_uuid, "row", chunk_start_unix AS t, score, chunk_start_unix - lag(chunk_start_unix) OVER (PARTITION BY run_uuid ORDER BY chunk_start_unix) AS gap FROM s),
 b AS (SELECT *, coalesce(min(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY run_uuid), 4) AS stride, min(t) OVER (PARTITION BY run_uuid) AS base FROM g),
 p AS (SELECT *, CAST(round_even((t - base) / stride, 0) AS BIGINT) AS p FROM b),
 o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY run_uuid, p ORDER BY t DESC, score ASC, "row" DESC) = 1),
 m AS (SELECT *, p AS m, 0 AS is_left FROM o UNION ALL SELECT *, p + 1, 1 FROM o),
 cells AS (SELECT run_uuid, m, avg(score) AS cell, arg_max("row", {'a': score, 'b': is_left, 'c': "row"}) AS peak_row, any_value(base) + (m + 0.5::DOUBLE) * any_value(stride) AS centre, any_value(stride) AS stride FROM m GROUP BY run_uuid, m)"""
+CELLS = EXACT + _CELLS
 LABELLED = """WITH l AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality AS label FROM labels JOIN documents USING (doc_id)),
 g AS (SELECT score AS tau, sum(label) AS p, sum(1 - label) AS q FROM l GROUP BY score),
 w AS (SELECT tau, CAST(sum(p) OVER d AS BIGINT) AS tp, CAST(sum(q) OVER d AS BIGINT) AS fp, sum(p) OVER () AS ap, sum(q) OVER () AS aq FROM g WINDOW d AS (ORDER BY tau DESC ROWS UNBOUNDED PRECEDING)),
@@ -67,6 +68,17 @@ _IN = " + ".join(
     for (ax, ay), (bx, by) in zip([(-0.5, -0.5), (0.6, -0.4), (0.5, 0.6), (-0.4, 0.5)], [(0.6, -0.4), (0.5, 0.6), (-0.4, 0.5), (-0.5, -0.5)], strict=True)
 )
 
+
+def _islands(tau: float) -> str:
+    """Islands of cells over tau."""
+    return f""",
+n AS (SELECT *, lag(m) OVER r AS pm, lag(cell) OVER r AS pc, lead(m) OVER r AS nm, lead(cell) OVER r AS nc FROM cells WINDOW r AS (PARTITION BY run_uuid ORDER BY m)),
+h AS (SELECT *, m - row_number() OVER (PARTITION BY run_uuid ORDER BY m) AS island,
+  centre - stride * CASE WHEN pm = m - 1 AND pc < {tau} THEN (cell - {tau}::DOUBLE) / (cell - pc) ELSE 0.5::DOUBLE END AS up,
+  centre + stride * CASE WHEN nm = m + 1 AND nc < {tau} THEN (cell - {tau}::DOUBLE) / (cell - nc) ELSE 0.5::DOUBLE END AS down FROM n WHERE cell >= {tau})
+SELECT run_uuid, round(arg_min(up, m), 4) AS start_s, round(arg_max(down, m), 4) AS end_s, round(max(cell), 4) AS peak, round(avg(cell), 4) AS mean, count(*) AS num_cells, arg_max(peak_row, {{'a': cell, 'b': -m}}) AS peak_row FROM h GROUP BY run_uuid, island"""
+
+
 ORACLES: dict[str, str] = {
     "screen_topk": screened("0") + ' SELECT row_number() OVER (ORDER BY score DESC, "row") AS rank, "row", run_uuid, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, "row" LIMIT 25)',
     "screen_threshold": screened("0") + """ SELECT "row", round(score, 6) AS score, CASE WHEN score >= 0.15 + eps THEN 'above' ELSE 'band' END AS class FROM scored, e WHERE score >= 0.15""",
@@ -91,12 +103,7 @@ ORACLES: dict[str, str] = {
     "since_version": CLIPS + f' SELECT "row", created_at_unix_s FROM clips WHERE created_at_unix_s >= {1704067200 + 4 * 86400}',
     "result_page": EXACT + ', r AS (SELECT row_number() OVER (ORDER BY score DESC, "row") AS rank, * FROM s) SELECT rank, "row", round(score, 6) AS score FROM r WHERE rank BETWEEN 41 AND 60',
     "drive_cells": CELLS + " SELECT run_uuid, m, round(cell, 6) AS cell, peak_row, round(centre, 6) AS centre FROM cells",
-    "intervals": CELLS + """,
-n AS (SELECT *, lag(m) OVER r AS pm, lag(cell) OVER r AS pc, lead(m) OVER r AS nm, lead(cell) OVER r AS nc FROM cells WINDOW r AS (PARTITION BY run_uuid ORDER BY m)),
-h AS (SELECT *, m - row_number() OVER (PARTITION BY run_uuid ORDER BY m) AS island,
-  centre - stride * CASE WHEN pm = m - 1 AND pc < 0.05 THEN (cell - 0.05::DOUBLE) / (cell - pc) ELSE 0.5::DOUBLE END AS up,
-  centre + stride * CASE WHEN nm = m + 1 AND nc < 0.05 THEN (cell - 0.05::DOUBLE) / (cell - nc) ELSE 0.5::DOUBLE END AS down FROM n WHERE cell >= 0.05)
-SELECT run_uuid, round(arg_min(up, m), 4) AS start_s, round(arg_max(down, m), 4) AS end_s, round(max(cell), 4) AS peak, round(avg(cell), 4) AS mean, count(*) AS num_cells, arg_max(peak_row, {'a': cell, 'b': -m}) AS peak_row FROM h GROUP BY run_uuid, island""",
+    "intervals": CELLS + _islands(0.05),
     "interval_tau_pooled_k": CELLS + " SELECT round(min(cell), 6) AS tau FROM (SELECT cell FROM cells ORDER BY cell DESC LIMIT 30)",
     "score_stats": STATS + " SELECT * FROM st2",
     "heuristic_tau": STATS + " SELECT round(least(greatest(mean + 3 * std, 0.05::DOUBLE), 0.9::DOUBLE), 6) AS tau FROM st2",
@@ -249,4 +256,10 @@ left_ AS (SELECT * FROM f WHERE "row" NOT IN (SELECT "row" FROM near)), m AS (SE
 g AS (SELECT *, CASE WHEN i < (n % m) * (n // m + 1) THEN i // (n // m + 1) ELSE (i - n % m) // (n // m) END AS g FROM p), one AS (SELECT "row", score FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY o, "row") = 1)
 SELECT "row", round(score, 6) AS score FROM (SELECT "row", score FROM near UNION ALL SELECT * FROM one)""",
     "packed_points": CLIPS + " SELECT count(vec) AS n, 8 * count(vec) AS xy_bytes, count(vec) AS code_bytes FROM clips",
+    "written_topk": screened("0") + ', q0 AS (SELECT vec AS qv FROM clips WHERE "row" = 0), cut AS (SELECT min(score) AS cut FROM (SELECT score FROM scored ORDER BY score DESC LIMIT 50)) SELECT "row", run_uuid, round(exact, 6) AS exact FROM (SELECT "row", run_uuid, round(list_dot_product(vec, qv), 9) AS exact FROM scored, q0, cut, e WHERE score >= cut - 2 * eps) ORDER BY exact DESC, "row" LIMIT 50',
+    "written_tau": screened("0") + """, q0 AS (SELECT vec AS qv FROM clips WHERE "row" = 0) SELECT scored."row", segment_id, round(score, 6) AS score, CASE WHEN score >= 0.15 + eps THEN 'above' ELSE 'band' END AS class FROM scored JOIN (SELECT "row", segment_id FROM clips) n ON scored."row" = n."row", e, q0 WHERE score >= 0.15 + eps OR (score >= 0.15 - eps AND round(list_dot_product(vec, qv), 9) >= 0.15)""",
+    "written_large_k": EXACT + ' SELECT "row", round(score, 6) AS exact FROM (SELECT * FROM s ORDER BY score DESC, "row" LIMIT 300)',
+    "large_topk": 'SELECT l_orderkey * 10 + l_linenumber AS "row", l_quantity FROM lineitem ORDER BY l_quantity DESC, "row" LIMIT 300',
+    "exact_quantiles": "SELECT round(p[1], 4) AS p0, round(p[2], 4) AS p25, round(p[3], 4) AS p50, round(p[4], 4) AS p999, round(p[5], 4) AS p100 FROM (SELECT quantile_cont(l_extendedprice, [0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.999::DOUBLE, 1.0::DOUBLE]) AS p FROM lineitem)",
+    "event_intervals": "WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_uuid, event_id AS \"row\", CAST(floor(epoch(ts)) AS BIGINT) AS chunk_start_unix, round(value / 97, 9) AS score FROM events)" + _CELLS + _islands(0.3),
 }

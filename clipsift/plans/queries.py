@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, catalog, exporting, feedback, ledger, pca, projects, screening, selection, vectors
+from clipsift.operators import atlas, calibration, cascade, catalog, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors
 from clipsift.operators import intervals as iv
-from clipsift.session import shared_folder
+from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sources.clips import clips, coverage, key_values
 from clipsift.sources import remote
 from clipsift.sources.files import null_rate
@@ -774,3 +774,50 @@ def packed_points(s, d):
 def reduced_points(s, d):
     """No SQL: eigenvectors. Tested against numpy."""
     return atlas.reduced(clips(s, d)).select("row", F.transform("position", lambda x: F.round(x, 5)).alias("position"))
+
+
+def written_corpus(s: SparkSession, d: str, select: Callable[[cascade.Written, selection.Screen], DataFrame]) -> DataFrame:
+    """What `select` gives of the corpus written as codes and vectors; both are removed when it is done."""
+    folder = f"{shared_folder(s, 'a written corpus')}/corpus-{uuid.uuid4().hex}"
+    c = clips(s, d)
+    sc = screen_of(c)
+    found = checkpointed(select(cascade.write(c, sc.scale, folder), sc))
+    remove_folder(s, folder)
+    return found
+
+
+@query
+def written_topk(s, d):
+    return written_corpus(s, d, lambda c, sc: out(cascade.select(c, sc, k=50), "row", "run_uuid", "exact"))
+
+
+@query
+def written_tau(s, d):
+    return written_corpus(s, d, lambda c, sc: out(cascade.select(c, sc, tau=0.15), "row", "segment_id", "score", "class"))
+
+
+@query
+def written_large_k(s, d):
+    """More than half of the rows by exact scores, found by brackets and a shuffled fetch, as a table of any size would be."""
+    return written_corpus(s, d, lambda c, sc: out(cascade.select(c, sc, k=300, few=50, most_sent=0), "row", "exact"))
+
+
+@query
+def large_topk(s, d):
+    """The best 300 lines of orders by price, many with ties, without sorting them together."""
+    rows = read(s, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return order.top(rows, 300, score="l_quantity", few=100).select("row", "l_quantity")
+
+
+@query
+def exact_quantiles(s, d):
+    """Of line prices, by brackets."""
+    p = order.quantiles(read(s, d, "lineitem"), "l_extendedprice", [0.0, 0.25, 0.5, 0.999, 1.0], few=1000)
+    return s.createDataFrame([tuple(round(x, 4) for x in p)], "p0 double, p25 double, p50 double, p999 double, p100 double")
+
+
+@query
+def event_intervals(s, d):
+    """Bursts of events of each user on a minute's grid, cut into short ranges and blocks and put together again."""
+    e = read(s, d, "events").select(F.col("user_id").cast("string").alias("run_uuid"), F.col("event_id").alias("row"), F.unix_timestamp("ts").alias("chunk_start_unix"), F.round(F.col("value") / 97, 9).alias("score"))
+    return out(iv.intervals(e, 0.3, span=3600, block=64), "run_uuid", "start_s", "end_s", "peak", "mean", "num_cells", "peak_row", digits=4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -24,3 +24,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share, for {purpose}")
     return tempfile.mkdtemp(prefix="clipsift-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors cost nothing; Spark removes it with its last user."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
