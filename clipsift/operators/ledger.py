@@ -1,10 +1,12 @@
-"""Mutable catalog state as append-only Parquet logs: every change is a row, the present is the last row of each key.
+"""Mutable catalog state as append-only logs: every change is a row, the present is the last row of each key.
 
-One writer is assumed (a driver); readers see whole appends only. Changes that must see the present read it first.
+Several drivers may write. A change reads one version of the log, decides by it, and becomes the next version only if no other
+writer was first; else it is decided anew on what that writer left (`commits`). Readers see whole changes only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 
@@ -12,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipsift.operators.catalog import latest
+from clipsift.operators.commits import Commits, Conflict
 
 EXPORTS = "export_id string, seq long, status string, moved_at long, detail string"
 TAGS = "tag string, seq long, version long, thresholds map<string,double>, stale array<string>, pinned long, deleted boolean, created_by string, created_at long"
 #: An export that has not moved for so long may be claimed anew.
 RECLAIM_SECONDS = 3 * 3600
 LONGEST_ERROR = 2000
+#: A change gives up after so many other writers that were first.
+MOST_TRIES = 50
 
 
 def export_id(request: dict) -> str:
@@ -25,22 +30,47 @@ def export_id(request: dict) -> str:
     return hashlib.sha1(json.dumps(request, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:20]
 
 
+def change(f):
+    """A method that reads the present and appends: decided and written as one, again if another writer was first. Within another
+    change it is a part of that."""
+
+    @functools.wraps(f)
+    def run(self, *args, **named):
+        if self._at is not None:
+            return f(self, *args, **named)
+        for _ in range(MOST_TRIES):
+            self._at, self._fresh = self.log.version(), []
+            try:
+                at, out, fresh = self._at, f(self, *args, **named), self._fresh
+            finally:
+                self._at, self._fresh = None, []
+            if not fresh:
+                return out
+            if self.log.put(at + 1, self.spark.createDataFrame(fresh, self.schema).coalesce(1)):
+                self.log.tidy()
+                return out
+        raise Conflict(f"{MOST_TRIES} times another writer was first in {self.path}")
+
+    return run
+
+
 class _Log:
     schema = ""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            spark.createDataFrame([], self.schema).write.parquet(path)
+        self.log = Commits(spark, path, self.schema)
+        self._at: int | None = None  # the version that a change is decided on
+        self._fresh: list[tuple] = []
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.log.rows(self._at)
 
     def _append(self, *rows: tuple) -> None:
-        self.spark.createDataFrame(list(rows), self.schema).coalesce(1).write.mode("append").parquet(self.path)
+        self._fresh += rows
 
     def _next(self) -> int:
-        return (self.rows().agg(F.max("seq")).first()[0] or 0) + 1
+        return (self.rows().agg(F.max("seq")).first()[0] or 0) + 1 + len(self._fresh)
 
 
 class Exports(_Log):
@@ -55,6 +85,7 @@ class Exports(_Log):
         r = self.current().where(F.col("export_id") == key).first()
         return r and r["status"]
 
+    @change
     def claim(self, key: str, now: int) -> bool:
         """Whether the caller has the job: it is new, failed to move for RECLAIM_SECONDS, or ended in an error."""
         r = self.current().where(F.col("export_id") == key).first()
@@ -63,12 +94,14 @@ class Exports(_Log):
         self._append((key, self._next(), "pending", now, None))
         return True
 
+    @change
     def move(self, key: str, status: str, now: int, detail: str | None = None) -> None:
         """running, ready (detail: where the result is) or error (detail: why, cut to LONGEST_ERROR characters)."""
         if status not in ("running", "ready", "error"):
             raise ValueError(f"no such status: {status}")
         self._append((key, self._next(), status, now, detail and detail[:LONGEST_ERROR]))
 
+    @change
     def forget_error(self, key: str, now: int) -> None:
         if self.state(key) == "error":
             self._append((key, self._next(), "gone", now, None))
@@ -99,6 +132,7 @@ class Tags(_Log):
         new = {**r.asDict(), **changes, "seq": self._next()}
         self._append(tuple(new[c.split()[0]] for c in TAGS.split(", ")))
 
+    @change
     def create(self, tag: str, project: str, threshold: float, by: str, now: int) -> None:
         """Version 1, or the project's threshold on the latest version; a project that has one already is a conflict."""
         r = self.resolve(tag, None)
@@ -109,6 +143,7 @@ class Tags(_Log):
         else:
             self._put(r, thresholds={**r["thresholds"], project: threshold})
 
+    @change
     def new_version(self, tag: str, project: str, threshold: float, by: str, now: int) -> int:
         """The next version; other projects' thresholds are carried over as stale."""
         known = self._known(tag)
@@ -116,12 +151,14 @@ class Tags(_Log):
         self._put(last, version=last["version"] + 1, thresholds={**last["thresholds"], project: threshold}, stale=sorted(set(last["thresholds"]) - {project}), created_by=by, created_at=now)
         return last["version"] + 1
 
+    @change
     def set_threshold(self, tag: str, version: int, project: str, threshold: float) -> None:
         r = self.resolve(tag, version)
         if r is None:
             raise KeyError(f"{tag} v{version}")
         self._put(r, thresholds={**r["thresholds"], project: threshold}, stale=[p for p in r["stale"] if p != project])
 
+    @change
     def pin(self, tag: str, version: int | None) -> None:
         known = self._known(tag)
         if version is not None and not 1 <= version <= max(r["version"] for r in known):
@@ -129,6 +166,7 @@ class Tags(_Log):
         for r in known:
             self._put(r, pinned=version)
 
+    @change
     def delete(self, tag: str) -> None:
         """Soft: a tag that is created again starts anew. A pinned tag stays."""
         known = self._known(tag)

@@ -262,4 +262,7 @@ SELECT "row", round(score, 6) AS score FROM (SELECT "row", score FROM near UNION
     "large_topk": 'SELECT l_orderkey * 10 + l_linenumber AS "row", l_quantity FROM lineitem ORDER BY l_quantity DESC, "row" LIMIT 300',
     "exact_quantiles": "SELECT round(p[1], 4) AS p0, round(p[2], 4) AS p25, round(p[3], 4) AS p50, round(p[4], 4) AS p999, round(p[5], 4) AS p100 FROM (SELECT quantile_cont(l_extendedprice, [0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.999::DOUBLE, 1.0::DOUBLE]) AS p FROM lineitem)",
     "event_intervals": "WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_uuid, event_id AS \"row\", CAST(floor(epoch(ts)) AS BIGINT) AS chunk_start_unix, round(value / 97, 9) AS score FROM events)" + _CELLS + _islands(0.3),
+    "stream_hit_runs": EXACT + """, h AS (SELECT run_uuid, chunk_start_unix AS t, score, CASE WHEN chunk_start_unix - lag(chunk_start_unix) OVER (PARTITION BY run_uuid ORDER BY chunk_start_unix) <= 5 THEN 0 ELSE 1 END AS b FROM s WHERE score >= 0.05),
+g AS (SELECT *, sum(b) OVER (PARTITION BY run_uuid ORDER BY t) AS g FROM h) SELECT run_uuid, min(t) AS start, max(t) AS last, count(*) AS n, round(max(score), 6) AS peak FROM g GROUP BY run_uuid, g""",
+    "claimed_exports": "SELECT 'u' || (user_id % 10) AS export_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
 }

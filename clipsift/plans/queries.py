@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, cascade, catalog, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors
+from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sources.clips import clips, coverage, key_values
@@ -568,11 +568,46 @@ def real_projection(s, d):
 @query
 def stream_upsert_clips(s, d):
     """Clips written as a folder of events, some twice, and upserted by a stream; its final state."""
-    base = f"{shared_folder(s, 'streams')}/stream-{uuid.uuid4().hex}"
+    base, kind = f"{shared_folder(s, 'streams')}/stream-{uuid.uuid4().hex}", "chunk_id string, row long, event_time timestamp"
     c = clips(s, d).select(exporting.chunk_id().alias("chunk_id"), "row", F.timestamp_seconds("chunk_start_unix").alias("event_time"))
     c.unionByName(c.where("row % 4 = 0").withColumn("event_time", F.col("event_time") + F.expr("interval 10 minutes")).withColumn("row", F.col("row") + 1_000_000)).write.parquet(f"{base}/in")
-    ingest.upsert(ingest.read_clips(s, f"{base}/in", "chunk_id string, row long, event_time timestamp"), f"{base}/log", f"{base}/state").awaitTermination()
-    return ingest.current(s, f"{base}/log").select("chunk_id", "row")
+    ingest.upsert(ingest.read_clips(s, f"{base}/in", kind), f"{base}/log", f"{base}/state").awaitTermination()
+    found = checkpointed(ingest.current(s, f"{base}/log", kind).select("chunk_id", "row"))
+    remove_folder(s, base)
+    return found
+
+
+@query
+def stream_hit_runs(s, d):
+    """Scored clips in files that mix all times, read two files at a time, as sessions of hits: late clips join and merge sessions
+    that are open. The watermark waits 400 days; two later events close what is left."""
+    base, kind = f"{shared_folder(s, 'streams')}/runs-{uuid.uuid4().hex}", "run_uuid string, event_time timestamp, score double"
+    c = exact(clips(s, d)).select("run_uuid", F.timestamp_seconds("chunk_start_unix").alias("event_time"), "score", F.pmod(F.xxhash64("row"), F.lit(6)).alias("file"))
+    c.repartition(6, "file").drop("file").write.parquet(f"{base}/in")
+    read_all = lambda: s.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(f"{base}/in").withWatermark("event_time", "400 days")
+    for days in (0, 1000, 2000):
+        if days:
+            s.createDataFrame([("later", 1.0)], "run_uuid string, score double").select("run_uuid", (F.timestamp_seconds(F.lit(1704067200)) + F.make_dt_interval(F.lit(days))).alias("event_time"), "score").write.mode("append").parquet(f"{base}/in")
+        ingest.write_runs(ingest.hit_runs(read_all(), 0.05), f"{base}/out", f"{base}/state").awaitTermination()
+    found = checkpointed(s.read.parquet(f"{base}/out").where("run_uuid != 'later'").select("run_uuid", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last").alias("last"), "n", F.round("peak", 6).alias("peak")))
+    remove_folder(s, base)
+    return found
+
+
+@query
+def claimed_exports(s, d):
+    """Purchases as claims of export jobs in a log with commits: of each hour's claims on one export the first wins."""
+    e = read(s, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("export_id"), F.floor(F.unix_timestamp("ts") / 3600).alias("hour"), "event_id")
+    base = f"{shared_folder(s, 'a log')}/claims-{uuid.uuid4().hex}"
+    log = commits.Commits(s, base, "export_id string, hour long, event_id long")
+    first = lambda rows: catalog.latest(rows, ["export_id", "hour"], [F.col("event_id").asc()])
+    for part in range(3):
+        mine = first(e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).select("export_id", F.col("hour").cast("long").alias("hour"), "event_id"))
+        log.change(lambda rows, _, mine=mine: mine)
+    log.compact(lambda rows: first(rows).coalesce(1))
+    found = checkpointed(log.rows())
+    remove_folder(s, base)
+    return found
 
 
 @query
