@@ -265,4 +265,6 @@ SELECT "row", round(score, 6) AS score FROM (SELECT "row", score FROM near UNION
     "stream_hit_runs": EXACT + """, h AS (SELECT run_uuid, chunk_start_unix AS t, score, CASE WHEN chunk_start_unix - lag(chunk_start_unix) OVER (PARTITION BY run_uuid ORDER BY chunk_start_unix) <= 5 THEN 0 ELSE 1 END AS b FROM s WHERE score >= 0.05),
 g AS (SELECT *, sum(b) OVER (PARTITION BY run_uuid ORDER BY t) AS g FROM h) SELECT run_uuid, min(t) AS start, max(t) AS last, count(*) AS n, round(max(score), 6) AS peak FROM g GROUP BY run_uuid, g""",
     "claimed_exports": "SELECT 'u' || (user_id % 10) AS export_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
+    "window_overlaps": CLIPS + """, w AS (SELECT event_id AS window_id, 'run-' || (event_id % 10) AS run_uuid, 1704067200 + 86400 * (event_id % 10) + (event_id * 7) % 600 AS b, 20 + (event_id % 5) * 30 AS len FROM events)
+SELECT window_id, count(*) AS n, min("row") AS first, max("row") AS last FROM w JOIN clips ON clips.run_uuid = w.run_uuid AND chunk_start_unix < b + len AND coalesce(chunk_end_unix, chunk_start_unix + 8) > b GROUP BY window_id""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors
+from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors, windows
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sources.clips import clips, coverage, key_values
@@ -856,3 +856,13 @@ def event_intervals(s, d):
     """Bursts of events of each user on a minute's grid, cut into short ranges and blocks and put together again."""
     e = read(s, d, "events").select(F.col("user_id").cast("string").alias("run_uuid"), F.col("event_id").alias("row"), F.unix_timestamp("ts").alias("chunk_start_unix"), F.round(F.col("value") / 97, 9).alias("score"))
     return out(iv.intervals(e, 0.3, span=3600, block=64), "run_uuid", "start_s", "end_s", "peak", "mean", "num_cells", "peak_row", digits=4)
+
+
+@query
+def window_overlaps(s, d):
+    """A window for each event, over all clips of its run at once: how many overlap it, and the first and last of them."""
+    run = F.col("event_id") % 10
+    start = F.lit(1704067200) + 86400 * run + (F.col("event_id") * 7) % 600
+    w = read(s, d, "events").select(F.col("event_id").alias("window_id"), F.concat(F.lit("run-"), run.cast("string")).alias("run_uuid"), start.alias("start"), (start + 20 + (F.col("event_id") % 5) * 30).alias("end"))
+    pairs = windows.overlaps(clips(s, d), w, width=60)
+    return pairs.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
