@@ -1,7 +1,8 @@
 """Principal axes of a vector column: sums over all rows on the executors, a small eigenproblem on the driver.
 
 Each task adds up its rows' products into one matrix; the matrices are added line by line on the executors, so that only
-one matrix of the vectors' dimensions, whatever the number of rows, reaches the driver.
+one matrix of the vectors' dimensions, whatever the number of rows, reaches the driver. `fit` takes all products of two
+dimensions and is exact; `fit_sketched` takes the products with a few random directions, for vectors of many dimensions.
 """
 
 from __future__ import annotations
@@ -74,8 +75,56 @@ def fit(df: DataFrame, k: int, *, vec: str = "vec", centred: bool = True, unit:
     spread = gram / n - np.outer(mean, mean)
     value, axes = np.linalg.eigh(spread)
     value, axes = np.maximum(value[::-1][:k], 0), axes.T[::-1][:k]
-    sign = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
-    return Basis(mean, axes * sign[:, None], value, float(np.trace(spread)), n)
+    return Basis(mean, _oriented(axes), value, float(np.trace(spread)), n)
+
+
+def _oriented(axes: np.ndarray) -> np.ndarray:
+    """Axes, one a row, each pointing to where its largest part is positive."""
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def _lines(batches: Iterator[pa.RecordBatch], unit: bool, mean: np.ndarray | None, directions: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Without directions line 0: (rows, sum of squares, sum of the vectors); with them line i: line i of x' (x directions)."""
+    out = None
+    for batch in batches:
+        m = matrix(batch.column(0), unit)
+        if len(m):
+            if directions is None:
+                part = np.concatenate([[len(m), (m * m).sum()], m.sum(0)])[None]
+            else:
+                m = m - mean
+                part = m.T @ (m @ directions)
+            out = part if out is None else out + part
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["line", "sums"])
+
+
+def _summed(df: DataFrame, unit: bool, mean: np.ndarray | None = None, directions: np.ndarray | None = None) -> np.ndarray:
+    parts = df.mapInArrow(lambda b: _lines(b, unit, mean, directions), "line int, sums binary")
+    rows = parts.groupBy("line").applyInArrow(_add, "line int, sums binary").collect()  # one a dimension
+    return np.array([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["line"])])
+
+
+def fit_sketched(df: DataFrame, k: int, *, vec: str = "vec", centred: bool = True, unit: bool = False, rounds: int = 4, seed: int = 0) -> Basis:
+    """The k strongest axes by a randomised range finder: max(2 k, k + 32) random directions, `rounds` products with the spread
+    of the rows, made orthogonal after each, and the eigenproblem of the spread within what they reach.
+
+    A task holds d x max(2 k, k + 32) sums, never d x d; the driver gets as many. `rounds` + 2 passes over the rows. The total
+    variance is that of all dimensions. Null vectors are not used; no rows give an empty basis.
+    """
+    rows = df.select(vec)
+    first = _summed(rows, unit)
+    if not len(first):
+        return Basis(np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0, 0)
+    n, squares, total = int(first[0, 0]), first[0, 1], first[0, 2:]
+    mean = total / n if centred else np.zeros(len(total))
+    d = len(total)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(d, max(2 * k, k + 32)))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(_summed(rows, unit, mean, q))[0]
+    value, inner = np.linalg.eigh(q.T @ _summed(rows, unit, mean, q) / n)
+    axes = (q @ inner).T[::-1][:k]
+    return Basis(mean, _oriented(axes), np.maximum(value[::-1][:k], 0), max(0.0, squares / n - float(mean @ mean)), n)
 
 
 def project(df: DataFrame, basis: Basis, *, vec: str = "vec", row: str = "row", unit: bool = False) -> DataFrame:

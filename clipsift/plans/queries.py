@@ -557,6 +557,13 @@ def pca_projection(s, d):
     return p.select("row", F.transform("projected", lambda x: F.round(x, 5)).alias("projected"))
 
 
+@query
+def pca_sketched_variance(s, d):
+    """No SQL: eigenvectors. Unit vectors, as the map takes them; tested against numpy."""
+    b = pca.fit_sketched(clips(s, d), 16, unit=True)
+    return s.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(b.ratio)], "axis int, ratio double")
+
+
 @query
 def real_projection(s, d):
     c = clips(s, d)
