@@ -267,4 +267,5 @@ g AS (SELECT *, sum(b) OVER (PARTITION BY run_uuid ORDER BY t) AS g FROM h) SELE
     "claimed_exports": "SELECT 'u' || (user_id % 10) AS export_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
     "window_overlaps": CLIPS + """, w AS (SELECT event_id AS window_id, 'run-' || (event_id % 10) AS run_uuid, 1704067200 + 86400 * (event_id % 10) + (event_id * 7) % 600 AS b, 20 + (event_id % 5) * 30 AS len FROM events)
 SELECT window_id, count(*) AS n, min("row") AS first, max("row") AS last FROM w JOIN clips ON clips.run_uuid = w.run_uuid AND chunk_start_unix < b + len AND coalesce(chunk_end_unix, chunk_start_unix + 8) > b GROUP BY window_id""",
+    "npy_matrices": CLIPS + ' SELECT "row", run_uuid, round(list_sum(list_transform(vec, lambda x: abs(CAST(x AS DOUBLE)))), 4) AS total FROM clips WHERE vec IS NOT NULL',
 }

@@ -12,9 +12,10 @@ from clipsift.functions import encode, text
 from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors, windows
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
+from clipsift.sinks.files import write_matrices
 from clipsift.sources.clips import clips, coverage, key_values
 from clipsift.sources import remote
-from clipsift.sources.files import null_rate
+from clipsift.sources.files import null_rate, read_matrices
 from clipsift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -873,3 +874,17 @@ def window_overlaps(s, d):
     w = read(s, d, "events").select(F.col("event_id").alias("window_id"), F.concat(F.lit("run-"), run.cast("string")).alias("run_uuid"), start.alias("start"), (start + 20 + (F.col("event_id") % 5) * 30).alias("end"))
     pairs = windows.overlaps(clips(s, d), w, width=60)
     return pairs.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+@query
+def npy_matrices(s, d):
+    """The vectors written as matrices in order of row, read again by ranges of 16 KB beside the metadata of the same place."""
+    folder = f"{shared_folder(s, 'matrices')}/matrices-{uuid.uuid4().hex}"
+    c = clips(s, d).where("vec is not null").withColumn("_down", -F.col("row"))
+    placed = exporting.ranked(c, "_down").withColumn("place", F.col("rank") - 1)
+    write_matrices(placed, folder, row="place", batch=300)
+    back = read_matrices(s, folder, placed.select("place", "row", "run_uuid"), row="place", split=1 << 14)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    found = checkpointed(back.select("row", "run_uuid", F.round(total, 4).alias("total")))
+    remove_folder(s, folder)
+    return found

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipsift.sources.readers import SPLIT_BYTES, MatrixSource, splits
+
 VECTOR_NAMES = ("vector", "embedding_vec", "embedding", "vec")
 
 
@@ -58,32 +55,15 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_matrices(spark: SparkSession, path: str, metadata: DataFrame, row: str = "row") -> DataFrame:
-    """Rows of .npy matrices, numbered through the files in order of name, beside the metadata of the same row; a matrix is
-    one task's. Unequal numbers of rows are an error."""
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(np.load(io.BytesIO(x))) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(n, pa.int64())], names=["path", "n"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    start, total = {}, 0
-    for r in sorted(files.mapInArrow(sizes, "path string, n long").collect(), key=lambda r: r["path"]):  # one row a file
-        start[r["path"]], total = total, total + r["n"]
+def read_matrices(spark: SparkSession, path: str, metadata: DataFrame, row: str = "row", split: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of .npy matrices, numbered through the files in order of name, beside the metadata of the same row. A task reads at
+    most `split` bytes of a file. Unequal numbers of rows, known from the files' headers, are an error."""
+    total = sum(p.hi - p.lo for p in splits(path, split))
     if total != metadata.count():
         raise ValueError(f"{total} vectors for {metadata.count()} rows")
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, x in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                m = np.load(io.BytesIO(x)).astype(np.float32)
-                for lo in range(0, len(m), 10_000):
-                    part = m[lo : lo + 10_000]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + start[p] + lo), lists], names=[row, "vec"])
-
-    return metadata.join(files.mapInArrow(vectors, f"{row} long, vec array<float>"), row)
+    spark.dataSource.register(MatrixSource)
+    found = spark.read.format("npy").option("splitBytes", split).load(path)
+    return metadata.join(found.withColumnRenamed("row", row), row)
 
 
 def latest_version(spark: SparkSession, path: str, name: str = "version") -> int | None:

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid as ids
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids asked for at a time.
-PAGE = 100_000
-#: fetch(set id, cursor, page size) -> (ids, next cursor or None).
-Fetch = Callable[[str, str | None, int], tuple[list[str], str | None]]
+from clipsift.session import remove_folder
+from clipsift.sources.readers import PAGE, Fetch, register_pages
 
 
 class NotReady(RuntimeError):
     """A set that is still being loaded; ask again later."""
 
 
-def pages(fetch: Fetch, uuid: str, size: int = PAGE) -> Iterator[list[str]]:
-    """Pages of ids without empty ones, until no cursor follows."""
-    cursor: str | None = None
-    while True:
-        ids, cursor = fetch(uuid, cursor, size)
-        yield [i for i in ids if i]
-        if not cursor:
-            return
-
-
-def remote_set(spark: SparkSession, fetch: Fetch, uuid: str, path: str, size: int = PAGE) -> DataFrame:
-    """Distinct ids (segment_id) of a remote set, each page written to `path` as it comes, so that the driver holds one page."""
-    for k, ids in enumerate(pages(fetch, uuid, size)):
-        spark.createDataFrame([(i,) for i in ids], "segment_id string").coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
+def remote_set(spark: SparkSession, fetch: Fetch, uuid: str, path: str, size: int = PAGE, cursors: Callable[[str, int], list[str]] | None = None) -> DataFrame:
+    """Distinct ids (segment_id) of a remote set, which executors fetch and write to `path`; `cursors` splits it into tasks (see
+    `register_pages`). The pages go to a folder beside it, which takes the name only when all are there: after a fetch that
+    failed there is no set, or the one that was there before."""
+    register_pages(spark, fetch, cursors)
+    beside = f"{path.rstrip('/')}.{ids.uuid4().hex}"
+    try:
+        spark.read.format("segment_pages").option("set", uuid).option("pageSize", size).load().write.parquet(beside)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        remove_folder(spark, path)
+        if not system.rename(hadoop(beside), hadoop(path)):
+            raise OSError(f"{path} could not be published")
+    finally:
+        remove_folder(spark, beside)
     return spark.read.parquet(path).distinct()
 
 
