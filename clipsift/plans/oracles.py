@@ -269,3 +269,4 @@ g AS (SELECT *, sum(b) OVER (PARTITION BY run_uuid ORDER BY t) AS g FROM h) SELE
 SELECT window_id, count(*) AS n, min("row") AS first, max("row") AS last FROM w JOIN clips ON clips.run_uuid = w.run_uuid AND chunk_start_unix < b + len AND coalesce(chunk_end_unix, chunk_start_unix + 8) > b GROUP BY window_id""",
     "npy_matrices": CLIPS + ' SELECT "row", run_uuid, round(list_sum(list_transform(vec, lambda x: abs(CAST(x AS DOUBLE)))), 4) AS total FROM clips WHERE vec IS NOT NULL',
 }
+ORACLES |= {name: ORACLES["event_intervals"] for name in ("interval_function", "interval_arrow")}

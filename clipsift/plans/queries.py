@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, ledger, order, pca, projects, screening, selection, vectors, windows
+from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, islands, ledger, order, pca, projects, screening, selection, vectors, windows
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sinks.files import write_matrices
@@ -859,11 +859,33 @@ def exact_quantiles(s, d):
     return s.createDataFrame([tuple(round(x, 4) for x in p)], "p0 double, p25 double, p50 double, p999 double, p100 double")
 
 
+def event_scores(s: SparkSession, d: str) -> DataFrame:
+    """Events as clips of their user, with their value as score."""
+    return read(s, d, "events").select(F.col("user_id").cast("string").alias("run_uuid"), F.col("event_id").alias("row"), F.unix_timestamp("ts").alias("chunk_start_unix"), F.round(F.col("value") / 97, 9).alias("score"))
+
+
+EVENT_INTERVAL = ("run_uuid", "start_s", "end_s", "peak", "mean", "num_cells", "peak_row")
+
+
 @query
 def event_intervals(s, d):
-    """Bursts of events of each user on a minute's grid, cut into short ranges and blocks and put together again."""
-    e = read(s, d, "events").select(F.col("user_id").cast("string").alias("run_uuid"), F.col("event_id").alias("row"), F.unix_timestamp("ts").alias("chunk_start_unix"), F.round(F.col("value") / 97, 9).alias("score"))
-    return out(iv.intervals(e, 0.3, span=3600, block=64), "run_uuid", "start_s", "end_s", "peak", "mean", "num_cells", "peak_row", digits=4)
+    """Bursts of events of each user, cut into short ranges and blocks and put together again."""
+    return out(iv.intervals(event_scores(s, d), 0.3, span=3600, block=64), *EVENT_INTERVAL, digits=4)
+
+
+@query
+def interval_function(s, d):
+    """The same by a table function that takes the cells of a run and block in order, called in SQL."""
+    islands.table_function(s)
+    cells = islands.blocks(iv.cells(event_scores(s, d), span=3600), 64)
+    parts = s.sql("SELECT * FROM islands(TABLE({cells}) PARTITION BY (run_uuid, block) ORDER BY (m), 0.3D)", cells=cells)
+    return out(iv.merged(parts, 64), *EVENT_INTERVAL, digits=4)
+
+
+@query
+def interval_arrow(s, d):
+    """The same by a function of Arrow groups, in blocks of another size."""
+    return out(islands.intervals_by_arrow(event_scores(s, d), 0.3, span=3600, block=4096), *EVENT_INTERVAL, digits=4)
 
 
 @query
