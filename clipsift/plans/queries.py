@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, islands, ledger, order, pca, projects, screening, selection, vectors, windows
+from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, islands, layout, ledger, order, pca, projects, screening, selection, vectors, windows
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sinks.files import write_matrices
@@ -910,3 +910,20 @@ def npy_matrices(s, d):
     found = checkpointed(back.select("row", "run_uuid", F.round(total, 4).alias("total")))
     remove_folder(s, folder)
     return found
+
+
+@query
+def neighbour_graph(s, d):
+    """The 10 nearest neighbours of every clip in a sample of up to 2000, by similarity."""
+    c = clips(s, d)
+    found = layout.nearest(c, *layout.sample_matrix(atlas.seeded_sample(c, 2000, 0)), k=10)
+    return found.select("row", F.posexplode("similarity").alias("place", "similarity")).withColumn("similarity", F.round("similarity", 4))
+
+
+@query
+def map_layout(s, d):
+    """No SQL: a random descent. All clips on a map by neighbourhood, from unit vectors along 50 axes; its trust is tested."""
+    c = clips(s, d)
+    p = pca.project(c, pca.fit_sketched(c, 50, unit=True), unit=True).withColumnRenamed("projected", "vec")
+    at = checkpointed(layout.laid_out(p, atlas.seeded_sample(p, layout.MOST, 0)).withColumnRenamed("position", "vec"))
+    return out(atlas.scaled_points(at), "row", "x", "y", digits=4)
