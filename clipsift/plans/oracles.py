@@ -273,4 +273,4 @@ ORACLES |= {name: ORACLES["event_intervals"] for name in ("interval_function", "
 ORACLES["neighbour_graph"] = CLIPS + """, v AS (SELECT "row", CAST(vec AS DOUBLE[]) AS v FROM clips WHERE vec IS NOT NULL),
 drawn AS (SELECT "row", vec FROM clips ORDER BY md5('0:' || "row"), "row" LIMIT 4000), sample AS (SELECT "row" AS other, CAST(vec AS DOUBLE[]) AS o FROM drawn WHERE vec IS NOT NULL ORDER BY md5('0:' || "row"), "row" LIMIT 2000),
 g AS (SELECT "row", list_inner_product(v, o) / (greatest(sqrt(list_inner_product(v, v)), 1e-12) * greatest(sqrt(list_inner_product(o, o)), 1e-12)) AS similarity FROM v JOIN sample ON v."row" <> other)
-SELECT "row", CAST(row_number() OVER w - 1 AS INT) AS place, round(similarity, 4) AS similarity FROM g QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY "row" ORDER BY similarity DESC)"""
+SELECT "row", CAST(row_number() OVER w - 1 AS INT) AS place, round(similarity, 4) AS similarity FROM g WINDOW w AS (PARTITION BY "row" ORDER BY g.similarity DESC) QUALIFY row_number() OVER w <= 10"""
