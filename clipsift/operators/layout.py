@@ -24,11 +24,11 @@ def sample_matrix(sample: DataFrame, *, vec: str = "vec", row: str = "row", most
     """Rows of a bounded sample, ascending, and their unit vectors; more than `most_bytes` of them are refused before any
     is fetched."""
     kept = sample.where(F.col(vec).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(vec).cast("array<double>").alias("vec"))
-    size = kept.agg(F.sum(F.size("vec") * 4)).first()[0] or 0
+    size = kept.agg(F.sum(F.size("vec") * 8)).first()[0] or 0
     if size > most_bytes:
         raise ValueError(f"the sample's vectors have {size} bytes, over {most_bytes}")
     table = kept.toArrow().sort_by("row")
-    return table["row"].to_numpy(), matrix(table["vec"].combine_chunks(), True).astype(np.float32)
+    return table["row"].to_numpy(), matrix(table["vec"].combine_chunks(), True)
 
 
 def nearest(df: DataFrame, rows: np.ndarray, units: np.ndarray, k: int = NEAREST, *, vec: str = "vec", row: str = "row", batch: int = 1024) -> DataFrame:
@@ -39,15 +39,15 @@ def nearest(df: DataFrame, rows: np.ndarray, units: np.ndarray, k: int = NEAREST
         for whole in batches:
             whole = whole.filter(whole.column(1).is_valid())
             for b in (whole.slice(lo, batch) for lo in range(0, len(whole), batch)):
-                own, m = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), True).astype(np.float32)
-                sim = np.nan_to_num(m @ units.T, nan=-1) if len(rows) else np.zeros((len(own), 0), np.float32)
+                own, m = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), True)
+                sim = np.nan_to_num(m @ units.T, nan=-1) if len(rows) else np.zeros((len(own), 0))
                 here = np.searchsorted(rows, own)
                 known = np.flatnonzero((here < len(rows)) & (rows[np.minimum(here, len(rows) - 1)] == own)) if len(rows) else here[:0]
                 sim[known, here[known]] = -np.inf
                 n = min(k, len(rows))
                 best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n else np.zeros((len(own), 0), np.int64)
                 best = np.take_along_axis(best, np.lexsort((best, -np.take_along_axis(sim, best, 1)), axis=1), 1)
-                value = np.take_along_axis(sim, best, 1).astype(np.float64)
+                value = np.take_along_axis(sim, best, 1)
                 real = np.isfinite(value)  # a row alone in the sample has none
                 ends = pa.array(np.r_[0, np.cumsum(real.sum(1))].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(best[real])), pa.ListArray.from_arrays(ends, pa.array(value[real]))], names=["row", "at", "similarity"])
@@ -136,7 +136,7 @@ def laid_out(df: DataFrame, sample: DataFrame, k: int = NEAREST, *, vec: str = "
     at = found["at"].combine_chunks().flatten().to_numpy().reshape(-1, k)
     far = 1 - found["similarity"].combine_chunks().flatten().to_numpy().reshape(-1, k)
     pairs = edges(at, memberships(far))
-    centred = units.astype(np.float64) - units.mean(0)
+    centred = units - units.mean(0)
     axes = np.linalg.svd(centred.T @ centred)[0][:, : min(2, centred.shape[1])]
     start = np.zeros((len(rows), 2))
     start[:, : axes.shape[1]] = centred @ axes
