@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def vector_json(vec: Column, digits: int | None = None) -> Column:
-    """A direction, flat or an array of several, as JSON numbers, rounded if asked for."""
-    return F.to_json(vec if digits is None else F.transform(vec, lambda x: F.round(x.cast("double"), digits) + F.lit(0.0)))
+def vector_json(vec: Column, digits: int | None = None, *, several: bool = False) -> Column:
+    """A direction, or an array of `several`, as JSON numbers, rounded if asked for. Null vectors and numbers stay null."""
+    if digits is None:
+        return F.to_json(vec)
+    rounded = lambda v: F.transform(v, lambda x: F.round(x.cast("double"), digits) + F.lit(0.0))
+    return F.to_json(F.transform(vec, rounded) if several else rounded(vec))
 
 
 def array_text(m: np.ndarray) -> str:

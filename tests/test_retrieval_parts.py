@@ -271,6 +271,8 @@ def test_arrays_points_and_json(spark):
     assert v.select(encode.vector_json(F.col("v"), 2)).first()[0] == "[0.12,0.0]"
     nested = spark.createDataFrame([([[1.0], [2.0]],)], "v array<array<double>>")
     assert nested.select(encode.vector_json(F.col("v"))).first()[0] == "[[1.0],[2.0]]"
+    several = spark.createDataFrame([([[0.126, -0.0], None, []],), (None,)], "v array<array<float>>")
+    assert [r[0] for r in several.select(encode.vector_json(F.col("v"), 2, several=True)).collect()] == ["[[0.13,0.0],null,[]]", None]
 
 
 def test_remote_sets_and_versions(spark, tmp_path):
