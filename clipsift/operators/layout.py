@@ -31,7 +31,7 @@ def sample_matrix(sample: DataFrame, *, vec: str = "vec", row: str = "row", most
     return table["row"].to_numpy(), matrix(table["vec"].combine_chunks(), True)
 
 
-def nearest(df: DataFrame, rows: np.ndarray, units: np.ndarray, k: int = NEAREST, *, vec: str = "vec", row: str = "row", batch: int = 1024) -> DataFrame:
+def nearest(df: DataFrame, rows: np.ndarray, units: np.ndarray, k: int = NEAREST, *, vec: str = "vec", row: str = "row", batch: int = 256) -> DataFrame:
     """(row, at, similarity): for each row with a vector the places in `rows` of its k nearest by cosine, nearest first, itself left
     out. Of equally near ones at the end any may be kept."""
 
