@@ -75,24 +75,24 @@ def page(df: DataFrame, number: int, size: int, depth: int = 5000) -> DataFrame:
     return df.where(F.col("rank").between((number - 1) * size + 1, number * size))
 
 
-def export_columns(df: DataFrame, tag: str, prefix: str) -> DataFrame:
-    """The clip export table; an unknown end is -1, times are in nanoseconds."""
+def export_columns(df: DataFrame, tag: str, prefix: str, *more: str) -> DataFrame:
+    """The clip export table, and more of its columns; an unknown end is -1, times are in nanoseconds."""
     day = utc_day(F.col("chunk_start_unix"))
     uri = F.concat(F.lit(prefix), F.lit("dt="), day, F.lit("/"), F.col("run_uuid"), F.lit("_t"), F.col("chunk_start_unix").cast("string"), F.lit(".mp4"))
     ns = F.lit(1_000_000_000)
     return df.select(
         "rank", F.round("score", 6).alias("score"), "segment_id", chunk_id().alias("chunk_id"), "run_uuid", (F.col("chunk_start_unix") * ns).alias("start_timestamp_ns"),
-        F.coalesce(F.col("chunk_end_unix") * ns, F.lit(-1)).alias("end_timestamp_ns"), uri.alias("source_media_uri"), "vehicle", F.lit(tag).alias("tag"), F.col("row").alias("corpus_row"),
+        F.coalesce(F.col("chunk_end_unix") * ns, F.lit(-1)).alias("end_timestamp_ns"), uri.alias("source_media_uri"), "vehicle", F.lit(tag).alias("tag"), F.col("row").alias("corpus_row"), *more,
     )
 
 
 def confidence(df: DataFrame, tau: float | None, score: str = "score") -> DataFrame:
-    """0 at tau (or the least score), 1 at the best. Both ends are aggregated, and come to the rows as one."""
+    """0 at tau (or the least score), 1 at the best, null without a score. Both ends are aggregated, and come to the rows as one."""
     ends = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     lo = F.lit(tau) if tau is not None else F.col("_lo")
     hi = F.greatest(F.col("_hi"), lo + 1e-6)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(score) - lo) / (hi - lo)))
-    return df.crossJoin(F.broadcast(ends)).withColumn("confidence", share).drop("_lo", "_hi")  # one row
+    return df.crossJoin(F.broadcast(ends)).withColumn("confidence", F.when(F.col(score).isNotNull(), share)).drop("_lo", "_hi")  # one row
 
 
 def passthrough(df: DataFrame, source: DataFrame, key: str = "segment_id") -> DataFrame:

@@ -21,10 +21,16 @@ TAGS = "tag string, seq long, version long, thresholds map<string,double>, stale
 #: An export that has not moved for so long may be claimed anew.
 RECLAIM_SECONDS = 3 * 3600
 LONGEST_ERROR = 2000
+#: Ids of a set of segments at most.
+MOST_SEGMENTS = 500_000
 #: A change gives up after so many other writers that were first.
 MOST_TRIES = 50
 
 
+class SetSize(ValueError):
+    """A set of no ids, or of too many."""
+
+
 def export_id(request: dict) -> str:
     """The same for equal requests, whatever the order of their keys."""
     return hashlib.sha1(json.dumps(request, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:20]
@@ -193,12 +199,12 @@ def one_per_tag(tags: DataFrame) -> DataFrame:
     return latest(tags, ["tag"], [F.col("has_vector").desc(), F.col("created_at").desc(), F.col("id").desc()])
 
 
-def register_set(df: DataFrame, column: str = "segment_id", most: int = 500_000) -> DataFrame:
+def register_set(df: DataFrame, column: str = "segment_id", most: int = MOST_SEGMENTS) -> DataFrame:
     """Distinct non-empty ids in order; none, or more than `most`, is an error."""
     ids = df.select(column).where(F.col(column).isNotNull() & (F.col(column) != "")).distinct()
     n = ids.count()
     if not 0 < n <= most:
-        raise ValueError(f"a set of {n} ids")
+        raise SetSize(f"a set of {n} ids")
     return ids.orderBy(column)
 
 

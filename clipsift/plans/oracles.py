@@ -274,3 +274,18 @@ ORACLES["neighbour_graph"] = CLIPS + """, v AS (SELECT "row", CAST(vec AS DOUBLE
 drawn AS (SELECT "row", vec FROM clips ORDER BY md5('0:' || "row"), "row" LIMIT 4000), sample AS (SELECT "row" AS other, CAST(vec AS DOUBLE[]) AS o FROM drawn WHERE vec IS NOT NULL ORDER BY md5('0:' || "row"), "row" LIMIT 2000),
 g AS (SELECT "row", list_inner_product(v, o) / (greatest(sqrt(list_inner_product(v, v)), 1e-12) * greatest(sqrt(list_inner_product(o, o)), 1e-12)) AS similarity FROM v JOIN sample ON v."row" <> other)
 SELECT "row", CAST(row_number() OVER w - 1 AS INT) AS place, round(similarity, 4) AS similarity FROM g WINDOW w AS (PARTITION BY "row" ORDER BY g.similarity DESC) QUALIFY row_number() OVER w <= 10"""
+_CLIP_ROW = f"""round(score, 6) AS score, segment_id, run_uuid || '#t' || t AS chunk_id, run_uuid, t * 1000000000 AS start_timestamp_ns, coalesce(chunk_end_unix * 1000000000, -1) AS end_timestamp_ns, {_URI} AS source_media_uri, vehicle, 'tag_a' AS tag, "row" AS corpus_row"""
+_MADE = "'road' AS project, CAST(2 AS INT) AS tag_version, '7' AS corpus_version"
+ORACLES |= {
+    "build_clips": EXACT + f""", f AS (SELECT *, chunk_start_unix AS t FROM s WHERE vehicle IN ('v0', 'v2') AND created_at_unix_s >= {1704067200 + 3 * 86400} AND score >= 0.02), b AS (SELECT * FROM f QUALIFY segment_id IS NULL OR segment_id = '' OR row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, "row") = 1),
+r AS (SELECT row_number() OVER (ORDER BY score DESC, "row") AS rank, round(greatest(0.0, least(1.0, (score - 0.02::DOUBLE) / (greatest(max(score) OVER (), 0.02::DOUBLE + 1e-6) - 0.02::DOUBLE))), 6) AS confidence, * FROM b),
+n AS (SELECT segment_id AS sid, count(*) AS clips_in_segment FROM s WHERE segment_id IS NOT NULL GROUP BY 1)
+SELECT rank, {_CLIP_ROW}, confidence, {_MADE}, clips_in_segment FROM r LEFT JOIN n ON segment_id = sid""",
+    "build_all": screened("0") + f""", q0 AS (SELECT vec AS qv FROM clips WHERE "row" = 0), cut AS (SELECT score AS cut FROM scored ORDER BY score DESC LIMIT 1 OFFSET 39), x AS (SELECT *, chunk_start_unix AS t, round(list_dot_product(vec, qv), 9) AS score FROM clips, q0, cut)
+SELECT row_number() OVER (ORDER BY x.score DESC, "row") AS rank, {_CLIP_ROW.replace("round(score", "round(x.score")}, x.score >= cut AS above_threshold, {_MADE} FROM x""",
+    "build_best": EXACT + """, b AS (SELECT * FROM s ORDER BY score DESC, "row" LIMIT 60), e AS (SELECT min(score) AS lo, greatest(max(score), min(score) + 1e-6) AS hi FROM b)
+SELECT row_number() OVER (ORDER BY b.score DESC, "row") AS rank, round(b.score, 6) AS score, "row" AS corpus_row, round((b.score - lo) / (hi - lo), 6) AS confidence FROM b, e""",
+    "build_intervals": f"SELECT *, {_MADE} FROM ({ORACLES['interval_export']})",
+    "build_figures": EXACT + """, f AS (SELECT * FROM s WHERE vehicle = 'v1' AND score >= 0.05), n AS (SELECT count(*) AS n, count(DISTINCT segment_id) FILTER (segment_id <> '') AS g FROM f)
+SELECT n AS num_rows, n AS read_rows, 0.05::DOUBLE AS cutoff, CAST(0 AS BIGINT) AS rows_unscorable, g AS set_segments, g AS num_segments, 'v1' AS vehicles, false AS since FROM n""",
+}

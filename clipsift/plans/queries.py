@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
-from clipsift.operators import atlas, calibration, cascade, catalog, commits, exporting, feedback, islands, layout, ledger, order, pca, projects, screening, selection, vectors, windows
+from clipsift.operators import atlas, building, calibration, cascade, catalog, commits, exporting, feedback, islands, layout, ledger, order, pca, projects, screening, selection, vectors, windows
 from clipsift.operators import intervals as iv
 from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sinks.files import write_matrices
@@ -845,6 +846,58 @@ def written_large_k(s, d):
     return written_corpus(s, d, lambda c, sc: out(cascade.select(c, sc, k=300, few=50, most_sent=0), "row", "exact"))
 
 
+def built(s: SparkSession, d: str, request: building.Request, source: Callable[[DataFrame], DataFrame] | None = None) -> tuple[building.Built, DataFrame, dict]:
+    """An export of a corpus that is written for it, its rows as read back from its artifact, and what its set says of itself."""
+    folder = f"{shared_folder(s, 'an export')}/export-{uuid.uuid4().hex}"
+    c = clips(s, d)
+    sc = screen_of(c)
+    if request.segment_set:
+        request = dataclasses.replace(request, segment_set=f"{folder}/set")
+    made = building.build(cascade.write(c, sc.scale, f"{folder}/corpus"), sc, request, f"{folder}/made", source=source and source(c))
+    rows = checkpointed(s.read.parquet(made.path))
+    about = building.provenance(s, request.segment_set) if request.segment_set else {}
+    remove_folder(s, folder)
+    return made, rows, about
+
+
+@query
+def build_clips(s, d):
+    """The best clip of each segment of two vehicles, with confidence and the segments' other columns."""
+    source = lambda c: c.where("segment_id is not null").groupBy("segment_id").agg(F.count(F.lit(1)).alias("clips_in_segment"), F.max("vehicle").alias("vehicle"))
+    request = building.Request("tag_a", 2, "road", "7", "clips/", tau=0.02, filters={"vehicles": ["v0", "v2"]}, since=1704067200 + 3 * 86400, by_segment=True, confidence=True)
+    rows = built(s, d, request, source)[1]
+    return out(rows, *rows.columns)
+
+
+@query
+def build_all(s, d):
+    """All clips, those that reach the score of the 40th marked as above."""
+    rows = built(s, d, building.Request("tag_a", 2, "road", "7", "clips/", k=40, below=True))[1]
+    return out(rows, *rows.columns)
+
+
+@query
+def build_best(s, d):
+    rows = built(s, d, building.Request("tag_a", 2, "road", "7", "clips/", k=60, confidence=True))[1]
+    return out(rows, "rank", "score", "corpus_row", "confidence")
+
+
+@query
+def build_intervals(s, d):
+    rows = built(s, d, building.Request("tag_a", 2, "road", "7", "clips/", tau=0.05, below=True, by_interval=True))[1].drop("rank")
+    return out(rows, *rows.columns)
+
+
+@query
+def build_figures(s, d):
+    """What an export says of itself and of the set of its segments."""
+    made, rows, about = built(s, d, building.Request("tag_a", 2, "road", "7", "clips/", tau=0.05, filters={"vehicles": ["v1"]}, segment_set="set"))
+    return s.createDataFrame(
+        [(made.num_rows, rows.count(), float(made.cutoff), made.rows_unscorable, made.set_segments, about["num_segments"], ",".join(about["vehicles"]), "since" in about)],
+        "num_rows long, read_rows long, cutoff double, rows_unscorable long, set_segments long, num_segments long, vehicles string, since boolean",
+    )
+
+
 @query
 def large_topk(s, d):
     """The best 300 lines of orders by price, many with ties, without sorting them together."""
