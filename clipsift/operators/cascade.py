@@ -8,6 +8,7 @@ counted; and by this count the vectors are found by a broadcast of the candidate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -108,6 +109,31 @@ def select(corpus: Written, screen: Screen, *, k: int | None = None, tau: float
     return _with_columns(near.where((F.col("class") == "above") | (F.coalesce("exact", "score") >= tau)), corpus.codes, "score")
 
 
+def probe(corpus: Written, screen: Screen, *, most: int = 64) -> bool | None:
+    """Whether the vectors say more than the codes, by at most `most` rows spread by a hash; None if that cannot be told. Vectors
+    that are only the codes multiplied out decide nothing: their products lie within the bound wherever the truth is."""
+    spread = corpus.codes.where("i8 is not null").orderBy(F.xxhash64("row"), "row").limit(most).select("row", "i8")
+    scale = np.array(screen.scale)
+    off = []
+    for r in corpus.vectors.join(F.broadcast(spread), "row").select("i8", "vec").collect():  # `most` rows
+        vec = np.array(r["vec"] if r["vec"] is not None else [], np.float64)
+        if len(vec) == len(scale) and vec.any():
+            off.append(np.abs(vec - np.frombuffer(r["i8"], np.int8) * scale / 127).max())
+    worst = max(off, default=math.nan) if not any(math.isnan(x) for x in off) else math.nan
+    return None if math.isnan(worst) else bool(worst >= 1e-3 * (scale / 127).max())
+
+
+def selection(corpus: Written, screen: Screen, *, k: int | None = None, tau: float | None = None, refine: str = "auto", **more) -> tuple[DataFrame, bool]:
+    """(select()'s rows, whether exact vectors decided). refine: never; always, an error if the probe finds the vectors of no use;
+    auto, which then keeps to screened scores. `more`: arguments of select()."""
+    if refine not in screening.REFINE:
+        raise ValueError(f"refine is one of {', '.join(screening.REFINE)}")
+    exact = refine != "never" and bool(probe(corpus, screen))
+    if refine == "always" and not exact:
+        raise ValueError("exact vectors are not usable")
+    return select(corpus, screen, k=k, tau=tau, refine=exact, **more), exact
+
+
 def _with_columns(found: DataFrame, codes: DataFrame, by: str) -> DataFrame:
     """The found rows with the other columns of codes, the highest first."""
     more = codes.drop("i8")

@@ -17,7 +17,8 @@ from clipsift.operators.catalog import latest
 from clipsift.operators.commits import Commits, Conflict
 
 EXPORTS = "export_id string, seq long, status string, moved_at long, detail string"
-TAGS = "tag string, seq long, version long, thresholds map<string,double>, stale array<string>, pinned long, deleted boolean, created_by string, created_at long"
+MARKS = "tag string, version long, project string, chunk_id string, seq long, mark string, born long, by string"
+TAGS = "tag string, seq long, version long, thresholds map<string,double>, stale array<string>, pinned long, deleted boolean, created_by string, created_at long, description string"
 #: An export that has not moved for so long may be claimed anew.
 RECLAIM_SECONDS = 3 * 3600
 LONGEST_ERROR = 2000
@@ -136,18 +137,22 @@ class Tags(_Log):
 
     def _put(self, r, **changes) -> None:
         new = {**r.asDict(), **changes, "seq": self._next()}
-        self._append(tuple(new[c.split()[0]] for c in TAGS.split(", ")))
+        self._append(tuple(new[c] for c in self._names()))
 
     @change
-    def create(self, tag: str, project: str, threshold: float, by: str, now: int) -> None:
-        """Version 1, or the project's threshold on the latest version; a project that has one already is a conflict."""
+    def create(self, tag: str, project: str, threshold: float, by: str, now: int, description: str = "") -> None:
+        """Version 1, or the project's threshold on the latest version; a project that has one already is a conflict. A tag that
+        was deleted starts anew, without its versions and marks. A description is that of all versions."""
         r = self.resolve(tag, None)
         if r is None:
-            self._append((tag, self._next(), 1, {project: threshold}, [], None, False, by, now))
-        elif project in r["thresholds"]:
+            self._append((tag, self._next(), 1, {project: threshold}, [], None, False, by, now, description))
+            return
+        r = max(self._known(tag), key=lambda r: r["version"])
+        if project in r["thresholds"]:
             raise ValueError(f"{tag} has a threshold for {project}")
-        else:
-            self._put(r, thresholds={**r["thresholds"], project: threshold})
+        self._put(r, thresholds={**r["thresholds"], project: threshold})
+        if description:
+            self.update(tag, description=description)
 
     @change
     def new_version(self, tag: str, project: str, threshold: float, by: str, now: int) -> int:
@@ -165,12 +170,30 @@ class Tags(_Log):
         self._put(r, thresholds={**r["thresholds"], project: threshold}, stale=[p for p in r["stale"] if p != project])
 
     @change
-    def pin(self, tag: str, version: int | None) -> None:
-        known = self._known(tag)
-        if version is not None and not 1 <= version <= max(r["version"] for r in known):
+    def update(self, tag: str, **fields) -> None:
+        """Set pinned (a version up to the latest, or None) and description on all versions at once."""
+        if not fields or set(fields) - {"pinned", "description"}:
+            raise ValueError("pinned or description is needed")
+        now = {r["version"]: r.asDict() for r in self._known(tag)}
+        now |= {r[2]: dict(zip(self._names(), r, strict=True)) for r in self._fresh if r[0] == tag}
+        pinned = fields.get("pinned")
+        if pinned is not None and not 1 <= pinned <= max(now):
             raise ValueError("no such version")
-        for r in known:
-            self._put(r, pinned=version)
+        for r in now.values():
+            self._append(tuple({**r, **fields, "seq": self._next()}[c] for c in self._names()))
+
+    def pin(self, tag: str, version: int | None) -> None:
+        self.update(tag, pinned=version)
+
+    @staticmethod
+    def _names() -> list[str]:
+        return [c.split()[0] for c in TAGS.split(", ")]
+
+    def born(self) -> DataFrame:
+        """(tag, born): of living tags, the number of the change that last deleted them, else 0."""
+        rows = self.rows()
+        lives = latest(rows, ["tag"], ["seq"]).where("not deleted").select("tag")
+        return lives.join(rows.where("deleted").groupBy("tag").agg(F.max("seq").alias("born")), "tag", "left").select("tag", F.coalesce("born", F.lit(0).cast("long")).alias("born"))
 
     @change
     def delete(self, tag: str) -> None:
@@ -187,6 +210,35 @@ class Tags(_Log):
         return rows
 
 
+class Marks(_Log):
+    """Marks of clips, up or down, by version of a tag; the last one of a clip counts. A mark belongs to the life of its tag in which
+    it was set: deleting the tag and creating it again needs no change here, as marks of an earlier life are not shown."""
+
+    schema = MARKS
+
+    @change
+    def add(self, tags: Tags, tag: str, version: int, project: str, marks: dict[str, str], by: str = "") -> int:
+        """Marks (up or down) by name of the clip; how many. An unknown tag or version is an error."""
+        wrong = sorted(set(marks.values()) - {"up", "down"})
+        if wrong:
+            raise ValueError(f"a mark is up or down, not {', '.join(wrong)}")
+        if tags.resolve(tag, version) is None:
+            raise KeyError(f"{tag} v{version}")
+        born = tags.born().where(F.col("tag") == tag).first()["born"]
+        for name, mark in marks.items():
+            self._append((tag, version, project, name, self._next(), mark, born, by))
+        return len(marks)
+
+    def current(self, tags: Tags) -> DataFrame:
+        """Marks of living tags, set since they were last created."""
+        return living_marks(self.rows(), tags.born())
+
+
+def living_marks(marks: DataFrame, born: DataFrame) -> DataFrame:
+    """The last mark of each clip of a version, of those that were set in the present life of their tag (tag, born)."""
+    return latest(marks.join(born, ["tag", "born"]), ["tag", "version", "chunk_id"], ["seq"]).drop("born")
+
+
 def thresholds_by_project(versions: DataFrame) -> DataFrame:
     """(tag, project, threshold, version, stale): each project's last threshold; stale if a later version did not set it."""
     top = F.max("version").over(Window.partitionBy("tag"))

@@ -9,7 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.operators.vectors import bound_cauchy, dot, literal, maxsim, quantise, weights
+from clipsift.operators.vectors import bound_cauchy, directions, dot, literal, maxsim, mean_vector, quantise, weights
+from clipsift.sources.clips import key_column, key_values
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,40 @@ def window_rows(df: DataFrame, *, run: str | None = None, segment: str | None =
     return df.orderBy("chunk_start_unix", "row")
 
 
+#: Clips of a window that are pooled, and directions of one query, at most.
+MOST_POOLED, MOST_DIRECTIONS = 512, 64
+
+
+def window_directions(window: DataFrame, *, pooling: str = "mean", most: int = MOST_POOLED) -> list[list[float]]:
+    """Unit directions of a window's clips with a vector, of the `most` that start first: their mean, or by `individual` each one
+    (up to MOST_DIRECTIONS). No such clips, or a mean of zero, are errors."""
+    if pooling not in ("mean", "individual"):
+        raise ValueError("pooling is mean or individual")
+    held = window.where("vec is not null").orderBy("chunk_start_unix", "row").limit(most)
+    if pooling == "mean":
+        mean = mean_vector(held)
+        if not mean:
+            raise ValueError("no embedded clips in the window")
+        return directions([mean])
+    found = [[float(x) for x in r["vec"]] for r in held.select("vec").limit(MOST_DIRECTIONS + 1).collect()]
+    return directions(found, MOST_DIRECTIONS)
+
+
+def vehicles(df: DataFrame) -> list[str]:
+    """Names of the vehicles, in order, without null and empty ones."""
+    return [r["vehicle"] for r in df.where("vehicle is not null and vehicle != ''").select("vehicle").distinct().orderBy("vehicle").collect()]
+
+
+def downsampled(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows whose segment (or scenario, which is a segment by another name) or run is in a table that is keyed by it. A table of
+    numbers that only few rows have is refused, as it would drop nearly all of them without a word."""
+    column = key_column(table.columns)
+    at = {"segment_id": "segment_id", "scenario_id": "segment_id", "run_uuid": "run_uuid"}.get(column)
+    if at is None:
+        raise ValueError(f"a table keyed by {column} cannot filter; give one keyed by segment_id or run_uuid")
+    return df.join(key_values(table).withColumnRenamed("key", at), at, "left_semi")
+
+
 def resolve_chunks(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """(chunk_id, row) of `run#tSTART` names; the first row wins, unknown names are left out."""
     parsed = wanted.select("chunk_id", F.regexp_extract("chunk_id", r"^(.+)#t([0-9]+)$", 1).alias("run_uuid"), F.regexp_extract("chunk_id", r"^(.+)#t([0-9]+)$", 2).alias("t"))
@@ -125,8 +160,13 @@ def cut_to(df: DataFrame, *, k: int | None = None, max_rows: int = 0) -> tuple[D
     return ordered(df).limit(max_rows), True
 
 
-def day_bounds(first: str | None, last: str | None) -> tuple[int | None, int | None]:
-    """ISO days to seconds from 00:00 of the first to 00:00 after the last, in UTC."""
+def day_bounds(first: str | None, last: str | None, held: tuple[int, int] | None = None) -> tuple[int | None, int | None]:
+    """ISO days to seconds from 00:00 of the first to 00:00 after the last, in UTC. With the first and last start that the corpus
+    holds, a side that begins on or before its first day, or ends on or after its last, is open."""
+    if held is not None:
+        lo, hi = (datetime.fromtimestamp(x, timezone.utc).date().isoformat() for x in held)
+        first = None if first is not None and first <= lo else first
+        last = None if last is not None and last >= hi else last
     at = lambda d: int(datetime.fromisoformat(d).replace(tzinfo=timezone.utc).timestamp())
     return (at(first) if first else None), (at(last) + 86400 if last else None)
 

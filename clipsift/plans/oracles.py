@@ -288,4 +288,11 @@ SELECT row_number() OVER (ORDER BY b.score DESC, "row") AS rank, round(b.score,
     "build_intervals": f"SELECT *, {_MADE} FROM ({ORACLES['interval_export']})",
     "build_figures": EXACT + """, f AS (SELECT * FROM s WHERE vehicle = 'v1' AND score >= 0.05), n AS (SELECT count(*) AS n, count(DISTINCT segment_id) FILTER (segment_id <> '') AS g FROM f)
 SELECT n AS num_rows, n AS read_rows, 0.05::DOUBLE AS cutoff, CAST(0 AS BIGINT) AS rows_unscorable, g AS set_segments, g AS num_segments, 'v1' AS vehicles, false AS since FROM n""",
+    "probed_selection": EXACT + ' SELECT "row", round(score, 6) AS exact, true AS refined FROM (SELECT * FROM s ORDER BY score DESC, "row" LIMIT 30)',
+    "refine_sample": _REFINED + """, s AS (SELECT "row", run_uuid || '#t' || chunk_start_unix AS chunk_id, round(list_dot_product(vec, q), 9) AS score FROM clips, u2) SELECT chunk_id, round(score, 4) AS score FROM (SELECT * FROM s ORDER BY score DESC, "row" LIMIT 3)""",
+    "downsampled_clips": CLIPS + """ SELECT "row", 'scenario' AS by FROM clips WHERE segment_id IN (SELECT segment_id FROM clips WHERE vehicle = 'v1' AND segment_id <> '') UNION ALL SELECT "row", 'run' FROM clips WHERE run_uuid IN (SELECT run_uuid FROM clips WHERE vehicle = 'v2')""",
+    "clip_bounds": CLIPS + ' SELECT "row" AS corpus_row, chunk_start_unix AS "start", chunk_end_unix AS "end", chunk_start_unix AS named FROM clips',
+    "living_marks": """WITH m AS (SELECT 'u' || user_id AS tag, event_id AS seq, json_extract_string(props, '$.k') AS chunk_id, CASE event_type WHEN 'click' THEN 'up' ELSE 'down' END AS mark FROM events WHERE event_type IN ('click', 'error')),
+g AS (SELECT 'u' || user_id AS tag, max(event_id) AS born FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT m.tag, CAST(1 AS BIGINT) AS version, chunk_id, seq, mark FROM m LEFT JOIN g ON m.tag = g.tag WHERE seq > coalesce(born, -1) QUALIFY row_number() OVER (PARTITION BY m.tag, chunk_id ORDER BY seq DESC) = 1""",
 }

@@ -6,7 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions import encode, text
@@ -16,7 +16,7 @@ from clipsift.session import checkpointed, remove_folder, shared_folder
 from clipsift.sinks.files import write_matrices
 from clipsift.sources.clips import clips, coverage, key_values
 from clipsift.sources import remote
-from clipsift.sources.files import null_rate, read_matrices
+from clipsift.sources.files import chunk_end, chunk_start, null_rate, read_matrices
 from clipsift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,7 +131,7 @@ def window_rows_overlap(s, d):
 def window_meanpool_topk(s, d):
     c = clips(s, d)
     w = selection.window_rows(c, run="run-2", start=1704067200 + 2 * 86400 + 30, end=1704067200 + 2 * 86400 + 90)
-    q = vectors.directions([vectors.mean_vector(w)])[0]
+    q = selection.window_directions(w)[0]
     return out(selection.ordered(c.withColumn("score", F.round(vectors.dot(F.col("vec"), vectors.literal(q)), 9))).limit(15), "row", "score")
 
 
@@ -368,7 +368,7 @@ def utc_format(s, d):
 def window_individual_topk(s, d):
     c = clips(s, d)
     w = selection.window_rows(c, run="run-2", start=1704067200 + 2 * 86400 + 30, end=1704067200 + 2 * 86400 + 90)
-    q = vectors.directions([list(map(float, r["vec"])) for r in w.limit(65).collect()])  # 64 directions at most
+    q = selection.window_directions(w, pooling="individual")
     return out(selection.ordered(c.withColumn("score", F.round(vectors.maxsim(F.col("vec"), q), 9))).limit(15), "row", "score")
 
 
@@ -898,6 +898,53 @@ def build_figures(s, d):
     )
 
 
+@query
+def probed_selection(s, d):
+    """By top k, refined as a probe of the vectors finds that they say more than the codes."""
+
+    def select(c, sc):
+        found, refined = cascade.selection(c, sc, k=30)
+        return out(found, "row", "exact").withColumn("refined", F.lit(refined))
+
+    return written_corpus(s, d, select)
+
+
+@query
+def refine_sample(s, d):
+    """The best three clips of a refined tag."""
+    c = clips(s, d)
+    marks = c.where("row % 20 = 0").select("row", F.when(F.col("row") % 40 == 0, 1).otherwise(0).alias("label"))
+    return feedback.sample(feedback.refine(c, marks, [vector(c, 1)])[0], exporting.chunk_id())
+
+
+@query
+def downsampled_clips(s, d):
+    """Clips of the scenarios of one vehicle, and those of the runs of another."""
+    c = clips(s, d)
+    scenarios = c.where("vehicle = 'v1'").select(F.col("segment_id").alias("scenario_id"), "run_uuid")
+    runs = c.where("vehicle = 'v2'").select("run_uuid", "vehicle")
+    by = lambda table, name: selection.downsampled(c, table).select("row", F.lit(name).alias("by"))
+    return by(scenarios, "scenario").unionByName(by(runs, "run"))
+
+
+@query
+def clip_bounds(s, d):
+    """Starts and ends told from the columns of an export."""
+    made = exporting.export_columns(exporting.ranked(exact(clips(s, d))), "tag_a", "clips/")
+    names = [c for c in made.columns if c != "chunk_id"]
+    return made.select("corpus_row", chunk_start(names).alias("start"), chunk_end(names).alias("end"), chunk_start(["chunk_id"]).alias("named"))
+
+
+@query
+def living_marks(s, d):
+    """Marks of clips by users' tags; a purchase deletes the tag and begins it anew."""
+    e = read(s, d, "events").withColumn("tag", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    gone = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    lives = e.withColumn("born", F.coalesce(F.max(gone).over(Window.partitionBy("tag").orderBy("event_id")), F.lit(-1)))
+    marks = lives.where("event_type in ('click', 'error')").select("tag", F.lit(1).cast("long").alias("version"), "born", F.get_json_object("props", "$.k").alias("chunk_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "up").otherwise("down").alias("mark"))
+    return ledger.living_marks(marks, e.groupBy("tag").agg(F.coalesce(F.max(gone), F.lit(-1)).alias("born")))
+
+
 @query
 def large_topk(s, d):
     """The best 300 lines of orders by price, many with ties, without sorting them together."""

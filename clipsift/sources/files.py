@@ -35,6 +35,16 @@ def chunk_start(columns: list[str]) -> Column:
     return F.coalesce(F.substring_index("chunk_id", "#t", -1).try_cast("long"), F.lit(0).cast("long"))
 
 
+def chunk_end(columns: list[str]) -> Column | None:
+    """Seconds of a clip's end, by the first of two columns there is; null where it is unknown (null or negative), None if no column
+    tells it."""
+    if "chunk_end_unix" in columns:
+        return F.col("chunk_end_unix").cast("long")
+    if "end_timestamp_ns" in columns:
+        return F.when(F.col("end_timestamp_ns") >= 0, F.floor(F.col("end_timestamp_ns") / 1_000_000_000).cast("long"))
+    return None
+
+
 def read_records(spark: SparkSession, path: str, order: str, schema: str) -> DataFrame:
     """JSON records, the newest first; unreadable ones are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path).orderBy(F.col(order).desc())
@@ -91,6 +101,29 @@ def validate(df: DataFrame, kinds: dict[str, str]) -> None:
         raise ValueError("; ".join(wrong))
 
 
+#: Entry of a vector column's metadata that names its encoder.
+MODEL = "model_id"
+
+
+def with_model(df: DataFrame, column: str, model: str) -> DataFrame:
+    """The table, its vector column naming its encoder; Parquet files that Spark writes keep the entry."""
+    return df.withMetadata(column, {**df.schema[column].metadata, MODEL: model})
+
+
+def validate_model(df: DataFrame, column: str, model: str) -> str:
+    """The encoder that a vector column names. Stop if it names none, or another than `model` (blanks around it, letters of either
+    case, - and _ do not matter): scores would look right and mean nothing."""
+    if column not in df.columns:
+        raise ValueError(f"{column}: absent")
+    found = df.schema[column].metadata.get(MODEL)
+    if not found:
+        raise ValueError(f"{column} does not name its encoder")
+    plain = lambda x: x.strip().lower().replace("-", "_")
+    if plain(found) != plain(model):
+        raise ValueError(f"{column} is of {found}, not of {model}")
+    return found
+
+
 def unit_vectors(v: Column) -> Column:
     """A vector scaled to unit length, by at least 1e-12."""
     n = F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
