@@ -115,15 +115,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, alpha: float = 0.5) -> LanguageModel:
-    """Fit on at most about `per_language` rows of each language, chosen by a hash of the id. Rows with a null text or language are not used."""
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = 1500, alpha: float = 0.5) -> LanguageModel:
+    """Fit on at most about `per_language` rows of each language, chosen by a hash of the id, or on all rows if that is None. Rows
+    with a null text or language are not used."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         return LanguageModel([], np.zeros((len(ORDERS) << BITS, 0), np.float32), np.zeros(0))
     names = sorted(n)
-    part = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / n[k]))])
-    sample = rows.where(draw(2, id_col) < part[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if per_language is not None:
+        part = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / n[k]))])
+        rows = rows.where(draw(2, id_col) < part[F.col(lang_col)])
+    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((len(ORDERS), 1 << BITS, len(names)), alpha)
     matrix.reshape(-1, len(names))[counted["bucket"], counted["lang"].map(names.index)] += counted["n"]

@@ -2,13 +2,18 @@
 
 A word's embedding is the sum of those of its hash and of the hashes of its first 4 and 6 letters, so that inflected forms
 share most of theirs; each kind has 2**BITS of them. Filters of widths 1, 2 and 3 slide over them, each filter keeps its maximum over
-the whole text, and a logistic unit combines them. Training (numpy, on the driver) uses at most `per_class` labelled rows of
-each class, chosen by a hash of the id and reduced to word buckets on the executors; embeddings start from the words'
-shrunken log odds. A part of that sample is held back to set a threshold for each language, as identified from the text;
-scores are scaled so that each language's threshold becomes 0.7.
+the whole text, and a logistic unit combines them.
+
+All labelled rows are learnt from. A fifth of them, by a hash of the id, is held back. Of the others Spark counts in how many
+documents of each class a bucket occurs, and embeddings start from the shrunken log odds of these counts. Descent (numpy)
+is begun on the driver on at most `per_class` rows of each class, which is only where it starts: then, for `rounds` rounds, shards
+of about `shard_bytes` of text each take the parameters through all of their rows, and Spark averages them: embeddings by the
+shard's documents that hold the bucket, the rest by the shard's rows. All held-back rows are then scored and counted by
+language (as identified from the text), class and score, which sets a threshold for each language; scores are scaled so that it
+becomes 0.7. The languages' model counts all rows that have a language. Only sums of fixed size reach the driver.
 
 Scoring is map-only. As a filter is linear in its words, each (width, position) is folded into a table by bucket, and a
-convolution is a sum of looked-up rows; the tables have a fixed size and travel with the tasks.
+convolution is a sum of looked-up rows; the table has a fixed size and travels with the tasks.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from clipsift.llm.langid import LanguageModel
 from clipsift.llm.langid import train as train_languages
-from clipsift.llm.common import carried, draw, quoted
+from clipsift.llm.common import carried, cut, draw, quoted, spread
 from clipsift.llm.textkit import mix, pieces, tidy, words
 
 BITS, DIM, FILTERS, WIDTHS = 15, 8, 6, (1, 2, 3)
 CUT = 0.7
+#: Documents of a step of descent, embeddings of a block when they are averaged, and steps of the scores that thresholds part.
+BATCH, BLOCK, BINS = 32, 1 << 12, 1 << 12
 #: Lengths in bytes of the beginnings of a word that have embeddings of their own.
 STEMS = (4, 6)
 _KINDS = 1 + len(STEMS)
@@ -68,9 +75,10 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classifier:
-    """tables: by width, one (buckets + 1, filters) array for each position; logistic weights; thresholds by language."""
+    """table: what each bucket adds to the filters, by position, then width (ascending) of those that reach it; logistic
+    weights; thresholds by language."""
 
-    tables: list[list[np.ndarray]]
+    table: np.ndarray
     bias: np.ndarray
     weights: np.ndarray
     offset: float
@@ -79,34 +87,41 @@ class Classifier:
 
     def features(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Maximum of each filter over each padded document."""
-        out = []
-        for k, tables in enumerate(self.tables):
-            look = lambda t: sum(t[ids[:, kind]] for kind in range(_KINDS))
-            conv = look(tables[0])
-            for j in range(1, len(tables)):
-                conv[:-j] += look(tables[j])[j:]
-            for j in range(1, max(WIDTHS)):
-                conv[at[1:] - j] = -np.inf  # blanks from which a filter reaches the next document
-            out.append(np.maximum.reduceat(conv, at[:-1], axis=0))
-        return np.maximum(np.concatenate(out, axis=1) + self.bias, 0)
+        x = self.table.take(ids[:, 0], axis=0)
+        for kind in range(1, _KINDS):
+            x += self.table.take(ids[:, kind], axis=0)
+        filters = lo = len(self.bias)
+        for j in range(1, max(WIDTHS)):
+            n = sum(w > j for w in WIDTHS) * FILTERS
+            x[:-j, filters - n : filters] += x[j:, lo : lo + n]
+            lo += n
+        for j in range(1, max(WIDTHS)):
+            x[at[1:] - j, :filters] = -np.inf  # blanks from which a filter reaches the next document
+        return np.maximum(np.maximum.reduceat(x[:, :filters], at[:-1], axis=0) + self.bias, 0)
 
     def raw(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(ids, at) @ self.weights + self.offset, -30, 30)))
 
-    def scores(self, column: pa.Array) -> np.ndarray:
+    def probabilities(self, column: pa.Array) -> np.ndarray:
+        """Of each text, before it is scaled by a threshold."""
         p = np.zeros(len(column))
         blank = max(WIDTHS)
-        for lo, hi, data, offsets in pieces(column, 1 << 20):
+        for lo, hi, data, offsets in pieces(column, 1 << 17):
             ids, ptr = word_buckets(data, offsets)
             padded = np.full((len(ids) + blank * (hi - lo), _KINDS), _PAD, np.int32)
             padded[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), np.diff(ptr)) * blank] = ids
             p[lo:hi] = self.raw(padded, ptr + np.arange(hi - lo + 1) * blank)
-        if self.languages.languages:
-            names = np.array(self.languages.languages, dtype=object)[self.languages.scores(column).argmax(axis=1)]
-            t = np.array([self.thresholds.get(x, self.thresholds[""]) for x in names])
-        else:
-            t = np.full(len(column), self.thresholds[""])
-        return scaled(p, t)
+        return p
+
+    def identified(self, column: pa.Array) -> np.ndarray:
+        """Language of each text; empty if none is known."""
+        if not self.languages.languages:
+            return np.full(len(column), "", dtype=object)
+        return np.array(self.languages.languages, dtype=object)[self.languages.scores(column).argmax(axis=1)]
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        t = np.array([self.thresholds.get(x, self.thresholds[""]) for x in self.identified(column)])
+        return scaled(self.probabilities(column), t)
 
 
 def scaled(p: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -114,29 +129,55 @@ def scaled(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t))
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, languages: list[str], model: LanguageModel, *, epochs: int = 6, seed: int = 5) -> Classifier:
-    """Train on documents of word buckets; every fifth of the shuffled rows is held back for the thresholds."""
+@dataclass
+class Parameters:
+    """Embeddings by bucket, filters by width (positions, DIM, FILTERS), and the logistic unit."""
+
+    emb: np.ndarray
+    filters: list[np.ndarray]
+    bias: np.ndarray
+    weights: np.ndarray
+    offset: float
+
+    @classmethod
+    def start(cls, seen: np.ndarray, seed: int = 5) -> Parameters:
+        """From how many documents of each class (clean, toxic) hold each bucket; the last place counts all documents."""
+        rng = np.random.default_rng(seed)
+        n0, n1 = np.maximum(1, seen[:, _PAD])
+        odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+        emb = rng.normal(0, 0.01, (_PAD + 1, DIM))
+        certain = odds**2 / (1 / (seen + 0.5)).sum(0)  # squared standard score
+        emb[:, 0] = odds * np.maximum(0, 1 - 6 / np.maximum(certain, 1e-9))
+        emb[_PAD] = 0
+        filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS]
+        for f in filters:
+            f[0, 0] += 0.5 * np.where(np.arange(FILTERS) % 2 == 0, 1, -1)
+        return cls(emb, filters, np.zeros(len(WIDTHS) * FILTERS), np.tile(np.where(np.arange(FILTERS) % 2 == 0, 0.5, -0.1), len(WIDTHS)), 0.0)
+
+    def rest(self) -> np.ndarray:
+        """All but the embeddings, in a row."""
+        return np.concatenate([*[f.ravel() for f in self.filters], self.bias, self.weights, [self.offset]])
+
+    def with_rest(self, emb: np.ndarray, rest: np.ndarray) -> Parameters:
+        """Others of this shape."""
+        *filters, bias, weights, offset = np.split(rest, np.cumsum([*[f.size for f in self.filters], self.bias.size, self.weights.size]))
+        return Parameters(emb, [x.reshape(f.shape) for x, f in zip(filters, self.filters, strict=True)], bias, weights, float(offset[0]))
+
+    def classifier(self, model: LanguageModel) -> Classifier:
+        table = np.concatenate([self.emb @ f[j] for j in range(max(WIDTHS)) for f in self.filters if j < len(f)], axis=1)
+        return Classifier(table.astype(np.float32), self.bias.astype(np.float32), self.weights.astype(np.float32), float(self.offset), {"": 0.5}, model)
+
+
+def fit(start: Parameters, texts: list[np.ndarray], y: np.ndarray, *, epochs: int, rate: float = 0.05, seed: int = 5) -> Parameters:
+    """Descent from `start` over documents of word buckets, every one of them once an epoch."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held, used = order[::5], np.delete(order, np.s_[::5])
-    seen = np.zeros((2, _PAD + 1))
-    for i in used:
-        seen[int(y[i]), np.unique(texts[i])] += 1
-    n1, n0 = max(1, y[used].sum()), max(1, (1 - y[used]).sum())
-    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
-    emb = rng.normal(0, 0.01, (_PAD + 1, DIM))
-    certain = odds**2 / (1 / (seen + 0.5)).sum(0)  # squared standard score
-    emb[:, 0] = odds * np.maximum(0, 1 - 6 / np.maximum(certain, 1e-9))
-    emb[_PAD] = 0
-    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS]
-    for f in filters:
-        f[0, 0] += 0.5 * np.where(np.arange(FILTERS) % 2 == 0, 1, -1)
-    bias, weights, offset = np.zeros(len(WIDTHS) * FILTERS), np.tile(np.where(np.arange(FILTERS) % 2 == 0, 0.5, -0.1), len(WIDTHS)), 0.0
+    net = start.with_rest(start.emb.copy(), start.rest())
+    emb, filters, bias, weights, offset = net.emb, net.filters, net.bias, net.weights, net.offset
     cache = [np.full_like(x, 1e-3) for x in (emb, *filters, bias, weights)]
-    rate = 0.05
     for _ in range(epochs):
-        for lo in range(0, len(used), 32):
-            take = rng.permutation(used)[:32] if lo + 32 > len(used) else used[lo : lo + 32]
+        order = rng.permutation(len(texts))
+        for lo in range(0, len(order), BATCH):
+            take = order[lo : lo + BATCH]
             ids, at = _padded([texts[i] for i in take])
             x = emb[ids].sum(axis=1)
             best, top = [], []
@@ -150,10 +191,10 @@ def fit(texts: list[np.ndarray], y: np.ndarray, languages: list[str], model: Lan
             z = np.concatenate(top, axis=1) + bias
             feat = np.maximum(z, 0)
             p = 1 / (1 + np.exp(-np.clip(feat @ weights + offset, -30, 30)))
-            err = (p - y[take]) / len(take)
+            err = (p - y[take]) / BATCH
             g_weights, g_offset = feat.T @ err + 1e-4 * weights, err.sum()
             g_feat = err[:, None] * weights * (z > 0)
-            g_emb, g_filters = {}, [np.zeros_like(f) for f in filters]
+            g_filters = [np.zeros_like(f) for f in filters]
             rows, grads = [], []
             for k, f in enumerate(filters):
                 g = g_feat[:, k * FILTERS : (k + 1) * FILTERS]
@@ -175,37 +216,89 @@ def fit(texts: list[np.ndarray], y: np.ndarray, languages: list[str], model: Lan
                 c += g**2
                 v -= rate * g / np.sqrt(c)
             offset -= rate * g_offset
-    tables = [[(emb @ f[j]).astype(np.float32) for j in range(len(f))] for f in filters]
-    out = Classifier(tables, bias.astype(np.float32), weights.astype(np.float32), float(offset), {"": 0.5}, model)
-    ids, at = _padded([texts[i] for i in held]) if len(held) else (np.zeros((0, _KINDS), np.int32), np.zeros(1, int))
-    p = out.raw(ids, at) if len(held) else np.zeros(0)
-    lang = np.array([languages[i] for i in held], dtype=object)
-    out.thresholds[""] = best_threshold(p, y[held], 0.5)
-    for name in set(lang):
-        out.thresholds[name] = best_threshold(p[lang == name], y[held][lang == name], out.thresholds[""])
-    return out
+    return Parameters(emb, filters, bias, weights, float(offset))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, default: float, least: int = 20) -> float:
-    """Midway between scores, at the most right decisions, nearest to the widest gap; the default below `least` rows of a class."""
-    if min(y.sum(), (1 - y).sum()) < least:
+def best_threshold(counts: np.ndarray, default: float, least: int = 20) -> float:
+    """From rows counted by class (clean, toxic) and step of the score: at the most right decisions, in the middle of the widest
+    gap; the default below `least` rows of a class."""
+    if counts.sum(axis=1).min() < least:
         return default
-    order = np.argsort(p)
-    s, lab = np.concatenate([[0.0], p[order], [1.0]]), y[order]
-    right = np.concatenate([[lab.sum()], lab.sum() + np.cumsum(1 - 2 * lab)])
+    right = np.concatenate([[0], np.cumsum(counts[0])]) + counts[1].sum() - np.concatenate([[0], np.cumsum(counts[1])])
     top = np.flatnonzero(right == right.max())
-    at = top[np.argmax(s[top + 1] - s[top])]
-    return float(np.clip((s[at] + s[at + 1]) / 2, 0.02, 0.98))
+    apart = np.flatnonzero((np.diff(top) > 1) | (counts.sum(axis=0)[top[:-1]] > 0)) + 1
+    gaps = [(g[0], g[-1]) for g in np.split(top, apart)]
+    lo, hi = max(gaps, key=lambda g: g[1] - g[0])
+    return float(np.clip((lo + hi) / 2 / counts.shape[1], 0.02, 0.98))
+
+
+def _words(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Word buckets of each text."""
+    out = []
+    for _, _, data, offsets in pieces(column):
+        ids, ptr = word_buckets(data, offsets)
+        out += [ids[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+    return out
 
 
-def _reduce(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for _, _, data, offsets in pieces(batch.column("text")):
-            ids, ptr = word_buckets(data, offsets)
-            out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-        lang = [model.languages[i] if model.languages else "" for i in (model.scores(batch.column("text")).argmax(axis=1) if model.languages else [0] * batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
+        out = [x.astype("<i4").tobytes() for x in _words(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "words"])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, bucket, n): documents of a task that hold each bucket, and all of them as those that hold the blank."""
+    seen = np.zeros((2, _PAD + 1), np.int64)
+    for batch in batches:
+        for y, x in zip(batch.column("toxic").to_pylist(), _words(batch.column("text")), strict=True):
+            seen[y, np.unique(x)] += 1
+            seen[y, _PAD] += 1
+    y, bucket = np.nonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[y, bucket])], names=["toxic", "bucket", "n"])
+
+
+def _learn(table: pa.Table, net: Parameters, epochs: int, rate: float, seed: int) -> pa.Table:
+    """Of one shard: the parameters after all its rows, in blocks of rows of a weight each."""
+    rows = sorted(zip(table["doc_id"].to_pylist(), [x.tobytes() for x in _words(table["text"])], table["toxic"].to_pylist(), strict=True))
+    texts = [np.frombuffer(x, np.int32).reshape(-1, _KINDS) for _, x, _ in rows]
+    weight = np.zeros(_PAD + 1, "<f4")
+    for x in texts:
+        weight[np.unique(x)] += 1
+    net = fit(net, texts, np.array([y for _, _, y in rows], float), epochs=epochs, rate=rate, seed=seed)
+    tidy()
+    blocks = [(net.emb[a : a + BLOCK], weight[a : a + BLOCK]) for a in range(0, _PAD + 1, BLOCK)]
+    blocks.append((net.rest(), np.array([len(rows)], "<f4")))
+    n, shard = len(blocks), table["shard"][0].as_py()
+    cols = [pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int32()), pa.array([w.tobytes() for _, w in blocks], pa.binary()), pa.array([v.astype("<f4").tobytes() for v, _ in blocks], pa.binary())]
+    return pa.table(cols, names=["block", "shard", "weight", "value"])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Of one block: the weighted mean of each of its rows over the shards, and the weights' sums."""
+    total, weight = 0.0, 0.0
+    for _, w, v in sorted(zip(*(table[c].to_pylist() for c in ("shard", "weight", "value")), strict=True)):
+        w = np.frombuffer(w, "<f4").astype(np.float64)
+        total, weight = total + w[:, None] * np.frombuffer(v, "<f4").reshape(len(w), -1), weight + w
+    value = total / np.maximum(weight, 1)[:, None]
+    return pa.table([table["block"][:1], pa.array([weight.astype("<f8").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["block", "weight", "value"])
+
+
+def _round(rows: DataFrame, net: Parameters, epochs: int, rate: float, seed: int) -> Parameters:
+    """All shards' descents from `net`, averaged. Buckets that no shard has stay as they were."""
+    learnt = rows.groupBy("shard").applyInArrow(lambda t: _learn(t, net, epochs, rate, seed), "block int, shard int, weight binary, value binary")
+    *emb, rest = sorted(learnt.groupBy("block").applyInArrow(_mean, "block int, weight binary, value binary").collect())
+    weight = np.concatenate([np.frombuffer(r["weight"]) for r in emb])
+    value = np.concatenate([np.frombuffer(r["value"]) for r in emb]).reshape(-1, DIM)
+    return net.with_rest(np.where(weight[:, None] > 0, value, net.emb), np.frombuffer(rest["value"]).copy())
+
+
+def _steps(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
+    """(lang, toxic, step, n) of held-back rows by batch."""
+    for batch in batches:
+        p = np.minimum(model.probabilities(batch.column("text")) * BINS, BINS - 1).astype(np.int32)
+        t = pa.table([pa.array(model.identified(batch.column("text")), pa.string()), batch.column("toxic"), pa.array(p)], names=["lang", "toxic", "step"])
+        yield from t.group_by(["lang", "toxic", "step"]).aggregate([([], "count_all")]).rename_columns(["lang", "toxic", "step", "n"]).to_batches()
 
 
 def within_bytes(rows: DataFrame, most: int) -> DataFrame:
@@ -219,27 +312,43 @@ def within_bytes(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("_n", F.octet_length("text")).join(F.broadcast(fits.select("doc_id", "_n").distinct()), ["doc_id", "_n"]).drop("_n")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, sample_bytes: int = 64 << 20, languages: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Classifier:
-    """Fit on at most about `per_class` labelled rows of each class and `sample_bytes` of their text in all: rows are taken in
-    the order of a hash until either bound is met, so that even very long texts do not fill the driver.
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, sample_bytes: int = 64 << 20, shard_bytes: int = 24 << 20, rounds: int = 2, languages: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Classifier:
+    """Fit on all labelled rows. `per_class` rows of each class and `sample_bytes` of their text bound only the rows on which the
+    driver begins, so that even very long texts do not fill it.
 
     A document with labels of both classes counts as toxic; null labels are not used; ids may be of any type that labels and
     documents share. Without rows of both classes every score is low.
     """
-    model = languages or train_languages(docs, id_col=id_col, text_col=text_col)
+    model = languages or train_languages(docs, id_col=id_col, text_col=text_col, per_language=None)
     key = F.col(quoted(id_col)).cast("string")
-    known = labels.where(F.col(quoted(toxic_col)).isNotNull()).groupBy(key.alias("doc_id")).agg(F.max(F.col(quoted(toxic_col)).cast("int")).alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, n.get(1, 0)))).otherwise(min(1.0, per_class / max(1, n.get(0, 0))))
-    chosen = F.broadcast(known.where(draw(3, "doc_id") < part))  # about 2 * per_class rows of an id and a number
-    rows = docs.select(key.alias("doc_id"), F.col(quoted(text_col)).alias("text")).join(chosen, "doc_id").where(F.col("text").isNotNull())
-    rows = within_bytes(rows, sample_bytes)
-    got = rows.mapInArrow(lambda b: _reduce(b, model), "doc_id string, toxic int, lang string, words binary").toPandas().sort_values(["doc_id", "words"])
-    y = got["toxic"].to_numpy(dtype=float)
-    if len(set(y)) < 2:
-        none = [[np.zeros((_PAD + 1, FILTERS), np.float32) for _ in range(w)] for w in WIDTHS]
-        return Classifier(none, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), -5.0, {"": 0.5}, model)
-    return fit([np.frombuffer(b, "<i4").reshape(-1, _KINDS) for b in got["words"]], y, list(got["lang"]), model)
+    known = labels.where(F.col(quoted(toxic_col)).isNotNull()).groupBy(key.alias("doc_id")).agg((F.max(F.col(quoted(toxic_col)).cast("int")) == 1).cast("int").alias("toxic"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
+    rows = cut(docs.select(key.alias("doc_id"), F.col(quoted(text_col)).alias("text")).where(F.col("text").isNotNull()).join(known.hint("merge"), "doc_id").withColumn("held", held))
+    used = rows.where(~F.col("held")).drop("held")
+    seen = np.zeros((2, _PAD + 1))
+    counted = used.mapInArrow(_seen, "toxic int, bucket int, n long").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen[counted["toxic"], counted["bucket"]] = counted["n"]
+    n = seen[:, _PAD]
+    if not n.all():
+        return Classifier(np.zeros((_PAD + 1, sum(WIDTHS) * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), -5.0, {"": 0.5}, model)
+    part = F.when(F.col("toxic") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
+    sample = sorted(within_bytes(used.where(draw(3, "doc_id") < part), sample_bytes).mapInArrow(_reduce, "doc_id string, toxic int, words binary").collect())
+    net = Parameters.start(seen)
+    if sample:
+        net = fit(net, [np.frombuffer(r["words"], "<i4").reshape(-1, _KINDS) for r in sample], np.array([r["toxic"] for r in sample], float), epochs=3)
+    n_bytes = used.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = used.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(spread(n_bytes, shard_bytes))).cast("int"))
+    for k in range(rounds):
+        net = _round(dealt, net, 2, 0.05 / (k + 1), k)
+    out = net.classifier(model)
+    steps = rows.where("held").mapInArrow(lambda b: _steps(b, out), "lang string, toxic int, step int, n long").groupBy("lang", "toxic", "step").agg(F.sum("n").alias("n")).toPandas()
+    counts = {name: np.zeros((2, BINS), np.int64) for name in ("", *sorted(set(steps["lang"])))}
+    for r in steps.itertuples():
+        counts[r.lang][r.toxic, r.step] += r.n
+    every = best_threshold(sum(counts.values()), 0.5)
+    out.thresholds = {name: best_threshold(c, every) for name, c in counts.items()}
+    out.thresholds[""] = every
+    return out
 
 
 def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", keep: list[str | Column] = ("doc_id",)) -> DataFrame:

@@ -139,6 +139,32 @@ def test_toxicity_edges(spark, prose):
     assert toxicity.train(prose, labels.limit(0)).thresholds == {"": 0.5}
 
 
+def test_toxicity_learns_from_rows_beyond_the_sample(spark):
+    rng = random.Random(6)
+    bad = [f"{a}{b}vile" for a in "bcdfg" for b in "aeiou"]
+    rows = [(i, " ".join([*rng.choices([f"a{k}" for k in range(200)], k=40), *([bad[i // 3 % 25]] if i % 3 == 0 else [])]), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).where("doc_id < 1200")
+    model = toxicity.train(docs, labels, per_class=4, shard_bytes=100_000)
+    got = toxicity.score(docs.where("doc_id >= 1200"), model).collect()
+    assert sum((r.doc_id % 3 == 0) == bool(r.predicted) for r in got) > 0.95 * len(got)
+    assert set(model.thresholds) == {"", "en"}
+    assert np.array_equal(model.languages.matrix, langid.train(docs, per_language=10_000).matrix)
+
+
+def test_threshold_equals_search_over_all_steps():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        counts = rng.integers(0, 3, (2, 64)) * rng.integers(0, 2, 64) + 1 * (np.arange(64) == 5)
+        counts[0, 0] += 20
+        counts[1, 63] += 20
+        right = [counts[0, :k].sum() + counts[1, k:].sum() for k in range(65)]
+        at = toxicity.best_threshold(counts, 0.5) * 64
+        assert max(right[int(at)], right[-int(-at // 1)]) == max(right)
+    assert toxicity.best_threshold(np.array([[30, 0, 0, 0], [0, 0, 0, 19]]), 0.5) == 0.5
+    assert toxicity.best_threshold(np.array([[30, 0, 0, 0], [0, 0, 0, 20]]), 0.3) == 0.5
+
+
 # --- secrets
 
 
