@@ -32,6 +32,8 @@ from clipsift.llm.textkit import hashes, pack_sorted, planes, spread_parts, tidy
 SLOTS, HIDDEN, EMBED = 1024, 24, 16
 #: Parameters sent in a row when they are averaged, and parameters and softmax rows worked on at a time, within the cache.
 BLOCK, STRIDE, ROWS = 1 << 14, 1 << 15, 1 << 10
+#: The most lanes of a shard: a step costs passes over all parameters, which so many tokens share.
+LANES = 1024
 #: Logits up to this size need no shift before exp in 32-bit floats.
 SAFE = 60.0
 END, UNKNOWN = 0, 1
@@ -277,7 +279,7 @@ class Network:
 
     def fit(self, ids: np.ndarray, ptr: np.ndarray, *, epochs: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.01, fade: float = 1.0, seed: int = 3) -> Network:
         """Adam over windows of `window` steps; the state is carried from window to window, gradients are not. The rate goes
-        from `rate` to `fade` times it over an epoch."""
+        from `rate` to `fade` times it over an epoch. The last lane is filled up from the first tokens, so none is left out."""
         rng = np.random.default_rng(seed)
         flat = self.flat()
         self.p = self.views(flat)
@@ -287,10 +289,10 @@ class Network:
         for _ in range(epochs):
             docs = rng.permutation(len(ptr) - 1)
             laid = np.concatenate([ids[ptr[i] : ptr[i + 1]] for i in docs])
-            length = len(laid) // lanes
-            if length < 2:
-                lanes, length = 1, len(laid)
-            y = laid[: lanes * length].reshape(lanes, length).T
+            if len(laid) < 2 * lanes:
+                lanes = 1
+            y = np.concatenate([laid, laid[: -len(laid) % lanes]]).reshape(lanes, -1).T
+            length = len(y)
             x = np.vstack([np.full((1, lanes), END), y[:-1]])
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t0 in range(0, length, window):
@@ -341,7 +343,8 @@ def learn(table: pa.Table, network: Network) -> pa.Table:
     ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in rows]
     n = sum(len(x) for x in ids)
     net = network.filled(network.flat())
-    net.fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]), epochs=1, lanes=min(256, max(32, n // 4096)), rate=0.005, fade=0.1)
+    lanes = min(LANES, max(32, n // 4096))
+    net.fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]), epochs=1, lanes=lanes, rate=0.02 * math.sqrt(lanes / LANES), fade=0.1)
     flat, shard = net.flat(), table["shard"][0].as_py()
     tidy()
     blocks = [flat[a : a + BLOCK].astype("<f4").tobytes() for a in range(0, len(flat), BLOCK)]

@@ -368,6 +368,16 @@ def test_gradients():
             assert abs((high - low) / 2e-6 - found[i]) < 1e-5 * max(1, abs(found[i])), name
 
 
+def test_every_token_of_a_shard_is_trained_on(monkeypatch):
+    seen, inner = [], gru.Network.backward
+    monkeypatch.setattr(gru.Network, "backward", lambda self, xs, ys, *more: (seen.append(ys.ravel()), inner(self, xs, ys, *more))[1])
+    ids = np.concatenate([np.arange(2, 1000), [0]])
+    for lanes in (1, 32, 256, 1024):
+        seen.clear()
+        gru.Network.start().fit(ids, np.array([0, len(ids)]), epochs=1, lanes=lanes)
+        assert set(np.concatenate(seen)) == set(ids), lanes
+
+
 def test_scoring_memory_follows_the_tokens():
     net = gru.Network.start()
     ids = np.tile([5, 9, 40], 50_000)
