@@ -1,12 +1,12 @@
-"""Operator 9: language-model scoring by a gated recurrent network with a class-factored softmax.
+"""Operator 9: language-model scoring by a gated recurrent network with a softmax by classes, leaves and words.
 
 Word counts of all training documents give the base model, the network's shortlist of most frequent words, which grows with
 the square root of the vocabulary, and the share of each other word. The network is trained in numpy by truncated
 backpropagation on all training documents: it is begun on a sample of about `sample_docs`, from there shards of about
 `shard_bytes` of text each take it through all of their training documents, and the shards' parameters are averaged by
-their tokens. The output factors into class and word within class. Classes are runs of ranks, small for frequent words and
-large for rare ones, so that the classes and an average word's fellows are together as few as can be. A word outside the
-shortlist has the chance of the unknown slot times its add-one share among such words.
+their tokens. The output factors into class, leaf of the class and word of the leaf; the most frequent words, the first leaf, stand
+beside the classes. Leaves are runs of ranks of one size. Classes are runs of leaves, small for frequent words and large for rare
+ones, so that the classes and an average leaf's fellows are together as few as can be. A word outside the shortlist has the chance of the unknown slot times its add-one share among such words.
 
 Documents are dealt to buckets of about `bucket_bytes` of text. Each sends its distinct words by hash to parts, which
 add the counts up and send totals back, so the vocabulary is never in one place. A bucket then runs its documents
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsift.llm.common import cut, draw, spread, text_size
-from clipsift.llm.textkit import hashes, pack_sorted, planes, spread_parts, tidy, unpack_sorted, unplanes
+from clipsift.llm.textkit import hashes, hold, pack_sorted, planes, spread_parts, tidy, unpack_sorted, unplanes
 
 #: The least slots of a network, and its widths.
 SLOTS, HIDDEN, EMBED = 1024, 24, 16
 #: Parameters sent in a row when they are averaged, and parameters and softmax rows worked on at a time, within the cache.
-BLOCK, STRIDE, ROWS = 1 << 14, 1 << 15, 1 << 10
+BLOCK, STRIDE, ROWS = 1 << 14, 1 << 16, 1 << 10
 #: The most lanes of a shard: a step costs passes over all parameters, which so many tokens share.
 LANES = 1024
 #: Logits up to this size need no shift before exp in 32-bit floats.
@@ -74,11 +74,21 @@ def keyed(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> _BITS) % np.uint64(min(parts, 1 << 16))) << _BITS | (h & _KEY)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; which of them each key is), as by np.unique, without sorting all keys."""
+    coded = pa.array(keys).dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], place[coded.indices.to_numpy()]
+
+
 def send_words(table: pa.Table, parts: int) -> pa.Table:
     """Of one bucket: by part, its distinct words and how often they occur in training documents (0 counts too)."""
     h, ptr = tokens(table["text"])
     train = np.repeat(table["train"].to_numpy(), np.diff(ptr))
-    words, at = np.unique(keyed(h, parts), return_inverse=True)
+    words, at = distinct(keyed(h, parts))
     counts = np.bincount(at, weights=train, minlength=len(words)).astype(np.int64)
     bucket = table["bucket"][0].as_py()
     return _table([(bucket, p, pack_sorted(words[a:b] & _KEY, 6), planes(counts[a:b], 5), None, None) for p, a, b in _cuts(words)])
@@ -91,7 +101,7 @@ def add_words(table: pa.Table, parts: int, most_slots: int) -> pa.Table:
     part, buckets = table["part"][0].as_py(), table["bucket"].to_pylist()
     got = [unpack_sorted(x, 6) for x in table["words"].to_pylist()]
     counts = np.concatenate([unplanes(x, 5) for x in table["counts"].to_pylist()]).astype(np.int64)
-    words, at = np.unique(np.concatenate(got), return_inverse=True)
+    words, at = distinct(np.concatenate(got))
     total = np.bincount(at, weights=counts, minlength=len(words)).astype(np.int64)
     cuts = np.cumsum([0, *[len(g) for g in got]])
     out = [(buckets[i], part, None, planes(total[at[a:b]], 5), None, None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
@@ -108,103 +118,173 @@ def _top_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], names=["key", "c"])
 
 
+def fan_for(slots: int) -> int:
+    """Words of a leaf: about the cube root of the slots."""
+    return 1 << round(math.log2(slots) / 3)
+
+
 def class_cuts(weight: np.ndarray) -> np.ndarray:
-    """Bounds of the classes of slots of such weights: about 1 / sqrt(chance) slots a class, where the number of classes plus
-    the expected size of a word's class is least."""
+    """Bounds of the classes of leaves of such weights: about 1 / sqrt(chance) leaves a class, where the number of classes plus
+    the expected size of a leaf's class is least."""
     k = np.floor(np.cumsum(np.sqrt(weight / weight.sum()))).astype(np.int64)
     return np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
 
 
-def log_softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, safe: bool, grads: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-    """Natural log of the chance of places y under the softmax of h w' + b, logits being bounded by SAFE where `safe`; adds the
-    gradients of the loss to those of w, b and h."""
+def shift(e: np.ndarray) -> None:
+    """Takes the largest of each row from logits, in place, if they need it before exp in 32-bit floats."""
+    if e.max() > SAFE or e.min() < -SAFE:
+        e -= e.max(axis=-1, keepdims=True)
+
+
+def log_softmax(h: np.ndarray, w: np.ndarray, y: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Natural log of the chance of places y under the softmax of h w'; adds the gradients of the loss to those of w and
+    h. The last column of h is 1, that of w the bias."""
     e = h @ w.T
-    e += b
-    if not safe:
-        e -= e.max(axis=1, keepdims=True)
+    shift(e)
     rows = np.arange(len(y))
     out = e[rows, y]
     np.exp(e, out=e)
-    s = e @ np.ones(len(b), e.dtype)
+    s = e @ np.ones(len(w), e.dtype)
     out -= np.log(s)
     if grads is not None:
-        dw, db, dh = grads
-        e[rows, y] -= s
-        each = 1 / s  # what is left to divide e by
-        dw += e.T @ (h * each[:, None])
-        db += each @ e
-        dh += (e @ w) * each[:, None]
+        dw, dh = grads
+        e *= (1 / s)[:, None]
+        e[rows, y] -= 1
+        dw += e.T @ h
+        dh += e @ w
+    return out
+
+
+def leaf_softmax(h: np.ndarray, w: np.ndarray, leaf: np.ndarray, y: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """As log_softmax, with weights w[leaf] of each row; leaves ascend. Leaves with about as many rows are taken at once, filled
+    up to one number of rows with such as count nothing."""
+    n, fan = len(y), w.shape[1]
+    out = np.empty(n, h.dtype)
+    if not n:
+        return out
+    first = np.concatenate([[0], np.flatnonzero(np.diff(leaf)) + 1])
+    ids, rows = leaf[first].astype(np.int64), np.diff(np.append(first, n))
+    power = 1 << (np.frexp(np.maximum(rows, 4))[1] - 1).astype(np.int64)
+    size = np.where(rows <= power, power, np.where(2 * rows <= 3 * power, 3 * power // 2, 2 * power))
+    for filled in np.unique(size).tolist():
+        alike = np.flatnonzero(size == filled)
+        per, row = max(1, STRIDE // (filled * fan)), np.arange(filled)
+        for a in range(0, len(alike), per):
+            some = alike[a : a + per]
+            real = (row < rows[some, None]).ravel()
+            at = np.minimum(first[some, None] + row, n - 1).ravel()
+            wk, full = np.take(w, ids[some], axis=0), np.take(h, at, axis=0)
+            e = full.reshape(len(some), filled, -1) @ wk.transpose(0, 2, 1)
+            shift(e)
+            flat, word = e.reshape(-1), np.arange(0, e.size, fan) + np.take(y, at)
+            got = flat[word]
+            np.exp(e, out=e)
+            s = e.reshape(-1, fan) @ np.ones(fan, e.dtype)
+            got -= np.log(s)
+            at = at[real]
+            out[at] = got[real]
+            if grads is not None:
+                dw, dh = grads
+                e.reshape(-1, fan)[:] *= (real / s)[:, None].astype(e.dtype)
+                flat[word] -= real
+                dw[ids[some]] += e.transpose(0, 2, 1) @ full.reshape(len(some), filled, -1)
+                dh[at] += (e @ wk).reshape(full.shape)[real]
     return out
 
 
 @dataclass
 class Network:
-    """p: parameters by name. Gates lie side by side: update, reset, candidate. cuts: bounds of the classes of slots."""
+    """p: parameters by name. Gates lie side by side: update, reset, candidate. Slots are words of leaves, leaves are dealt to
+    classes, in order: wc leads to the first leaf's words and the classes, wm to the leaves of each class, wo to words; their last
+    columns are biases."""
 
     p: dict[str, np.ndarray]
     cuts: np.ndarray | None = None
 
     def __post_init__(self) -> None:
+        slots, leaves = len(self.p["emb"]), len(self.p["wm"])
+        self.fan = slots // leaves
         if self.cuts is None:
-            self.cuts = np.linspace(0, len(self.p["bo"]), len(self.p["bc"]) + 1).astype(np.int64)
-        self.of = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts)).astype(np.uint16)
+            self.cuts = np.linspace(0, leaves, len(self.p["wc"]) - self.fan + 1).astype(np.int64)
+        self.of = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
 
     @classmethod
-    def start(cls, seed: int = 9, slots: int = SLOTS, cuts: np.ndarray | None = None) -> Network:
-        """Without cuts, as many classes of one size as a class has words."""
+    def start(cls, seed: int = 9, slots: int = SLOTS, weight: np.ndarray | None = None) -> Network:
+        """With weights of the slots (counts), classes by these, and biases that give each slot its share; else of one size."""
         rng = np.random.default_rng(seed)
-        n = len(cuts) - 1 if cuts is not None else math.isqrt(slots)
-        shape = {"emb": (slots, EMBED), "wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (n, HIDDEN), "bc": (n,), "wo": (slots, HIDDEN), "bo": (slots,)}
-        inputs = {"emb": slots, "wx": EMBED, "u": HIDDEN, "wc": HIDDEN, "wo": HIDDEN}
-        return cls({k: (rng.normal(0, 1 / np.sqrt(inputs[k]), s) if k in inputs else np.zeros(s)).astype(np.float32) for k, s in shape.items()}, cuts)
+        fan, wide = fan_for(slots), HIDDEN + 1
+        leaf = None if weight is None else weight.reshape(-1, fan).sum(1) * (np.arange(slots // fan) > 0)
+        cuts = np.linspace(0, slots // fan, math.isqrt(slots // fan) + 1).astype(np.int64) if leaf is None else class_cuts(leaf)
+        shape = {"emb": (slots, EMBED), "wo": (slots, wide), "wm": (slots // fan, wide), "wc": (fan + len(cuts) - 1, wide), "wx": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN)}
+        inputs = {"emb": slots, "wx": EMBED, "u": HIDDEN, "wc": HIDDEN, "wm": HIDDEN, "wo": HIDDEN}
+        p = {k: (rng.normal(0, 1 / np.sqrt(inputs[k]), s) if k in inputs else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
+        for w in ("wo", "wm", "wc"):
+            p[w][:, -1] = 0
+        if leaf is not None:
+            group = np.add.reduceat(leaf, cuts[:-1])
+            p["wo"][:, -1] = np.log(weight * fan / np.repeat(np.maximum(leaf, 1), fan))
+            p["wm"][:, -1] = np.log(np.maximum(leaf, 1) * np.repeat(np.diff(cuts) / group, np.diff(cuts)))
+            p["wc"][:, -1] = np.log(np.concatenate([weight[:fan], group]) / weight.sum() * len(p["wc"]))
+        return cls(p, cuts)
 
     def inputs(self) -> np.ndarray:
         """What each slot adds to the gates."""
-        return self.p["emb"] @ self.p["wx"] + self.p["b"]
+        return self.gates(self.p["emb"])
+
+    def gates(self, emb: np.ndarray) -> np.ndarray:
+        """What such embeddings add to the gates, column by column: so a gate's numbers lie together."""
+        x = self.p["wx"].T @ emb.T
+        x += self.p["b"][:, None]
+        return x.T
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, update, reset, candidate, the state's part of the candidate)."""
-        g = h @ self.p["u"]
+        """(new state, update, reset, candidate, the state's part of the candidate), best from arrays that lie column by column."""
+        g = (self.p["u"].T @ h.T).T
         zr = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
+        logistic(zr)
         z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
         n = r * un
         n += x[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
+        n *= 2
+        logistic(n)  # at twice x it is half of tanh + 1
+        n *= 2
+        n -= 1
         new = h - n
         new *= z
         new += n
         return new, z, r, n, un
 
     def losses(self, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of slots y after states h; with grads, adds the output gradients and returns that of h."""
-        p, cuts = self.p, self.cuts
-        order = np.argsort(self.of[y], kind="stable")
-        h, y = h[order], y[order]
-        c = self.of[y].astype(np.int64)
-        longest = lambda w: np.sqrt(np.einsum("ij,ij->i", w, w).max(initial=0))
-        safe = [longest(h) * longest(p[w]) + np.abs(p[b]).max() < SAFE for w, b in (("wc", "bc"), ("wo", "bo"))]
+        """Natural log probability of slots y after states h, which may have a column of ones; with grads, adds the output gradients and returns that of h."""
+        p, fan, cuts = self.p, self.fan, self.cuts
+        leaf = (y // fan).astype(np.uint16)
+        order = np.argsort(leaf, kind="stable")
+        if h.shape[1] == HIDDEN:
+            h = np.column_stack([h, np.ones(len(h), h.dtype)])
+        h, y, leaf = np.take(h, order, axis=0), np.take(y, order), np.take(leaf, order)
         out, dh = np.empty(len(y), h.dtype), None if grads is None else np.zeros_like(h)
+        tree = int(np.searchsorted(leaf, 1))  # the first leaf's words are at the root
+        top = np.where(leaf == 0, y, self.of[leaf] + fan)
         for a in range(0, len(y), ROWS):
             at = slice(a, a + ROWS)
-            out[at] = log_softmax(h[at], p["wc"], p["bc"], c[at], safe[0], None if grads is None else (grads["wc"], grads["bc"], dh[at]))
-        ends = np.searchsorted(c, np.arange(len(cuts)))
+            out[at] = log_softmax(h[at], p["wc"], top[at], None if grads is None else (grads["wc"], dh[at]))
+        ends = np.maximum(tree, np.searchsorted(leaf, cuts))
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            of = slice(cuts[k], cuts[k + 1])
+            below = slice(max(1, cuts[k]), cuts[k + 1])
             for a in range(ends[k], ends[k + 1], ROWS):
                 at = slice(a, min(a + ROWS, ends[k + 1]))
-                out[at] += log_softmax(h[at], p["wo"][of], p["bo"][of], y[at] - cuts[k], safe[1], None if grads is None else (grads["wo"][of], grads["bo"][of], dh[at]))
+                out[at] += log_softmax(h[at], p["wm"][below], leaf[at].astype(np.int64) - below.start, None if grads is None else (grads["wm"][below], dh[at]))
+        cube = (-1, fan, HIDDEN + 1)
+        out[tree:] += leaf_softmax(h[tree:], p["wo"].reshape(cube), leaf[tree:], y[tree:] % fan, None if grads is None else (grads["wo"].reshape(cube), dh[tree:]))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        return out[back], None if dh is None else dh[back]
+        return np.take(out, back), None if dh is None else np.take(dh, back, axis=0)[:, :HIDDEN]
 
-    def score(self, ids: np.ndarray, ptr: np.ndarray, lanes: int = 256, window: int = 64) -> np.ndarray:
+    @np.errstate(over="ignore")
+    def score(self, ids: np.ndarray, ptr: np.ndarray, lanes: int = 1024, window: int = 3 << 12) -> np.ndarray:
         """Natural log probability of each document of slots ids[ptr[i]:ptr[i + 1]], the state starting anew in each. Documents
-        of a lane are laid out one after another, so that a window of steps is a slice of every lane; memory is that of the
-        tokens, however long a document."""
+        of a lane are laid out one after another, so that a step is a place of every lane that is as long; windows are as many
+        steps as hold about `window` tokens. Memory is that of the tokens, however long a document."""
         docs = len(ptr) - 1
         if not docs:
             return np.zeros(0)
@@ -218,17 +298,21 @@ class Network:
         begin = np.cumsum([0, *size])[:-1]  # of each lane
         starts = np.zeros(len(laid) + 1, bool)
         starts[first] = True
-        table, out = self.inputs(), np.zeros(len(laid), np.float64)
-        h = np.zeros((len(lane), HIDDEN), np.float32)
-        for t0 in range(0, int(size[0]), window):
-            steps = np.arange(t0, min(t0 + window, int(size[0])))
-            busy = np.searchsorted(-size, -steps, side="left")  # lanes that reach each step
-            at = np.concatenate([begin[:n] + t for t, n in zip(steps.tolist(), busy.tolist(), strict=True)])
+        out, emb = np.zeros(len(laid), np.float64), self.p["emb"]
+        h = np.zeros((HIDDEN, len(lane)), np.float32).T
+        reach = np.searchsorted(-size, -np.arange(int(size[0])), side="left").astype(np.int32)  # lanes that reach each step
+        ends = np.searchsorted(np.cumsum(reach, dtype=np.int64), np.arange(1, len(ids) // window + 2) * window)
+        for t0, t1 in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            busy = reach[t0:t1]
+            if t0 == t1:
+                continue
+            lane_of = np.arange(busy.sum()) - np.repeat(np.cumsum(busy) - busy, busy)
+            at = begin[lane_of] + np.repeat(np.arange(t0, t1), busy)
             new = starts[at]
-            x, go_on = table[np.where(new, END, laid[at - 1])], ~new[:, None]
-            states, a = np.empty((len(at), HIDDEN), np.float32), 0
+            x, go_on = np.where(new, END, laid[at - 1]), (~new).astype(np.float32)[:, None]
+            states, a = np.ones((len(at), HIDDEN + 1), np.float32), 0
             for n in busy.tolist():
-                h = states[a : a + n] = self.step(x[a : a + n], h[:n] * go_on[a : a + n])[0]
+                h = states[a : a + n, :HIDDEN] = self.step(self.gates(np.take(emb, x[a : a + n], axis=0)), h[:n] * go_on[a : a + n])[0]
                 a += n
             out[at] = self.losses(states, laid[at])[0]
         scores = np.empty(docs)
@@ -238,54 +322,63 @@ class Network:
     def backward(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """(gradients of the summed loss of a window of slots xs, each predicting ys, by truncated backpropagation; the last
         state). The state starts from h, and anew after an end. Gradients are put into `grads`, which hold zeros."""
-        kind, lanes, n_steps = h.dtype, len(h), len(xs)
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()} if grads is None else grads
-        used, at = np.unique(xs, return_inverse=True)
-        at = at.reshape(xs.shape)
-        emb = self.p["emb"][used]
-        table = emb @ self.p["wx"] + self.p["b"]
-        go_on = (xs != END)[:, :, None].astype(kind)
-        before, after, steps = np.empty((n_steps, lanes, HIDDEN), kind), np.empty((n_steps, lanes, HIDDEN), kind), []
+        p, kind, lanes, n_steps = self.p, h.dtype, len(h), len(xs)
+        grads = {k: np.zeros_like(v) for k, v in p.items()} if grads is None else grads
+        used = marked(xs, len(p["emb"]))
+        place = np.zeros(len(p["emb"]), np.uint16 if len(used) <= 1 << 16 else np.int64)
+        place[used] = np.arange(len(used))
+        at = place[xs]
+        go_on = (xs != END).astype(kind)
+        before, after, steps = np.empty((n_steps, HIDDEN, lanes), kind), np.ones((n_steps, lanes, HIDDEN + 1), kind), []
         for t in range(n_steps):
-            before[t] = h * go_on[t]
-            h, *rest = self.step(table[at[t]], before[t])
-            after[t] = h
-            steps.append(rest)
-        _, dh_all = self.losses(after.reshape(-1, HIDDEN), ys.ravel(), grads)
+            emb = np.take(p["emb"], xs[t], axis=0)
+            np.multiply(h.T, go_on[t], out=before[t])
+            h, *rest = self.step(self.gates(emb), before[t].T)
+            after[t, :, :HIDDEN] = h
+            steps.append((emb, *(v.T for v in rest)))
+        _, dh_all = self.losses(after.reshape(-1, HIDDEN + 1), ys.ravel(), grads)
         dh_all = dh_all.reshape(n_steps, lanes, HIDDEN)
-        dh, gates, inner = np.zeros((lanes, HIDDEN), kind), np.empty((n_steps, lanes, 3 * HIDDEN), kind), np.empty((n_steps, lanes, 3 * HIDDEN), kind)
-        u = self.p["u"].T.copy()
+        dh, g, inner, d_emb = np.zeros((HIDDEN, lanes), kind), np.empty((3 * HIDDEN, lanes), kind), np.empty((3 * HIDDEN, lanes), kind), np.empty((EMBED, n_steps, lanes), kind)
+        dz, dr, dn = g[:HIDDEN], g[HIDDEN : 2 * HIDDEN], g[2 * HIDDEN :]
+        ones = np.ones(lanes, kind)
         for t in reversed(range(n_steps)):
-            z, r, n, un = steps[t]
-            dh += dh_all[t]
-            g = gates[t]
-            dn = dh * (1 - z)
+            emb, z, r, n, un = steps[t]
+            dh += dh_all[t].T
+            rest = 1 - z
+            np.multiply(dh, rest, out=dn)
             dn *= 1 - n * n
-            g[:, :HIDDEN] = dh * (before[t] - n) * (z * (1 - z))
-            g[:, HIDDEN : 2 * HIDDEN] = dn * un * (r * (1 - r))
-            g[:, 2 * HIDDEN :] = dn
-            inner[t] = g
-            inner[t, :, 2 * HIDDEN :] *= r
+            rest *= z
+            np.subtract(before[t], n, out=dz)
+            dz *= dh
+            dz *= rest
+            np.multiply(dn, un, out=dr)
+            dr *= r * (1 - r)
+            inner[: 2 * HIDDEN] = g[: 2 * HIDDEN]
+            np.multiply(dn, r, out=inner[2 * HIDDEN :])
             dh *= z
-            dh += inner[t] @ u
+            dh += p["u"] @ inner
             dh *= go_on[t]
-        gates = gates.reshape(-1, 3 * HIDDEN)
-        grads["u"] += before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
-        grads["wx"] += emb[at.ravel()].T @ gates
-        grads["b"] += gates.sum(0)
+            grads["u"] += before[t] @ inner.T
+            grads["wx"] += emb.T @ g.T
+            grads["b"] += g @ ones
+            d_emb[:, t] = p["wx"] @ g
         by_slot = np.argsort(at, axis=None, kind="stable")
-        grads["emb"][used] = np.add.reduceat((gates @ self.p["wx"].T)[by_slot], np.searchsorted(at.ravel()[by_slot], np.arange(len(used))))
+        grads["emb"][used] = np.add.reduceat(np.take(d_emb.reshape(EMBED, -1), by_slot, axis=1), np.searchsorted(at.ravel()[by_slot], np.arange(len(used))), axis=1).T
         return grads, h
 
+    @np.errstate(over="ignore")
     def fit(self, ids: np.ndarray, ptr: np.ndarray, *, epochs: int = 3, lanes: int = 32, window: int = 24, rate: float = 0.01, fade: float = 1.0, seed: int = 3) -> Network:
-        """Adam over windows of `window` steps; the state is carried from window to window, gradients are not. The rate goes
-        from `rate` to `fade` times it over an epoch. The last lane is filled up from the first tokens, so none is left out."""
+        """Adam over windows of `window` steps; the state is carried from window to window, gradients are not. Where under
+        a fourth of the embeddings or leaves have tokens in a window, the others wait, with their moments. The rate goes from
+        `rate` to `fade` times it over an epoch. The last lane is filled up from the first tokens, so none is left out."""
         rng = np.random.default_rng(seed)
         flat = self.flat()
         self.p = self.views(flat)
         grad, m1, m2 = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
         grads = self.views(grad)
-        count = 0
+        slots, fan, count = len(self.p["emb"]), self.fan, 0
+        cut = [slots * EMBED, slots * (EMBED + HIDDEN + 1)]
+        emb, leaves, rest = ([x[a:b].reshape(-1, wide) for x in (flat, grad, m1, m2)] for a, b, wide in ((0, cut[0], EMBED), (*cut, (HIDDEN + 1) * fan), (cut[1], len(flat), 1)))
         for _ in range(epochs):
             docs = rng.permutation(len(ptr) - 1)
             laid = np.concatenate([ids[ptr[i] : ptr[i + 1]] for i in docs])
@@ -296,10 +389,12 @@ class Network:
             x = np.vstack([np.full((1, lanes), END), y[:-1]])
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t0 in range(0, length, window):
-                grad[:] = 0
-                _, h = self.backward(x[t0 : t0 + window], y[t0 : t0 + window], h, grads)
+                xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
+                _, h = self.backward(xs, ys, h, grads)
                 count += 1
-                adam(flat, grad, m1, m2, 1 / lanes, rate * (1 - (1 - fade) * t0 / length), count)
+                for part, rows in ((emb, marked(xs, slots)), (leaves, marked(ys // fan, slots // fan)), (rest, None)):
+                    most = rows is None or 4 * len(rows) > len(part[0])
+                    adam(*part, None if most else rows, lanes, rate * (1 - (1 - fade) * t0 / length), count)
         return self
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -316,25 +411,44 @@ class Network:
         return Network(self.views(flat.astype(np.float32)), self.cuts)
 
 
-def adam(flat: np.ndarray, grad: np.ndarray, m1: np.ndarray, m2: np.ndarray, scale: float, rate: float, count: int) -> None:
-    """A step of Adam on all parameters, in place, by strides that stay in the cache; gradients are used up. The moments are kept
-    as sums, 10 and 100 times the usual means."""
+def logistic(x: np.ndarray) -> None:
+    """1 / (1 + exp(-x)), in place; 0 where exp is infinite."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(1, x, out=x)
+
+
+def marked(x: np.ndarray, n: int) -> np.ndarray:
+    """Distinct values of x, which are below n, ascending."""
+    seen = np.zeros(n, bool)
+    seen[x] = True
+    return np.flatnonzero(seen)
+
+
+def adam(v: np.ndarray, g: np.ndarray, m: np.ndarray, s: np.ndarray, rows: np.ndarray | None, lanes: int, rate: float, count: int) -> None:
+    """A step of Adam on some rows, ascending (None: all), of parameters v with gradients g, summed over the lanes, and moments, in
+    place, by strides that stay in the cache; gradients are set to zero. The moments are kept as sums, 10 and 100 times the means."""
     root = np.sqrt(0.01 / (1 - 0.99**count))
-    for a in range(0, len(flat), STRIDE):
-        v, g, m, s = (x[a : a + STRIDE] for x in (flat, grad, m1, m2))
-        g *= scale
-        if g @ g > 1:
-            np.clip(g, -1, 1, out=g)
-        m *= 0.9
-        m += g
-        s *= 0.99
-        g *= g
-        s += g
-        np.sqrt(s, out=g)
-        g += 1e-6 / root
-        np.divide(m, g, out=g)
-        g *= 0.1 * rate / (1 - 0.9**count) / root
-        v -= g
+    n, per = len(v) if rows is None else len(rows), max(1, STRIDE // v.shape[1])
+    for a in range(0, n, per):
+        at = slice(a, a + per) if rows is None else rows[a : a + per]
+        vs, gs, ms, ss = (x[at] if rows is None else np.take(x, at, axis=0) for x in (v, g, m, s))
+        if np.vdot(gs, gs) > lanes**2:
+            np.clip(gs, -lanes, lanes, out=gs)
+        ms *= 0.9
+        ms += gs
+        ss *= 0.99
+        gs *= gs
+        ss += gs
+        np.sqrt(ss, out=gs)
+        gs += 1e-6 * lanes / root
+        np.divide(ms, gs, out=gs)
+        gs *= 0.1 * rate / (1 - 0.9**count) / root
+        vs -= gs
+        if rows is not None:
+            v[at], m[at], s[at] = vs, ms, ss
+        g[at] = 0
 
 
 def learn(table: pa.Table, network: Network) -> pa.Table:
@@ -343,6 +457,7 @@ def learn(table: pa.Table, network: Network) -> pa.Table:
     ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in rows]
     n = sum(len(x) for x in ids)
     net = network.filled(network.flat())
+    hold()
     lanes = min(LANES, max(32, n // 4096))
     net.fit(np.concatenate(ids), np.cumsum([0, *[len(x) for x in ids]]), epochs=1, lanes=lanes, rate=0.02 * math.sqrt(lanes / LANES), fade=0.1)
     flat, shard = net.flat(), table["shard"][0].as_py()
@@ -398,7 +513,7 @@ class Scorer:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in _KINDS], names=_NAMES)
         h, ptr = tokens(table["text"])
-        words, at = np.unique(keyed(h, self.parts), return_inverse=True)
+        words, at = distinct(keyed(h, self.parts))
         sent = dict(zip(links["part"].to_pylist(), links["counts"].to_pylist(), strict=True))
         c = np.concatenate([unplanes(sent[p], 5) for p, _, _ in _cuts(words)]).astype(np.float64)
         ids = self.ids(words)
@@ -406,6 +521,7 @@ class Scorer:
         share = np.where(ids == UNKNOWN, np.log10((c + 1) / (self.rest_n + self.rest_v + 1.0)), 0.0)
         total = lambda x: np.add.reduceat(x[at], ptr[:-1])
         tidy()
+        hold()
         net = self.network.score(ids[at], ptr) / np.log(10)
         cols = [table["doc_id"], pa.array(np.diff(ptr)), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(table.num_rows, self.n, np.int64)), pa.array(total(base)), pa.array(net + total(share))]
         return pa.table(cols, names=_NAMES)
@@ -418,11 +534,12 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float
 def _slots(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, ptr = tokens(batch.column("text"))
-        ids = scorer.ids(keyed(h, scorer.parts)).astype("<u4")
+        words, at = distinct(keyed(h, scorer.parts))
+        ids = scorer.ids(words).astype("<u4")[at]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, bucket_bytes: int = 8 << 20, part_rows: int = 2_000_000, shard_bytes: int = 24 << 20, most_slots: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, bucket_bytes: int = 24 << 20, part_rows: int = 2_000_000, shard_bytes: int = 24 << 20, most_slots: int = 1 << 18) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), learning from all
     documents where `train` holds. A network of most_slots slots has 43 MB of parameters.
 
@@ -450,7 +567,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     weight[END] += ends
     weight[UNKNOWN] += n - ends - sum(c for _, c in listed)
     weight[2 : len(listed) + 2] += [c for _, c in listed]
-    scorer = Scorer(keys[order], slots, n, v, n - sum(c for _, c in listed) - ends, v - len(listed) - (ends > 0), parts, Network.start(slots=n_slots, cuts=class_cuts(weight)))
+    scorer = Scorer(keys[order], slots, n, v, n - sum(c for _, c in listed) - ends, v - len(listed) - (ends > 0), parts, Network.start(slots=n_slots, weight=weight))
     known = rows.where("train")
     n_train, n_bytes = text_size(known)
     coded = lambda x: x.mapInArrow(lambda b: _slots(b, scorer), "doc_id long, ids binary")

@@ -400,6 +400,61 @@ def test_language_model_edges(spark, prose):
     assert len({(r.n_tokens, r.base_score) for r in rows if r.doc_id == 0}) == 1
 
 
+def test_a_token_passes_few_logits():
+    weight = 1e6 / np.arange(1, 65537)
+    net = gru.Network.start(slots=65536, weight=weight)
+    share, leaf = weight / weight.sum(), np.arange(65536) // net.fan
+    below = np.where(leaf > 0, np.repeat(np.diff(net.cuts), np.diff(net.cuts))[leaf] + net.fan, 0)
+    two_levels = 2 * np.sqrt(share).sum()  # the fewest with classes of words alone
+    assert len(net.p["wc"]) + share @ below < two_levels / 2
+    p = np.exp(net.losses(np.zeros((65536, gru.HIDDEN), np.float32), np.arange(65536))[0])
+    assert np.allclose(p, share, rtol=1e-3)
+
+
+def test_gradients_of_classes_by_weight():
+    rng = np.random.default_rng(5)
+    start = gru.Network.start(weight=1e4 / np.arange(1, 1025))
+    for stretch in (1, 40):  # the larger logits need a shift
+        net = gru.Network({k: v.astype(np.float64) * (stretch if k in ("wc", "wm", "wo") else 1) for k, v in start.p.items()}, start.cuts)
+        h, y = rng.normal(0, 0.5, (60, gru.HIDDEN)), np.concatenate([rng.integers(0, 1024, 40), np.repeat([0, 9, 70, 1000], 5)])
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        dh = net.losses(h, y, grads)[1]
+        for v, found in ((h, dh), *((net.p[k], grads[k]) for k in ("wc", "wm", "wo"))):
+            for i in rng.choice(np.flatnonzero(found), 12):
+                kept = v.flat[i]
+                v.flat[i] = kept + 1e-6
+                high = net.losses(h, y)[0].sum()
+                v.flat[i] = kept - 1e-6
+                low = net.losses(h, y)[0].sum()
+                v.flat[i] = kept
+                assert abs((low - high) / 2e-6 - found.flat[i]) < 1e-4 * max(1, abs(found.flat[i]))
+
+
+def test_few_rows_are_descended_and_gradients_used_up():
+    v, g, m, s = np.ones((9, 4)), np.full((9, 4), 0.5), np.zeros((9, 4)), np.zeros((9, 4))
+    gru.adam(v, g, m, s, np.array([2, 5]), 1, 0.1, 1)
+    assert np.flatnonzero((v != 1).all(1)).tolist() == np.flatnonzero((g == 0).all(1)).tolist() == [2, 5]
+    whole = [np.ones((9, 4)), np.full((9, 4), 0.5), np.zeros((9, 4)), np.zeros((9, 4))]
+    gru.adam(*whole, None, 1, 0.1, 1)
+    assert np.array_equal(whole[0][[2, 5]], v[[2, 5]]) and not whole[1].any()
+
+
+def test_distinct_is_unique():
+    for keys in (np.random.default_rng(2).integers(0, 2**64, 500, np.uint64)[np.arange(3000) % 500], np.zeros(0, np.uint64)):
+        words, at = gru.distinct(keys)
+        assert np.array_equal(words, np.unique(keys)) and np.array_equal(words[at], keys)
+
+
+def test_windows_of_any_size_score_alike():
+    rng = np.random.default_rng(6)
+    size = np.concatenate([rng.integers(1, 40, 60), [3000, 1]])
+    ids, ptr = rng.integers(0, 1024, size.sum()), np.cumsum([0, *size])
+    net = gru.Network.start()
+    whole = net.score(ids, ptr)
+    for lanes, window in ((1, 7), (5, 64), (1024, 1000)):
+        assert np.allclose(net.score(ids, ptr, lanes=lanes, window=window), whole, rtol=1e-4)
+
+
 # --- urls
 
 
